@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_rules, op07_simhash, op09_mix
+from . import op01_quality, op02_rules, op07_simhash, op08_html, op09_mix
+from . import op10_decontam as op10_edits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -23,14 +28,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_mix.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a test item, with the item and its edit distance."""
+    found = op10_edits.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "distance", "end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_rules": op2_rules,
     "op7_simhash": op7_simhash,
+    "op8_html": op8_html,
     "op9_mix": op9_mix,
+    "op10_decontam": op10_decontam,
 }
 
 #: None of the ten is wholly expressible in SQL; tests compare them with brute-force versions.
