@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_quality, op02_rules, op07_simhash, op08_html, op09_mix
+from . import op01_quality, op02_rules, op05_language, op06_toxicity, op07_simhash, op08_html, op09_mix
 from . import op10_decontam as op10_edits
 
 
@@ -23,6 +23,14 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_language.identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_toxicity.classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op07_simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +53,8 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_rules": op2_rules,
+    "op5_language": op5_language,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_html": op8_html,
     "op9_mix": op9_mix,
