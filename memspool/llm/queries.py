@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_quality, op02_rules, op05_language, op06_toxicity, op07_simhash, op08_html, op09_mix
+from . import op01_quality, op02_rules, op03_tokens, op04_lines, op05_language, op06_toxicity, op07_simhash, op08_html, op09_mix
 from . import op10_decontam as op10_edits
 
 
@@ -23,6 +23,19 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op03_tokens.encode_corpus(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the lines it had, how many went, and a digest of the text that stays."""
+    out = op04_lines.drop_recurring(_table(spark, sf_dir, "documents"), counts=True)
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_language.identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +66,8 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_rules": op2_rules,
+    "op3_tokens": op3_tokens,
+    "op4_lines": op4_lines,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
