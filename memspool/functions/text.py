@@ -108,8 +108,11 @@ def first_json(x: Column | str) -> Column:
 
 
 def parse_json(x: Column | str) -> Column:
-    """The first JSON value of a reply as a variant; null if it can't be parsed."""
-    return F.try_parse_json(first_json(x))
+    """The JSON value that a reply ends with, as a variant; null if it can't be parsed or more follows."""
+    # the parser stops behind a value; within brackets it must go on to the end
+    held = F.try_parse_json(F.concat(F.lit("["), first_json(x), F.lit("]")))
+    one = F.try_variant_get(held, "$[1]", "variant").isNull()
+    return F.when(one, F.try_variant_get(held, "$[0]", "variant"))
 
 
 def clamp(x: Column | str) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD, overlap, render, sanitize, strip
 from ..schema import absent, present
+from ..sources.scratch import materialize
 
 #: The text around a block, and the sections in their order.
 PREAMBLE = (
@@ -142,7 +143,8 @@ def newest(nodes: DataFrame, rounds: int = 32) -> DataFrame:
     step = step.join(dangling.withColumn("__d", F.lit(True)), "id", "left").select("id", F.when(F.col("__d"), F.col("id")).otherwise(F.col("to")).alias("to"))
     for _ in range(rounds):
         ahead = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        then = step.join(ahead, "to").select("id", "to", "next").checkpoint()
+        then = step.join(ahead, "to").select("id", "to", "next")
+        then = materialize(then, "newest")
         moved = then.where("next != to").limit(1).count()
         step = then.select("id", F.col("next").alias("to"))
         if not moved:
