@@ -1,83 +1,25 @@
 """Helpers that the training-data operators share.
 
-Nothing here depends on the rest of the library, and nothing in the rest of the
-library depends on this subpackage.
+Nothing in the rest of the library depends on this subpackage.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_table, materialize, new_table_path, shared_dir
+
+__all__ = ["crc_mod", "drop_table", "map_batches", "materialize", "new_table_path", "shared_dir", "text_bytes", "training_sample"]
+
 #: The six white-space bytes that separate words everywhere in this subpackage;
 #: ``bytes.split()`` separates on exactly these.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent, as in tests on one machine, a temporary folder
-    is made and set as the checkpoint folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="memspool-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-    except Exception:  # the session is gone; the folder goes with the cluster's clean-up
-        pass
-
-
-def new_table_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    _delete(spark, path)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage and survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = new_table_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; the split of train and held-out rows."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
