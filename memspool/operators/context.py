@@ -106,7 +106,7 @@ def build_context(
 
     start = F.struct(F.lit(BASE_TOKENS).alias("used"), F.lit(-1).alias("last"), F.array().cast("array<string>").alias("out"))
     items_or_none = F.coalesce("items", F.array().cast("array<struct<sec:int,r1:int,r2:double,r3:boolean,r4:bigint,line:string>>"))
-    joined = packs.join(items, k, "left") if k else packs
+    joined = packs.join(items, k, "left") if k else items  # without keys there is one row in any case
     out = joined.withColumn("__s", F.aggregate(items_or_none, start, step))
     text = F.concat(F.lit(PREAMBLE), F.array_join("__s.out", ""), F.lit(CLOSING))
     return out.select(*k, text.alias("context"), F.col("__s.used").alias("used"))

@@ -17,6 +17,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 log = logging.getLogger("memspool.models")
 TIMEOUT_S = 600
@@ -118,7 +119,7 @@ def complete_all(prompts: DataFrame, adapter: Adapter, path: str, json_mode: boo
             systems = f["system"] if has_system else [None] * len(f)
             yield f.assign(reply=[adapter.complete(p, s or None, json_mode) for p, s in zip(f["prompt"], systems)])[names]
 
-    schema = prompts.schema.add("reply", "string")
+    schema = T.StructType([*prompts.schema.fields, T.StructField("reply", T.StringType())])
     source = prompts.repartition(concurrency) if concurrency else prompts
     source.mapInPandas(call, schema).write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -19,6 +19,11 @@ class Files:
         fs, p = self._at(path)
         return fs.exists(p)
 
+    def size(self, path: str) -> int:
+        """Bytes of a file; -1 if there is none."""
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getLen() if fs.exists(p) and fs.getFileStatus(p).isFile() else -1
+
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
@@ -29,11 +34,15 @@ class Files:
 
     def write(self, path: str, data: bytes) -> None:
         fs, p = self._at(path)
-        out = fs.create(p, True)
+        fs.setWriteChecksum(False)  # no hidden files beside those that people see
         try:
-            out.write(bytearray(data))
+            out = fs.create(p, True)
+            try:
+                out.write(bytearray(data))
+            finally:
+                out.close()
         finally:
-            out.close()
+            fs.setWriteChecksum(True)
 
     def read(self, path: str) -> bytes:
         fs, p = self._at(path)

@@ -89,7 +89,11 @@ def pack_errors(spark: SparkSession, path: str) -> list[str]:
     except Exception as e:  # of the JVM, JSON or a missing key
         return [f"{MANIFEST} unreadable: {str(e).splitlines()[0]}"]
     listed = spark.createDataFrame(hashes, "path string, sha256 string")
-    return [f"{r['path']}: {r['error']}" for r in verify(listed, file_hashes(spark, path), REQUIRED).orderBy("path").collect()]
+    found, files = file_hashes(spark, path), Files(spark)
+    # scans leave out empty files
+    if empty := [(n, hashlib.sha256().hexdigest()) for n, _ in hashes if ".." not in n.split("/") and files.size(f"{path}/{n}") == 0]:
+        found = found.unionByName(spark.createDataFrame(empty, "path string, sha256 string"))
+    return [f"{r['path']}: {r['error']}" for r in verify(listed, found, REQUIRED).orderBy("path").collect()]
 
 
 def load_pack(spark: SparkSession, path: str, check: bool = True) -> Pack:

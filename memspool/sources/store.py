@@ -1,7 +1,7 @@
 """A versioned store of memory: Parquet snapshots, published by a commit row.
 
 ``root/profile=P/v=N`` holds the tables of one snapshot: ``nodes`` (by part), ``meta`` (style, ledger, models) and
-``turns`` where raw turns are kept.  ``root/commits/profile=P`` holds one row for each commit; it is written last, so
+``raw`` where lines of raw turns are kept, such that can't be parsed too.  ``root/commits/profile=P`` holds one row for each commit; it is written last, so
 a snapshot that fails half-way is never seen.  One writer at a time for each profile.
 """
 
@@ -17,11 +17,25 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sanitize, ulid
 from ..operators.revisions import diff, purge_turns, remove_nodes
-from ..schema import NODES, PARTS, TURNS
+from ..schema import NODES, PARTS
 from .files import Files
 from .packs import ARCHIVE_SUFFIX, IntegrityError, Pack, export_archive, load_pack, pack_errors, sanitized, unpack_archive
 
 COMMITS = "version long, tree_version long, sha string, ts string, message string"
+RAW = "file string, n long, line string, turn_id string"
+
+
+def raw_lines(turns: DataFrame, file: str = "turns.jsonl") -> DataFrame:
+    """Turns as lines of a raw file."""
+    line = F.to_json(F.struct("role", "content", F.col("ts").alias("timestamp"), F.col("conv_id").alias("conversation_id"), "turn_id"))
+    return turns.select(F.lit(file).alias("file"), F.col("src_ord").alias("n"), line.alias("line"), "turn_id")
+
+
+def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of raw files as they are."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    lines = spark.read.text(paths).select(name.alias("file"), (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id()).alias("n"), F.col("value").alias("line"))
+    return lines.withColumn("turn_id", F.try_variant_get(F.try_parse_json("line"), "$.turn_id", "string"))
 
 
 class Store:
@@ -73,14 +87,14 @@ class Store:
     def _next(self, profile: str) -> int:
         return int(self.commits(profile).agg(F.max("version")).first()[0]) + 1
 
-    def _write(self, pack: Pack, profile: str, version: int, turns: DataFrame | None) -> None:
+    def _write(self, pack: Pack, profile: str, version: int, raw: DataFrame | None) -> None:
         tree = self._tree(profile, version)
         self.files.delete(tree)  # what a failed writer left
         pack.nodes.select(*NODES.fieldNames()).write.partitionBy("part").parquet(f"{tree}/nodes")
         meta = {"style": pack.style, "ledger": pack.ledger, "source_models": pack.source_models, "created_at": pack.created_at}
         self.files.write(f"{tree}/meta.json", json.dumps(meta).encode())
-        if turns is not None:
-            turns.select(*TURNS.fieldNames()).write.parquet(f"{tree}/turns")
+        if raw is not None:
+            raw.select("file", "n", "line", "turn_id").write.parquet(f"{tree}/raw")
 
     def init(self, profile: str) -> str:
         if self.files.exists(self._commits_path(profile)):
@@ -88,10 +102,10 @@ class Store:
         self._write(Pack.empty(self.spark), profile, 0, None)
         return self._publish(profile, 0, 0, "initialize empty memory")
 
-    def commit(self, pack: Pack, profile: str, message: str, turns: DataFrame | None = None) -> str:
-        """Write a snapshot and publish it.  Raw turns of the version before are kept unless new ones are given."""
+    def commit(self, pack: Pack, profile: str, message: str, raw: DataFrame | None = None) -> str:
+        """Write a snapshot and publish it.  Raw lines of the version before are kept unless new ones are given."""
         version = self._next(profile)
-        self._write(pack, profile, version, turns if turns is not None else self.turns(profile))
+        self._write(pack, profile, version, raw if raw is not None else self.raw(profile))
         return self._publish(profile, version, version, message)
 
     def load(self, profile: str, rev: int | str = "HEAD") -> Pack:
@@ -100,9 +114,9 @@ class Store:
         m = json.loads(self.files.read(f"{tree}/meta.json"))
         return Pack(nodes.select(*NODES.fieldNames()), m["style"], m["ledger"], m["source_models"], m["created_at"])
 
-    def turns(self, profile: str, rev: int | str = "HEAD") -> DataFrame | None:
-        path = f"{self._tree(profile, self._row(profile, rev)['tree_version'])}/turns"
-        return self.spark.read.schema(TURNS).parquet(path) if self.files.exists(path) else None
+    def raw(self, profile: str, rev: int | str = "HEAD") -> DataFrame | None:
+        path = f"{self._tree(profile, self._row(profile, rev)['tree_version'])}/raw"
+        return self.spark.read.schema(RAW).parquet(path) if self.files.exists(path) else None
 
     def nodes_at(self, profile: str, rev: int | str) -> DataFrame:
         """Nodes of a revision; of one that doesn't exist, none."""
@@ -142,8 +156,8 @@ class Store:
         missing = gone.join(pack.nodes.select("id"), "id", "left_anti").collect()
         if missing:
             raise KeyError(missing[0]["id"])
-        turns = self.turns(profile)
-        kept = purge_turns(turns, pack.nodes, gone) if turns is not None else None
+        raw = self.raw(profile)
+        kept = purge_turns(raw, pack.nodes, gone) if raw is not None else None
         version = self._next(profile)
         clean = Pack(remove_nodes(pack.nodes, gone), pack.style, pack.ledger, pack.source_models, pack.created_at)
         self._write(clean, profile, version, kept)
@@ -160,11 +174,11 @@ class Store:
     # --- portable packs ---------------------------------------------------------------------------------------------
 
     def export(self, profile: str, dest: str) -> str:
-        turns = self.turns(profile)
-        raw = None
-        if turns is not None:
-            line = F.to_json(F.struct("role", "content", F.col("ts").alias("timestamp"), F.col("conv_id").alias("conversation_id"), "turn_id"))
-            raw = {"turns.jsonl": "".join(r["j"] + "\n" for r in turns.orderBy("src_ord").select(line.alias("j")).toLocalIterator()).encode()}
+        raw: dict[str, bytes] = {}
+        lines = self.raw(profile)
+        if lines is not None:
+            for r in lines.orderBy("file", "n").toLocalIterator():
+                raw[r["file"]] = raw.get(r["file"], b"") + r["line"].encode() + b"\n"
         return export_archive(self.load(profile), dest, raw)
 
     def import_(self, source: str, profile: str, force: bool = False) -> str:
@@ -176,14 +190,11 @@ class Store:
             if errors and not force:
                 raise IntegrityError(f"the pack does not verify: {errors}")
             pack = sanitized(load_pack(self.spark, path, check=False))
-            turns = None
-            if names := [n for n in self.files.names(f"{path}/raw") if n.endswith(".jsonl")]:
-                from .history import read_jsonl
-
-                turns = read_jsonl(self.spark, [f"{path}/raw/{n}" for n in names])
+            names = [n for n in self.files.names(f"{path}/raw") if n.endswith(".jsonl")]
+            raw = read_raw(self.spark, [f"{path}/raw/{n}" for n in names]) if names else None
             if profile not in self.profiles():
                 self.init(profile)
-            return self.commit(pack, profile, f"import from {source.rsplit('/', 1)[-1]}", turns)
+            return self.commit(pack, profile, f"import from {source.rsplit('/', 1)[-1]}", raw)
         finally:
             self.files.delete(scratch)
 
