@@ -51,7 +51,7 @@ class TokenParams:
     #: A pair must occur so often in its shard.
     least_count: int = 24
     #: Words kept with their ids in a worker's cache.
-    cache_words: int = 350_000
+    cache_words: int = 300_000
 
 
 # --- encoding ---------------------------------------------------------------------------------------------------------
@@ -61,11 +61,12 @@ class Encoder:
     """Ids of texts, as bytes of little-endian unsigned integers.
 
     No token of a text crosses ASCII white space, so a text's ids are those of its words in turn, and a
-    word that was seen is not encoded again.  Of letters and a closing mark, the letters alone are looked up,
-    in lower case as the tokenizer has them.
+    word that was seen is not encoded again.  Of letters and marks behind them, which are two pieces for the
+    tokenizer, each is looked up alone, letters in lower case.  A full cache takes no more words: those that are
+    frequent came early.
     """
 
-    _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+    _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, dtype: str, cache_words: int) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -87,17 +88,19 @@ class Encoder:
     def _core(self, word: str) -> bytes:
         got = self.cores.get(word)
         if got is None:
-            if len(self.cores) > self.most:
-                self.cores.clear()
-            got = self.cores[word] = self._pack([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))])
+            got = self._pack([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))])
+            if len(self.cores) < self.most:
+                self.cores[word] = got
         return got
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         m = self._plain.fullmatch(text)
         if m:
-            core = self._core(m[1].lower())
-            return core + self._core(m[2]) if m[2] else core
+            letters, marks = m[1], m[2]
+            if not marks:
+                return self._core(letters.lower())
+            return self._core(letters.lower()) + self._core(marks) if letters else self._core(marks)
         return self._pack(self.t.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, raw: bytes) -> bytes:
@@ -110,9 +113,11 @@ class Encoder:
                 if x is None:
                     w = words[i]
                     x = known.get(w)
-                    out[i] = known[w] = self._word(w) if x is None else x
-            if len(known) > self.most:
-                known.clear()
+                    if x is None:
+                        x = self._word(w)
+                        if len(known) < self.most:
+                            known[w] = x
+                    out[i] = x
         return b"".join(out)
 
 
