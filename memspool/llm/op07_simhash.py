@@ -227,7 +227,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = found.groupBy("group", "key").agg(F.count("*").alias("n"))
     keep = materialize(heads.groupBy("group").agg(F.min_by(F.col("n"), F.col("key")).alias("n"), F.min("key").alias("__keep")), "simhash-keep")
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    once = docs.join(keep.where("n = 1"), key == keep["__keep"], "left_semi")
+    # the same join at every size: one key for each group grows with the corpus
+    once = docs.join(keep.where("n = 1").hint("merge"), key == keep["__keep"], "left_semi")
     more = keep.where("n > 1")
     if more.isEmpty():
         return once

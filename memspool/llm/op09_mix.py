@@ -170,7 +170,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as many times as it is taken, with its own columns."""
     copies = take_copies(_units(docs, id_col, text_col, source_col), **options).where("copies > 0")
-    copies = copies.select(F.col("key").alias("__mix_key"), F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies"))
+    copies = copies.select(F.col("key").alias("__mix_key"), F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies")).hint("merge")
     own = F.xxhash64(docs[id_col], docs[text_col])
     same = (own == copies["__mix_key"]) & docs[source_col].cast("string").eqNullSafe(copies["__mix_source"])
     joined = docs.join(copies, same)
