@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized_key
 from ..schema import absent, present
+from ..sources.scratch import materialize
 
 KEYS = ("part",)
 
@@ -61,12 +62,21 @@ def dedup_exact(nodes: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 
 def number(nodes: DataFrame, chunk: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Positions of nodes within their keys: ``pos``, or ``chunk`` and ``pos`` within it."""
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1
-    out = nodes.withColumn("pos", pos.cast("long"))
-    if chunk is None:
-        return out
-    return out.withColumn("chunk", F.floor(F.col("pos") / chunk).cast("long")).withColumn("pos", F.pmod("pos", F.lit(chunk)).cast("long"))
+    """Positions of nodes within their keys: ``pos``, or ``chunk`` and ``pos`` within it.
+
+    Rows are dealt by ranges of keys and order and numbered in each range; then the counts of the ranges before, one row for
+    each key and range, are added.  So no task holds all rows of a key.  Keys aren't null.
+    """
+    dealt = nodes.repartitionByRange(*keys, "ord").sortWithinPartitions(*keys, "ord")
+    placed = materialize(dealt.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))
+    counts = placed.groupBy(*keys, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    out = placed.join(counts, [*keys, "__range"]).withColumn("pos", F.col("__at") - F.col("__first") + F.col("__before"))
+    if chunk is not None:
+        out = out.withColumn("chunk", F.floor(F.col("pos") / chunk).cast("long")).withColumn("pos", F.pmod("pos", F.lit(chunk)).cast("long"))
+    return out.select(*nodes.columns, *(["chunk"] if chunk is not None else []), "pos")
 
 
 def apply_resolution(nodes: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("part", "chunk")) -> DataFrame:
