@@ -511,6 +511,53 @@ def topn_per_group(spark, d):
     return H.top_per_group(_t(spark, d, "documents"), "source", "doc_id", 15).select("doc_id", "source")
 
 
+# --- what a model proposes --------------------------------------------------------------------------------------------
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """A reply for each conversation, made from its number: two identity items and one of no use, with prose before."""
+    c = H.conversations(turns(spark, d))
+    n = F.col("conv_id").cast("long")
+    said = F.struct(
+        F.concat(F.lit("Fact "), "conv_id", F.lit(" of yesterday")).alias("text"), (n % 7 / F.lit(4.0)).alias("salience"), F.when(n % 2 == 0, "inferred").otherwise("sure").alias("confidence"),
+        F.when(n % 3 == 0, "2024-02-30").otherwise("soon").alias("valid_from"), F.when(n % 5 == 0, F.upper(F.col("refs")[0])).otherwise("never said").alias("quote"), F.array(F.lit("x"), F.col("conv_id")).alias("tags"),
+        F.when(n % 11 == 0, "huge").alias("granularity"),
+    )
+    bare = F.struct(F.concat(F.lit("Bare "), "conv_id").alias("text"))
+    identity = F.concat(F.lit("["), F.to_json(said), F.lit(","), F.to_json(bare), F.lit(',{"salience": 1},7]'))
+    reply = F.concat(F.lit('So: {"identity": '), identity, F.lit(', "episodes": null, "threads": "none"}'), F.when(n % 13 == 0, " trailing").otherwise(""))
+    return c.withColumn("reply", reply)
+
+
+@query(
+    "reply_candidates",
+    f"""WITH {TURNS}, c AS (SELECT conv_id, CAST(conv_id AS BIGINT) AS n, min(src_ord) AS o, arg_min(turn_id, src_ord) AS head, arg_min(CAST(substr(ts, 1, 10) AS DATE), src_ord) FILTER (ts IS NOT NULL) AS day FROM turns GROUP BY conv_id)
+    SELECT conv_id, 'Fact ' || conv_id || ' of yesterday' || CASE WHEN day IS NULL THEN '' ELSE ' (' || strftime(day - 1, '%-d %B %Y') || ')' END AS text, least(1.0::DOUBLE, n % 7 / 4.0::DOUBLE) AS salience, CASE WHEN n % 2 = 0 THEN 'inferred' ELSE 'stated' END AS confidence,
+      'episode' AS granularity, CASE WHEN n % 3 = 0 THEN '2024-02-30' END AS valid_from, CASE WHEN n % 5 = 0 THEN head END AS quote, 'x|' || conv_id AS tags FROM c WHERE n % 13 <> 0 AND n % 11 <> 0
+    UNION ALL SELECT conv_id, 'Bare ' || conv_id, 0.5::DOUBLE, 'stated', 'episode', NULL, NULL, '' FROM c WHERE n % 13 <> 0""",
+)
+def reply_candidates(spark, d):
+    from .plans.extract import candidates
+
+    found = candidates(_replies(spark, d), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    conv = F.regexp_extract("text", r"^(?:Fact|Bare) (\d+)", 1)
+    return found.select(conv.alias("conv_id"), "text", "salience", "confidence", "granularity", "valid_from", "quote", _joined("tags").alias("tags"))
+
+
+@query(
+    "reply_pairs",
+    "SELECT conv_id, kind, pair_ord, i, j FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 <> 3), (VALUES ('duplicate', 0, 0, 99), ('duplicate', 3, 2, 1), ('contradiction', 0, 5, 5)) v(kind, pair_ord, i, j) WHERE conv_id % 4 <> 2 OR kind = 'contradiction'",
+)
+def reply_pairs(spark, d):
+    from .plans.extract import proposed_pairs
+
+    n = F.col("conv_id") % 4
+    duplicates = F.when(n == 2, "null").otherwise('[[0, 99], [5], "x", [2, 1], [1, 2, 3], ["a", 1]]')
+    reply = F.concat(F.lit('```json\n{"duplicates": '), duplicates, F.lit(', "contradictions": [[5, 5]]}\n```'), F.when(n == 3, " that is all").otherwise(""))
+    rows = _t(spark, d, "conversations").select("conv_id").distinct().withColumn("reply", reply)
+    return proposed_pairs(rows, ["conv_id"])
+
+
 # --- revisions, erasure, integrity ------------------------------------------------------------------------------------
 
 

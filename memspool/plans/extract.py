@@ -77,6 +77,8 @@ def proposed_pairs(replies: DataFrame, keys: list[str]) -> DataFrame:
     for kind, name in (("duplicate", "duplicates"), ("contradiction", "contradictions")):
         pairs = parsed.select(*keys, F.lit(kind).alias("kind"), F.posexplode(F.try_variant_get("__v", f"$.{name}", "array<variant>")).alias("pair_ord", "p"))
         numbers = pairs.withColumn("n", F.try_variant_get("p", "$", "array<bigint>")).where("size(n) = 2")
+        # whole numbers only
+        numbers = numbers.withColumn("d", F.try_variant_get("p", "$", "array<double>")).where("n[0] = d[0] and n[1] = d[1]")
         rows = numbers.select(*keys, "kind", F.col("pair_ord").cast("long"), F.col("n")[0].alias("i"), F.col("n")[1].alias("j"))
         out = rows if out is None else out.unionByName(rows)
     return out
