@@ -48,4 +48,4 @@ STYLE = """Messages that a user wrote:
 
 Describe in a few lines of Markdown how this user likes to communicate: language, tone, length, format."""
 
-ANSWER_SUFFIX = "\nAnswer the question using ONLY the user memory above. Reply in one short sentence."
+ANSWER_SUFFIX = "\nUse nothing but the memory above to answer what is asked, in one short sentence."

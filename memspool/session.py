@@ -15,6 +15,8 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.speculation": "false",
+        # a block's lines of one length are limited below the shuffle for budgets up to this
+        "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
         "spark.ui.showConsoleProgress": "false",
     }
     if shuffle_partitions:
