@@ -19,6 +19,8 @@ __all__ = ["crc_mod", "drop_table", "map_batches", "materialize", "new_table_pat
 #: ``bytes.split()`` separates on exactly these.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
+PIECE_ROWS = 512
+
 
 def crc_mod(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; the split of train and held-out rows."""
@@ -28,13 +30,16 @@ def crc_mod(id_col: Column, modulus: int) -> Column:
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, prepare: Callable[[], Callable] | None = None
 ) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; ``prepare`` makes it once a task."""
+    """``mapInArrow`` with a function of one batch; ``prepare`` makes it once a task.
+
+    Batches come in pieces of ``PIECE_ROWS`` rows, which bounds the texts that are Python objects at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = prepare() if prepare else function
         for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                yield f(batch.slice(at, PIECE_ROWS))
 
     return df.mapInArrow(run, schema)
 
