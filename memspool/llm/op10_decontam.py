@@ -95,7 +95,7 @@ class Matcher:
         self.any = bool(found)
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
-        """``item_id, distance, end`` of each item that occurs; ``end`` in the normalized text."""
+        """``item_id, distance, end_char`` of each item that occurs; the latter in the normalized text."""
         if not self.any or not text:
             return []
         starts: dict[int, set[int]] = {}
@@ -133,13 +133,13 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, p: MatchParams):
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, p: MatchParams = MatchParams(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, key, item_id, distance, end`` for each document that holds an item.
+    """``doc_id, key, item_id, distance, end_char`` for each document that holds an item.
 
     ``key`` is a hash of the document's id and text.
     """
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("t"))
-    schema = "doc_id long, key long, item_id long, distance int, end long"
+    schema = "doc_id long, key long, item_id long, distance int, end_char long"
 
     def one(block: list[tuple[int, str]]) -> DataFrame:
         def prepare():
@@ -150,7 +150,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: MatchParams = MatchParams()
                 found = [(i, key, *hit) for i, key, t in zip(ids, keys, batch.column(2).to_pylist()) if t for hit in matcher.find(normalize(t))]
                 columns = list(zip(*found)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "key", "item_id", "distance", "end"])
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "key", "item_id", "distance", "end_char"])
 
             return run
 

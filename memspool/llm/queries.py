@@ -60,7 +60,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a test item, with the item and its edit distance."""
     found = op10_edits.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "distance", "end")
+    return found.select("doc_id", "item_id", "distance", "end_char")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
