@@ -63,7 +63,9 @@ def _lines(nodes: DataFrame, styles: DataFrame | None, keys: list[str], today: s
     section = F.when(F.col("part") == "identity", 0).when(F.col("part") == "threads", 2).otherwise(3)
     r = rank_columns(words)
     line = F.concat(F.lit("- "), sanitize(render()), F.lit("\n"))
-    out = live(nodes, today).select(*keys, section.alias("sec"), *r, line.alias("line"))
+    # a generator is a barrier: else each use of a column further on would sanitize and rank the text again
+    once = F.explode(F.array(F.struct(section.alias("sec"), *r, line.alias("line"))))
+    out = live(nodes, today).select(*keys, once.alias("__once")).select(*keys, "__once.*")
     if styles is not None:
         card = styles.where(strip("text") != "").select(
             *keys, F.lit(1).alias("sec"), F.lit(0).alias("r1"), F.lit(0.0).alias("r2"), F.lit(False).alias("r3"), F.lit(0).cast("long").alias("r4"),
