@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import conversation_date
 from ..functions.text import strip
+from ..sources.scratch import materialize
 
 ROLES = ("user", "assistant")
 #: Characters of a transcript in a prompt, of the style sample, and nodes in a chunk.
@@ -21,11 +22,27 @@ def spoken(turns: DataFrame) -> DataFrame:
 def runs(turns: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Turns with ``run_id``: neighbours of one conversation are one run, and one that comes again is another.
 
-    ``scope`` names columns of independent inputs, as files, which bound what is ordered in one task.
+    ``scope`` names columns of independent inputs, as files; each is ordered in one task.  Without it turns are dealt by
+    ranges of ``src_ord``: runs are counted within ranges, and one row for each range says how many runs came before and whether
+    its first turn goes on with the last run.
     """
-    order = Window.partitionBy(*scope).orderBy("src_ord") if scope else Window.orderBy("src_ord")
-    change = F.coalesce((F.lag("conv_id").over(order) != F.col("conv_id")).cast("long"), F.lit(1).cast("long"))
-    return turns.withColumn("__change", change).withColumn("run_id", F.sum("__change").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__change")
+    if scope:
+        order = Window.partitionBy(*scope).orderBy("src_ord")
+        change = F.when(F.lag("conv_id").over(order).eqNullSafe(F.col("conv_id")), 0).otherwise(1)
+        total = F.sum("__change").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return turns.withColumn("__change", change.cast("long")).withColumn("run_id", total).drop("__change")
+    dealt = turns.repartitionByRange("src_ord").sortWithinPartitions("src_ord")
+    placed = materialize(dealt.withColumn("__at", F.monotonically_increasing_id()), "runs").withColumn("__range", F.shiftright("__at", 33))
+    inside = Window.partitionBy("__range").orderBy("__at")
+    same = F.lag("conv_id").over(inside) == F.col("conv_id")
+    placed = placed.withColumn("__change", F.when(F.coalesce(same, F.row_number().over(inside) == 1), 0).otherwise(1).cast("long"))
+    ranges = placed.groupBy("__range").agg(F.min_by("conv_id", "__at").alias("first"), F.max_by("conv_id", "__at").alias("last"), F.sum("__change").alias("n"))
+    along = Window.orderBy("__range")
+    opens = F.when(F.lag("last").over(along) == F.col("first"), 0).otherwise(1)
+    ranges = ranges.withColumn("opens", opens).withColumn("before", F.sum(F.col("n") + F.col("opens")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    counted = placed.withColumn("__inside", F.sum("__change").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = counted.join(ranges.select("__range", "before"), "__range")
+    return out.withColumn("run_id", F.col("before") + F.col("__inside")).select(*turns.columns, "run_id")
 
 
 def _joined(line: Column, order: Column, sep: str) -> Column:

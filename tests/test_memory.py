@@ -159,6 +159,20 @@ def test_runs_digests_and_sample(spark):
     assert {r["conv_id"]: r["digest"] for r in H.updated_ledger(ledger, convs).collect()}["x"] == got["x", 3]["digest"]
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_runs_over_ranges_equal_a_plain_scan(spark, partitions):
+    rng = random.Random(1)
+    convs = [rng.choice("ab") for _ in range(300)]
+    turns = spark.createDataFrame(list(enumerate(convs)), "src_ord long, conv_id string").repartition(partitions)
+    n, want = 0, {}
+    for i, c in enumerate(convs):
+        n += i == 0 or c != convs[i - 1]
+        want[i] = n
+    assert {r["src_ord"]: r["run_id"] for r in H.runs(turns).collect()} == want
+    scoped = H.runs(turns.withColumn("file", F.col("src_ord") >= 150), ("file",)).collect()
+    assert max(r["run_id"] for r in scoped if not r["file"]) == want[149]
+
+
 def test_removal_leaves_no_references(spark):
     n = frame(spark, [node("identity", 0, "a", "x", refs=["t1"]), node("identity", 1, "b", "y", superseded_by="a", parent_id="c"), node("identity", 2, "c", "z", parent_id="a")])
     gone = spark.createDataFrame([("a",)], "id string")
