@@ -8,8 +8,11 @@ first that has them (``keep_first``), so that no content is lost.
 
 Only hashes are shuffled for counting.  Texts of lines are gathered for those leaves alone that
 hold several lines and enough documents; a bitmap of fixed size tells most of these before any
-shuffle.  A leaf with more than ``leaf_lines`` distinct lines is divided by further leading tokens,
-and one that is still larger has its lines as templates of their own: so no task gets an unbounded group.
+shuffle.  A leaf of up to ``block`` distinct lines is grouped in one task.  A larger one is grouped in rounds with
+the same result: the first ``block`` lines that are left give their leaders, all lines that are left are dealt into
+groups of about ``block`` and matched with these, and what matches none goes into the next round.  So no task gets
+an unbounded group, and every line is compared with all leaders before it.  Only a caller who sets ``leaf_lines``
+has larger leaves divided by further leading tokens, and lines of those that are still larger left ungrouped.
 
 Defined cases: a null text stays null and has no lines; lines of fewer than ``min_tokens`` tokens always stay;
 a text may become empty; equal rows (id and text) count once and have the same result; an empty
@@ -25,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, map_batches, materialize, new_table_path, text_bytes
@@ -44,7 +47,10 @@ class TemplateParams:
     deep: int = 8
     #: Share of positions that agree in one template.
     similarity: float = 0.8
-    leaf_lines: int = 2000
+    #: Distinct lines of a leaf that a task groups at once.
+    block: int = 2000
+    #: A cap on a leaf's distinct lines that cuts groups short; None: leaves stay whole.
+    leaf_lines: int | None = None
     bitmap_bits: int = 22
 
 
@@ -134,6 +140,75 @@ def group_variants(lines: list[str], similarity: float) -> list[int]:
     return leader.tolist()
 
 
+def match_leaders(leaders: list[str], lines: list[str], similarity: float) -> list[int]:
+    """For each line the index of the first leader that it is a variant of, or -1."""
+    codes: dict[str, int] = {}
+    heads, rows = (np.array([[codes.setdefault(t, len(codes)) for t in x.split(" ")] for x in part], np.int32) for part in (leaders, lines))
+    found, left = np.full(len(lines), -1), np.arange(len(lines))
+    for i, head in enumerate(heads):
+        if not len(left):
+            break
+        # a leader is its own, at any similarity
+        share = (rows[left] == head).mean(1)
+        same = (share >= similarity) | (share == 1)
+        found[left[same]] = i
+        left = left[~same]
+    return found.tolist()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
+    """Runs of sorted rows that are equal in their first ``n_keys`` columns."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[:n_keys] != rows[0][:n_keys]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def large_templates(found: DataFrame, p: TemplateParams) -> DataFrame:
+    """``h1, h2, t1, t2`` as of ``group_variants``, for leaves of any size; ``found`` has ``leaf, k, s, h1, h2``."""
+    spark = found.sparkSession
+    out = spark.createDataFrame([], "h1 long, h2 long, t1 long, t2 long")
+    left = materialize(found.select("leaf", "k", "s", "h1", "h2"), "line-left")
+    order = Window.partitionBy("leaf").orderBy("s", "h1", "h2")
+    n_parts = F.ceil(F.col("k") / p.block).cast("int")
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 1):
+            at = group_variants([r[2] for r in rows], p.similarity)
+            yield pa.RecordBatch.from_pylist([dict(zip(("leaf", "k", "s", "h1", "h2"), rows[i])) for i in sorted(set(at))], lead_schema)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 2):
+            leaders, lines = [r for r in rows if r[2] == 0], [r for r in rows if r[2] == 1]
+            if lines:
+                columns = [list(c) for c in zip(*(r[3:] for r in lines))]
+                at = match_leaders([r[4] for r in leaders], columns[1], p.similarity)
+                t = [pa.array([leaders[i][c] if i >= 0 else None for i in at], pa.int64()) for c in (5, 6)]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                leaf = pa.array([r[0] for r in lines], pa.int64())
+                yield pa.RecordBatch.from_arrays([leaf, *map(pa.array, columns, kinds), *t], names=["leaf", "k", "s", "h1", "h2", "t1", "t2"])
+
+    lead_schema = pa.schema([("leaf", pa.int64()), ("k", pa.int64()), ("s", pa.string()), ("h1", pa.int64()), ("h2", pa.int64())])
+    while not left.isEmpty():
+        heads = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= p.block).select("leaf", "k", "s", "h1", "h2")
+        heads = heads.repartition("leaf").sortWithinPartitions("leaf", "s", "h1", "h2")
+        leaders = materialize(heads.mapInArrow(lead, "leaf long, k long, s string, h1 long, h2 long"), "line-leaders")
+        every = F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part")
+        dealt = leaders.select("leaf", every, F.lit(0).alias("kind"), "k", "s", "h1", "h2")
+        part = F.pmod(F.xxhash64("h1", "h2"), n_parts).cast("int").alias("part")
+        dealt = dealt.unionByName(left.select("leaf", part, F.lit(1).alias("kind"), "k", "s", "h1", "h2"))
+        dealt = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind", "s", "h1", "h2")
+        named = materialize(dealt.mapInArrow(match, "leaf long, k long, s string, h1 long, h2 long, t1 long, t2 long"), "line-matched")
+        out = out.unionByName(named.where("t1 is not null and (h1 != t1 or h2 != t2)").select("h1", "h2", "t1", "t2"))
+        left = named.where("t1 is null").select("leaf", "k", "s", "h1", "h2")
+    return out
+
+
 def busy_leaves(lines: DataFrame, p: TemplateParams) -> DataFrame:
     """``leaf, k``: leaves that enough lines reach for a template to recur, and their numbers of distinct lines."""
     distinct = lines.groupBy("leaf", "h1", "h2").agg(F.count("*").alias("n"))
@@ -156,12 +231,13 @@ def templates(docs: DataFrame, leaves: DataFrame, p: TemplateParams, id_col: str
     found = _texts_of(docs, np.packbits(bits).tobytes(), p, id_col, text_col)
     found = found.join(leaves, "leaf").dropDuplicates(["h1", "h2"])
     found = materialize(found, "line-texts")
-    small = found.where(F.col("k") <= p.leaf_lines).withColumn("g", F.col("leaf"))
-    large = found.where(F.col("k") > p.leaf_lines)
-    deep = materialize(large.groupBy("deep").agg(F.count("*").alias("kd")).where((F.col("kd") > 1) & (F.col("kd") <= p.leaf_lines)), "line-deep")
-    large = large.join(deep, "deep").withColumn("g", F.col("deep"))
     columns = ["g", "s", "h1", "h2"]
-    both = small.select(columns).unionByName(large.select(columns))
+    most = p.block if p.leaf_lines is None else p.leaf_lines
+    both = found.where(F.col("k") <= most).withColumn("g", F.col("leaf")).select(columns)
+    large = found.where(F.col("k") > most)
+    if p.leaf_lines is not None:
+        deep = materialize(large.groupBy("deep").agg(F.count("*").alias("kd")).where((F.col("kd") > 1) & (F.col("kd") <= most)), "line-deep")
+        both = both.unionByName(large.join(deep, "deep").withColumn("g", F.col("deep")).select(columns))
     # groups are small and many: they follow each other in a partition's order, without a frame for each
     sorted_groups = both.repartition("g").sortWithinPartitions(*columns)
 
@@ -194,7 +270,8 @@ def templates(docs: DataFrame, leaves: DataFrame, p: TemplateParams, id_col: str
             close(rows)
             yield taken()
 
-    return materialize(sorted_groups.mapInArrow(lead, schema), "line-templates")
+    named = materialize(sorted_groups.mapInArrow(lead, schema), "line-templates")
+    return named if p.leaf_lines is not None else named.unionByName(large_templates(large, p))
 
 
 def recurring_lines(docs: DataFrame, p: TemplateParams = TemplateParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
