@@ -39,7 +39,7 @@ WILDCARD = b"<*>"
 
 @dataclass(frozen=True)
 class TemplateParams:
-    min_docs: int = 3
+    min_docs: int = 2
     min_tokens: int = 3
     keep_first: bool = True
     #: Leading tokens in the tree, and in leaves that are divided.

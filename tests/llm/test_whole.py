@@ -34,3 +34,10 @@ def test_leaves_in_rounds_equal_plain_templates(spark, block):
     got = Counter((r["doc_id"], r["was"], r["text"]) for r in N.drop_recurring(docs.withColumn("was", F.col("text")), p).collect())
     assert got == Counter({(i, t, x): 1 for (i, t), x in want.items()})
     assert any(t != x for (_, t), x in want.items())
+
+
+def test_long_lines_of_two_documents_go_from_the_second(spark):
+    shared = prose(77, 60)
+    rows = [(i, prose(i, 40) + "\n" + (shared if i in (3, 8) else prose(100 + i, 60)), "en", "s") for i in range(12)]
+    got = N.drop_recurring(spark.createDataFrame(doc_rows(rows), DOCS), counts=True).where("n_dropped > 0").collect()
+    assert [(r["doc_id"], r["n_dropped"], r["text"]) for r in got] == [(8, 1, prose(8, 40))]
