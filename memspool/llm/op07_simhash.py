@@ -37,18 +37,26 @@ SEED, BITS, MOST = 42, 3, 4096
 BLOCK = 1024
 
 
-def fingerprint(raw: bytes, words: int = 3) -> int:
-    """The fingerprint of a text in UTF-8, as a signed 64-bit integer."""
+def shingles(raw: bytes, words: int) -> np.ndarray:
+    """Hashes of the word shingles of a text in UTF-8; a shorter text is one shingle, one without words none."""
     tokens = raw.lower().split()  # of bytes: A-Z only, and the six ASCII spaces
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     k = max(1, len(tokens) - words + 1)
     stops = ends[words - 1 :] - 1 if len(tokens) > words else ends[-1:] - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:k].tolist(), stops.tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:k].tolist(), stops.tolist())], np.uint64)
+
+
+def fingerprint(raw: bytes, words: int = 3) -> int:
+    """The fingerprint of a text in UTF-8, as a signed 64-bit integer."""
+    h = shingles(raw, words)
+    k = len(h)
+    if not k:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, k, 4096):  # bounded memory for long texts
         counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -110,27 +118,11 @@ def _forest(a: np.ndarray, b: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links between different fingerprints, enough to connect all that are linked.
+def deal(many: DataFrame, block: int) -> DataFrame:
+    """``cell, own, fp, part, kind, i, j``: rows of dense cells (``cell, own, fp, n_own, n_up``) in pairs of blocks.
 
-    ``fps`` has one row for each fingerprint.  ``bits`` up to 3.
+    Own rows meet own rows (kind 0) and all others (kind 1), which don't meet each other.
     """
-    if bits > 3:
-        raise ValueError("the halves of the grid hold for up to 3 differing bits")
-    cells = grid_cells(fps)
-    # nearly all cells one step up hold nobody: they go first
-    used = cells.where("own").select(F.col("cell").alias("used")).distinct()
-    cells = materialize(cells.join(used, F.col("cell") == F.col("used"), "left_semi"), "simhash-cells")
-    counts = cells.groupBy("cell").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_up"))
-    counts = counts.where(F.col("n_own") + F.col("n_up") > 1)
-    busy = materialize(cells.join(counts, "cell"), "simhash-busy")
-    pairs = F.col("n_own") * (F.col("n_own") + F.col("n_up"))
-    few, many = busy.where(pairs <= most), busy.where(pairs > most)
-    x = few.where("own").select("cell", F.col("fp").alias("a"))
-    y = few.select("cell", F.col("fp").alias("b"), F.col("own").alias("b_own"))
-    # in one cell a pair counts once; from the cell below it comes from one side only
-    found = x.join(y, "cell").where((F.col("a") != F.col("b")) & (~F.col("b_own") | (F.col("a") < F.col("b"))))
-    found = found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
 
     def blocks(n: str) -> Column:
         return F.ceil(F.col(n) / block).cast("int")
@@ -152,7 +144,32 @@ def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK
         lambda i: F.struct(F.lit(1).alias("kind"), i.cast("int").alias("i"), F.col("part").alias("j")),
     )
     tasks = F.when(F.col("own"), F.concat(own_own, own_up)).otherwise(up_own)
-    dealt = dealt.select("cell", "own", "fp", "part", F.explode(tasks).alias("t")).select("cell", "own", "fp", "part", "t.kind", "t.i", "t.j")
+    return dealt.select("cell", "own", "fp", "part", F.explode(tasks).alias("t")).select("cell", "own", "fp", "part", "t.kind", "t.i", "t.j")
+
+
+def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links between different fingerprints, enough to connect all that are linked.
+
+    ``fps`` has one row for each fingerprint.  ``bits`` up to 3.
+    """
+    if bits > 3:
+        raise ValueError("the halves of the grid hold for up to 3 differing bits")
+    cells = grid_cells(fps)
+    # nearly all cells one step up hold nobody: they go first
+    used = cells.where("own").select(F.col("cell").alias("used")).distinct()
+    cells = materialize(cells.join(used, F.col("cell") == F.col("used"), "left_semi"), "simhash-cells")
+    counts = cells.groupBy("cell").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_up"))
+    counts = counts.where(F.col("n_own") + F.col("n_up") > 1)
+    busy = materialize(cells.join(counts, "cell"), "simhash-busy")
+    pairs = F.col("n_own") * (F.col("n_own") + F.col("n_up"))
+    few, many = busy.where(pairs <= most), busy.where(pairs > most)
+    x = few.where("own").select("cell", F.col("fp").alias("a"))
+    y = few.select("cell", F.col("fp").alias("b"), F.col("own").alias("b_own"))
+    # in one cell a pair counts once; from the cell below it comes from one side only
+    found = x.join(y, "cell").where((F.col("a") != F.col("b")) & (~F.col("b_own") | (F.col("a") < F.col("b"))))
+    found = found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
+
+    dealt = deal(many, block)
 
     def join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, own, part = pdf["fp"].to_numpy(), pdf["own"].to_numpy(bool), pdf["part"].to_numpy()
@@ -210,7 +227,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash-docs")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-fps")
-    groups = connected_components(links(fps.select("fp"), bits))
+    return name_groups(rows, fps, connected_components(links(fps.select("fp"), bits)))
+
+
+def name_groups(rows: DataFrame, fps: DataFrame, groups: DataFrame) -> DataFrame:
+    """``doc_id, key, fp, group, component_id`` of ``rows``, from ``fp, least_id`` and the components of ``fp``."""
     named = fps.join(groups, fps["fp"] == groups["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("group"))
     named = materialize(named, "simhash-groups")
     heads = materialize(named.groupBy("group").agg(F.min("least_id").alias("component_id")), "simhash-heads")
@@ -223,7 +244,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows with that id, the one with the smallest hash of id and text stays.
     """
-    found = near_duplicates(docs, id_col, text_col, words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, words, bits), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of ``docs``, whose groups are named as by ``near_duplicates``."""
+    found = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     heads = found.groupBy("group", "key").agg(F.count("*").alias("n"))
     keep = materialize(heads.groupBy("group").agg(F.min_by(F.col("n"), F.col("key")).alias("n"), F.min("key").alias("__keep")), "simhash-keep")
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))

@@ -1,11 +1,14 @@
 """Work that was once cut short by a cap or a threshold."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from memspool.llm import near_copies
 from memspool.llm import op04_lines as N
 
 from .conftest import DOCS, doc_rows, prose
@@ -41,3 +44,70 @@ def test_long_lines_of_two_documents_go_from_the_second(spark):
     rows = [(i, prose(i, 40) + "\n" + (shared if i in (3, 8) else prose(100 + i, 60)), "en", "s") for i in range(12)]
     got = N.drop_recurring(spark.createDataFrame(doc_rows(rows), DOCS), counts=True).where("n_dropped > 0").collect()
     assert [(r["doc_id"], r["n_dropped"], r["text"]) for r in got] == [(8, 1, prose(8, 40))]
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if (w := (t or "").lower().split()) else set() for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def near_rows():
+    """Copies with one to eight words of 200 changed, a chain, a large group, and prose."""
+    rows = [(i, prose(i, 200), "en", "s") for i in range(20)]
+    for i in range(20):
+        w = prose(i, 200).split()
+        for n in range(i % 8 + 1):
+            w[20 + 22 * n] = "edited"
+        rows.append((100 + i, " ".join(w), "en", "s"))
+    base = prose(50, 150).split()
+    rows += [(200 + k, " ".join(["Other"] * k + base[k:]), "en", "s") for k in range(0, 90, 6)]
+    rng = random.Random(3)
+    hot = prose(60, 100).split()
+    for k in range(60):
+        w = list(hot)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(100)] = f"x{k}"
+        rows.append((300 + k, " ".join(w), "en", "s"))
+    return rows
+
+
+@pytest.mark.parametrize(("source", "few", "block"), [("near", 32, 256), ("near", 4, 5), ("documents", 32, 256), ("nasty", 32, 256)])
+def test_near_copies_equal_brute_force(request, tables, spark, source, few, block):
+    if source == "near":
+        docs = spark.createDataFrame(doc_rows(near_rows()), DOCS)
+    else:
+        docs = tables["documents"] if source == "documents" else request.getfixturevalue("nasty")
+    rows = texts(docs)
+    group = {t: t for _, t in rows}
+    names = list(group)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", plain_lower(t or ""))) else set() for t in names]
+    at = list(range(len(names)))
+    for i in range(len(names)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if at[i] != at[j] and (not both or len(sets[i] & sets[j]) >= 0.8 * both):
+                at = [at[j] if x == at[i] else x for x in at]
+    group = dict(zip(names, at))
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[group[t]] = min(least.get(group[t], i), i)
+    got = Counter((r["doc_id"], r["component_id"]) for r in near_copies.near_copies(docs, few=few, block=block).collect())
+    assert got == Counter((i, least.get(group[t])) for i, t in rows)
+
+
+def plain_lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def test_pipeline_drops_edited_near_copies(spark, sf_dir):
+    """Two changed words of 200: Jaccard over 0.9 on five words, more than 3 bits of a SimHash apart."""
+    rows = near_rows()[:40]
+    near = [i for i in range(20) if jaccard(rows[i][1], rows[20 + i][1]) >= 0.8]
+    assert len(near) > 5
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(doc_rows(rows), DOCS), sf_dir).collect()}
+    assert kept == {r[0] for r in rows} - {100 + i for i in near}
+
+
+def test_near_copies_of_nothing(nothing):
+    assert near_copies.deduplicate(nothing).count() == 0
