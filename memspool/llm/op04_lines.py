@@ -1,6 +1,7 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line's tokens are masked where they hold digits, and the line goes down a tree: by its number
+A line's tokens are masked where they hold digits (not in lines of one or two tokens, which would be nothing but
+wildcards), and the line goes down a tree: by its number
 of tokens, then by its leading tokens.  In a leaf, lines that agree in most positions are
 variants of one template, whose differing tokens are variable fields (He et al., 2017).  Templates
 that recur in ``min_docs`` documents are dropped: their lines go from every document but the
@@ -14,7 +15,7 @@ groups of about ``block`` and matched with these, and what matches none goes int
 an unbounded group, and every line is compared with all leaders before it.  Only a caller who sets ``leaf_lines``
 has larger leaves divided by further leading tokens, and lines of those that are still larger left ungrouped.
 
-Defined cases: a null text stays null and has no lines; lines of fewer than ``min_tokens`` tokens always stay;
+Defined cases: a null text stays null and has no lines; blank lines always stay;
 a text may become empty; equal rows (id and text) count once and have the same result; an empty
 table gives an empty result.  ``drop_recurring`` returns all columns of ``docs``.
 """
@@ -40,7 +41,9 @@ WILDCARD = b"<*>"
 @dataclass(frozen=True)
 class TemplateParams:
     min_docs: int = 2
-    min_tokens: int = 3
+    min_tokens: int = 1
+    #: Lines of up to so many tokens are templates as they are, digits and all.
+    exact_tokens: int = 2
     keep_first: bool = True
     #: Leading tokens in the tree, and in leaves that are divided.
     depth: int = 3
@@ -58,10 +61,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def masked_tokens(line: bytes, digits: bool = True) -> list[bytes]:
-    """The tokens of a line, those with digits as wildcards; ``digits`` False: it has none."""
+def masked_tokens(line: bytes, digits: bool = True, exact: int = 0) -> list[bytes]:
+    """The tokens of a line, those with digits as wildcards; ``digits`` False: it has none; up to ``exact`` tokens stay."""
     tokens, search = line.split(), _DIGIT.search
-    return [WILDCARD if search(t) else t for t in tokens] if digits and search(line) else tokens
+    return [WILDCARD if search(t) else t for t in tokens] if digits and len(tokens) > exact and search(line) else tokens
 
 
 def leaf_of(tokens: list[bytes], depth: int) -> int:
@@ -87,7 +90,7 @@ def _lines(docs: DataFrame, p: TemplateParams, id_col: str, text_col: str) -> Da
         for key, doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
             digits = raw is not None and _DIGIT.search(raw) is not None
             for n, line in enumerate((raw or b"").split(b"\n")):
-                tokens = masked_tokens(line, digits)
+                tokens = masked_tokens(line, digits, p.exact_tokens)
                 if len(tokens) >= p.min_tokens:
                     for column, value in zip(out, (key, doc_id, n, leaf_of(tokens, p.depth), *_identity(tokens))):
                         column.append(value)
@@ -110,7 +113,7 @@ def _texts_of(docs: DataFrame, bitmap: bytes, p: TemplateParams, id_col: str, te
             for raw in text_bytes(batch.column(2)):
                 digits = raw is not None and _DIGIT.search(raw) is not None
                 for line in (raw or b"").split(b"\n"):
-                    tokens = masked_tokens(line, digits)
+                    tokens = masked_tokens(line, digits, p.exact_tokens)
                     if len(tokens) < p.min_tokens or len(tokens) <= p.depth:
                         continue
                     leaf = leaf_of(tokens, p.depth)

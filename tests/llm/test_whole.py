@@ -111,3 +111,9 @@ def test_pipeline_drops_edited_near_copies(spark, sf_dir):
 
 def test_near_copies_of_nothing(nothing):
     assert near_copies.deduplicate(nothing).count() == 0
+
+
+def test_short_lines_recur_too(spark):
+    rows = [(i, f"{prose(i, 40)}\nRead more\n\nLes.\n{i} {i}\n{i}", "en", "s") for i in range(6)]
+    got = {r["doc_id"]: r["text"] for r in N.drop_recurring(spark.createDataFrame(doc_rows(rows), DOCS)).collect()}
+    assert got == {0: rows[0][1]} | {i: f"{prose(i, 40)}\n\n{i} {i}\n{i}" for i in range(1, 6)}
