@@ -1,10 +1,19 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at its block-level tags.  The first pass labels each block by
-link density, stop-word density and length, and by the element that holds it: good, bad, or ambiguous.
-In the second pass an ambiguous block takes the label of its nearest decided
-neighbours.  A page's ``article`` or ``main`` element is a region of its own: votes don't cross
-its edge, and where nothing in it is decided its blocks stay.
+A page is cut into blocks at its block-level tags.  The first pass labels each block by link density,
+stop-word density and length: good, bad, or ambiguous.  In the second pass an ambiguous block takes the label of
+its nearest decided neighbours.
+
+Elements and class names are evidence that moves a label by one step, not verdicts.  A *section* is an
+``article`` or ``main``, or what an element such as ``nav`` or ``footer``, or a class, id or role such as ``sidebar``, marks as page furniture.
+In furniture a good block becomes ambiguous (with a weak word such as ``related``: unless it is long) and an ambiguous one bad;
+in an article a long block that lacks stop words becomes ambiguous.  Where most of the good text lies in articles, good
+blocks outside become ambiguous.  Neighbours are looked for within the block's own section; where nothing in it is decided, an article's blocks are good
+and all others bad.  Where a page has no article and no good block, but a
+long one in a section that a name marked, that name was wrong, and the passes run again without it.
+
+Names in parts (``top-menu``, ``commentList``) are evidence only if each part is furniture or says nothing
+(``list``, ``box``): ``side-effects`` and ``search-results`` are none.
 
 Defined cases: null, empty or textless html gives an empty text; tags that are never closed end
 with their parents; comments, scripts and tags that break off at the end of the page are markup;
@@ -31,7 +40,7 @@ STOP_WORDS = frozenset(
     "der die das und ist nicht von mit den dem ein eine zu im für auf sich des auch als es an werden aus er hat dass sie nach bei "
     "el los las y del por con para una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre".split()
 )
-#: Elements whose content is never main text, and those without any text of their own.
+#: Elements that hold page furniture, and those without any text of their own.
 SKIPPED = frozenset("nav footer aside form button select textarea dialog menu iframe object canvas svg head title label fieldset".split())
 RAW = "script|style|noscript|template|textarea|title|svg|iframe"
 #: Elements that stay within a line.
@@ -40,11 +49,14 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 REGIONS = frozenset(("article", "main"))
-#: Words of class, id and role values that mark page furniture.
+#: Words of class, id and role values that mark page furniture, those that do so less surely, and those that say nothing.
 FURNITURE = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar side aside complementary contentinfo banner ad ads adv advert advertisement sponsor sponsored "
-    "promo notice cookie cookies consent alert popup modal overlay newsletter subscribe signup login form search comment comments disqus respond reply "
-    "replies share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget copyright legal disclaimer".split()
+    "nav navbar navigation menu masthead footer sidebar aside complementary contentinfo ad ads adv advert advertisement sponsor sponsored promo cookie cookies consent popup modal "
+    "newsletter subscribe signup login comment comments disqus respond reply replies breadcrumb breadcrumbs pagination pager disclaimer".split()
+)
+WEAK = frozenset("header side banner notice alert overlay form search share sharing social related recommended toolbar widget copyright legal".split())
+NEUTRAL = frozenset(
+    "site page main top bottom left right list item items box wrap wrapper container block section area inner outer body bar links link group row col column slot unit text post posts article articles primary secondary global".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -64,40 +76,53 @@ class BlockRules:
     long_chars: int = 200
     stop_low: float = 0.12
     stop_high: float = 0.28
+    #: Whether elements and names are evidence.
+    hints: bool = True
+
+
+#: What a section is: furniture by its element, by its name, perhaps furniture, nothing, an article.
+BY_ELEMENT, BY_NAME, PERHAPS, PLAIN, ARTICLE = range(5)
 
 
 @dataclass
 class Block:
     text: str
     link_chars: int
-    region: int  # 0 outside of article and main, else the number of the region
-    furniture: bool
+    section: int  # 0 outside of all sections
+    kind: int
     heading: bool
     good: bool | None = None
 
 
-def _furniture(attributes: str) -> bool:
+def _named(attributes: str) -> int:
+    """What the class, id and role of an element say of it."""
+    found = PLAIN
     for m in _HINT.finditer(attributes):
-        for part in _PART.findall(m[1] or m[2] or m[3] or ""):
-            if part.lower() in FURNITURE:
-                return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = {x.lower() for x in _PART.findall(name)} - NEUTRAL
+            if parts and parts <= FURNITURE:
+                return BY_NAME
+            if parts and parts <= FURNITURE | WEAK:
+                found = PERHAPS
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, within furniture, region
+    stack: list[tuple[str, int, int]] = []  # element, section, what that is
     held: list[str] = []
     links = state = 0  # characters within links; depth of links
-    heading, regions = False, 0
+    heading, sections = False, 0
+
+    def within() -> tuple[int, int]:
+        return stack[-1][1:] if stack else (0, PLAIN)
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html_lib.unescape("".join(held)).split())
         if text:
-            _, off, region = stack[-1] if stack else ("", False, 0)
-            out.append(Block(text, links, region, off, heading))
+            out.append(Block(text, links, *within(), heading))
         held.clear()
         links = 0
 
@@ -129,77 +154,95 @@ def blocks(page: str) -> list[Block]:
             heading = not closing
         elif name == "p" or name in VOID:
             heading = False
-        if name in VOID or name in HEADINGS or name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            # these may stay open without an end tag, so they hold no state of their own
-            if not closing and stack and _furniture(m[4] or m[7] or "") and name not in VOID:
-                stack.append((name, True, stack[-1][2]))
-            elif closing and stack and stack[-1][0] == name:
-                stack.pop()
+        # these may stay open without an end tag: they are on the stack only where their names say something
+        open_ended = name in HEADINGS or name in ("p", "li", "dt", "dd", "tr", "td", "th", "option")
+        if name in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+            for i in range(len(stack) - 1, -1 if not open_ended else len(stack) - 2, -1):
+                if i >= 0 and stack[i][0] == name:
                     del stack[i:]
                     break
             continue
-        _, off, region = stack[-1] if stack else ("", False, 0)
         if name in REGIONS or name == "body":
             while stack and stack[-1][0] in ("head", "nav", "ul", "ol", "menu"):
                 stack.pop()  # left open
-            _, off, region = stack[-1] if stack else ("", False, 0)
-        if name in REGIONS and not off:
-            regions += 1
-            region = regions
-        hidden = name in SKIPPED or (name == "header" and not region) or (name not in ("html", "body", *REGIONS) and _furniture(m[4] or m[7] or ""))
-        if name in REGIONS and _furniture(m[4] or m[7] or ""):
-            hidden = True
-        stack.append((name, off or hidden, region))
+        section, kind = within()
+        own = PLAIN if name in ("html", "body") else _named(m[4] or m[7] or "")
+        if name in SKIPPED or (name == "header" and kind != ARTICLE):
+            own = BY_ELEMENT
+        elif name in REGIONS and own == PLAIN:
+            own = ARTICLE
+        if open_ended and own == PLAIN:
+            continue
+        # furniture within an article is a section of its own; an article within furniture is not
+        if own != PLAIN and (own < kind or kind == PLAIN or own == kind == ARTICLE):
+            sections += 1
+            section, kind = sections, own
+        stack.append((name, section, kind))
     add(page[at:])
     flush()
     return out
 
 
+def first_pass(b: Block, rules: BlockRules, kind: int) -> bool | None:
+    """The label of a block by itself, where ``kind`` is its section's."""
+    n = len(b.text)
+    words = _WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if b.link_chars / n > rules.max_link_density:
+        return False
+    if n < rules.short_chars or b.heading:
+        good = None
+    elif stops >= rules.stop_high or (stops >= rules.stop_low and n >= rules.long_chars):
+        good = True
+    elif stops >= rules.stop_low:
+        good = None
+    else:
+        good = None if kind == ARTICLE or n < rules.long_chars else False
+    if kind <= BY_NAME or (kind == PERHAPS and n < rules.long_chars):
+        good = None if good else False
+    return good
+
+
 def label_blocks(found: list[Block], rules: BlockRules = BlockRules()) -> None:
     """Both passes; sets ``good`` of each block."""
-    for b in found:
-        if b.furniture:
-            b.good = False
-            continue
-        n = len(b.text)
-        density = b.link_chars / n
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if density > rules.max_link_density:
-            b.good = False
-        elif n < rules.short_chars or b.heading:
-            b.good = None
-        elif stops >= rules.stop_high:
-            b.good = True if n >= rules.short_chars else None
-        elif stops >= rules.stop_low:
-            b.good = True if n >= rules.long_chars else None
-        else:
-            b.good = None if b.region else False
-    # second pass, within a region; page furniture has no vote
-    first = [b.good for b in found]
-    for i, b in enumerate(found):
-        if first[i] is not None:
-            continue
-        near = {}
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(found):
-                if found[j].region == b.region and not found[j].furniture and first[j] is not None:
-                    near[abs(j - i), step] = first[j]
-                    break
-                j += step
-        if not near:
-            b.good = bool(b.region)
-        elif len(set(near.values())) == 1:
-            b.good = next(iter(near.values()))
-        else:
-            (d1, _), (d2, _) = sorted(near)
-            # headings go with what follows; a tie within an article stays
-            b.good = near[min(near)] if d1 != d2 else (near[d1, 1] if b.heading else bool(b.region))
+    kinds = [b.kind if rules.hints else PLAIN for b in found]
+    first = [first_pass(b, rules, k) for b, k in zip(found, kinds)]
+    if not any(first) and ARTICLE not in kinds:
+        long = {b.section for b, k in zip(found, kinds) if k == BY_NAME and len(b.text) >= rules.long_chars and first_pass(b, rules, PLAIN)}
+        kinds = [PLAIN if b.section in long else k for b, k in zip(found, kinds)]
+        first = [first_pass(b, rules, k) for b, k in zip(found, kinds)]
+    where = [b.section if k != PLAIN else 0 for b, k in zip(found, kinds)]
+    inner, outer = (sum(len(b.text) for b, k, f in zip(found, kinds, first) if f and (k == ARTICLE) == x) for x in (True, False))
+    if inner > outer:
+        first = [None if f and k != ARTICLE else f for k, f in zip(kinds, first)]
+    members: dict[int, list[int]] = {}
+    for i, s in enumerate(where):
+        members.setdefault(s, []).append(i)
+    for at in members.values():
+        # the nearest decided blocks before and behind, within the section
+        before, last = [], None
+        for i in at:
+            before.append(last)
+            last = (i, first[i]) if first[i] is not None else last
+        last = None
+        for i, up in zip(reversed(at), reversed(before)):
+            found[i].good = first[i] if first[i] is not None else _inherited(i, up, last, found[i], kinds[i])
+            last = (i, first[i]) if first[i] is not None else last
+
+
+def _inherited(i: int, up: tuple[int, bool] | None, down: tuple[int, bool] | None, b: Block, kind: int) -> bool:
+    """The label of an ambiguous block from the decided ones before (``up``) and behind it."""
+    if up is None or down is None:
+        near = up or down
+        return near[1] if near else kind == ARTICLE
+    if up[1] == down[1]:
+        return up[1]
+    if i - up[0] != down[0] - i:
+        return up[1] if i - up[0] < down[0] - i else down[1]
+    # headings go with what follows; a tie within an article stays
+    return down[1] if b.heading else kind == ARTICLE
 
 
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
