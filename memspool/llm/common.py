@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import drop_table, materialize, new_table_path, shared_dir
@@ -50,18 +50,19 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def training_sample(
-    rows: DataFrame, group: str, id_col: str, per_group: int, keep: list[str]
-) -> DataFrame:
-    """At most ``per_group`` rows of each value of ``group``, spread by a hash of the id.
+def training_sample(rows: DataFrame, group: str, id_col: str, per_group: int, keep: list[str]) -> DataFrame:
+    """The ``per_group`` rows of each value of ``group`` whose ids have the smallest hashes; all rows of a smaller group.
 
-    Each (group, hash bucket) gives the row of the smallest hash, so the sample is
-    the same on every run, the aggregation has a partial side and no group's rows
-    ever meet in a task.  ``group`` must have few values.  Where two rows have one
-    id, both may come.
+    The sample is the same on every run.  A count of each group gives a limit for the hash that somewhat more than
+    ``per_group`` rows pass, and only these are ranked, so no group's rows ever meet in a task.
+    ``group`` must have few values.  Rows of one id have one place: the order of a hash of ``keep`` decides among them, and where
+    a few ids hold most rows of a group, fewer rows than ``per_group`` may come.
     """
+    counts = rows.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
     # a hash other than the one that splits the rows
-    h = F.xxhash64(F.lit("sample"), F.col(id_col))
-    hashed = rows.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(per_group)))
-    chosen = hashed.groupBy(group, "__b").agg(F.min("__h").alias("__h"))
-    return hashed.join(F.broadcast(chosen), [group, "__b", "__h"], "left_semi").select(*keep)
+    hashed = rows.withColumn("__h", F.xxhash64(F.lit("sample"), F.col(id_col)))
+    few = per_group + 8 * per_group**0.5 + 64
+    place = F.shiftrightunsigned("__h", 11) * F.lit(2.0**-53)
+    near = hashed.join(F.broadcast(counts), F.col(group) == F.col("__group")).where(place <= F.lit(few) / F.col("__n"))
+    order = Window.partitionBy(group).orderBy(place, "__h", F.xxhash64(*keep))
+    return near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_group).select(*keep)

@@ -57,7 +57,7 @@ class Featurizer:
     def _codes(self, word: bytes) -> int:
         """Hash of the word, and in the upper half the hash of its shape."""
         surface = zlib.crc32(self.mark.sub(b"", word.lower()))
-        shape = zlib.crc32(self.run.sub(rb"\1", word[:64].translate(self.kind))[:8], 99)
+        shape = zlib.crc32(self.run.sub(rb"\1", word.translate(self.kind)), 99)
         return (shape & 0x7FFFFFFF) << 32 | surface
 
     def __call__(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:

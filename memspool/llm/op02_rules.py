@@ -1,6 +1,7 @@
 """Quality rules: compression bands.
 
-A document is compressed with zstandard as a whole and in fixed chunks.  A ratio
+A document is compressed with zstandard as a whole and in chunks of fixed size, the last of which ends
+with the text, so that every byte is in a chunk (and some in two).  A ratio
 (compressed over raw bytes) that is too low marks repetitive text, one that is too
 high marks incompressible text.  The limits depend on the length, since short
 texts compress worse.  Base statistics of words and lines go with the verdict.
@@ -50,19 +51,17 @@ class _Scorer:
         self.c = zstandard.ZstdCompressor(level=self.bands.level, write_content_size=False)
 
     def ratios(self, raw: bytes) -> tuple[float, int, int]:
-        """Ratio of the whole, number of full chunks, number of chunks out of their band."""
+        """Ratio of the whole, number of chunks, number of chunks out of their band."""
         b = self.bands
         if not raw:
             return 0.0, 0, 0
         size = b.chunk_bytes
         whole = len(self.c.compress(raw)) / len(raw)
-        n = len(raw) // size
-        if n <= 1:  # the whole is the only chunk, and has its own limits
+        if len(raw) <= size:  # the whole is the only chunk, and has its own limits
             return whole, 0, 0
-        bad = 0
-        for i in range(n):
-            r = len(self.c.compress(raw[i * size : (i + 1) * size])) / size
-            bad += not b.chunk_low <= r <= b.chunk_high
+        starts = [*range(0, len(raw) - size, size), len(raw) - size]  # the last one ends with the text
+        ratios = [len(self.c.compress(raw[i : i + size])) / size for i in starts]
+        n, bad = len(ratios), sum(not b.chunk_low <= r <= b.chunk_high for r in ratios)
         return whole, n, bad
 
     def in_bands(self, n_bytes: int, ratio: float, n_chunks: int, bad: int) -> bool:

@@ -139,15 +139,39 @@ def edits(a, b):
 
 def test_automaton_equals_edit_distance():
     rng = random.Random(3)
-    terms = [X.Term("abcab", False, 3.0, 1), X.Term("bcabcabca", False, 2.0, 2), X.Term("cc", False, 1.5, 0), X.Term("acb", True, 1.0)]
+    terms = [X.Term("abcab", False, 3.0, 1), X.Term("bcabcabca", False, 2.0, 2), X.Term("cc", False, 1.5, 0), X.Term("acb", True, 1.0), X.Term("bbacb", True, 0.9, 1)]
     automaton = X.LexiconAutomaton(terms)
-    for _ in range(4000):
+    for _ in range(6000):
         w = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
         hits = [(edits(w, t.text), -t.weight, k) for k, t in enumerate(terms) if not t.stem and edits(w, t.text) <= t.edits]
-        stem = len(w) > 3 and w.startswith("acb")
-        exact = [h for h in hits if h[0] == 0]
-        want = (min(exact)[2], 0) if exact else (3, 0) if stem else (min(hits)[2], min(hits)[0]) if hits else None
-        assert automaton.match(w) == want, w
+        # of stems, by edits and then the one that ends last
+        begun = [(e, -n, -t.weight, k) for k, t in enumerate(terms) if t.stem for n in range(len(w)) if (e := edits(w[:n], t.text)) <= t.edits]
+        ranks = [(min(hits)[0], 0, min(hits)[2])] if hits else []
+        ranks += [(min(begun)[0], 1, min(begun)[3])] if begun else []
+        # exact term, exact stem, misspelled term, misspelled stem
+        best = min(ranks, key=lambda r: ((0, r[1]) if r[0] == 0 else (1, r[1])), default=None)
+        assert automaton.match(w) == (best and (best[2], best[0])), w
+
+
+def test_spans_hold_their_places_where_lower_case_is_longer():
+    m = X.fit([(prose(i, 30) + (" you are a blockhead" if i % 2 else " you are a friend"), i % 2) for i in range(80)])
+    s = X.ToxicityScorer(m)
+    text = "İİİ Blockhead İ BLOCKHEAD"
+    assert [text[a:b] for a, b, *_ in s.spans(text)] == ["Blockhead", "BLOCKHEAD"] and s.strength(text) == s.strength("blockhead")
+
+
+def test_samples_take_all_rows_up_to_their_bound(spark):
+    from memspool.llm.common import training_sample
+
+    rows = spark.range(3000).selectExpr("id", "case when id % 10 = 0 then 'rare' else 'often' end g").repartition(7)
+    got = training_sample(rows, "g", "id", 400, ["id", "g"]).collect()
+    assert sum(r["g"] == "rare" for r in got) == 300 and sum(r["g"] == "often" for r in got) == 400
+    assert sorted(got) == sorted(training_sample(rows.coalesce(1), "g", "id", 400, ["id", "g"]).collect())
+    h = {r["id"]: r["h"] & (1 << 64) - 1 for r in rows.selectExpr("id", "xxhash64('sample', id) h").collect()}
+    often = sorted((h[i], i) for i in range(3000) if i % 10)
+    assert {r["id"] for r in got if r["g"] == "often"} == {i for _, i in often[:400]}
+    assert training_sample(rows.limit(0), "g", "id", 5, ["id"]).count() == 0
+    assert training_sample(rows.withColumn("id", rows["id"] % 3), "g", "id", 400, ["g", "id"]).count() <= 700
 
 
 def test_context_tells_quotation_from_abuse():
