@@ -2,9 +2,9 @@
 
 Documents are dealt by ranges of their ids, so that files follow in ascending order, and encoded
 with a public tokenizer; an end id closes each.  Some million ids make a shard.  Per shard,
-frequent pairs of neighbouring ids are replaced by nonterminals, again and again: a round counts
-all pairs of the shard, takes the most frequent ones as rules, and replaces them from left
-to right.  Pairs never cross the end of a document.  A shard's file holds its rules, the
+frequent pairs of neighbouring ids are replaced by nonterminals, again and again, until no pair occurs
+``least_count`` times: a round counts the pairs of the shard and makes rules of the frequent ones; where
+occurrences overlap, the more frequent pair goes first.  Pairs never cross the end of a document.  A shard's file holds its rules, the
 lengths of their expansions and where each document's symbols begin, so that one
 document is decoded without the rest.
 
@@ -46,10 +46,11 @@ class TokenParams:
     end_id: int = 2
     #: Ids after which a shard ends.
     shard_tokens: int = 2_000_000
-    rounds: int = 4
-    rules_per_round: int = 640
     #: A pair must occur so often in its shard.
     least_count: int = 24
+    #: Limits for grammars that end early; None: they end where no pair is frequent.
+    rounds: int | None = None
+    rules_per_round: int | None = None
     #: Words kept with their ids in a worker's cache.
     cache_words: int = 300_000
 
@@ -131,79 +132,134 @@ def _encoder(path: str, dtype: str, cache_words: int) -> Encoder:
 
 
 def symbol_type(path: str, p: TokenParams) -> tuple[int, str]:
-    """The first nonterminal, and the type of symbols that has room for all."""
+    """The first nonterminal, and the type that has room for all ids."""
     from tokenizers import Tokenizer
 
     first = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), p.end_id + 1)
-    return first, "<u2" if first + p.rounds * p.rules_per_round <= 1 << 16 else "<u4"
+    return first, "<u2" if first <= 1 << 16 else "<u4"
 
 
 # --- grammar ----------------------------------------------------------------------------------------------------------
 
 
-def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent keys, those that occur ``least`` times at least."""
+def _frequent(keys: np.ndarray, most: int | None, least: int) -> np.ndarray:
+    """The keys that occur ``least`` times at least, most frequent first, and of equal counts the smaller key first."""
     keys = np.sort(keys)
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    counts = np.diff(np.append(edge, len(keys)))
+    last = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], np.ones(len(keys[:1]), bool)]))
+    counts = np.diff(last, prepend=-1)
     enough = np.flatnonzero(counts >= least)
-    if len(enough) > most:
-        # by count, and of equal counts the smaller key
-        enough = enough[np.lexsort((keys[edge[enough]], -counts[enough]))[:most]]
-    return keys[edge[enough]]
+    # keys are sorted already
+    return keys[last[enough[np.argsort(-counts[enough], kind="stable")]]][:most]
+
+
+def _ranks(left: np.ndarray, right: np.ndarray, keys: np.ndarray, chosen: np.ndarray, shift: np.unsignedinteger, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs are chosen ones, and the places of these in ``chosen``."""
+    a, b = (chosen >> shift).astype(np.int64), (chosen & chosen.dtype.type((1 << int(shift)) - 1)).astype(np.int64)
+    ls, rs = np.unique(a), np.unique(b)
+    width = len(rs) + 1
+    if (len(ls) + 1) * width <= 1 << 24 and len(chosen) < 1 << 16:
+        # a table by the numbers of the left and right symbols
+        in_left, in_right = np.zeros(top, np.uint16), np.zeros(top, np.uint16)
+        in_left[ls], in_right[rs] = np.arange(1, len(ls) + 1), np.arange(1, width)
+        table = np.zeros((len(ls) + 1) * width, np.uint16)
+        table[in_left[a].astype(np.int64) * width + in_right[b]] = np.arange(1, len(chosen) + 1)
+        cell = in_left[left].astype(np.uint32)
+        cell *= np.uint32(width)
+        cell += in_right[right]
+        found = table[cell]
+        at = np.flatnonzero(found)
+        return at, found[at].astype(np.int32) - 1
+    order = np.argsort(chosen)
+    found = order[np.minimum(np.searchsorted(chosen[order], keys), len(chosen) - 1)]
+    at = np.flatnonzero(chosen[found] == keys)
+    return at, found[at].astype(np.int32)
+
+
+def _disjoint(where: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of occurrences at neighbouring places, those of smaller ranks; in a run of one rank every other one."""
+    won = np.zeros(len(where), bool)
+    touch = np.diff(where) == 1
+    again = np.flatnonzero(touch & (rank[1:] == rank[:-1])) + 1
+    left = np.ones(len(where), bool)
+    if len(again):
+        run = np.flatnonzero(np.diff(again, prepend=-1) != 1)
+        left[again[(np.arange(len(again)) - np.repeat(run, np.diff(np.append(run, len(again))))) % 2 == 0]] = False
+    at = np.flatnonzero(left)
+    while len(at):
+        w, r = where[at], rank[at]
+        touch = np.diff(w) == 1
+        first = r[:-1] <= r[1:]
+        wins = np.ones(len(at), bool)
+        wins[1:] = ~(touch & first)
+        wins[:-1] &= ~(touch & ~first)
+        won[at[wins]] = True
+        # those that touch a winner have lost a symbol
+        left = ~wins
+        left[1:] &= ~(touch & wins[:-1])
+        left[:-1] &= ~(touch & wins[1:])
+        at = at[left]
+    return where[won], rank[won]
 
 
 def compress(symbols: np.ndarray, firsts: np.ndarray, nonterminal: int, p: TokenParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: left and right symbols of the rules, the symbols that remain, and the documents' first ones.
 
-    ``firsts`` has where each document begins, and the end.
+    ``firsts`` has where each document begins, and the end.  Symbols of two bytes become ones of four when rules need them.
     """
-    wide = symbols.dtype.itemsize > 2
-    kind, shift = (np.uint64, np.uint64(32)) if wide else (np.uint32, np.uint32(16))
-    lefts, rights = [], []
-    top = nonterminal
-    for _ in range(p.rounds):
-        if len(symbols) < 2:
-            break
-        keys = symbols[:-1].astype(kind)
-        keys <<= shift
-        keys |= symbols[1:]
-        inside = np.ones(len(keys), bool)
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # a round leaves no occurrence of its rules' pairs, so the next one counts pairs with a new symbol only;
+    # the end is tested over all pairs
+    top, fresh, rounds = nonterminal, 0, 0
+    while len(symbols) > 1 and (p.rounds is None or rounds < p.rounds):
+        kind, shift = (np.uint64, np.uint64(32)) if symbols.dtype.itemsize > 2 else (np.uint32, np.uint32(16))
         ends = firsts[1:-1] - 1  # the last symbol of a document and the first of the next are no pair
-        inside[ends] = False
-        chosen = _frequent(keys[inside], p.rules_per_round, p.least_count)
+        ends = ends[(ends >= 0) & (ends < len(symbols) - 1)]
+        left, right, places = symbols[:-1], symbols[1:], None
+        if fresh:
+            new = symbols >= fresh
+            inside = new[:-1] | new[1:]
+            inside[ends] = False
+            places = np.flatnonzero(inside).astype(np.int32 if len(symbols) < 1 << 31 else np.int64)
+            left, right = left[places], right[places]
+        keys = left.astype(kind)
+        keys <<= shift
+        keys |= right
+        chosen = _frequent(np.delete(keys, ends) if places is None else keys, p.rules_per_round, p.least_count)
         if not len(chosen):
-            break
-        left, right = (chosen >> shift).astype(np.int64), (chosen & kind((1 << int(shift)) - 1)).astype(np.int64)
-        # the number of a pair from a small table of its left and right symbols
-        ls, rs = np.unique(left), np.unique(right)
-        in_left, in_right = np.zeros(top, np.uint16), np.zeros(top, np.uint16)
-        in_left[ls], in_right[rs] = np.arange(1, len(ls) + 1), np.arange(1, len(rs) + 1)
-        table = np.zeros((len(ls) + 1, len(rs) + 1), np.uint16)
-        table[in_left[left], in_right[right]] = np.arange(1, len(chosen) + 1)
-        width = table.shape[1]
-        at = in_left[symbols[:-1]].astype(np.uint32)
-        at *= np.uint32(width)
-        at += in_right[symbols[1:]]
-        rule = table.ravel()[at]
-        rule[ends] = 0
-        where = np.flatnonzero(rule)
-        # of pairs that overlap, every other one from the left
-        steps = np.concatenate([[True], np.diff(where) != 1])
-        run = np.flatnonzero(steps)
-        offset = np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))
-        where = where[offset % 2 == 0]
-        symbols = symbols.copy()
-        symbols[where] = rule[where].astype(symbols.dtype) + symbols.dtype.type(top - 1)
+            if not fresh:
+                break
+            fresh = 0
+            continue
+        at, rank = _ranks(left, right, keys, chosen, shift, top)
+        if places is None:
+            inside = np.ones(len(keys), bool)
+            inside[ends] = False
+            inner = inside[at]
+            at, rank = at[inner], rank[inner]
+        else:
+            at = places[at]
+        where, won = _disjoint(at, rank)
+        uses = np.bincount(won, minlength=len(chosen))
+        # pairs that lost most of their occurrences to others make no rule (the first pair keeps half at least)
+        good = uses >= max(1, p.least_count // 2)
+        if not good.all():
+            still = good[rank]
+            where, won = _disjoint(at[still], (np.cumsum(good, dtype=np.int32) - 1)[rank[still]])
+            chosen = chosen[good]
+        if top + len(chosen) > 1 << 16 and symbols.dtype.itemsize == 2:
+            symbols = symbols.astype("<u4")
+        else:
+            symbols = symbols.copy()
+        symbols[where] = (won + top).astype(symbols.dtype)
         stays = np.ones(len(symbols), bool)
         stays[where + 1] = False
         symbols = symbols[stays]
         firsts = firsts - np.searchsorted(where + 1, firsts, "left")
-        lefts.append(left)
-        rights.append(right)
-        top += len(chosen)
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(lefts), join(rights), symbols, firsts
+        lefts.append((chosen >> shift).astype(np.int64))
+        rights.append((chosen & kind((1 << int(shift)) - 1)).astype(np.int64))
+        fresh = top if p.rules_per_round is None else 0
+        top, rounds = top + len(chosen), rounds + 1
+    return np.concatenate(lefts), np.concatenate(rights), symbols, firsts
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, nonterminal: int) -> np.ndarray:
@@ -216,7 +272,7 @@ def expansion_lengths(left: np.ndarray, right: np.ndarray, nonterminal: int) ->
 def pack_shard(ids: list[int | None], counts: np.ndarray, symbols: np.ndarray, nonterminal: int, p: TokenParams) -> bytes:
     firsts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     left, right, left_over, firsts = compress(symbols, firsts, nonterminal, p)
-    dtype = symbols.dtype
+    dtype = left_over.dtype
     return b"".join([
         struct.pack(_HEAD, MAGIC, len(ids), len(left), nonterminal, dtype.itemsize, len(left_over)),
         np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], "u1").tobytes(),

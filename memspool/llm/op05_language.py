@@ -6,7 +6,7 @@ probabilities are the mean over all of its positions.  The network is trained he
 numpy by backpropagation through time with Adam.
 
 The fit uses a bounded sample: ``per_lang`` documents of each language at most, chosen by a hash
-of the id, and of these windows drawn from the whole texts.  Every document is labelled over its
+of the id, and of these ``text_windows`` windows at most, spread over the whole text.  Every document is labelled over its
 whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any
@@ -38,6 +38,8 @@ class LanguageParams:
     batch: int = 192
     rate: float = 0.02
     seed: int = 5
+    #: Windows of one text in the sample at most, evenly spread over the whole text.
+    text_windows: int = 64
     #: Windows that are labelled together.
     slab: int = 2048
 
@@ -195,12 +197,30 @@ def fit(texts: list[bytes], labels: list[str], p: LanguageParams = LanguageParam
     return m
 
 
+def spread_windows(raw: bytes, p: LanguageParams) -> bytes:
+    """The windows of a text that a sample holds, one after the other."""
+    n = -(-len(raw) // p.window)
+    if n <= p.text_windows:
+        return raw
+    at = [i * (n - 1) // (p.text_windows - 1) * p.window for i in range(p.text_windows)]
+    return b"".join(raw[a : a + p.window] for a in at)
+
+
 def train_language(docs: DataFrame, p: LanguageParams = LanguageParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on a sample of the rows of ``docs`` with a language; give only rows to learn from."""
+    """Fit on a sample of the rows of ``docs`` with a language; give only rows to learn from.
+
+    Windows are cut on the executors, so what the driver gets is bounded in rows and in bytes.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    sample = training_sample(rows.where("lang is not null and id is not null"), "lang", "id", p.per_lang, ["id", "lang", "t"]).where("length(t) > 0").collect()
-    sample = sorted(sample, key=lambda r: (zlib.crc32(b"%d" % r["id"]), r["id"], r["t"]))
-    return fit([r["t"].encode() for r in sample], [r["lang"] for r in sample], p)
+    chosen = training_sample(rows.where("lang is not null and id is not null and length(t) > 0"), "lang", "id", p.per_lang, ["id", "lang", "t"])
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [spread_windows(raw, p) for raw in text_bytes(batch.column(2))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "lang", "w"])
+
+    sample = map_batches(chosen, cut, "id long, lang string, w binary").collect()
+    sample = sorted(sample, key=lambda r: (zlib.crc32(b"%d" % r["id"]), r["id"], bytes(r["w"]), r["lang"]))
+    return fit([bytes(r["w"]) for r in sample], [r["lang"] for r in sample], p)
 
 
 def has_letter(raw: bytes) -> bool:

@@ -124,6 +124,36 @@ def test_first_rules_are_the_most_frequent_pairs():
     assert (left.tolist(), right.tolist(), rest.tolist(), firsts.tolist()) == ([1, 3], [2, 3], [10, 10, 10, 11, 11, 9], [0, 6])
 
 
+def frequent_pairs(symbols, firsts, least):
+    """Pairs within documents that occur ``least`` times, by counting them one by one."""
+    n = Counter(p for a, b in zip(firsts, firsts[1:]) for p in zip(symbols[a:b].tolist(), symbols[a + 1 : b].tolist()))
+    return {p: k for p, k in n.items() if k >= least}
+
+
+@pytest.mark.parametrize(("seed", "least", "dtype"), [(0, 2, "<u2"), (1, 3, "<u4"), (2, 24, "<u2"), (3, 5, "<u2")])
+def test_grammar_ends_where_no_pair_is_frequent(seed, least, dtype):
+    rng = np.random.default_rng(seed)
+    docs = [np.concatenate([rng.choice(12, rng.integers(0, 300), p=[0.5, *[0.5 / 11] * 11]), [2]]).astype(dtype) for _ in range(40)] + [np.full(700, 1, dtype), np.zeros(0, dtype)]
+    firsts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    p = T.TokenParams(least_count=least)
+    left, right, rest, at = T.compress(np.concatenate(docs), firsts, 65_500 if dtype == "<u2" else 12, p)
+    assert len(left) > 20 and not frequent_pairs(rest, at, least)
+    assert len(set(zip(left.tolist(), right.tolist()))) == len(left)
+    if dtype == "<u2" and least == 2:
+        assert rest.dtype == np.dtype("<u4")  # more symbols than two bytes hold
+    s = T.Shard(T.pack_shard(list(range(len(docs))), np.diff(firsts), np.concatenate(docs), 65_500 if dtype == "<u2" else 12, p))
+    assert all((s.document(i) == d).all() for i, d in enumerate(docs))
+
+
+def test_where_pairs_overlap_the_more_frequent_goes_first():
+    x = np.array([5, 1, 2] * 4 + [1, 2] * 3 + [9], "<u2")  # (1, 2) seven times, (5, 1) four times
+    left, right, rest, _ = T.compress(x, np.array([0, len(x)]), 10, T.TokenParams(least_count=4, rounds=1))
+    assert (left.tolist(), right.tolist(), rest.tolist()) == ([1], [2], [5, 10] * 4 + [10] * 3 + [9])
+    where, rank = np.array([3, 4, 5, 6, 10, 11, 12, 20]), np.array([2, 1, 0, 3, 4, 4, 4, 1])
+    got = T._disjoint(where, rank)
+    assert (got[0].tolist(), got[1].tolist()) == ([3, 5, 10, 12, 20], [2, 0, 4, 4, 1])
+
+
 def test_tokens_of_nothing(nothing):
     assert T.encode_corpus(nothing, PATH).count() == 0
 
