@@ -8,12 +8,13 @@ that recur in ``min_docs`` documents are dropped: their lines go from every docu
 first that has them (``keep_first``), so that no content is lost.
 
 Only hashes are shuffled for counting.  Texts of lines are gathered for those leaves alone that
-hold several lines and enough documents; a bitmap of fixed size tells most of these before any
-shuffle.  A leaf of up to ``block`` distinct lines is grouped in one task.  A larger one is grouped in rounds with
-the same result: the first ``block`` lines that are left give their leaders, all lines that are left are dealt into
+hold several lines and enough documents; a bitmap of bounded size tells most of these before any
+shuffle.  A leaf of up to ``block`` distinct lines is grouped in one task.  A larger one is divided without changing
+the result: two variants differ in a share of their positions, so of one block of positions more than that, both have
+one in common (pigeonhole), and lines that no chain of common blocks connects are grouped apart.  A part that
+is still larger is grouped in rounds: the first ``block`` lines that are left give their leaders, all lines that are left are dealt into
 groups of about ``block`` and matched with these, and what matches none goes into the next round.  So no task gets
-an unbounded group, and every line is compared with all leaders before it.  Only a caller who sets ``leaf_lines``
-has larger leaves divided by further leading tokens, and lines of those that are still larger left ungrouped.
+an unbounded group, and every line is compared with all leaders before it that it could be a variant of.
 
 Defined cases: a null text stays null and has no lines; blank lines always stay;
 a text may become empty; equal rows (id and text) count once and have the same result; an empty
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, map_batches, materialize, new_table_path, text_bytes
+from .op07_simhash import connected_components
 
 _DIGIT = re.compile(rb"[0-9]")
 WILDCARD = b"<*>"
@@ -45,16 +47,15 @@ class TemplateParams:
     #: Lines of up to so many tokens are templates as they are, digits and all.
     exact_tokens: int = 2
     keep_first: bool = True
-    #: Leading tokens in the tree, and in leaves that are divided.
+    #: Leading tokens in the tree.
     depth: int = 3
-    deep: int = 8
     #: Share of positions that agree in one template.
     similarity: float = 0.8
     #: Distinct lines of a leaf that a task groups at once.
-    block: int = 2000
-    #: A cap on a leaf's distinct lines that cuts groups short; None: leaves stay whole.
-    leaf_lines: int | None = None
-    bitmap_bits: int = 22
+    block: int = 512
+    #: Bits of the bitmap for each leaf in it, and of the whole bitmap at most (as a power of two: 16 MB); where it is full, more texts are shuffled.
+    leaf_bits: int = 16
+    bitmap_bits: int = 27
 
 
 def _signed(x: int) -> int:
@@ -100,33 +101,41 @@ def _lines(docs: DataFrame, p: TemplateParams, id_col: str, text_col: str) -> Da
     return map_batches(_keyed(docs, id_col, text_col), run, "key long, doc_id long, line int, leaf long, h1 long, h2 long")
 
 
-def _texts_of(docs: DataFrame, bitmap: bytes, p: TemplateParams, id_col: str, text_col: str) -> DataFrame:
-    """``leaf, deep, h1, h2, s`` of the lines whose leaves may be among those of the bitmap."""
-    mask = (1 << p.bitmap_bits) - 1
+def leaf_bitmap(leaves: DataFrame, p: TemplateParams) -> tuple[bytes, int]:
+    """Bits that are set for the leaves, by the lower bits of their hashes, and the mask of these."""
+    n = leaves.count()
+    bits = min(max(15, (p.leaf_bits * n - 1).bit_length()), p.bitmap_bits) if n else 15
+    mask = (1 << bits) - 1
+    word = F.col("leaf").bitwiseAND(F.lit(mask)) + 1  # buckets are counted from 1
+    parts = leaves.groupBy(F.bitmap_bucket_number(word).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(word)).alias("m"))
+    out = bytearray((mask + 1) // 8)
+    for r in parts.toLocalIterator():  # 4 KB each
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
+    return bytes(out), mask
 
-    def prepare() -> Callable:
-        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[] for _ in range(5)]
-            seen: set[tuple[int, int]] = set()
-            for raw in text_bytes(batch.column(2)):
-                digits = raw is not None and _DIGIT.search(raw) is not None
-                for line in (raw or b"").split(b"\n"):
-                    tokens = masked_tokens(line, digits, p.exact_tokens)
-                    if len(tokens) < p.min_tokens or len(tokens) <= p.depth:
-                        continue
-                    leaf = leaf_of(tokens, p.depth)
-                    if bits[leaf & mask] and (h := _identity(tokens)) not in seen:
-                        seen.add(h)
-                        for column, value in zip(out, (leaf, leaf_of(tokens, p.deep), *h, b" ".join(tokens).decode("utf-8", "replace"))):
-                            column.append(value)
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["leaf", "deep", "h1", "h2", "s"])
+def _texts_of(docs: DataFrame, bitmap: bytes, mask: int, p: TemplateParams, id_col: str, text_col: str) -> DataFrame:
+    """``leaf, h1, h2, s`` of the lines whose leaves may be among those of the bitmap."""
 
-        return run
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in range(4)]
+        seen: set[tuple[int, int]] = set()
+        for raw in text_bytes(batch.column(2)):
+            digits = raw is not None and _DIGIT.search(raw) is not None
+            for line in (raw or b"").split(b"\n"):
+                tokens = masked_tokens(line, digits, p.exact_tokens)
+                if len(tokens) < p.min_tokens or len(tokens) <= p.depth:
+                    continue
+                leaf = leaf_of(tokens, p.depth)
+                w = leaf & mask
+                if bitmap[w >> 3] >> (w & 7) & 1 and (h := _identity(tokens)) not in seen:
+                    seen.add(h)
+                    for column, value in zip(out, (leaf, *h, b" ".join(tokens).decode("utf-8", "replace"))):
+                        column.append(value)
+        kinds = [pa.int64()] * 3 + [pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["leaf", "h1", "h2", "s"])
 
-    return map_batches(_keyed(docs, id_col, text_col), None, "leaf long, deep long, h1 long, h2 long, s string", prepare)
+    return map_batches(_keyed(docs, id_col, text_col), run, "leaf long, h1 long, h2 long, s string")
 
 
 def group_variants(lines: list[str], similarity: float) -> list[int]:
@@ -172,18 +181,34 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tup
         yield rows
 
 
+def divided(large: DataFrame, p: TemplateParams) -> DataFrame:
+    """``g, k, s, h1, h2``: lines of large leaves (``leaf, s, h1, h2``) by parts that hold all variants of each other, and the parts' sizes."""
+    tokens, n = F.split("s", " "), F.size(F.split("s", " "))
+    # so many positions of two variants may differ: of one block more than that, one is equal in both
+    blocks = F.floor(n * (1 - p.similarity) + 1e-9).cast("int") + 1
+    cut = lambda i: F.lit(p.depth) + F.floor((n - p.depth) * i / blocks).cast("int")
+    cell = lambda i: F.xxhash64("leaf", i, F.array_join(F.slice(tokens, cut(i) + 1, cut(i + 1) - cut(i)), " "))
+    cells = materialize(large.select(F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), cell)).alias("cell"), "h1"), "line-cells")
+    least = materialize(cells.groupBy("cell").agg(F.min("h1").alias("least")), "line-cells")
+    # a node is half of a line's hash: equal halves can only join parts
+    parts = connected_components(cells.join(least, "cell").select(F.col("h1").alias("a"), F.col("least").alias("b")))
+    named = large.join(parts, large["h1"] == parts["node"], "left").select(F.coalesce("component", "h1").alias("g"), "s", "h1", "h2")
+    named = materialize(named, "line-parts")
+    return named.join(materialize(named.groupBy("g").agg(F.count("*").alias("k")), "line-parts"), "g")
+
+
 def large_templates(found: DataFrame, p: TemplateParams) -> DataFrame:
-    """``h1, h2, t1, t2`` as of ``group_variants``, for leaves of any size; ``found`` has ``leaf, k, s, h1, h2``."""
+    """``h1, h2, t1, t2`` as of ``group_variants``, for groups of any size; ``found`` has ``g, k, s, h1, h2``."""
     spark = found.sparkSession
     out = spark.createDataFrame([], "h1 long, h2 long, t1 long, t2 long")
-    left = materialize(found.select("leaf", "k", "s", "h1", "h2"), "line-left")
-    order = Window.partitionBy("leaf").orderBy("s", "h1", "h2")
+    left = materialize(found.select("g", "k", "s", "h1", "h2"), "line-left")
+    order = Window.partitionBy("g").orderBy("s", "h1", "h2")
     n_parts = F.ceil(F.col("k") / p.block).cast("int")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 1):
             at = group_variants([r[2] for r in rows], p.similarity)
-            yield pa.RecordBatch.from_pylist([dict(zip(("leaf", "k", "s", "h1", "h2"), rows[i])) for i in sorted(set(at))], lead_schema)
+            yield pa.RecordBatch.from_pylist([dict(zip(("g", "k", "s", "h1", "h2"), rows[i])) for i in sorted(set(at))], lead_schema)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 2):
@@ -193,22 +218,22 @@ def large_templates(found: DataFrame, p: TemplateParams) -> DataFrame:
                 at = match_leaders([r[4] for r in leaders], columns[1], p.similarity)
                 t = [pa.array([leaders[i][c] if i >= 0 else None for i in at], pa.int64()) for c in (5, 6)]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                leaf = pa.array([r[0] for r in lines], pa.int64())
-                yield pa.RecordBatch.from_arrays([leaf, *map(pa.array, columns, kinds), *t], names=["leaf", "k", "s", "h1", "h2", "t1", "t2"])
+                group = pa.array([r[0] for r in lines], pa.int64())
+                yield pa.RecordBatch.from_arrays([group, *map(pa.array, columns, kinds), *t], names=["g", "k", "s", "h1", "h2", "t1", "t2"])
 
-    lead_schema = pa.schema([("leaf", pa.int64()), ("k", pa.int64()), ("s", pa.string()), ("h1", pa.int64()), ("h2", pa.int64())])
+    lead_schema = pa.schema([("g", pa.int64()), ("k", pa.int64()), ("s", pa.string()), ("h1", pa.int64()), ("h2", pa.int64())])
     while not left.isEmpty():
-        heads = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= p.block).select("leaf", "k", "s", "h1", "h2")
-        heads = heads.repartition("leaf").sortWithinPartitions("leaf", "s", "h1", "h2")
-        leaders = materialize(heads.mapInArrow(lead, "leaf long, k long, s string, h1 long, h2 long"), "line-leaders")
+        heads = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= p.block).select("g", "k", "s", "h1", "h2")
+        heads = heads.repartition("g").sortWithinPartitions("g", "s", "h1", "h2")
+        leaders = materialize(heads.mapInArrow(lead, "g long, k long, s string, h1 long, h2 long"), "line-leaders")
         every = F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part")
-        dealt = leaders.select("leaf", every, F.lit(0).alias("kind"), "k", "s", "h1", "h2")
+        dealt = leaders.select("g", every, F.lit(0).alias("kind"), "k", "s", "h1", "h2")
         part = F.pmod(F.xxhash64("h1", "h2"), n_parts).cast("int").alias("part")
-        dealt = dealt.unionByName(left.select("leaf", part, F.lit(1).alias("kind"), "k", "s", "h1", "h2"))
-        dealt = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind", "s", "h1", "h2")
-        named = materialize(dealt.mapInArrow(match, "leaf long, k long, s string, h1 long, h2 long, t1 long, t2 long"), "line-matched")
+        dealt = dealt.unionByName(left.select("g", part, F.lit(1).alias("kind"), "k", "s", "h1", "h2"))
+        dealt = dealt.repartition("g", "part").sortWithinPartitions("g", "part", "kind", "s", "h1", "h2")
+        named = materialize(dealt.mapInArrow(match, "g long, k long, s string, h1 long, h2 long, t1 long, t2 long"), "line-matched")
         out = out.unionByName(named.where("t1 is not null and (h1 != t1 or h2 != t2)").select("h1", "h2", "t1", "t2"))
-        left = named.where("t1 is null").select("leaf", "k", "s", "h1", "h2")
+        left = named.where("t1 is null").select("g", "k", "s", "h1", "h2")
     return out
 
 
@@ -223,24 +248,18 @@ def templates(docs: DataFrame, leaves: DataFrame, p: TemplateParams, id_col: str
     """``h1, h2, t1, t2``: for lines that are variants of another, the line that leads their template."""
     spark = docs.sparkSession
     schema = "h1 long, h2 long, t1 long, t2 long"
-    leaves = leaves.where("k > 1")
-    # a bitmap whose size doesn't grow with the data
-    word = F.pmod(F.col("leaf"), F.lit(1 << p.bitmap_bits))
-    bits = np.zeros(1 << p.bitmap_bits, np.uint8)
-    for r in leaves.select(word.cast("int").alias("w")).distinct().toLocalIterator():
-        bits[r["w"]] = 1
-    if not bits.any():
+    leaves = materialize(leaves.where("k > 1"), "line-leaves")
+    if leaves.isEmpty():
         return spark.createDataFrame([], schema)
-    found = _texts_of(docs, np.packbits(bits).tobytes(), p, id_col, text_col)
-    found = found.join(leaves, "leaf").dropDuplicates(["h1", "h2"])
-    found = materialize(found, "line-texts")
+    found = _texts_of(docs, *leaf_bitmap(leaves, p), p, id_col, text_col)
+    # (a row for a line before the join: a hot line is in many pieces of the corpus)
+    found = materialize(found.dropDuplicates(["h1", "h2"]).join(leaves, "leaf"), "line-texts")
     columns = ["g", "s", "h1", "h2"]
-    most = p.block if p.leaf_lines is None else p.leaf_lines
-    both = found.where(F.col("k") <= most).withColumn("g", F.col("leaf")).select(columns)
-    large = found.where(F.col("k") > most)
-    if p.leaf_lines is not None:
-        deep = materialize(large.groupBy("deep").agg(F.count("*").alias("kd")).where((F.col("kd") > 1) & (F.col("kd") <= most)), "line-deep")
-        both = both.unionByName(large.join(deep, "deep").withColumn("g", F.col("deep")).select(columns))
+    both = found.where(F.col("k") <= p.block).withColumn("g", F.col("leaf")).select(columns)
+    large = found.where(F.col("k") > p.block)
+    parts = None if large.isEmpty() else materialize(divided(large, p), "line-parts")
+    if parts is not None:
+        both = both.unionByName(parts.where(F.col("k") <= p.block).select(columns))
     # groups are small and many: they follow each other in a partition's order, without a frame for each
     sorted_groups = both.repartition("g").sortWithinPartitions(*columns)
 
@@ -274,11 +293,11 @@ def templates(docs: DataFrame, leaves: DataFrame, p: TemplateParams, id_col: str
             yield taken()
 
     named = materialize(sorted_groups.mapInArrow(lead, schema), "line-templates")
-    return named if p.leaf_lines is not None else named.unionByName(large_templates(large, p))
+    return named if parts is None else named.unionByName(large_templates(parts.where(F.col("k") > p.block), p))
 
 
 def recurring_lines(docs: DataFrame, p: TemplateParams = TemplateParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, lines``: for each document that loses lines, their numbers."""
+    """``doc_id, key, lines``: for each document that loses lines, their numbers; ``key`` is a hash of id and text."""
     spark = docs.sparkSession
     path = new_table_path(spark, "lines")
     _lines(docs, p, id_col, text_col).write.parquet(path)
@@ -292,15 +311,13 @@ def recurring_lines(docs: DataFrame, p: TemplateParams = TemplateParams(), id_co
     named = lines.join(variants, same, "left").select("key", "doc_id", "line", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
     named = materialize(named, "line-named")
     # a null id comes last
-    once = named.groupBy("t1", "t2", "key").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("d"))
-    per = once.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("d").alias("first_id"))
-    per = per.where(F.col("n") >= p.min_docs)
-    first = once.join(materialize(per, "line-recurring"), ["t1", "t2"]).where("d = first_id")
-    per = materialize(first.groupBy("t1", "t2").agg(F.min("key").alias("first_key")), "line-recurring")
+    once = named.select("t1", "t2", "key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d")).distinct()
+    per = once.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min(F.struct("d", "key")).alias("head"))
+    per = materialize(per.where(F.col("n") >= p.min_docs).select("t1", "t2", "head"), "line-recurring")
     gone = named.join(per, ["t1", "t2"])
     if p.keep_first:
-        gone = gone.where("key != first_key")
-    return gone.groupBy("key").agg(F.collect_set("line").alias("lines"))
+        gone = gone.where((F.col("key") != F.col("head.key")) | (F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("head.d")))
+    return gone.groupBy("doc_id", "key").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_recurring(docs: DataFrame, p: TemplateParams = TemplateParams(), id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
@@ -311,8 +328,8 @@ def drop_recurring(docs: DataFrame, p: TemplateParams = TemplateParams(), id_col
     gone = materialize(recurring_lines(docs, p, id_col, text_col), "line-gone")
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
     # the same join at every size: the list of affected documents grows with the corpus
-    gone = gone.select(F.col("key").alias("__line_key"), F.col("lines").alias("__gone")).hint("merge")
-    joined = docs.join(gone, key == F.col("__line_key"), "left")
+    gone = gone.select(F.col("doc_id").alias("__line_id"), F.col("key").alias("__line_key"), F.col("lines").alias("__gone")).hint("merge")
+    joined = docs.join(gone, (key == F.col("__line_key")) & docs[id_col].cast("long").eqNullSafe(F.col("__line_id")), "left")
     parts = F.split(docs[text_col], "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n")).alias(text_col)

@@ -225,11 +225,28 @@ def test_lines_equal_plain_templates(request, tables, spark, source):
     assert got == Counter({(i, t, want[i, t]): n for (i, t), n in before.items()})
 
 
-def test_large_leaves_are_divided(spark):
-    rows = [(i, "same start of line " + prose(i, 6) + " end end end end end end end end end end end end end end end end end end end end end end end end end", "en", "s") for i in range(30)]
+def test_leaves_of_any_size_give_the_same_lines(spark):
+    """One template of thirty lines that differ early, and unrelated lines in the same leaf."""
+    rows = [(i, "same start of line " + prose(i, 6) + " end" * 26, "en", "s") for i in range(30)]
+    rows += [(100 + i, "same start of line " + prose(500 + i, 32), "en", "s") for i in range(40)]
     docs = spark.createDataFrame(doc_rows(rows), DOCS)
-    assert N.drop_recurring(docs, N.TemplateParams(), counts=True).where("n_dropped = 1").count() == 29
-    assert N.drop_recurring(docs, N.TemplateParams(leaf_lines=10), counts=True).where("n_dropped = 1").count() == 0
+    for block in (2, 10, 2000):
+        got = N.drop_recurring(docs, N.TemplateParams(block=block), counts=True).where("n_dropped = 1").collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(1, 30))
+
+
+def test_parts_of_a_leaf_hold_all_variants(spark):
+    """Lines that agree in enough positions are in one part, at every number of tokens."""
+    rng = random.Random(12)
+    for n in (4, 5, 6, 9, 10, 15, 23):
+        lines = sorted({" ".join(["a", "b", "c"] + [rng.choice("pqrst") for _ in range(n - 3)]) for _ in range(60)})
+        df = spark.createDataFrame([(7, x, i, i) for i, x in enumerate(lines)], "leaf long, s string, h1 long, h2 long")
+        part = {r["h1"]: (r["g"], r["k"]) for r in N.divided(df, N.TemplateParams()).collect()}
+        assert len(part) == len(lines) and Counter(g for g, _ in part.values()) == dict(part.values())
+        for i, x in enumerate(lines):
+            for j, y in enumerate(lines):
+                if sum(a == b for a, b in zip(x.split(), y.split())) / n >= 0.8:
+                    assert part[i] == part[j]
 
 
 def test_lines_of_nothing(nothing):
