@@ -1,7 +1,8 @@
 """Near copies by Jaccard similarity of five-word shingles.
 
-Candidates come from MinHash: a document has ``BANDS`` keys of ``ROWS`` minima each, and documents
-that share a key are compared.  Of pairs at similarity 0.8, 3 in 100,000 share no key; of
+Candidates come from SimHash fingerprints of the shingles, of which those within 3 bits are found by the popcount grid, and, since
+near copies at 0.8 are some ten bits apart, where no grid separates, from MinHash too: a document has ``BANDS`` keys of ``ROWS`` minima each,
+and documents that share a key are compared.  Of pairs at similarity 0.8, 3 in 100,000 share no key; of
 more similar ones fewer.  Each link is verified on the whole sets of shingle hashes.
 
 Documents with equal sets are one node throughout.  Members of keys of few nodes are compared with each other.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, text_bytes
-from .op07_simhash import connected_components, deal, keep_first, name_groups, shingles
+from .op07_simhash import BITS, connected_components, deal, keep_first, links, majority_bits, name_groups, outside_top, shingles
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Nodes of a key whose pairs are listed, and nodes of a block where there are more.
@@ -46,30 +47,37 @@ def _set_of(raw: bytes | None, words: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``doc_id, key, fp, bands`` of every row; ``fp`` is a hash of the set of shingles."""
+    """``doc_id, key, fp, sim, bands`` of every row; ``fp`` is a hash of the set of shingles, ``sim`` their SimHash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_set_of(raw, words) for raw in text_bytes(batch.column(2))]
-        fp = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-        bands = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), bands], names=["doc_id", "key", "fp", "bands"])
+        fp, sim, bands = [], [], []
+        for raw in text_bytes(batch.column(2)):
+            h = shingles(raw or b"", words)
+            distinct = np.unique(h)
+            fp.append(xxhash.xxh3_64_intdigest(distinct.tobytes()))
+            sim.append(majority_bits(h))
+            bands.append(band_keys(distinct) if len(h) else [])
+        fp = np.array(fp, np.uint64).view(np.int64)
+        columns = [batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(sim, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "sim", "bands"])
 
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("t"))
-    return map_batches(keyed, run, "doc_id long, key long, fp long, bands array<long>")
+    return map_batches(keyed, run, "doc_id long, key long, fp long, sim long, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``fp, items`` of ``nodes`` (``key, fp``), with the hashes of their shingles in order."""
+    """``fp, items`` of ``nodes`` (``one_id, key, fp``), with the hashes of their shingles in order."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         items = [_set_of(raw, words).view(np.int64) for raw in text_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], names=["fp", "items"])
 
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    texts = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("t"))
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    texts = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("own"), text.alias("t"))
     # the same join at every size
-    found = texts.join(nodes.hint("merge"), "key").select("fp", "t")
+    nodes = nodes.hint("merge")
+    found = texts.join(nodes, (texts["own"] == nodes["key"]) & texts["doc_id"].eqNullSafe(nodes["one_id"])).select("fp", "t")
     return map_batches(found, run, "fp long, items array<long>").dropDuplicates(["fp"])
 
 
@@ -123,13 +131,7 @@ def forest(nodes: np.ndarray, items: list[np.ndarray], group: np.ndarray, first:
 
 def _dense_links(many: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
     """Links among members of keys of many nodes (``cell, fp``) whose components (``groups``) differ."""
-    named = many.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select("cell", "fp", F.coalesce("component", "fp").alias("component"))
-    named = materialize(named, "near-named")
-    sizes = named.groupBy("cell", "component").agg(F.count("*").alias("n"))
-    cells = sizes.groupBy("cell").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-    # where one component holds all, nothing is left to find
-    cells = cells.where(F.col("n") > F.col("top.n")).select("cell", F.col("top.component").alias("top"), (F.col("n") - F.col("top.n")).alias("n_own"), F.col("top.n").alias("n_up"))
-    named = materialize(named.join(cells, "cell").withColumn("own", F.col("component") != F.col("top")), "near-dense")
+    named = outside_top(many, groups)
     dealt = deal(named, block).join(named.select("cell", "fp", "component"), ["cell", "fp"]).join(sets, "fp")
 
     def join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,29 +145,40 @@ def _dense_links(many: DataFrame, groups: DataFrame, sets: DataFrame, similarity
     return dealt.groupBy("cell", "kind", "i", "j").applyInPandas(join_blocks, "a long, b long")
 
 
+def simhash_pairs(rows: DataFrame, bits: int) -> DataFrame:
+    """``a, b``: sets whose SimHashes the popcount grid links, one set for each SimHash, and that one with its equals."""
+    sims = materialize(rows.groupBy("sim").agg(F.min("fp").alias("one")), "near-sims")
+    equal = rows.join(sims, "sim").where("one < fp").select(F.col("one").alias("a"), F.col("fp").alias("b"))
+    found = materialize(links(sims.select(F.col("sim").alias("fp")), bits), "near-sims")
+    x, y = (sims.select(F.col("sim").alias(side), F.col("one").alias(f"one_{side}")) for side in ("a", "b"))
+    found = found.join(x, "a").join(y, "b")
+    return equal.unionByName(found.select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b")))
+
+
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, few: int = FEW, block: int = BLOCK
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, few: int = FEW, block: int = BLOCK, bits: int = BITS
 ) -> DataFrame:
     """``doc_id, key, fp, group, component_id`` of every row, as of ``op07_simhash.near_duplicates``."""
     rows = materialize(_sketches(docs, id_col, text_col, words), "near-docs")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key")), "near-fps")
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "doc_id")).alias("one"))
+    fps = materialize(fps.select("fp", "least_id", "one.key", F.col("one.doc_id").alias("one_id")), "near-fps")
     cells = materialize(rows.select(F.explode("bands").alias("cell"), "fp").distinct(), "near-cells")
     counts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
     busy = materialize(cells.join(counts, "cell"), "near-busy")
-    nodes = fps.select("key", "fp").join(busy.select("fp").distinct(), "fp", "left_semi")
-    sets = materialize(_sets(docs, nodes, id_col, text_col, words), "near-sets")
     listed = busy.where(F.col("n") <= few)
     x, y = listed.select("cell", F.col("fp").alias("a")), listed.select("cell", F.col("fp").alias("b"))
     pairs = x.join(y, "cell").where("a < b").select("a", "b")
     many = busy.where(F.col("n") > few)
     stars = many.where("least < fp").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    pairs = materialize(pairs.unionByName(stars).distinct(), "near-pairs")
-    links = materialize(verified(pairs, sets, similarity), "near-links")
-    groups = connected_components(links)
+    pairs = materialize(pairs.unionByName(stars).unionByName(simhash_pairs(rows.select("sim", "fp").distinct(), bits)).distinct(), "near-pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = materialize(_sets(docs, fps.select("one_id", "key", "fp").join(used, "fp", "left_semi"), id_col, text_col, words), "near-sets")
+    linked = materialize(verified(pairs, sets, similarity), "near-links")
+    groups = connected_components(linked)
     if not many.isEmpty():
         more = materialize(_dense_links(many.select("cell", "fp"), groups, sets, similarity, block).distinct(), "near-links")
         if not more.isEmpty():
-            groups = connected_components(links.unionByName(more))
+            groups = connected_components(linked.unionByName(more))
     return name_groups(rows.select("doc_id", "key", "fp"), fps.select("fp", "least_id"), groups)
 
 

@@ -11,10 +11,12 @@ points within distance 3 one half at least lies within distance 1.  A half's cel
 (of two points one step apart, one finds the other so).  No link is lost, and every
 candidate is verified exactly with XOR and a bit count.
 
-Equal fingerprints are one row throughout.  Cells of few rows are joined.  Cells of many rows,
-as from a large group of near copies, are dealt into blocks of bounded size; each pair
-of blocks gives a spanning forest of its links, so what comes out grows with the members
-and not with their pairs.  Components come from alternating large-star and small-star steps.
+Equal fingerprints are one row throughout.  Cells of few rows are joined.  Those of many are divided by the other half:
+within distance 3 one at least of its four quarters has the same counts in both points.  Where a quarter's cell is still
+dense, as in a large group of near copies, its rows are compared with the smallest one, and components are formed; then only
+rows outside of a cell's largest component are compared with all others, in pairs of blocks of bounded size, each of which gives
+links between different components only.  So a group that hangs together costs as much as it has members.
+Components come from alternating large-star and small-star steps.
 
 Defined cases: null or wordless texts have fingerprint zero and are linked like any
 other; ids that repeat are separate rows with one result each; an empty table gives an empty result.
@@ -23,11 +25,13 @@ Only the id and text columns are read, so that other columns can't clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, text_bytes
@@ -53,7 +57,11 @@ def shingles(raw: bytes, words: int) -> np.ndarray:
 
 def fingerprint(raw: bytes, words: int = 3) -> int:
     """The fingerprint of a text in UTF-8, as a signed 64-bit integer."""
-    h = shingles(raw, words)
+    return majority_bits(shingles(raw, words))
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     k = len(h)
     if not k:
         return 0
@@ -95,25 +103,17 @@ def grid_cells(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*cells)).alias("c"), "fp").where("c.cell is not null").select("c.cell", "c.own", "fp")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks of fingerprints."""
+def _forest(a: np.ndarray, b: np.ndarray, bits: int, group: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Links between two blocks of fingerprints, enough to connect all that are linked and in different groups."""
     both = np.unique(np.concatenate([a, b]))
     ia, ib = np.searchsorted(both, np.unique(a)), np.searchsorted(both, np.unique(b))
-    root = np.arange(len(both))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    label = np.arange(len(both)) if group is None else np.unique([group[x] for x in both.tolist()], return_inverse=True)[1]
     out, codes = [], both.view(np.uint64)
-    for i in ia:
-        near = ib[np.bitwise_count(codes[ib] ^ codes[i]) <= bits]
+    for i in ia.tolist():
+        near = ib[(label[ib] != label[i]) & (np.bitwise_count(codes[ib] ^ codes[i]) <= bits)]
         for j in near.tolist():
-            ri, rj = find(int(i)), find(j)
-            if ri != rj:
-                root[max(ri, rj)] = min(ri, rj)
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
                 out.append((int(both[i]), int(both[j])))
     return out
 
@@ -147,6 +147,46 @@ def deal(many: DataFrame, block: int) -> DataFrame:
     return dealt.select("cell", "own", "fp", "part", F.explode(tasks).alias("t")).select("cell", "own", "fp", "part", "t.kind", "t.i", "t.j")
 
 
+def _quarters(fp: Column, cell: Column) -> Column:
+    """Cells within a half's cell, by the four quarters of the other half."""
+    low, high = _halves(fp)
+    other = F.when(cell >= F.lit(1 << 32), low).otherwise(high)
+    return F.array(*[F.xxhash64(cell, F.lit(i), F.shiftrightunsigned(other, 8 * i).bitwiseAND(F.lit(255))) for i in range(4)])
+
+
+def _busy(cells: DataFrame) -> DataFrame:
+    """``cell, own, fp, n_own, n_up``: the rows of cells that hold own rows and any others."""
+    counts = cells.groupBy("cell").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_up"))
+    counts = counts.where((F.col("n_own") > 0) & (F.col("n_own") + F.col("n_up") > 1))
+    return materialize(cells.join(counts, "cell"), "simhash-busy")
+
+
+def _joined(few: DataFrame, bits: int) -> DataFrame:
+    """``a, b``: all links of an own row and another one in its cell."""
+    x = few.where("own").select("cell", F.col("fp").alias("a"))
+    y = few.select("cell", F.col("fp").alias("b"), F.col("own").alias("b_own"))
+    # in one cell a pair counts once; from the cell below it comes from one side only
+    found = x.join(y, "cell").where((F.col("a") != F.col("b")) & (~F.col("b_own") | (F.col("a") < F.col("b"))))
+    return found.where(_near(bits)).select("a", "b")
+
+
+def _near(bits: int) -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
+
+
+def outside_top(many: DataFrame, groups: DataFrame) -> DataFrame:
+    """``cell, fp, component, own, n_own, n_up``: rows of cells (``cell, fp``) that hold several components (``groups``).
+
+    ``own`` marks rows outside of the cell's largest component, which are all that is left to compare with others.
+    """
+    named = many.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select("cell", "fp", F.coalesce("component", "fp").alias("component"))
+    named = materialize(named, "dense-named")
+    sizes = named.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    cells = sizes.groupBy("cell").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    cells = cells.where(F.col("n") > F.col("top.n")).select("cell", F.col("top.component").alias("top"), (F.col("n") - F.col("top.n")).alias("n_own"), F.col("top.n").alias("n_up"))
+    return materialize(named.join(cells, "cell").withColumn("own", F.col("component") != F.col("top")).drop("top"), "dense-rows")
+
+
 def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between different fingerprints, enough to connect all that are linked.
 
@@ -157,29 +197,35 @@ def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK
     cells = grid_cells(fps)
     # nearly all cells one step up hold nobody: they go first
     used = cells.where("own").select(F.col("cell").alias("used")).distinct()
-    cells = materialize(cells.join(used, F.col("cell") == F.col("used"), "left_semi"), "simhash-cells")
-    counts = cells.groupBy("cell").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_up"))
-    counts = counts.where(F.col("n_own") + F.col("n_up") > 1)
-    busy = materialize(cells.join(counts, "cell"), "simhash-busy")
-    pairs = F.col("n_own") * (F.col("n_own") + F.col("n_up"))
-    few, many = busy.where(pairs <= most), busy.where(pairs > most)
-    x = few.where("own").select("cell", F.col("fp").alias("a"))
-    y = few.select("cell", F.col("fp").alias("b"), F.col("own").alias("b_own"))
-    # in one cell a pair counts once; from the cell below it comes from one side only
-    found = x.join(y, "cell").where((F.col("a") != F.col("b")) & (~F.col("b_own") | (F.col("a") < F.col("b"))))
-    found = found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
-
-    dealt = deal(many, block)
+    busy = _busy(materialize(cells.join(used, F.col("cell") == F.col("used"), "left_semi"), "simhash-cells"))
+    dense = F.col("n_own") * (F.col("n_own") + F.col("n_up")) > most
+    found = [_joined(busy.where(~dense), bits)]
+    many = busy.where(dense)
+    if not many.isEmpty():
+        inner = _busy(many.select(F.explode(_quarters(F.col("fp"), F.col("cell"))).alias("cell"), "own", "fp"))
+        found.append(_joined(inner.where(~dense), bits))
+        many = materialize(inner.where(dense).select("cell", "own", "fp"), "simhash-dense")
+        if not many.isEmpty():
+            heads = materialize(many.where("own").groupBy("cell").agg(F.min("fp").alias("a")), "simhash-dense")
+            found.append(many.join(heads, "cell").withColumnRenamed("fp", "b").where("a != b").where(_near(bits)).select("a", "b"))
+            linked = materialize(reduce(DataFrame.unionByName, found).distinct(), "simhash-links")
+            return linked.unionByName(_dense_links(many.select("cell", "fp"), connected_components(linked), bits, block))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _dense_links(many: DataFrame, groups: DataFrame, bits: int, block: int) -> DataFrame:
+    """Links among rows of a cell (``cell, fp``) that are in different components (``groups``)."""
+    rows = outside_top(many, groups)
+    dealt = deal(rows, block).join(rows.select("cell", "fp", "component"), ["cell", "fp"])
 
     def join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, own, part = pdf["fp"].to_numpy(), pdf["own"].to_numpy(bool), pdf["part"].to_numpy()
         kind, i, j = int(pdf["kind"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         a = fp[own & (part == i)]
         b = fp[own & (part == j)] if kind == 0 else fp[~own]
-        return pd.DataFrame(_forest(a, b, bits), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(_forest(a, b, bits, dict(zip(fp.tolist(), pdf["component"].tolist()))), columns=["a", "b"], dtype="int64")
 
-    dense = dealt.groupBy("cell", "kind", "i", "j").applyInPandas(join_blocks, "a long, b long")
-    return found.unionByName(dense).distinct()
+    return dealt.groupBy("cell", "kind", "i", "j").applyInPandas(join_blocks, "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -219,12 +265,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """``doc_id, key, fp, group, component_id`` of every row.
 
     ``component_id`` is the smallest doc_id reachable (null only where all are null), ``group`` tells
-    components apart, and ``key`` is a hash of the row's id and text.
+    components apart, and ``key`` is a hash of the row's id and text.  With ``similarity``, links are those of that Jaccard
+    similarity or more (``near_copies``, where ``fp`` is a hash of the set of shingles).
     """
+    if similarity is not None:
+        from .near_copies import near_copies
+
+        return near_copies(docs, id_col, text_col, words, similarity, bits=bits)
     rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash-docs")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-fps")
     return name_groups(rows, fps, connected_components(links(fps.select("fp"), bits)))
@@ -239,24 +290,27 @@ def name_groups(rows: DataFrame, fps: DataFrame, groups: DataFrame) -> DataFrame
     return rows.join(named, rows["fp"] == named["__fp"]).select("doc_id", "key", "fp", "group", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """One row of each group of ``docs``: that of the smallest id (null only where all are null).
 
-    Of rows with that id, the one with the smallest hash of id and text stays.
+    Of rows with that id, the one with the smallest hash of id and text stays, and of rows equal in both the one whose other columns have the smallest hash.
     """
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, words, bits), id_col, text_col)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, words, bits, similarity), id_col, text_col)
 
 
 def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of ``docs``, whose groups are named as by ``near_duplicates``."""
     found = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = found.groupBy("group", "key").agg(F.count("*").alias("n"))
-    keep = materialize(heads.groupBy("group").agg(F.min_by(F.col("n"), F.col("key")).alias("n"), F.min("key").alias("__keep")), "simhash-keep")
-    key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    heads = found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n"))
+    keep = heads.groupBy("group").agg(F.min_by(F.struct("n", F.col("doc_id").alias("__id"), F.col("key").alias("__keep")), F.col("key")).alias("head")).select("head.*")
+    keep = materialize(keep, "simhash-keep")
+    same = (F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")) == keep["__keep"]) & docs[id_col].cast("long").eqNullSafe(keep["__id"])
     # the same join at every size: one key for each group grows with the corpus
-    once = docs.join(keep.where("n = 1").hint("merge"), key == keep["__keep"], "left_semi")
+    once = docs.join(keep.where("n = 1").hint("merge"), same, "left_semi")
     more = keep.where("n > 1")
     if more.isEmpty():
         return once
-    repeated = docs.join(more, key == more["__keep"], "left_semi")
-    return once.unionByName(repeated.dropDuplicates([id_col, text_col]))
+    # of rows equal in id and text, the one whose other columns have the smallest hash
+    repeated = docs.join(more, same, "left_semi")
+    place = F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))).alias("__place")
+    return once.unionByName(repeated.select("*", place).where("__place = 1").drop("__place"))

@@ -142,9 +142,9 @@ def take_copies(units: DataFrame, seed: int = 7, group_rows: int = GROUP_ROWS, f
             break
         step = materialize(_round(left, False), "mix-rounded")
         rounded, left = rounded.unionByName(step.where(~open_rows)), step.where(open_rows)
-    rounded = rounded.select("key", "source", F.col("p").alias("extra"))
-    out = units.join(rounded, (units["key"] == rounded["key"]) & units["source"].eqNullSafe(rounded["source"]))
-    out = out.drop(rounded["key"]).drop(rounded["source"])
+    rounded = rounded.select("key", "doc_id", "source", F.col("p").alias("extra"))
+    same = (units["key"] == rounded["key"]) & units["doc_id"].eqNullSafe(rounded["doc_id"]) & units["source"].eqNullSafe(rounded["source"])
+    out = units.join(rounded, same).drop(rounded["key"]).drop(rounded["doc_id"]).drop(rounded["source"])
     out = out.join(goal, out["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     copies = (F.floor(rate) + F.col("extra")).cast("long")
     return out.select("key", "doc_id", "source", "size", "rows", "source_size", "target", copies.alias("copies"))
@@ -170,8 +170,9 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as many times as it is taken, with its own columns."""
     copies = take_copies(_units(docs, id_col, text_col, source_col), **options).where("copies > 0")
-    copies = copies.select(F.col("key").alias("__mix_key"), F.col("source").alias("__mix_source"), F.col("copies").alias("__mix_copies")).hint("merge")
-    own = F.xxhash64(docs[id_col], docs[text_col])
-    same = (own == copies["__mix_key"]) & docs[source_col].cast("string").eqNullSafe(copies["__mix_source"])
+    names = {"key": "__mix_key", "doc_id": "__mix_id", "source": "__mix_source", "copies": "__mix_copies"}
+    copies = copies.select(*[F.col(a).alias(b) for a, b in names.items()]).hint("merge")
+    same = F.xxhash64(docs[id_col], docs[text_col]) == copies["__mix_key"]
+    same &= docs[id_col].cast("long").eqNullSafe(copies["__mix_id"]) & docs[source_col].cast("string").eqNullSafe(copies["__mix_source"])
     joined = docs.join(copies, same)
     return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])

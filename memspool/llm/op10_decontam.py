@@ -5,7 +5,9 @@ occur with up to ``k`` edits, a share of its length.  Cut into k + 1 pieces, one
 untouched: exact hits of all pieces are found with an Aho-Corasick automaton in one pass over
 a document, and around each hit the item is verified with Myers' bit-parallel edit distance.
 
-Test items are taken in blocks of bounded size; each block is one pass over the documents.
+Windows around the hits of one item that overlap are searched once.  Test items are taken in blocks of
+``block_chars`` characters (some ten thousand items); each block is one pass over the documents, so the work grows with the
+number of blocks.
 
 Defined cases: null texts and items are empty; an item with no words matches nothing;
 repeated items and documents are reported each by their ids; empty tables give an empty result.
@@ -78,6 +80,18 @@ def myers_search(pattern: str, text: str, k: int) -> tuple[int, int] | None:
     return best
 
 
+def windows(starts: set[int], length: int, k: int, end: int) -> list[tuple[int, int]]:
+    """Where an item may lie that begins near one of ``starts``; windows that overlap are one, so no character is searched twice."""
+    out: list[tuple[int, int]] = []
+    for s in sorted(starts):
+        lo, hi = max(0, s - k), min(end, s + length + k)
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        elif hi > lo:
+            out.append((lo, hi))
+    return out
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
@@ -105,12 +119,8 @@ class Matcher:
         out = []
         for x, begin in starts.items():
             item_id, item, k = self.items[x]
-            best, covered = None, -1
-            for s in sorted(begin):
-                lo, hi = max(0, s - k), min(len(text), s + len(item) + k)
-                if hi <= covered:
-                    continue
-                covered = hi
+            best = None
+            for lo, hi in windows(begin, len(item), k, len(text)):
                 got = myers_search(item, text[lo:hi], k)
                 if got and (best is None or got[0] < best[0]):
                     best = got[0], lo + got[1]
@@ -162,6 +172,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: MatchParams = MatchParams()
 def decontaminate(docs: DataFrame, items: DataFrame, p: MatchParams = MatchParams(), id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
     leaks = materialize(find_leaks(docs, items, p, id_col, text_col, **names), "leaks")
-    bad = leaks.select(F.col("key").alias("__leak")).distinct()
+    bad = leaks.select(F.col("doc_id").alias("__leak_id"), F.col("key").alias("__leak")).distinct()
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    return docs.join(bad, key == bad["__leak"], "left_anti")
+    return docs.join(bad, (key == bad["__leak"]) & docs[id_col].cast("long").eqNullSafe(bad["__leak_id"]), "left_anti")

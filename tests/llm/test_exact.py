@@ -328,6 +328,12 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_rows_equal_in_id_and_text_leave_one_by_their_other_columns(spark):
+    rows = doc_rows([(3, prose(1, 30), lang, None) for lang in ("en", None, "de", "en")])
+    kept = {S.deduplicate(spark.createDataFrame(rows[k:] + rows[:k], DOCS).repartition(3)).collect()[0]["lang"] for k in range(4)}
+    assert len(kept) == 1
+
+
 def test_simhash_of_nothing(nothing):
     assert S.near_duplicates(nothing).count() == 0 and S.deduplicate(nothing).count() == 0
 
@@ -544,6 +550,13 @@ def test_myers_equals_dynamic_programming():
         assert (got[0] if got else None) == (best if best <= 3 else None)
 
 
+def test_windows_that_overlap_are_one():
+    assert D.windows({0, 3, 30, 200}, 10, 2, 205) == [(0, 15), (28, 42), (198, 205)]
+    m = D.Matcher([(1, "again " * 200)], D.MatchParams())
+    text = D.normalize("again " * 2500 + "then " + "again " * 199 + "agoin")
+    assert m.find(text) == [(1, 0, len(D.normalize("again " * 200)))]
+
+
 def test_leaks_equal_brute_force(spark, nasty):
     rng = random.Random(6)
     items = [(i, prose(300 + i, rng.choice([8, 25, 40]))) for i in range(12)] + [(50, None), (51, ""), (52, "..."), (None, "null id")]
@@ -571,6 +584,7 @@ def test_leaks_equal_brute_force(spark, nasty):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {d for d, _, _ in want} and len(want) > 5
     assert D.decontaminate(nasty, bench).count() == nasty.count()
     assert D.decontaminate(docs, bench.limit(0)).count() == 60
+    assert D.find_leaks(docs.limit(0), bench).count() == 0 and D.decontaminate(docs.limit(0), bench).count() == 0
 
 
 # --- together ---------------------------------------------------------------------------------------------------------
