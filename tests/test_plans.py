@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memspool.plans import models, prompts
 from memspool.plans.extract import Extraction, extract_history, run_eval
 from memspool.sources import benchprep, packs
-from memspool.sources.history import active_branch, read_history
+from memspool.sources.history import read_history
 from memspool.sources.store import Store, raw_lines
 from memspool.streaming.ingest import ingest
 
@@ -59,8 +59,14 @@ def test_readers(spark, tmp_path):
     assert [(r["conv_id"], r["turn_id"], r["role"], r["content"], r["ts"]) for r in got] == [
         ("t", "m1", "user", "hello", "1721000000.0"), ("t", "t:1", "assistant", "hi there", None), ("l", "l:0", "user", "hey", "2026"), ("l", "m", "assistant", "yo", None)
     ]
-    loop = {"current_node": "x", "mapping": {"x": {"parent": "y", "message": {"k": 1}}, "y": {"parent": "x", "message": {"k": 2}}}}
-    assert [m["k"] for m in active_branch(loop)] == [2, 1]
+    said = lambda x: {"author": {"role": "user"}, "content": {"parts": [x, "", 7, {"k": "v"}, " "]}, "create_time": 1721000000}
+    loop = {"current_node": "x", "mapping": {"x": {"parent": "y", "message": said("one")}, "y": {"parent": "x", "message": said("two")}}}
+    lost = {"id": "", "conversation_id": 5, "current_node": "x", "mapping": {"x": {"parent": "gone", "message": said("\u00e9 \"q\"")}, "y": {"message": said("never")}}}
+    (tmp_path / "f.json").write_text(json.dumps([loop, {"id": "n", "mapping": {"x": {"message": said("never")}}}, {"id": "d", "current_node": "gone", "mapping": {}}, lost]))
+    got = read_history(spark, str(tmp_path / "f.json")).orderBy("src_ord").collect()
+    assert [(r["conv_id"], r["turn_id"], r["content"], r["ts"]) for r in got] == [
+        ("chatgpt-0", "chatgpt-0:0", "two", "1721000000"), ("chatgpt-0", "chatgpt-0:1", "one", "1721000000"), ("5", "5:0", "\u00e9 \"q\"", "1721000000"),
+    ]
 
 
 def test_extraction_and_rerun(spark, tmp_path):
