@@ -449,7 +449,8 @@ _OVERLAP = rf"len(list_filter({_QWORDS}, lambda w: list_contains(list_concat(reg
     f"WITH {NODES}, o AS (SELECT *, CAST({_OVERLAP} AS INTEGER) AS overlap FROM nodes WHERE {LIVE}) SELECT id, profile, part, overlap, CAST(row_number() OVER (PARTITION BY profile, part ORDER BY overlap DESC, salience DESC, confidence <> 'stated', ord) AS INTEGER) AS rank FROM o",
 )
 def live_ranked(spark, d):
-    return C.ranked(nodes(spark, d), TODAY, QUERY, ("profile", "part")).select("id", "profile", "part", "overlap", "rank")
+    n = nodes(spark, d).select("id", "profile", "part", "ord", "text", "tags", "salience", "confidence", "superseded_by", "valid_until")
+    return C.ranked(n, TODAY, QUERY, ("profile", "part")).select("id", "profile", "part", "overlap", "rank")
 
 
 def _lit_sql(s: str) -> str:

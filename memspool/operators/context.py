@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, overlap, render, sanitize, strip
+from ..functions.text import overlap, render, sanitize, strip
+from ..functions.text import words as word_list
 from ..schema import absent, present
 from ..sources.scratch import materialize
+from .merge import placed
 
 #: The text around a block, and the sections in their order.
 PREAMBLE = (
@@ -51,11 +53,11 @@ def rank_columns(words: list[str] | Column) -> list[Column]:
 
 
 def ranked(nodes: DataFrame, today: str, query: str | None = None, keys: tuple[str, ...] = ("part",)) -> DataFrame:
-    """Live nodes with ``overlap`` and their ``rank`` within ``keys``."""
+    """Live nodes with ``overlap`` and their ``rank`` within ``keys``; give only the columns that are needed."""
     r = rank_columns(query_words(query))
-    out = live(nodes, today).withColumns({f"__r{i}": c for i, c in enumerate(r, 1)})
-    by = Window.partitionBy(*keys).orderBy("__r1", "__r2", "__r3", "__r4")
-    return out.withColumn("overlap", -F.col("__r1")).withColumn("rank", F.row_number().over(by)).drop("__r1", "__r2", "__r3", "__r4")
+    marks = [f"__r{i}" for i in range(1, len(r) + 1)]
+    out = placed(live(nodes, today).withColumns(dict(zip(marks, r))), keys, tuple(marks))
+    return out.withColumn("overlap", -F.col("__r1")).withColumn("rank", (F.col("pos") + 1).cast("int")).drop(*marks, "pos")
 
 
 def _lines(nodes: DataFrame, styles: DataFrame | None, keys: list[str], today: str, words: list[str] | Column) -> DataFrame:
@@ -66,13 +68,15 @@ def _lines(nodes: DataFrame, styles: DataFrame | None, keys: list[str], today: s
     # a generator is a barrier: else each use of a column further on would sanitize and rank the text again
     once = F.explode(F.array(F.struct(section.alias("sec"), *r, line.alias("line"))))
     out = live(nodes, today).select(*keys, once.alias("__once")).select(*keys, "__once.*")
-    if styles is not None:
-        card = styles.where(strip("text") != "").select(
-            *keys, F.lit(1).alias("sec"), F.lit(0).alias("r1"), F.lit(0.0).alias("r2"), F.lit(False).alias("r3"), F.lit(0).cast("long").alias("r4"),
-            F.concat(sanitize(strip("text")), F.lit("\n")).alias("line"),
-        )
-        out = out.unionByName(card)
-    return out
+    return out if styles is None else out.unionByName(_cards(styles, keys))
+
+
+def _cards(styles: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines of style cards."""
+    return styles.where(strip("text") != "").select(
+        *keys, F.lit(1).alias("sec"), F.lit(0).alias("r1"), F.lit(0.0).alias("r2"), F.lit(False).alias("r3"), F.lit(0).cast("long").alias("r4"),
+        F.concat(sanitize(strip("text")), F.lit("\n")).alias("line"),
+    )
 
 
 def build_context(
@@ -91,12 +95,46 @@ def build_context(
     packs = nodes.select(*k).distinct()
     if styles is not None:
         packs = packs.unionByName(styles.select(*k)).distinct()
-    lines = _lines(nodes, styles, k, day, F.col(words) if words else query_words(query))
+    return _blocks(_lines(nodes, styles, k, day, F.col(words) if words else query_words(query)), packs, k, budget)
+
+
+def _first_alike(lines: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """Of the lines of equal length in a section those that could all fit, the first ones by rank."""
     room = max(budget - BASE_TOKENS, 0)
     lines = lines.withColumn("n", F.length("line")).where(F.floor(F.col("n") / 4) + 1 <= room)
-    alike = Window.partitionBy(*k, "sec", "n").orderBy("r1", "r2", "r3", "r4")
+    alike = Window.partitionBy(*keys, "sec", "n").orderBy("r1", "r2", "r3", "r4")
     lines = lines.withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= room)
-    lines = lines.where(F.col("__n") <= F.floor(F.lit(room) / (F.floor(F.col("n") / 4) + 1)))
+    return lines.where(F.col("__n") <= F.floor(F.lit(room) / (F.floor(F.col("n") / 4) + 1))).drop("__n")
+
+
+def build_scoped(nodes: DataFrame, styles: DataFrame, questions: DataFrame, budget: int = 2000, today: str | None = None) -> DataFrame:
+    """``q_ord, context, used``: a block for each question (``q_ord, question``), facts that share words with it first.
+
+    As ``build_context`` with a query for each key, without meeting every fact with every question: facts and questions are joined on
+    words.  All other facts rank alike for every question, and of these only as many of each length as the budget
+    holds can be in a block, so that list is bounded.
+    """
+    from datetime import UTC, datetime
+
+    day = today or datetime.now(UTC).date().isoformat()
+    held = F.array_distinct(F.concat(word_list("text"), F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)))
+    facts = _lines(nodes.withColumn("__held", held), None, ["__held"], day, [])
+    facts = materialize(facts.withColumn("__fact", F.monotonically_increasing_id()), "scoped-facts")
+    asked = questions.select("q_ord", F.explode(F.array_distinct(word_list("question"))).alias("w"))
+    hits = facts.select("__fact", F.explode("__held").alias("w")).join(asked, "w").groupBy("q_ord", "__fact").agg(F.count("*").cast("int").alias("__common"))
+    hits = materialize(hits, "scoped-hits")
+    facts = facts.drop("__held")
+    near = facts.join(hits, "__fact").withColumn("r1", -F.col("__common")).drop("__common")
+    common = materialize(_first_alike(facts, [], budget).drop("n"), "scoped-common")
+    far = questions.select("q_ord").crossJoin(F.broadcast(common)).join(hits.select("q_ord", "__fact"), ["q_ord", "__fact"], "left_anti")
+    lines = near.unionByName(far).drop("__fact")
+    card = styles.select("text").crossJoin(F.broadcast(questions.select("q_ord")))
+    return _blocks(lines.unionByName(_cards(card, ["q_ord"])), questions.select("q_ord"), ["q_ord"], budget)
+
+
+def _blocks(lines: DataFrame, packs: DataFrame, k: list[str], budget: int) -> DataFrame:
+    """``keys, context, used`` from lines with their sections and rank columns."""
+    lines = _first_alike(lines, k, budget)
     items = lines.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("sec", "r1", "r2", "r3", "r4", "line"))).alias("items"))
     heads = F.array(*[F.lit(f"\n## {s}\n") for s in SECTIONS])
 
@@ -130,25 +168,35 @@ def inspect_lines(nodes: DataFrame) -> DataFrame:
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("  #"), F.array_join("tags", " #"))).otherwise("")
     mark = F.when(absent(F.col("superseded_by")), "").otherwise(" [superseded]")
     line = F.concat(F.format_string("  (%.2f) ", "salience"), "text", tags, mark)
-    by = Window.partitionBy("part").orderBy(F.desc("salience"), "ord")
-    return nodes.select("part", F.row_number().over(by).alias("n"), line.alias("line"))
+    rows = nodes.select("part", (-F.col("salience")).alias("__less"), "ord", line.alias("line"))
+    return placed(rows, ("part",), ("__less", "ord")).select("part", (F.col("pos") + 1).alias("n"), "line")
+
 
+def newest(nodes: DataFrame) -> DataFrame:
+    """``id, newest_id``: the end of each node's chain of supersession.
 
-def newest(nodes: DataFrame, rounds: int = 32) -> DataFrame:
-    """``id, newest_id``: the end of each node's chain of supersession; a cycle ends where it closes.
+    A reference to no node ends a chain.  Nodes of a cycle, and those that lead into one, all get its smallest id.
 
-    Pointers double their reach in each round.
+    Pointers double their reach in each round, and carry the smallest id among the nodes that they passed.  The nodes that aren't
+    at an end become fewer in each round until only those that lead into cycles are left; these are done when pointers reach as far
+    as there are such nodes.
     """
-    step = nodes.select("id", F.coalesce(present(F.col("superseded_by")), F.col("id")).alias("to"))
-    known = step.select("id")
-    dangling = step.join(known.withColumnRenamed("id", "to"), "to", "left_anti").select("id")
-    step = step.join(dangling.withColumn("__d", F.lit(True)), "id", "left").select("id", F.when(F.col("__d"), F.col("id")).otherwise(F.col("to")).alias("to"))
-    for _ in range(rounds):
-        ahead = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        then = step.join(ahead, "to").select("id", "to", "next")
-        then = materialize(then, "newest")
-        moved = then.where("next != to").limit(1).count()
-        step = then.select("id", F.col("next").alias("to"))
-        if not moved:
+    ids = nodes.select(F.col("id").alias("to"), F.lit(True).alias("__known"))
+    step = nodes.select("id", F.coalesce(present(F.col("superseded_by")), F.col("id")).alias("to")).join(ids, "to", "left")
+    step = step.select("id", F.when(F.col("__known"), F.col("to")).otherwise(F.col("id")).alias("to"))
+    step = materialize(step.withColumn("least", F.col("to")), "newest")
+    seen = -1
+    for k in range(1, 64):
+        ahead = step.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("least").alias("l"))
+        both = step.join(ahead, "to").select("id", F.col("next").alias("to"), F.least("least", "l").alias("least"), (F.col("next") != F.col("to")).alias("moved"))
+        both = materialize(both, "newest")
+        step, left = both.drop("moved"), both.where("moved").count()
+        if not left or (left == seen and 1 << k >= left):
             break
-    return step.withColumnRenamed("to", "newest_id")
+        seen = left
+    if not left:
+        return step.select("id", F.col("to").alias("newest_id"))
+    # a node that leads into a cycle takes the smallest id of where it ended, which is on the cycle
+    ends = step.select(F.col("id").alias("to"), F.col("to").alias("after"), F.col("least").alias("cycle"))
+    joined = step.join(ends, "to")
+    return joined.select("id", F.when(F.col("after") == F.col("to"), F.col("to")).otherwise(F.col("cycle")).alias("newest_id"))

@@ -62,21 +62,27 @@ def dedup_exact(nodes: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 
 def number(nodes: DataFrame, chunk: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Positions of nodes within their keys: ``pos``, or ``chunk`` and ``pos`` within it.
+    """Positions of nodes within their keys, by ``ord``: ``pos``, or ``chunk`` and ``pos`` within it."""
+    out = placed(nodes, keys, ("ord",))
+    if chunk is not None:
+        out = out.withColumn("chunk", F.floor(F.col("pos") / chunk).cast("long")).withColumn("pos", F.pmod("pos", F.lit(chunk)).cast("long"))
+    return out.select(*nodes.columns, *(["chunk"] if chunk is not None else []), "pos")
+
+
+def placed(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Rows with ``pos``, their position within ``keys`` in the order of the columns ``order``.
 
     Rows are dealt by ranges of keys and order and numbered in each range; then the counts of the ranges before, one row for
     each key and range, are added.  So no task holds all rows of a key.  Keys aren't null.
     """
-    dealt = nodes.repartitionByRange(*keys, "ord").sortWithinPartitions(*keys, "ord")
-    placed = materialize(dealt.withColumn("__at", F.monotonically_increasing_id()), "numbered")
-    placed = placed.withColumn("__range", F.shiftright("__at", 33))
-    counts = placed.groupBy(*keys, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    numbered = materialize(dealt.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    numbered = numbered.withColumn("__range", F.shiftright("__at", 33))
+    counts = numbered.groupBy(*keys, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
-    out = placed.join(counts, [*keys, "__range"]).withColumn("pos", F.col("__at") - F.col("__first") + F.col("__before"))
-    if chunk is not None:
-        out = out.withColumn("chunk", F.floor(F.col("pos") / chunk).cast("long")).withColumn("pos", F.pmod("pos", F.lit(chunk)).cast("long"))
-    return out.select(*nodes.columns, *(["chunk"] if chunk is not None else []), "pos")
+    out = numbered.join(counts, [*keys, "__range"]).withColumn("pos", F.col("__at") - F.col("__first") + F.col("__before"))
+    return out.select(*rows.columns, "pos")
 
 
 def apply_resolution(nodes: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("part", "chunk")) -> DataFrame:
@@ -142,6 +148,11 @@ def apply_merge(base: DataFrame, new: DataFrame, pairs: DataFrame, keys: tuple[s
     return merged.select(*base.columns).unionByName(added.select(*base.columns))
 
 
+def groupable() -> Column:
+    """Episodes that a group may take: no summary, and in no group yet."""
+    return (F.col("part") == "episodes") & (F.col("granularity") != "summary") & absent(F.col("parent_id"))
+
+
 def merge_packs(nodes: DataFrame, styles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The union of packs: of each exact text the first node over all parts, and the distinct styles.
 

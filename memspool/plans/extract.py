@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_or_null, resolve_relative_dates
@@ -132,23 +132,36 @@ class Extraction:
     def merge(self, base: DataFrame, new: DataFrame) -> DataFrame:
         """New nodes go through the gate in chunks, each against all that stands by then.
 
-        That order is part of the meaning, so the chunks are a loop here; all parts go through it together, and each
-        round is written.
+        That order is part of the meaning, so the chunks are a loop here; all parts go through it together.  Nodes keep
+        their positions, so a round writes what it changed or added, and not the memory.
         """
         chunks = self._write(M.number(new, H.MERGE_CHUNK))
         rounds = chunks.agg(F.max("chunk")).first()[0]
-        had_base = base.select("part").distinct()
-        out = self._write(base)
+        first = self._write(M.number(base))
+        sizes = {r["part"]: r["n"] for r in first.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        had, top = list(sizes), first.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1
+        at, changed = ["part", "pos"], first.limit(0)
+
+        def standing() -> DataFrame:
+            return first.join(changed.select(*at), at, "left_anti").unionByName(changed)
+
         for k in range(0 if rounds is None else rounds + 1):
-            standing, chunk = M.number(out), chunks.where(F.col("chunk") == k).drop("chunk")
-            old = standing.groupBy("part").agg(_numbered(F.col("pos"), F.col("pos"), F.col("text")).alias("existing"))
+            chunk, now = chunks.where(F.col("chunk") == k).drop("chunk"), standing()
+            old = now.where(F.col("part").isin(had)).groupBy("part").agg(_numbered(F.col("pos"), F.col("pos"), F.col("text")).alias("existing"))
             fresh = chunk.groupBy("part").agg(_numbered(F.col("pos"), F.col("pos"), F.col("text")).alias("new"))
-            asked = old.join(fresh, "part").join(had_base, "part", "left_semi")
-            pairs = proposed_pairs(self._ask(asked, prompts.MERGE, existing=F.col("existing"), new=F.col("new")), ["part"])
-            top = standing.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1
-            later = chunk.withColumn("ord", F.col("pos") + top)
-            out = self._write(M.apply_merge(standing, later, pairs).select(*NODES.fieldNames()))
-        return out
+            pairs = proposed_pairs(self._ask(old.join(fresh, "part"), prompts.MERGE, existing=F.col("existing"), new=F.col("new")), ["part"])
+            touched = now.join(pairs.select("part", F.col("i").alias("pos")).distinct(), at, "left_semi")
+            out = self._write(M.apply_merge(touched, chunk.withColumn("ord", F.col("pos") + top), pairs))
+            merged, added = out.where(F.col("ord") < top), out.where(F.col("ord") >= top)
+            # (a chunk has a few nodes of each part)
+            place = F.row_number().over(Window.partitionBy("part").orderBy("ord")) - 1
+            size = F.coalesce(*[F.when(F.col("part") == p, F.lit(n)) for p, n in sizes.items()], F.lit(0))
+            added = added.withColumn("pos", (place + size).cast("long"))
+            changed = self._write(changed.join(merged.select(*at), at, "left_anti").unionByName(merged).unionByName(added))
+            for r in added.groupBy("part").agg(F.count("*").alias("n")).collect():
+                sizes[r["part"]] = sizes.get(r["part"], 0) + r["n"]
+            top += H.MERGE_CHUNK
+        return self._write(standing().select(*NODES.fieldNames()))
 
     def hierarchy(self, episodes: DataFrame, now: Column) -> DataFrame:
         """Groups of episodes get a summary above them; fewer than four stay as they are."""
@@ -174,9 +187,8 @@ class Extraction:
         now = F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
         keys = ("conv_id", "run_id")
         placed = self._write(H.runs(turns))
-        known = self.spark.createDataFrame(list(base.ledger.items()), "conv_id string, digest string")
-        convs = self._write(H.fresh(H.conversations(placed, keys), known, force))
-        ledger = {r["conv_id"]: r["digest"] for r in H.updated_ledger(known, convs).toLocalIterator()}
+        convs = self._write(H.fresh(H.conversations(placed, keys), base.ledger, force))
+        ledger = self._write(H.updated_ledger(base.ledger, convs))
 
         date = F.coalesce(F.date_format("conv_date", "yyyy-MM-dd"), F.lit("unknown"))
         asked = self._ask(convs, prompts.EXTRACT, conv_id=F.col("conv_id"), conv_date=date, transcript=F.substring("transcript", 1, H.TRANSCRIPT_CHARS))
@@ -189,7 +201,7 @@ class Extraction:
         combined = self._write(M.dedup_exact(both))
         merged = self.merge(combined.where("__old").select(*NODES.fieldNames()), combined.where("not __old").select(*NODES.fieldNames()))
 
-        grouped = (F.col("part") == "episodes") & (F.col("granularity") != "summary") & absent(F.col("parent_id"))
+        grouped = M.groupable()
         episodes = self.hierarchy(merged.where(grouped), now)
         ahead = dead.select(*NODES.fieldNames()).withColumn("ord", F.col("ord") - (1 << 40))
         nodes = ahead.unionByName(merged.where(~grouped)).unionByName(episodes)
@@ -217,17 +229,11 @@ def run_eval(nodes: DataFrame, styles: DataFrame, questions: DataFrame, adapter:
 
     ``scoped`` builds a block for each question, with the facts that are relevant to it first.
     """
-    from ..functions.text import words
-    from ..operators.context import build_context
+    from ..operators.context import build_context, build_scoped
     from ..operators.recall import judge
 
     if scoped:
-        # every fact meets every question: questions are a set that people write, and each has its own block
-        few = questions.select("q_ord", words("question").alias("__words"))
-        each = nodes.join(F.broadcast(few)) if questions.count() <= 10_000 else nodes.crossJoin(few)
-        cards = styles.crossJoin(F.broadcast(few.select("q_ord")))
-        blocks = build_context(each, cards, budget, today=today, keys=("q_ord",), words="__words").select("q_ord", "context")
-        asked = questions.join(blocks, "q_ord")
+        asked = questions.join(build_scoped(nodes, styles, questions, budget, today).select("q_ord", "context"), "q_ord")
     else:
         block = build_context(nodes, styles, budget, today=today, keys=())
         asked = questions.crossJoin(F.broadcast(block.select("context")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sanitize
 from ..operators.revisions import REQUIRED, verify
-from ..schema import FORMAT_VERSION, NODE_FIELDS, NODE_JSON, NODES, PARTS, with_node_defaults
+from ..schema import FORMAT_VERSION, LEDGER, NODE_FIELDS, NODE_JSON, NODES, PARTS, with_node_defaults
 from .files import Files
 
 #: Names in the portable format.
@@ -27,14 +27,18 @@ class IntegrityError(Exception):
 
 @dataclass
 class Pack:
-    """Nodes (with ``part, ord``), style card, ledger of conversations, and the manifest's other fields."""
+    """Nodes (with ``part, ord``), style card, ledger of conversations (``conv_id, digest``), and the manifest's other fields."""
 
     nodes: DataFrame
     style: str = ""
-    ledger: dict[str, str] = field(default_factory=dict)
+    ledger: DataFrame | None = None
     source_models: list[str] = field(default_factory=list)
     created_at: str | None = None
 
+    def __post_init__(self) -> None:
+        if self.ledger is None:
+            self.ledger = self.nodes.sparkSession.createDataFrame([], LEDGER)
+
     @classmethod
     def empty(cls, spark: SparkSession) -> Pack:
         return cls(spark.createDataFrame([], NODES))
@@ -59,7 +63,8 @@ def pack_files(pack: Pack, raw: dict[str, bytes] | None = None) -> dict[str, byt
     files |= {f"raw/{k}": v for k, v in sorted((raw or {}).items())}
     manifest = {
         "format_version": FORMAT_VERSION, "created_at": pack.created_at or now(), "updated_at": now(), "source_models": pack.source_models,
-        "generator": "memspool", "content_hashes": {k: hashlib.sha256(v).hexdigest() for k, v in files.items()}, "extracted": pack.ledger,
+        "generator": "memspool", "content_hashes": {k: hashlib.sha256(v).hexdigest() for k, v in files.items()},
+        "extracted": {r["conv_id"]: r["digest"] for r in pack.ledger.orderBy("conv_id").toLocalIterator()},
     }
     return {**files, MANIFEST: json.dumps(manifest, indent=2).encode()}
 
@@ -110,7 +115,8 @@ def load_pack(spark: SparkSession, path: str, check: bool = True) -> Pack:
         rows = rows.select(F.lit(p).alias("part"), F.col("ord").cast("long"), "n.*")
         parts = rows if parts is None else parts.unionByName(rows)
     style = Files(spark).read(f"{path}/{STYLE}").decode()
-    return Pack(with_node_defaults(parts, F.current_timestamp()), style, m.get("extracted") or {}, m.get("source_models") or [], m.get("created_at"))
+    ledger = spark.createDataFrame(list((m.get("extracted") or {}).items()), LEDGER)
+    return Pack(with_node_defaults(parts, F.current_timestamp()), style, ledger, m.get("source_models") or [], m.get("created_at"))
 
 
 def sanitized(pack: Pack) -> Pack:

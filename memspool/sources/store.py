@@ -1,6 +1,6 @@
 """A versioned store of memory: Parquet snapshots, published by a commit row.
 
-``root/profile=P/v=N`` holds the tables of one snapshot: ``nodes`` (by part), ``meta`` (style, ledger, models) and
+``root/profile=P/v=N`` holds the tables of one snapshot: ``nodes`` (by part), ``ledger``, ``meta`` (style, models) and
 ``raw`` where lines of raw turns are kept, such that can't be parsed too.  ``root/commits/profile=P`` holds one row for each commit; it is written last, so
 a snapshot that fails half-way is never seen.  One writer at a time for each profile.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sanitize, ulid
 from ..operators.revisions import diff, purge_turns, remove_nodes
-from ..schema import NODES, PARTS
+from ..schema import LEDGER, NODES, PARTS
 from .files import Files
 from .packs import ARCHIVE_SUFFIX, IntegrityError, Pack, export_archive, load_pack, pack_errors, sanitized, unpack_archive
 
@@ -91,7 +91,8 @@ class Store:
         tree = self._tree(profile, version)
         self.files.delete(tree)  # what a failed writer left
         pack.nodes.select(*NODES.fieldNames()).write.partitionBy("part").parquet(f"{tree}/nodes")
-        meta = {"style": pack.style, "ledger": pack.ledger, "source_models": pack.source_models, "created_at": pack.created_at}
+        pack.ledger.select(*LEDGER.fieldNames()).write.parquet(f"{tree}/ledger")
+        meta = {"style": pack.style, "source_models": pack.source_models, "created_at": pack.created_at}
         self.files.write(f"{tree}/meta.json", json.dumps(meta).encode())
         if raw is not None:
             raw.select("file", "n", "line", "turn_id").write.parquet(f"{tree}/raw")
@@ -112,7 +113,8 @@ class Store:
         tree = self._tree(profile, self._row(profile, rev)["tree_version"])
         nodes = self.spark.read.schema(NODES).parquet(f"{tree}/nodes") if self.files.exists(f"{tree}/nodes") else self.spark.createDataFrame([], NODES)
         m = json.loads(self.files.read(f"{tree}/meta.json"))
-        return Pack(nodes.select(*NODES.fieldNames()), m["style"], m["ledger"], m["source_models"], m["created_at"])
+        ledger = self.spark.read.schema(LEDGER).parquet(f"{tree}/ledger")
+        return Pack(nodes.select(*NODES.fieldNames()), m["style"], ledger, m["source_models"], m["created_at"])
 
     def raw(self, profile: str, rev: int | str = "HEAD") -> DataFrame | None:
         path = f"{self._tree(profile, self._row(profile, rev)['tree_version'])}/raw"
@@ -174,12 +176,12 @@ class Store:
     # --- portable packs ---------------------------------------------------------------------------------------------
 
     def export(self, profile: str, dest: str) -> str:
-        raw: dict[str, bytes] = {}
+        files: dict[str, list[str]] = {}
         lines = self.raw(profile)
         if lines is not None:
             for r in lines.orderBy("file", "n").toLocalIterator():
-                raw[r["file"]] = raw.get(r["file"], b"") + r["line"].encode() + b"\n"
-        return export_archive(self.load(profile), dest, raw)
+                files.setdefault(r["file"], []).append(r["line"] + "\n")
+        return export_archive(self.load(profile), dest, {name: "".join(x).encode() for name, x in files.items()})
 
     def import_(self, source: str, profile: str, force: bool = False) -> str:
         """Take over a pack from a directory or archive: verified unless forced, sanitized, replacing the profile's."""

@@ -142,6 +142,24 @@ def test_search_and_newest(spark):
     assert {r["id"]: r["newest_id"] for r in C.newest(n).collect()} == {"a": "c", "b": "c", "c": "c", "d": "d"}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_newest_with_chains_and_cycles_equals_a_walk(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(60)]
+    to = {a: rng.choice([None, "", "gone", rng.choice(names), rng.choice(names)]) for a in names}
+    if seed == 0:  # a long chain into a cycle whose ids are larger
+        to = {a: b for a, b in zip(names, names[1:])} | {names[-1]: names[-3]}
+
+    def walk(a):
+        path = [a]
+        while (b := to[path[-1]]) in to and b not in path:
+            path.append(b)
+        return min(path[path.index(b) :]) if b in path else path[-1]
+
+    df = spark.createDataFrame(list(to.items()), "id string, superseded_by string")
+    assert {r["id"]: r["newest_id"] for r in C.newest(df).collect()} == {a: walk(a) for a in names}
+
+
 # --- history, revisions, recall ---------------------------------------------------------------------------------------
 
 
