@@ -100,12 +100,22 @@ LIVE = f"coalesce(superseded_by, '') = '' AND NOT coalesce(nullif(valid_until, '
 TELEGRAPH = r"regexp_replace(regexp_replace({0}, '^(?i:the|a|an)\s+', ''), '([\s(])(?:(?:the|a|an)\s+)+', '\1', 'g')"
 
 
+#: What is neutralized, written for the other engine.
+UNSAFE_SQL = (
+    r"(?i)\b(?:ignore|disregard|forget|override)\s+(?:(?:all|any)\s+)?(?:previous|prior|above|earlier|preceding|system)\s+(?:instructions?|prompts?|context|rules?)",
+    r"(?i)\bnew\s+(?:system\s+)?instructions?\s*:",
+    r"(?i)\byou\s+(?:are|must)\s+now\b[^\n]{0,40}?(?:act|behave|respond)\s+as\b",
+    r"(?i)<\|[a-z_]+\|>",
+    r"\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>",
+    r"(?im)^\s*(?:#|##|###|####)?\s*(?:system|assistant|developer|tool)\s*:",
+    r"(?i)<(?:/)?\s*(?:tool_call|tool_use|function_call|antml:invoke|invoke|tool)\b[^>]*>",
+    r"(?i)\x22(?:tool_calls|function_call)\x22\s*:",
+)
+
+
 def _sanitize_sql(x: str) -> str:
-    for p in X.UNSAFE:
-        flags, _, body = p.partition(")")
-        keep = "".join(c for c in flags if c in "im")
-        body = body.replace("'", "''").replace(r"<<\/?", "<</?")
-        x = f"regexp_replace({x}, '{f'(?{keep})' if keep else ''}{body}', '[neutralized]', 'g')"
+    for p in UNSAFE_SQL:
+        x = f"regexp_replace({x}, '{p}', '[neutralized]', 'g')"
     return x
 
 
@@ -205,40 +215,42 @@ def style_sample(spark, d):
     return H.style_sample(t, H.conversations(t))
 
 
-@query(
-    "export_list_shape",
-    "WITH k AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' END AS role, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '') "
-    "SELECT 'c' || CAST(conv_id AS VARCHAR) AS conv_id, CASE WHEN turn % 2 = 0 THEN 'm' || CAST(turn AS VARCHAR) ELSE 'c' || CAST(conv_id AS VARCHAR) || ':' || CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS VARCHAR) END AS turn_id, role, trim(text) AS content FROM k",
-)
-def export_list_shape(spark, d):
-    """Conversations written as list-shaped export objects and read back."""
-    c = _t(spark, d, "conversations")
+def list_objects(c: DataFrame) -> DataFrame:
+    """``conv_id, conv``: conversations as list-shaped export objects."""
     sender = F.when(F.col("role") == "user", "human").otherwise(F.col("role"))
     uuid = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("m"), F.col("turn").cast("string")))
     m = F.struct(F.col("turn"), uuid.alias("uuid"), sender.alias("sender"), F.col("text").alias("text"))
     conv = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("chat_messages"))
-    conv = conv.select(F.lit("f").alias("file"), F.col("conv_id").cast("int").alias("idx"), F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("uuid"), "chat_messages")).alias("conv"))
-    return SH.list_turns(conv).select("conv_id", "turn_id", "role", "content")
+    return conv.select("conv_id", F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("uuid"), "chat_messages")).alias("conv"))
 
 
-@query(
-    "export_tree_shape",
-    "WITH k AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '') "
-    "SELECT 'chatgpt-' || CAST(conv_id AS VARCHAR) AS conv_id, 'chatgpt-' || CAST(conv_id AS VARCHAR) || ':' || CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS VARCHAR) AS turn_id, role, text AS content, CAST(1700000000 + turn AS VARCHAR) || '.5' AS ts FROM k",
-)
-def export_tree_shape(spark, d):
-    """Conversations written as tree-shaped export objects, with an abandoned branch, and read back."""
-    c = _t(spark, d, "conversations")
+def tree_objects(c: DataFrame) -> DataFrame:
+    """``conv_id, conv``: conversations as tree-shaped export objects, with an abandoned branch."""
     name = lambda x: F.concat(F.lit("n"), x.cast("string"))
     message = F.struct(F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content"), (F.lit(1700000000.5) + F.col("turn")).alias("create_time"))
-    before = F.when(F.col("prev").isNotNull(), name(F.col("prev")))
-    from pyspark.sql import Window
-
-    placed = c.withColumn("prev", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
+    before = F.when(F.col("turn") > 0, name(F.col("turn") - 1))
     entry = F.struct(name(F.col("turn")).alias("key"), F.struct(before.alias("parent"), message.alias("message")).alias("value"))
     dead = F.struct(F.lit("dead").alias("key"), F.struct(F.lit("n0").alias("parent"), F.struct(F.struct(F.lit("user").alias("role")).alias("author"), F.struct(F.array(F.lit("gone")).alias("parts")).alias("content"), F.lit(1.0).alias("create_time")).alias("message")).alias("value"))
-    conv = placed.groupBy("conv_id").agg(F.map_from_entries(F.concat(F.collect_list(entry), F.array(dead))).alias("mapping"), name(F.max("turn")).alias("current_node"))
-    conv = conv.select(F.lit("f").alias("file"), F.col("conv_id").cast("int").alias("idx"), F.to_json(F.struct("mapping", "current_node")).alias("conv"))
+    conv = c.groupBy("conv_id").agg(F.map_from_entries(F.concat(F.collect_list(entry), F.array(dead))).alias("mapping"), name(F.max("turn")).alias("current_node"))
+    return conv.select("conv_id", F.to_json(F.struct("mapping", "current_node")).alias("conv"))
+
+
+SPOKEN = "k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '')"
+LISTED = "SELECT 'c' || CAST(conv_id AS VARCHAR) AS conv_id, CASE WHEN turn % 2 = 0 THEN 'm' || CAST(turn AS VARCHAR) ELSE 'c' || CAST(conv_id AS VARCHAR) || ':' || CAST(n AS VARCHAR) END AS turn_id, role, trim(text) AS content"
+TREES = "SELECT 'chatgpt-' || CAST(idx AS VARCHAR) AS conv_id, 'chatgpt-' || CAST(idx AS VARCHAR) || ':' || CAST(n AS VARCHAR) AS turn_id, role, text AS content, CAST(1700000000 + turn AS VARCHAR) || '.5' AS ts"
+
+
+@query("export_list_shape", f"WITH {SPOKEN} {LISTED} FROM k")
+def export_list_shape(spark, d):
+    """Conversations written as list-shaped export objects and read back."""
+    conv = list_objects(_t(spark, d, "conversations")).select(F.lit("f").alias("file"), F.col("conv_id").cast("int").alias("idx"), "conv")
+    return SH.list_turns(conv).select("conv_id", "turn_id", "role", "content")
+
+
+@query("export_tree_shape", f"WITH {SPOKEN} {TREES} FROM (SELECT *, conv_id AS idx FROM k)")
+def export_tree_shape(spark, d):
+    """Conversations written as tree-shaped export objects and read back."""
+    conv = tree_objects(_t(spark, d, "conversations")).select(F.lit("f").alias("file"), F.col("conv_id").cast("int").alias("idx"), "conv")
     return SH.tree_turns(conv).select("conv_id", "turn_id", "role", "content", "ts")
 
 
@@ -285,16 +297,18 @@ def relative_dates(spark, d):
     return _t(spark, d, "documents").select("doc_id", D.resolve_relative_dates(F.concat("text", phrase), base).alias("dated"))
 
 
+FLAT = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
+
+
 @query(
     "quote_verify",
-    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND trim(substr(text, 5, 30)) <> '' THEN trim(regexp_replace(substr(text, 5, 30), '^\\s+|\\s+$', '', 'g')) END AS quote FROM documents",
+    "WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN replace(substr(text, 5, 30), ' ', ' ' || chr(10) || ' ') ELSE substr(text, 5, 30) || ' never said' END AS claim FROM documents) "
+    f"SELECT doc_id, CASE WHEN contains({FLAT.format('text')}, {FLAT.format('claim')}) THEN nullif(regexp_replace(claim, '^\\s+|\\s+$', '', 'g'), '') END AS quote FROM q",
 )
 def quote_verify(spark, d):
     cut = F.substring("text", 5, 30)
     claimed = F.when(F.col("doc_id") % 2 == 0, F.replace(cut, F.lit(" "), F.lit(" \n "))).otherwise(F.concat(cut, F.lit(" never said")))
-    shown = X.verbatim(claimed, F.col("text"))
-    # the claim has other white space; what is compared is the text's own span
-    return _t(spark, d, "documents").select("doc_id", F.when(shown.isNotNull(), X.strip(cut)).alias("quote"))
+    return _t(spark, d, "documents").select("doc_id", X.verbatim(claimed, F.col("text")).alias("quote"))
 
 
 @query("render_text", f"WITH {NODES} SELECT id, {_render_sql()} AS line FROM nodes")
@@ -304,11 +318,11 @@ def render_text(spark, d):
 
 @query(
     "clamp_defaults",
-    "SELECT doc_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 7 - 2) / 2.0::DOUBLE END, 0.5))) AS salience, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'detail' END, 'episode') AS granularity FROM documents",
+    "SELECT doc_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(CASE WHEN doc_id % 9 = 5 THEN 'nan'::DOUBLE WHEN doc_id % 4 <> 0 THEN (doc_id % 7 - 2) / 2.0::DOUBLE END, 0.5))) AS salience, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'detail' END, 'episode') AS granularity FROM documents",
 )
 def clamp_defaults(spark, d):
     i = F.col("doc_id")
-    x = F.when(i % 4 != 0, (i % 7 - 2) / F.lit(2.0))
+    x = F.when(i % 9 == 5, float("nan")).when(i % 4 != 0, (i % 7 - 2) / F.lit(2.0))
     return _t(spark, d, "documents").select("doc_id", X.clamp(F.coalesce(x, F.lit(0.5))).alias("salience"), F.coalesce(F.when(i % 3 == 0, "detail"), F.lit("episode")).alias("granularity"))
 
 
@@ -332,7 +346,14 @@ def session_times(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", D.session_time(F.concat(F.lower(F.date_format(at, "h:mm a")), F.date_format(at, " 'on' d MMMM, yyyy"))).alias("ts"))
 
 
-@query("reply_json", "SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN turn END AS n FROM conversations")
+_BARE = r"regexp_replace(trim(reply, ' ' || chr(10)), '(?m)^```(?:json)?|```$', '', 'g')"
+
+
+@query(
+    "reply_json",
+    "WITH r AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '```json' || chr(10) || '{\"n\": ' || turn || '}' || chr(10) || '```' WHEN 1 THEN 'Here it is: {\"n\": ' || turn || '}' ELSE '{\"n\": ' || turn || '} and so on' END AS reply FROM conversations), "
+    f"b AS (SELECT conv_id, turn, trim(substr({_BARE}, instr({_BARE}, '{{')), ' ' || chr(10)) AS j FROM r) SELECT conv_id, turn, CASE WHEN json_valid(j) THEN CAST(json_extract(j, '$.n') AS BIGINT) END AS n FROM b",
+)
 def reply_json(spark, d):
     """Replies with fences, prose before or behind: only what parses gives a number."""
     value = F.format_string('{"n": %d}', "turn")
@@ -367,8 +388,22 @@ def dedup_exact(spark, d):
 )
 def pack_union(spark, d):
     packs = nodes(spark, d).withColumn("pack_ord", F.col("profile"))
-    styles = packs.select("pack_ord", F.lit("").alias("text")).limit(0)
-    return M.merge_packs(packs, styles)[0].select("id", "part", "profile", "text")
+    return M.merge_packs(packs, _styles(packs))[0].select("id", "part", "profile", "text")
+
+
+def _styles(packs: DataFrame) -> DataFrame:
+    """A style card for each pack; several are the same, and some blank."""
+    n = F.substring("pack_ord", 4, 9).cast("int") % 7
+    return packs.select("pack_ord").distinct().select("pack_ord", F.when(n == 3, " \n").otherwise(F.concat(F.lit(" Style "), n.cast("string"), F.lit("\n"))).alias("text"))
+
+
+@query(
+    "pack_styles",
+    f"WITH {NODES}, c AS (SELECT CAST(substr(profile, 4) AS INTEGER) % 7 AS n, min(profile) AS o FROM nodes GROUP BY 1) SELECT string_agg('Style ' || CAST(n AS VARCHAR), chr(10) ORDER BY o) AS text FROM c WHERE n <> 3",
+)
+def pack_styles(spark, d):
+    packs = nodes(spark, d).withColumn("pack_ord", F.col("profile"))
+    return M.merge_packs(packs, _styles(packs))[1]
 
 
 @query("chunk_numbering", f"WITH {NODES}, p AS (SELECT id, part, row_number() OVER (PARTITION BY part, profile ORDER BY ord) - 1 AS n FROM nodes) SELECT id, part, CAST(n // 40 AS BIGINT) AS chunk, CAST(n % 40 AS BIGINT) AS pos FROM p")
@@ -430,12 +465,26 @@ def merge_pairs(spark, d):
     SELECT chunk, CAST(group_ord AS INTEGER) AS group_ord, summary, salience, {_distinct_sql('rr')} AS refs FROM p""",
 )
 def group_parents(spark, d):
+    return _grouped(spark, d)[0].select("chunk", "group_ord", F.col("text").alias("summary"), "salience", _joined("source_refs").alias("refs"))
+
+
+def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = _chunked(nodes(spark, d).where("part = 'episodes'"))
     made = [(0, "one", [1, 2, 99]), (1, "two", [2, 3, 4]), (2, "alone", [5]), (3, "", [6, 7])]
     rows = F.array(*[F.struct(F.lit(o).alias("group_ord"), F.lit(s).alias("summary"), F.array(*[F.lit(x).cast("long") for x in m]).alias("members")) for o, s, m in made])
-    groups = c.select("chunk").distinct().select("chunk", F.explode(rows).alias("g")).select("chunk", "g.*").withColumn("id", X.ulid("chunk", "group_ord"))
-    parents, _ = M.attach_groups(c, groups, ("chunk",))
-    return parents.select("chunk", "group_ord", F.col("text").alias("summary"), "salience", _joined("source_refs").alias("refs"))
+    groups = c.select("chunk").distinct().select("chunk", F.explode(rows).alias("g")).select("chunk", "g.*").withColumn("id", F.concat_ws("-", F.lit("group"), "chunk", "group_ord"))
+    return M.attach_groups(c, groups, ("chunk",))
+
+
+@query(
+    "group_children",
+    f"""WITH {NODES}, c AS (SELECT *, ord // 120 AS chunk, ord // 3 % 40 AS pos FROM nodes WHERE part = 'episodes'), g(group_ord, pos) AS (VALUES (0, 1), (0, 2), (1, 2), (1, 3), (1, 4)),
+      j AS (SELECT c.id, c.chunk, g.group_ord FROM g JOIN c ON c.pos = g.pos), n AS (SELECT chunk, group_ord FROM j GROUP BY ALL HAVING count(*) >= 2),
+      p AS (SELECT j.id, max(j.group_ord) AS g FROM j JOIN n ON n.chunk = j.chunk AND n.group_ord = j.group_ord GROUP BY j.id)
+    SELECT c.id, coalesce('group-' || CAST(c.chunk AS VARCHAR) || '-' || CAST(p.g AS VARCHAR), c.parent_id) AS parent_id FROM c LEFT JOIN p ON p.id = c.id""",
+)
+def group_children(spark, d):
+    return _grouped(spark, d)[1].select("id", "parent_id")
 
 
 # --- nodes: reading ---------------------------------------------------------------------------------------------------
@@ -457,16 +506,25 @@ def _lit_sql(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+def fold_sql(budget: int) -> str:
+    """The fold over the lines of ``s`` (``key, sec, overlap, salience, confidence, ord, line``) as ``f`` (``key, r``)."""
+    chunk = f"CASE WHEN s.last = x.sec THEN x.line ELSE chr(10) || '## ' || list_extract({list(C.SECTIONS)}, x.sec + 1) || chr(10) || x.line END"
+    return f"""a AS (SELECT key, list({{'used': 0, 'last': -1, 'out': '', 'sec': sec, 'line': line}} ORDER BY sec, overlap DESC, salience DESC, confidence <> 'stated', ord) AS items FROM s GROUP BY key),
+      f AS (SELECT key, list_reduce(items, lambda s, x: CASE WHEN s.used + length({chunk}) // 4 + 1 > {budget} THEN s
+        ELSE {{'used': CAST(s.used + length({chunk}) // 4 + 1 AS INTEGER), 'last': x.sec, 'out': s.out || {chunk}, 'sec': 0, 'line': ''}} END,
+        {{'used': {C.BASE_TOKENS}, 'last': -1, 'out': '', 'sec': 0, 'line': ''}}) AS r FROM a)"""
+
+
+SECTION = "CASE part WHEN 'identity' THEN 0 WHEN 'threads' THEN 2 ELSE 3 END"
+LINE = f"'- ' || {_sanitize_sql('(' + _render_sql() + ')')} || chr(10)"
+CONTEXT = f"{_lit_sql(C.PREAMBLE)} || r.out || '{C.CLOSING}'"
+
+
 @query(
     "context_budget",
-    f"""WITH {NODES}, l AS (SELECT profile, CASE part WHEN 'identity' THEN 0 WHEN 'threads' THEN 2 ELSE 3 END AS sec, CAST({_OVERLAP} AS INTEGER) AS overlap, salience, confidence, ord, '- ' || {_sanitize_sql('(' + _render_sql() + ')')} || chr(10) AS line FROM nodes WHERE {LIVE}),
-      s AS (SELECT * FROM l UNION ALL SELECT DISTINCT profile, 1, 0, 0, '', 0, 'Writes about ' || profile || '.' || chr(10) FROM nodes),
-      a AS (SELECT profile, list({{'used': 0, 'last': -1, 'out': '', 'sec': sec, 'line': line}} ORDER BY sec, overlap DESC, salience DESC, confidence <> 'stated', ord) AS items FROM s GROUP BY profile),
-      f AS (SELECT profile, list_reduce(items, lambda s, x: CASE WHEN s.used + length(CASE WHEN s.last = x.sec THEN x.line ELSE chr(10) || '## ' || list_extract({list(C.SECTIONS)}, x.sec + 1) || chr(10) || x.line END) // 4 + 1 > {BUDGET} THEN s
-        ELSE {{'used': CAST(s.used + length(CASE WHEN s.last = x.sec THEN x.line ELSE chr(10) || '## ' || list_extract({list(C.SECTIONS)}, x.sec + 1) || chr(10) || x.line END) // 4 + 1 AS INTEGER), 'last': x.sec,
-          'out': s.out || CASE WHEN s.last = x.sec THEN x.line ELSE chr(10) || '## ' || list_extract({list(C.SECTIONS)}, x.sec + 1) || chr(10) || x.line END, 'sec': 0, 'line': ''}} END,
-        {{'used': {C.BASE_TOKENS}, 'last': -1, 'out': '', 'sec': 0, 'line': ''}}) AS r FROM a)
-    SELECT profile, {_lit_sql(C.PREAMBLE)} || r.out || '{C.CLOSING}' AS context, r.used AS used FROM f""",
+    f"""WITH {NODES}, l AS (SELECT profile AS key, {SECTION} AS sec, CAST({_OVERLAP} AS INTEGER) AS overlap, salience, confidence, ord, {LINE} AS line FROM nodes WHERE {LIVE}),
+      s AS (SELECT * FROM l UNION ALL SELECT DISTINCT profile, 1, 0, 0, '', 0, 'Writes about ' || profile || '.' || chr(10) FROM nodes), {fold_sql(BUDGET)}
+    SELECT key AS profile, {CONTEXT} AS context, r.used AS used FROM f""",
 )
 def context_budget(spark, d):
     n = nodes(spark, d)
@@ -486,14 +544,15 @@ def live_for_merge(spark, d):
 
 @query("loose_episodes", f"WITH {NODES} SELECT id, granularity <> 'summary' AND coalesce(parent_id, '') = '' AS loose FROM nodes WHERE part = 'episodes'")
 def loose_episodes(spark, d):
-    return nodes(spark, d).where("part = 'episodes'").select("id", ((F.col("granularity") != "summary") & absent(F.col("parent_id"))).alias("loose"))
+    return nodes(spark, d).where("part = 'episodes'").select("id", M.groupable().alias("loose"))
+
 
+INSPECTED = "'  (' || printf('%.2f', salience) || ') ' || text || '  #' || array_to_string(tags, ' #') || CASE WHEN coalesce(superseded_by, '') <> '' THEN ' [superseded]' ELSE '' END"
 
-@query("inspect_lines", f"WITH {NODES} SELECT part, id, '  (' || printf('%.2f', salience) || ') ' || text || '  #' || array_to_string(tags, ' #') || CASE WHEN coalesce(superseded_by, '') <> '' THEN ' [superseded]' ELSE '' END AS line FROM nodes")
+
+@query("inspect_lines", f"WITH {NODES} SELECT part, row_number() OVER (PARTITION BY part ORDER BY salience DESC, ord) AS n, {INSPECTED} AS line FROM nodes")
 def inspect_lines(spark, d):
-    tags = F.when(F.size("tags") > 0, F.concat(F.lit("  #"), F.array_join("tags", " #"))).otherwise("")
-    mark = F.when(absent(F.col("superseded_by")), "").otherwise(" [superseded]")
-    return nodes(spark, d).select("part", "id", F.concat(F.format_string("  (%.2f) ", "salience"), "text", tags, mark).alias("line"))
+    return C.inspect_lines(nodes(spark, d))
 
 
 @query(
@@ -565,15 +624,15 @@ def reply_pairs(spark, d):
 @query(
     "revision_diff",
     f"""WITH {NODES}, a AS (SELECT * FROM nodes WHERE ord % 10 <> 0), b AS (SELECT part, id, ord, CASE WHEN ord % 10 = 2 THEN text || ' (edited)' ELSE text END AS text, CASE WHEN ord % 10 = 3 THEN 'x' ELSE superseded_by END AS superseded_by FROM nodes WHERE ord % 10 <> 1),
-      j AS (SELECT coalesce(a.part, b.part) AS part, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.text <> b.text THEN 'rewritten' WHEN a.superseded_by IS DISTINCT FROM b.superseded_by THEN 'superseded' END AS change FROM a FULL JOIN b ON a.part = b.part AND a.id = b.id)
-    SELECT part, id, change FROM j WHERE change IS NOT NULL""",
+      j AS (SELECT coalesce(a.part, b.part) AS part, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.text <> b.text THEN 'rewritten' WHEN a.superseded_by IS DISTINCT FROM b.superseded_by THEN 'superseded' END AS change, a.text AS x, b.text AS y FROM a FULL JOIN b ON a.part = b.part AND a.id = b.id)
+    SELECT part, id, change, CASE change WHEN 'added' THEN '+ [' || part || '] ' || y WHEN 'removed' THEN '- [' || part || '] ' || x WHEN 'rewritten' THEN '~ [' || part || '] ''' || x || ''' -> ''' || y || '''' ELSE '~ [' || part || '] superseded: ' || x END AS line FROM j WHERE change IS NOT NULL""",
 )
 def revision_diff(spark, d):
     n = nodes(spark, d)
     b = n.where("ord % 10 != 1").withColumns({
         "text": F.when(F.col("ord") % 10 == 2, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text")), "superseded_by": F.when(F.col("ord") % 10 == 3, "x").otherwise(F.col("superseded_by")),
     })
-    return V.diff(n.where("ord % 10 != 0"), b).select("part", "id", "change")
+    return V.diff(n.where("ord % 10 != 0"), b)
 
 
 @query(
@@ -593,10 +652,11 @@ def raw_purge(spark, d):
 
 @query(
     "dangling_refs",
-    f"WITH {NODES}, r AS (SELECT id, 'superseded_by' AS \"column\", superseded_by AS target FROM nodes UNION ALL SELECT id, 'parent_id', parent_id FROM nodes) SELECT * FROM r WHERE coalesce(target, '') <> '' AND target NOT IN (SELECT id FROM nodes)",
+    f"WITH {NODES}, n AS (SELECT * FROM nodes WHERE ord % 10 <> 1 AND ord % 100 <> 0), r AS (SELECT id, 'superseded_by' AS \"column\", superseded_by AS target FROM n UNION ALL SELECT id, 'parent_id', parent_id FROM n) SELECT * FROM r WHERE coalesce(target, '') <> '' AND target NOT IN (SELECT id FROM n)",
 )
 def dangling_refs(spark, d):
-    return V.dangling(nodes(spark, d))
+    """References into a table that lost some of its nodes."""
+    return V.dangling(nodes(spark, d).where("ord % 10 != 1 and ord % 100 != 0"))
 
 
 @query(
@@ -621,7 +681,8 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return b.select(i.alias("q_ord"), answer.alias("answer"), F.array(F.lit("\x00"), needle).alias("expected"), F.when(i % 3 == 0, "temporal").when(i % 3 == 1, "single-hop").otherwise("").alias("category"))
 
 
-_RESULTS = "r AS (SELECT item_id AS q_ord, item_id % 4 >= 2 AS passed, CASE item_id % 3 WHEN 0 THEN 'temporal' WHEN 1 THEN 'single-hop' ELSE '' END AS category FROM benchmark)"
+_RESULTS = r"""q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN '<think>' || text || '</think> no idea' WHEN 1 THEN 'I do not know' ELSE text END AS answer, substr(text, 11, 12) AS needle FROM benchmark),
+  r AS (SELECT item_id AS q_ord, contains(lower(regexp_replace(answer, '(?s)<think>.*?</think>', '', 'g')), lower(needle)) AS passed, CASE item_id % 3 WHEN 0 THEN 'temporal' WHEN 1 THEN 'single-hop' ELSE '' END AS category FROM q)"""
 
 
 @query("judge", f"WITH {_RESULTS} SELECT q_ord, passed FROM r")
@@ -637,3 +698,6 @@ def by_category(spark, d):
 @query("recall", f"WITH {_RESULTS} SELECT count(*) FILTER (passed) AS passed, count(*) AS total, CAST(100 * count(*) FILTER (passed) // count(*) AS BIGINT) AS percent FROM r")
 def recall(spark, d):
     return R.recall(R.judge(_answers(spark, d)))
+
+
+from . import catalog_flows  # noqa: E402, F401  (it registers the queries on files, stores and model calls)

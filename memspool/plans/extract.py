@@ -122,6 +122,11 @@ class Extraction:
         self._step += 1
         return complete_all(asked, self.adapter, f"{self.scratch}/{self._step:04d}", True, self.concurrency)
 
+    def proposals(self, convs: DataFrame) -> DataFrame:
+        """``convs`` with the model's ``reply`` to each."""
+        date = F.coalesce(F.date_format("conv_date", "yyyy-MM-dd"), F.lit("unknown"))
+        return self._ask(convs, prompts.EXTRACT, conv_id=F.col("conv_id"), conv_date=date, transcript=F.substring("transcript", 1, H.TRANSCRIPT_CHARS))
+
     def resolve(self, nodes: DataFrame) -> DataFrame:
         """Chunks of nodes of one part each go to the model; its pairs are applied."""
         numbered = self._write(M.number(nodes, H.RESOLVE_CHUNK))
@@ -190,9 +195,7 @@ class Extraction:
         convs = self._write(H.fresh(H.conversations(placed, keys), base.ledger, force))
         ledger = self._write(H.updated_ledger(base.ledger, convs))
 
-        date = F.coalesce(F.date_format("conv_date", "yyyy-MM-dd"), F.lit("unknown"))
-        asked = self._ask(convs, prompts.EXTRACT, conv_id=F.col("conv_id"), conv_date=date, transcript=F.substring("transcript", 1, H.TRANSCRIPT_CHARS))
-        fresh = self.resolve(M.dedup_exact(candidates(asked, now)))
+        fresh = self.resolve(M.dedup_exact(candidates(self.proposals(convs), now)))
 
         dead = base.nodes.where(~absent(F.col("superseded_by")))
         live = base.nodes.where(absent(F.col("superseded_by")))
