@@ -184,19 +184,18 @@ def newest(nodes: DataFrame) -> DataFrame:
     ids = nodes.select(F.col("id").alias("to"), F.lit(True).alias("__known"))
     step = nodes.select("id", F.coalesce(present(F.col("superseded_by")), F.col("id")).alias("to")).join(ids, "to", "left")
     step = step.select("id", F.when(F.col("__known"), F.col("to")).otherwise(F.col("id")).alias("to"))
-    step = materialize(step.withColumn("least", F.col("to")), "newest")
+    # done: the pointer is at an end
+    step = materialize(step.withColumn("least", F.col("to")).withColumn("done", F.col("to") == F.col("id")), "newest")
     seen = -1
     for k in range(1, 64):
-        ahead = step.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("least").alias("l"))
-        both = step.join(ahead, "to").select("id", F.col("next").alias("to"), F.least("least", "l").alias("least"), (F.col("next") != F.col("to")).alias("moved"))
-        both = materialize(both, "newest")
-        step, left = both.drop("moved"), both.where("moved").count()
+        ahead = step.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("least").alias("l"), F.col("done").alias("d"))
+        step = materialize(step.join(ahead, "to").select("id", F.col("next").alias("to"), F.least("least", "l").alias("least"), F.col("d").alias("done")), "newest")
+        left = step.where("not done").count()
         if not left or (left == seen and 1 << k >= left):
             break
         seen = left
     if not left:
         return step.select("id", F.col("to").alias("newest_id"))
     # a node that leads into a cycle takes the smallest id of where it ended, which is on the cycle
-    ends = step.select(F.col("id").alias("to"), F.col("to").alias("after"), F.col("least").alias("cycle"))
-    joined = step.join(ends, "to")
-    return joined.select("id", F.when(F.col("after") == F.col("to"), F.col("to")).otherwise(F.col("cycle")).alias("newest_id"))
+    ends = step.select(F.col("id").alias("to"), F.col("least").alias("cycle"))
+    return step.join(ends, "to").select("id", F.when(F.col("done"), F.col("to")).otherwise(F.col("cycle")).alias("newest_id"))
