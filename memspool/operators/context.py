@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import overlap, render, sanitize, strip
 from ..functions.text import words as word_list
 from ..schema import absent, present
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, release
 from .merge import placed
 
 #: The text around a block, and the sections in their order.
@@ -189,7 +189,8 @@ def newest(nodes: DataFrame) -> DataFrame:
     seen = -1
     for k in range(1, 64):
         ahead = step.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("least").alias("l"), F.col("done").alias("d"))
-        step = materialize(step.join(ahead, "to").select("id", F.col("next").alias("to"), F.least("least", "l").alias("least"), F.col("d").alias("done")), "newest")
+        last, step = step, materialize(step.join(ahead, "to").select("id", F.col("next").alias("to"), F.least("least", "l").alias("least"), F.col("d").alias("done")), "newest")
+        release(last)
         left = step.where("not done").count()
         if not left or (left == seen and 1 << k >= left):
             break

@@ -64,4 +64,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.memspool_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these; nothing may read them any more.  Other DataFrames stay as they are."""
+    for df in tables:
+        if (path := getattr(df, "memspool_path", None)) is not None:
+            drop_table(df.sparkSession, path)
