@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop_table, materialize, new_table_path, shared_dir
+from ..sources.scratch import drop_table, materialize, new_table_path, release, shared_dir
 
-__all__ = ["crc_mod", "drop_table", "map_batches", "materialize", "new_table_path", "shared_dir", "text_bytes", "training_sample"]
+__all__ = ["crc_mod", "drop_table", "map_batches", "materialize", "new_table_path", "release", "shared_dir", "text_bytes", "training_sample"]
 
 #: The six white-space bytes that separate words everywhere in this subpackage;
 #: ``bytes.split()`` separates on exactly these.

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_batches, materialize, new_table_path, text_bytes
+from .common import drop_table, map_batches, materialize, new_table_path, release, text_bytes
 from .op07_simhash import connected_components
 
 _DIGIT = re.compile(rb"[0-9]")
@@ -233,7 +233,8 @@ def large_templates(found: DataFrame, p: TemplateParams) -> DataFrame:
         dealt = dealt.repartition("g", "part").sortWithinPartitions("g", "part", "kind", "s", "h1", "h2")
         named = materialize(dealt.mapInArrow(match, "g long, k long, s string, h1 long, h2 long, t1 long, t2 long"), "line-matched")
         out = out.unionByName(named.where("t1 is not null and (h1 != t1 or h2 != t2)").select("h1", "h2", "t1", "t2"))
-        left = named.where("t1 is null").select("g", "k", "s", "h1", "h2")
+        left = materialize(named.where("t1 is null").select("g", "k", "s", "h1", "h2"), "line-left")
+        release(leaders)
     return out
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, text_bytes
+from .common import map_batches, materialize, release, text_bytes
 
 SEED, BITS, MOST = 42, 3, 4096
 #: Rows of a block in a cell with many rows.
@@ -255,6 +255,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         then = materialize(small.where("a != b").distinct(), "components")
         new = stamp(then)
+        release(now, least, large, low)
         now = then
         if new == seen:
             break

@@ -64,6 +64,21 @@ def test_bands(nasty, nothing, spark):
     assert R.quality_rules(nothing).count() == 0
 
 
+def test_every_byte_is_in_a_chunk(spark):
+    """A repetitive tail, and a text a little longer than a chunk; by compressing each chunk."""
+    good = prose(21, 2000)
+    rows = [(0, good[: 3 * 2048], "", ""), (1, good[: 3 * 2048] + "same " * 400, "", ""), (2, good[:2048], "", ""), (3, good[:2049], "", ""), (4, good[:1900] + "again " * 100, "", "")]
+    got = {r["doc_id"]: r for r in R.quality_rules(spark.createDataFrame(doc_rows(rows), DOCS)).collect()}
+    b, c = R.Bands(), zstandard.ZstdCompressor(level=3, write_content_size=False)
+    for i, t, *_ in rows:
+        raw, size = t.encode(), b.chunk_bytes
+        parts = [raw[k : k + size] for k in range(0, len(raw), size)]
+        parts[-1] = raw[-size:]
+        ratios = [len(c.compress(x)) / size for x in parts] if len(raw) > size else []
+        assert (got[i]["n_chunks"], got[i]["n_bad_chunks"]) == (len(ratios), sum(not b.chunk_low <= x <= b.chunk_high for x in ratios))
+    assert [got[i]["n_chunks"] for i in range(5)] == [3, 4, 0, 2, 2] and got[1]["n_bad_chunks"] == 1 and got[0]["kept"] and not got[4]["kept"]
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------------
 
 PATH = public_tokenizers.path("word_bpe_49k.json")

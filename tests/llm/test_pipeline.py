@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from memspool.llm import op06_toxicity, op07_simhash, op09_mix, op10_decontam
 
@@ -51,3 +53,29 @@ def test_stages(spark, sf_dir, tables, tmp_path):
     assert Counter((r["doc_id"], r["n_tokens"]) for r in docs.collect()) == want
     again = corpus_pipeline.run(spark, sf_dir)
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, docs.collect()))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_documents(spark, sf_dir, nasty, nothing, name):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, no rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, nasty, sf_dir)
+    rows = texts(nasty)
+    if name == "tokens":
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == Counter((i, len(plain_tokens([(i, t)])[i, t])) for i, t in rows)
+    else:
+        assert got.columns == nasty.columns
+        kept = Counter(texts(got))
+        if name in ("toxicity", "decontaminate"):  # none of them is toxic or holds an item
+            assert kept == Counter(rows)
+        elif name == "near_dedup":
+            groups = {}
+            for k, (i, t) in enumerate(rows):
+                groups.setdefault(near_groups([(n, x) for n, (_, x) in enumerate(rows)])[k], []).append((i, t))
+            assert len(kept) == kept.total() == len(groups)
+            for members in groups.values():
+                least = min((i for i, _ in members if i is not None), default=None)
+                assert sum(x in kept for x in set(members)) == 1 and any((least, t) in kept for _, t in members)
+        else:
+            assert all(n <= 2 * Counter(rows)[x] for x, n in kept.items()) and kept.total() > 0
+    assert stage(spark, nothing, sf_dir).count() == 0
