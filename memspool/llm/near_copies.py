@@ -164,7 +164,8 @@ def near_copies(
     fps = materialize(fps.select("fp", "least_id", "one.key", F.col("one.doc_id").alias("one_id")), "near-fps")
     cells = materialize(rows.select(F.explode("bands").alias("cell"), "fp").distinct(), "near-cells")
     counts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
-    busy = materialize(cells.join(counts, "cell"), "near-busy")
+    # (tables on both sides of a join let Spark split a hot key's rows)
+    busy = materialize(cells.join(materialize(counts, "near-counts"), "cell"), "near-busy")
     listed = busy.where(F.col("n") <= few)
     x, y = listed.select("cell", F.col("fp").alias("a")), listed.select("cell", F.col("fp").alias("b"))
     pairs = x.join(y, "cell").where("a < b").select("a", "b")

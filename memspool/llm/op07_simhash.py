@@ -157,7 +157,8 @@ def _quarters(fp: Column, cell: Column) -> Column:
 def _busy(cells: DataFrame) -> DataFrame:
     """``cell, own, fp, n_own, n_up``: the rows of cells that hold own rows and any others."""
     counts = cells.groupBy("cell").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_up"))
-    counts = counts.where((F.col("n_own") > 0) & (F.col("n_own") + F.col("n_up") > 1))
+    counts = materialize(counts.where((F.col("n_own") > 0) & (F.col("n_own") + F.col("n_up") > 1)), "simhash-counts")
+    # (tables on both sides of a join let Spark split a hot cell's rows)
     return materialize(cells.join(counts, "cell"), "simhash-busy")
 
 
@@ -184,6 +185,7 @@ def outside_top(many: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = named.groupBy("cell", "component").agg(F.count("*").alias("n"))
     cells = sizes.groupBy("cell").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
     cells = cells.where(F.col("n") > F.col("top.n")).select("cell", F.col("top.component").alias("top"), (F.col("n") - F.col("top.n")).alias("n_own"), F.col("top.n").alias("n_up"))
+    cells = materialize(cells, "dense-cells")
     return materialize(named.join(cells, "cell").withColumn("own", F.col("component") != F.col("top")).drop("top"), "dense-rows")
 
 
@@ -202,7 +204,7 @@ def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK
     found = [_joined(busy.where(~dense), bits)]
     many = busy.where(dense)
     if not many.isEmpty():
-        inner = _busy(many.select(F.explode(_quarters(F.col("fp"), F.col("cell"))).alias("cell"), "own", "fp"))
+        inner = _busy(materialize(many.select(F.explode(_quarters(F.col("fp"), F.col("cell"))).alias("cell"), "own", "fp"), "simhash-cells"))
         found.append(_joined(inner.where(~dense), bits))
         many = materialize(inner.where(dense).select("cell", "own", "fp"), "simhash-dense")
         if not many.isEmpty():
