@@ -1,6 +1,6 @@
 """Near copies by Jaccard similarity of five-word shingles.
 
-Candidates come from SimHash fingerprints of the shingles, of which those within 3 bits are found by the popcount grid, and, since
+Candidates come from SimHash fingerprints of the shingles, of which those within 3 bits are found by the popcount grid (in its dense cells, those near the cell's first one), and, since
 near copies at 0.8 are some ten bits apart, where no grid separates, from MinHash too: a document has ``BANDS`` keys of ``ROWS`` minima each,
 and documents that share a key are compared.  Of pairs at similarity 0.8, 3 in 100,000 share no key; of
 more similar ones fewer.  Each link is verified on the whole sets of shingle hashes.
@@ -149,7 +149,7 @@ def simhash_pairs(rows: DataFrame, bits: int) -> DataFrame:
     """``a, b``: sets whose SimHashes the popcount grid links, one set for each SimHash, and that one with its equals."""
     sims = materialize(rows.groupBy("sim").agg(F.min("fp").alias("one")), "near-sims")
     equal = rows.join(sims, "sim").where("one < fp").select(F.col("one").alias("a"), F.col("fp").alias("b"))
-    found = materialize(links(sims.select(F.col("sim").alias("fp")), bits), "near-sims")
+    found = materialize(links(sims.select(F.col("sim").alias("fp")), bits, whole=False), "near-sims")
     x, y = (sims.select(F.col("sim").alias(side), F.col("one").alias(f"one_{side}")) for side in ("a", "b"))
     found = found.join(x, "a").join(y, "b")
     return equal.unionByName(found.select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b")))
@@ -179,7 +179,8 @@ def near_copies(
     if not many.isEmpty():
         more = materialize(_dense_links(many.select("cell", "fp"), groups, sets, similarity, block).distinct(), "near-links")
         if not more.isEmpty():
-            groups = connected_components(linked.unionByName(more))
+            # each component is a star by now
+            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return name_groups(rows.select("doc_id", "key", "fp"), fps.select("fp", "least_id"), groups)
 
 

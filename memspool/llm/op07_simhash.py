@@ -189,10 +189,11 @@ def outside_top(many: DataFrame, groups: DataFrame) -> DataFrame:
     return materialize(named.join(cells, "cell").withColumn("own", F.col("component") != F.col("top")).drop("top"), "dense-rows")
 
 
-def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK, whole: bool = True) -> DataFrame:
     """``a, b``: links between different fingerprints, enough to connect all that are linked.
 
-    ``fps`` has one row for each fingerprint.  ``bits`` up to 3.
+    ``fps`` has one row for each fingerprint.  ``bits`` up to 3.  Without ``whole``, rows of dense cells are compared with one row of
+    their cell only, for a caller who has other candidates too.
     """
     if bits > 3:
         raise ValueError("the halves of the grid hold for up to 3 differing bits")
@@ -203,18 +204,25 @@ def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK
     dense = F.col("n_own") * (F.col("n_own") + F.col("n_up")) > most
     found = [_joined(busy.where(~dense), bits)]
     many = busy.where(dense)
-    if not many.isEmpty():
+    if not whole:
+        found.append(_stars(many, bits))
+    elif not many.isEmpty():
         inner = _busy(materialize(many.select(F.explode(_quarters(F.col("fp"), F.col("cell"))).alias("cell"), "own", "fp"), "simhash-cells"))
         found.append(_joined(inner.where(~dense), bits))
         many = materialize(inner.where(dense).select("cell", "own", "fp"), "simhash-dense")
         if not many.isEmpty():
-            heads = materialize(many.where("own").groupBy("cell").agg(F.min("fp").alias("a")), "simhash-dense")
-            found.append(many.join(heads, "cell").withColumnRenamed("fp", "b").where("a != b").where(_near(bits)).select("a", "b"))
+            found.append(_stars(many, bits))
             linked = materialize(reduce(DataFrame.unionByName, found).distinct(), "simhash-links")
             return linked.unionByName(_dense_links(many.select("cell", "fp"), connected_components(linked), bits, block))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _stars(many: DataFrame, bits: int) -> DataFrame:
+    """Links of a cell's rows with the smallest own one."""
+    heads = materialize(many.where("own").groupBy("cell").agg(F.min("fp").alias("a")), "simhash-heads")
+    return many.join(heads, "cell").withColumnRenamed("fp", "b").where("a != b").where(_near(bits)).select("a", "b")
+
+
 def _dense_links(many: DataFrame, groups: DataFrame, bits: int, block: int) -> DataFrame:
     """Links among rows of a cell (``cell, fp``) that are in different components (``groups``)."""
     rows = outside_top(many, groups)
