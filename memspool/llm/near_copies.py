@@ -29,15 +29,16 @@ from .op07_simhash import BITS, connected_components, deal, keep_first, links, m
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Nodes of a key whose pairs are listed, and nodes of a block where there are more.
 FEW, BLOCK = 32, 256
-_RANDOM = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_RANDOM = np.random.default_rng(5).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
     """The MinHash keys of a set of shingle hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 1024):  # bounded memory for long texts
-        mixed = (hashes[at : at + 1024, None] ^ _RANDOM[0]) * (_RANDOM[1] | np.uint64(1))
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0))
+    high = (hashes >> np.uint64(32)).astype(np.uint32)  # ties of different shingles only add candidates
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(high), 2048):  # bounded memory for long texts
+        mixed = (high[None, at : at + 2048] ^ _RANDOM[0]) * (_RANDOM[1] | np.uint32(1))
+        least = np.minimum(least, mixed.min(1))
     keys = [xxhash.xxh3_64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
