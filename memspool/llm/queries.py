@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import op01_quality, op02_rules, op03_tokens, op04_lines, op05_language, op06_toxicity, op07_simhash, op08_html, op09_mix
 from . import op10_decontam as op10_edits
 from . import op11_prefixes as op11_trie
+from . import op13_secrets as op13_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,10 @@ def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("digest")
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_scan.secrets_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_rules": op2_rules,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix": op9_mix,
     "op10_decontam": op10_decontam,
     "op11_prefixes": op11_prefixes,
+    "op13_secrets": op13_secrets,
 }
 
 #: The others are not wholly expressible in SQL; tests compare them with brute-force versions.
