@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import op01_quality, op02_rules, op03_tokens, op04_lines, op05_language, op06_toxicity, op07_simhash, op08_html, op09_mix
 from . import op10_decontam as op10_edits
 from . import op11_prefixes as op11_trie
+from . import op12_merkle as op12_tree
 from . import op13_secrets as op13_scan
 
 
@@ -69,6 +70,10 @@ def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("digest")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_tree.merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_scan.secrets_report(_table(spark, sf_dir, "documents"))
 
@@ -85,8 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix": op9_mix,
     "op10_decontam": op10_decontam,
     "op11_prefixes": op11_prefixes,
+    "op12_merkle": op12_merkle,
     "op13_secrets": op13_secrets,
 }
 
 #: The others are not wholly expressible in SQL; tests compare them with brute-force versions.
-ORACLES: dict[str, str] = {"op11_prefixes": op11_trie.ORACLE}
+ORACLES: dict[str, str] = {"op11_prefixes": op11_trie.ORACLE, "op12_merkle": op12_tree.ORACLE}
