@@ -28,7 +28,7 @@ from itertools import product
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, text_bytes
@@ -155,6 +155,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
+def _is(name: str) -> Callable[[Column], Column]:
+    return lambda x: x == name
+
+
 def secrets_report(docs: DataFrame, **columns: str) -> DataFrame:
     """Per document the numbers of base spans, a digest of them, all spans as text, and how many a checksum proved."""
     base = [k.name for k in BASE]
@@ -164,7 +168,8 @@ def secrets_report(docs: DataFrame, **columns: str) -> DataFrame:
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in base]
     proved = (F.size("spans") - F.size(of_base)).cast("long").alias("n_checked")
     return found.select("doc_id", *counts, F.sha2(listed(of_base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), proved)
 

@@ -71,7 +71,7 @@ def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op12_tree.merkle_manifest(_table(spark, sf_dir, "documents"))
+    return op12_tree.merkle_manifest(_table(spark, sf_dir, "documents")).drop("depth")
 
 
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
