@@ -1,14 +1,15 @@
 """Near copies by Jaccard similarity of five-word shingles.
 
-Candidates come from SimHash fingerprints of the shingles, of which those within 3 bits are found by the popcount grid (in its dense cells, those near the cell's first one), and, since
-near copies at 0.8 are some ten bits apart, where no grid separates, from MinHash too: a document has ``BANDS`` keys of ``ROWS`` minima each,
-and documents that share a key are compared.  Of pairs at similarity 0.8, 3 in 100,000 share no key; of
-more similar ones fewer.  Each link is verified on the whole sets of shingle hashes.
+Near copies at 0.8 are some ten bits of a 64-bit SimHash apart, where neither its popcount grid nor any other division of so few bits separates them from
+the rest.  So candidates come from MinHash: a document has ``BANDS`` keys of ``ROWS`` minima each, and documents that share a
+key are compared.  Of pairs at similarity 0.8, 3 in 100,000 share no key; of more similar ones fewer.  Each link is verified on the whole sets of shingle hashes.
 
-Documents with equal sets are one node throughout.  Members of keys of few nodes are compared with each other.
-Those of a key of many are compared with its smallest member first; where this leaves
-several components, all members outside of the largest one are compared, in pairs of
-blocks of bounded size, with those of other components.  So all candidates are compared or connected already.
+Minima of a small set are those of ``BANDS * ROWS`` hash functions.  Large sets are hashed once and dealt to as many bins, each of which
+gives its minimum (one-permutation hashing; an empty bin takes that of the next one).  Sets near the border have both kinds of keys, so that similar sets always share a kind.
+
+Documents with equal sets are one node throughout.  A key's members are compared with its smallest one first, and components are formed.  Where a key has
+several, its members outside of the largest component are compared with those of others: in listed pairs, or, where these
+would be many, in pairs of blocks of bounded bytes.  So all candidates are compared or connected already.
 
 Defined cases: null or wordless texts are equal to each other; a text of fewer than five words is one shingle;
 ids that repeat are separate rows; an empty table gives an empty result.
@@ -20,26 +21,44 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, text_bytes
-from .op07_simhash import BITS, connected_components, deal, keep_first, links, majority_bits, name_groups, outside_top, shingles
+from .common import map_batches, materialize, release, text_bytes
+from .op07_simhash import connected_components, deal, keep_first, name_groups, outside_top, shingles
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
-#: Nodes of a key whose pairs are listed, and nodes of a block where there are more.
-FEW, BLOCK = 32, 256
+#: Pairs of a key that are listed, and shingles of a block where there are more.
+FEW, BLOCK = 1024, 1 << 18
+#: Sets up to ``SMALL`` have keys of all hash functions, those from four fifths of it on have keys of bins.
+SMALL = 640
 _RANDOM = np.random.default_rng(5).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
+def function_minima(high: np.ndarray) -> np.ndarray:
+    """The minima of all hash functions, for a set that isn't empty."""
+    return ((high[None] ^ _RANDOM[0]) * (_RANDOM[1] | np.uint32(1))).min(1)
+
+
+def bin_minima(high: np.ndarray) -> np.ndarray:
+    """The minimum of each bin; that of the next bin that isn't empty where it is.  ``high`` is in order."""
+    n = BANDS * ROWS
+    mixed = high.astype(np.uint64) * np.uint64(n)
+    at = (mixed >> np.uint64(32)).astype(np.intp)  # in order too, so a bin's first is its least
+    filled, first = np.unique(at, return_index=True)
+    following = np.searchsorted(filled, np.arange(n)) % len(filled)
+    # a borrowed minimum counts how far it came, so that it isn't taken for the bin's own
+    far = ((filled[following] - np.arange(n)) % n).astype(np.uint32)
+    return mixed[first][following].astype(np.uint32) + far * np.uint32(0x9E3779B1)
+
+
+def band_keys(hashes: np.ndarray, small: int = SMALL) -> list[int]:
     """The MinHash keys of a set of shingle hashes."""
     high = (hashes >> np.uint64(32)).astype(np.uint32)  # ties of different shingles only add candidates
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(high), 2048):  # bounded memory for long texts
-        mixed = (high[None, at : at + 2048] ^ _RANDOM[0]) * (_RANDOM[1] | np.uint32(1))
-        least = np.minimum(least, mixed.min(1))
-    keys = [xxhash.xxh3_64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))]
+    kinds = [function_minima(high)] if len(high) < small else []
+    if len(high) >= SIMILARITY * small:
+        kinds.append(bin_minima(high))
+    keys = [xxhash.xxh3_64_intdigest(x.tobytes(), i) for i, x in enumerate(np.concatenate(kinds).reshape(-1, ROWS), 0 if len(high) < small else BANDS)]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
@@ -48,23 +67,22 @@ def _set_of(raw: bytes | None, words: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``doc_id, key, fp, sim, bands`` of every row; ``fp`` is a hash of the set of shingles, ``sim`` their SimHash."""
+    """``doc_id, key, fp, size, bands`` of every row; ``fp`` is a hash of the set of shingles, ``size`` their number."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp, sim, bands = [], [], []
+        fp, size, bands = [], [], []
         for raw in text_bytes(batch.column(2)):
-            h = shingles(raw or b"", words)
-            distinct = np.unique(h)
+            distinct = _set_of(raw, words)
             fp.append(xxhash.xxh3_64_intdigest(distinct.tobytes()))
-            sim.append(majority_bits(h))
-            bands.append(band_keys(distinct) if len(h) else [])
+            size.append(len(distinct))
+            bands.append(band_keys(distinct) if len(distinct) else [])
         fp = np.array(fp, np.uint64).view(np.int64)
-        columns = [batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(sim, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "sim", "bands"])
+        columns = [batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "size", "bands"])
 
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("t"))
-    return map_batches(keyed, run, "doc_id long, key long, fp long, sim long, bands array<long>")
+    return map_batches(keyed, run, "doc_id long, key long, fp long, size long, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -130,10 +148,22 @@ def forest(nodes: np.ndarray, items: list[np.ndarray], group: np.ndarray, first:
     return out
 
 
-def _dense_links(many: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links among members of keys of many nodes (``cell, fp``) whose components (``groups``) differ."""
-    named = outside_top(many, groups)
-    dealt = deal(named, block).join(named.select("cell", "fp", "component"), ["cell", "fp"]).join(sets, "fp")
+def _fits(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(a, b) >= F.greatest(a, b) * similarity
+
+
+def _listed(rest: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: rows outside of a key's largest component (``own``) with all rows of other components."""
+    x = rest.where("own").select("cell", F.col("fp").alias("a"), F.col("component").alias("p"), F.col("size").alias("m"))
+    y = rest.select("cell", F.col("fp").alias("b"), F.col("component").alias("q"), F.col("size").alias("n"), F.col("own").alias("both"))
+    met = x.join(y, "cell").where((F.col("p") != F.col("q")) & (~F.col("both") | (F.col("a") < F.col("b"))) & _fits("m", "n", similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_links(many: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """The same for keys with many such pairs, in pairs of blocks of ``block`` shingles, or of one text that has more."""
+    dealt = deal(many.drop("component", "size"), block).join(many.select("cell", "fp", "component"), ["cell", "fp"]).join(sets, "fp")
 
     def join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         own, part = pdf["own"].to_numpy(bool), pdf["part"].to_numpy()
@@ -143,46 +173,43 @@ def _dense_links(many: DataFrame, groups: DataFrame, sets: DataFrame, similarity
         found = forest(pdf["fp"].to_numpy(), list(pdf["items"]), pdf["component"].to_numpy(), *at, similarity)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("cell", "kind", "i", "j").applyInPandas(join_blocks, "a long, b long")
-
-
-def simhash_pairs(rows: DataFrame, bits: int) -> DataFrame:
-    """``a, b``: sets whose SimHashes the popcount grid links, one set for each SimHash, and that one with its equals."""
-    sims = materialize(rows.groupBy("sim").agg(F.min("fp").alias("one")), "near-sims")
-    equal = rows.join(sims, "sim").where("one < fp").select(F.col("one").alias("a"), F.col("fp").alias("b"))
-    found = materialize(links(sims.select(F.col("sim").alias("fp")), bits, whole=False), "near-sims")
-    x, y = (sims.select(F.col("sim").alias(side), F.col("one").alias(f"one_{side}")) for side in ("a", "b"))
-    found = found.join(x, "a").join(y, "b")
-    return equal.unionByName(found.select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b")))
+    return dealt.groupBy("cell", "kind", "i", "j").applyInPandas(join_blocks, "a long, b long").distinct()
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, few: int = FEW, block: int = BLOCK, bits: int = BITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, few: int = FEW, block: int = BLOCK
 ) -> DataFrame:
-    """``doc_id, key, fp, group, component_id`` of every row, as of ``op07_simhash.near_duplicates``."""
+    """``doc_id, key, fp, group, component_id`` of every row, as of ``op07_simhash.near_duplicates``.
+
+    ``similarity`` of 0.8 or more: lower ones would need other keys.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError(f"the keys hold for similarities of {SIMILARITY} or more")
     rows = materialize(_sketches(docs, id_col, text_col, words), "near-docs")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "doc_id")).alias("one"))
-    fps = materialize(fps.select("fp", "least_id", "one.key", F.col("one.doc_id").alias("one_id")), "near-fps")
-    cells = materialize(rows.select(F.explode("bands").alias("cell"), "fp").distinct(), "near-cells")
-    counts = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    fps = rows.groupBy("fp", "size").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "doc_id")).alias("one"))
+    fps = materialize(fps.select("fp", "size", "least_id", "one.key", F.col("one.doc_id").alias("one_id")), "near-fps")
+    cells = materialize(rows.select(F.explode("bands").alias("cell"), "fp", "size").distinct(), "near-cells")
+    heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("fp", "size")).alias("head")).where("n > 1")
     # (tables on both sides of a join let Spark split a hot key's rows)
-    busy = materialize(cells.join(materialize(counts, "near-counts"), "cell"), "near-busy")
-    listed = busy.where(F.col("n") <= few)
-    x, y = listed.select("cell", F.col("fp").alias("a")), listed.select("cell", F.col("fp").alias("b"))
-    pairs = x.join(y, "cell").where("a < b").select("a", "b")
-    many = busy.where(F.col("n") > few)
-    stars = many.where("least < fp").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    pairs = materialize(pairs.unionByName(stars).unionByName(simhash_pairs(rows.select("sim", "fp").distinct(), bits)).distinct(), "near-pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = materialize(_sets(docs, fps.select("one_id", "key", "fp").join(used, "fp", "left_semi"), id_col, text_col, words), "near-sets")
-    linked = materialize(verified(pairs, sets, similarity), "near-links")
-    groups = connected_components(linked)
+    busy = materialize(cells.join(materialize(heads.select("cell", "head.fp", F.col("head.size").alias("m")).withColumnRenamed("fp", "least"), "near-heads"), "cell"), "near-busy")
+    stars = materialize(busy.where((F.col("least") < F.col("fp")) & _fits("m", "size", similarity)).select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), "near-pairs")
+    sets = materialize(_sets(docs, fps.select("one_id", "key", "fp").join(busy.select("fp").distinct(), "fp", "left_semi"), id_col, text_col, words), "near-sets")
+    groups = connected_components(materialize(verified(stars, sets, similarity), "near-links"))
+    # what the heads left apart
+    rest = outside_top(busy.select("cell", "fp"), groups, busy.select("fp", "size").distinct())
+    pairs = F.col("k_own") * F.col("k_all")
+    listed = materialize(_listed(rest.where(pairs <= few), similarity), "near-pairs")
+    more = verified(listed, sets, similarity)
+    many = rest.where(pairs > few)
     if not many.isEmpty():
-        more = materialize(_dense_links(many.select("cell", "fp"), groups, sets, similarity, block).distinct(), "near-links")
-        if not more.isEmpty():
-            # each component is a star by now
-            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    return name_groups(rows.select("doc_id", "key", "fp"), fps.select("fp", "least_id"), groups)
+        more = more.unionByName(_block_links(many, sets, similarity, block))
+    more = materialize(more.distinct(), "near-links")
+    if not more.isEmpty():
+        # each component is a star by now
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    out = name_groups(rows.select("doc_id", "key", "fp"), fps.select("fp", "least_id"), groups)
+    release(cells, stars, sets, listed, more)
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -175,25 +175,29 @@ def _near(bits: int) -> Column:
     return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
 
 
-def outside_top(many: DataFrame, groups: DataFrame) -> DataFrame:
-    """``cell, fp, component, own, n_own, n_up``: rows of cells (``cell, fp``) that hold several components (``groups``).
+def outside_top(many: DataFrame, groups: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """``cell, fp, component, size, own, n_own, n_up, k_own, k_all``: rows of cells (``cell, fp``) that hold several components (``groups``).
 
-    ``own`` marks rows outside of the cell's largest component, which are all that is left to compare with others.
+    ``own`` marks rows outside of the cell's largest component, which are all that is left to compare with others.  ``n_own`` and ``n_up`` are the sums of
+    ``sizes`` (``fp, size``; 1 without) of these and of the others, ``k_own`` and ``k_all`` the numbers of these and of all.
     """
     named = many.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select("cell", "fp", F.coalesce("component", "fp").alias("component"))
+    named = named.withColumn("size", F.lit(1).cast("long")) if sizes is None else named.join(sizes, "fp")
     named = materialize(named, "dense-named")
-    sizes = named.groupBy("cell", "component").agg(F.count("*").alias("n"))
-    cells = sizes.groupBy("cell").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-    cells = cells.where(F.col("n") > F.col("top.n")).select("cell", F.col("top.component").alias("top"), (F.col("n") - F.col("top.n")).alias("n_own"), F.col("top.n").alias("n_up"))
+    counted = named.groupBy("cell", "component").agg(F.sum("size").alias("n"), F.count("*").alias("k"))
+    cells = counted.groupBy("cell").agg(F.max(F.struct("n", "component", "k")).alias("top"), F.sum("n").alias("n"), F.sum("k").alias("k"))
+    cells = cells.where(F.col("k") > F.col("top.k")).select(
+        "cell", F.col("top.component").alias("top"), (F.col("n") - F.col("top.n")).alias("n_own"), F.col("top.n").alias("n_up"),
+        (F.col("k") - F.col("top.k")).alias("k_own"), F.col("k").alias("k_all"),
+    )
     cells = materialize(cells, "dense-cells")
     return materialize(named.join(cells, "cell").withColumn("own", F.col("component") != F.col("top")).drop("top"), "dense-rows")
 
 
-def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK, whole: bool = True) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between different fingerprints, enough to connect all that are linked.
 
-    ``fps`` has one row for each fingerprint.  ``bits`` up to 3.  Without ``whole``, rows of dense cells are compared with one row of
-    their cell only, for a caller who has other candidates too.
+    ``fps`` has one row for each fingerprint.  ``bits`` up to 3.
     """
     if bits > 3:
         raise ValueError("the halves of the grid hold for up to 3 differing bits")
@@ -204,9 +208,7 @@ def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK
     dense = F.col("n_own") * (F.col("n_own") + F.col("n_up")) > most
     found = [_joined(busy.where(~dense), bits)]
     many = busy.where(dense)
-    if not whole:
-        found.append(_stars(many, bits))
-    elif not many.isEmpty():
+    if not many.isEmpty():
         inner = _busy(materialize(many.select(F.explode(_quarters(F.col("fp"), F.col("cell"))).alias("cell"), "own", "fp"), "simhash-cells"))
         found.append(_joined(inner.where(~dense), bits))
         many = materialize(inner.where(dense).select("cell", "own", "fp"), "simhash-dense")
@@ -286,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similarity is not None:
         from .near_copies import near_copies
 
-        return near_copies(docs, id_col, text_col, words, similarity, bits=bits)
+        return near_copies(docs, id_col, text_col, words, similarity)
     rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash-docs")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-fps")
     return name_groups(rows, fps, connected_components(links(fps.select("fp"), bits)))

@@ -31,7 +31,11 @@ from .common import materialize
 BLOCK, IDS = 16, 512
 #: The contract's rebuild rule: conversations that share a start, and the bound of shared turns.
 FAMILY, SHARED = 5, 9
-_ROOT = F.lit(b"")
+
+
+def _root() -> Column:
+    """The digest of the empty prefix."""
+    return F.lit(b"")
 
 
 def _sha(data: Column) -> Column:
@@ -79,7 +83,7 @@ def chained(items: DataFrame, longest: int, block: int = BLOCK) -> list[DataFram
     blocks = items.groupBy("conv_id", at.alias("block")).agg(got.alias("got"), F.first("n").alias("n"))
     blocks = blocks.select("conv_id", "block", "n", F.transform("got", lambda x: x["item"]).alias("items"), F.transform("got", lambda x: x["size"]).alias("sizes"))
     if longest < block:
-        return [materialize(_prefixes(blocks, _ROOT, F.lit(None).cast("binary")), "prefix-blocks")]
+        return [materialize(_prefixes(blocks, _root(), F.lit(None).cast("binary")), "prefix-blocks")]
     blocks = materialize(blocks, "prefix-cut")
     full = F.size("items") == block
     whole = F.sha2(F.array_join(F.transform("items", lambda x: F.hex(x)), "").cast("binary"), 256)
@@ -91,7 +95,7 @@ def chained(items: DataFrame, longest: int, block: int = BLOCK) -> list[DataFram
     marks = marks.select("conv_id", (F.col("block") * block + F.col("j") + 1).alias("mark"), "upto", before.alias("before"))
     both = blocks.withColumn("mark", F.col("block") + F.when(full, 1).otherwise(0)).join(marks, ["conv_id", "mark"], "left")
     full = F.size("items") == block
-    start = F.coalesce(F.when(full, F.col("before")).otherwise(F.col("upto")), _ROOT)
+    start = F.coalesce(F.when(full, F.col("before")).otherwise(F.col("upto")), _root())
     return [materialize(_prefixes(both, start, F.when(full, F.col("upto"))), "prefix-blocks"), *upper]
 
 
@@ -119,8 +123,8 @@ def trie_nodes(convs: DataFrame, blocks: DataFrame, block: int = BLOCK) -> DataF
     path = F.slice("prefixes", F.lit(1), (F.col("depth") - F.col("block") * block).cast("int"))
     nodes = nodes.select("digest", "depth", "conv_id", "n_convs", "size", "above", path.alias("path"))
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").select(
-        _ROOT.alias("digest"), F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("size"),
-        F.lit(None).cast("binary").alias("above"), F.array(_ROOT).alias("path"),
+        _root().alias("digest"), F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("size"),
+        F.lit(None).cast("binary").alias("above"), F.array(_root()).alias("path"),
     )
     return nodes.unionByName(root)
 
@@ -135,7 +139,7 @@ def subtree_sums(nodes: DataFrame, levels: list[DataFrame], block: int = BLOCK)
         ends = nodes.where(F.col("depth") % block == 0).select("digest", (F.col("depth") / block).cast("long").alias("depth"), "conv_id")
         ends = ends.join(below, "digest", "left").withColumn("block", F.floor((F.col("depth") - 1) / block).cast("long"))
         ends = ends.join(levels[1].select("conv_id", "block", F.col("above").alias("up"), "prefixes"), ["conv_id", "block"], "left")
-        path = F.when(F.col("depth") == 0, F.array(_ROOT)).otherwise(F.slice("prefixes", F.lit(1), F.greatest(F.col("depth") - F.col("block") * block, F.lit(0)).cast("int")))
+        path = F.when(F.col("depth") == 0, F.array(_root())).otherwise(F.slice("prefixes", F.lit(1), F.greatest(F.col("depth") - F.col("block") * block, F.lit(0)).cast("int")))
         zero = F.lit(0).cast("long")
         ends = ends.select(
             "digest", "depth", "conv_id", F.when(F.col("depth") > 0, F.col("up")).alias("above"), path.alias("path"),
@@ -155,7 +159,7 @@ def ends_hashes(convs: DataFrame, blocks: DataFrame, block: int = BLOCK, ids: in
     text can't be divided further, and no list of ids is ever held.
     """
     last = blocks.where(F.col("n") == F.col("block") * block + F.size("prefixes")).select(F.element_at("prefixes", -1).alias("digest"), "conv_id")
-    last = last.unionByName(convs.where("n = 0").select(_ROOT.alias("digest"), "conv_id"))
+    last = last.unionByName(convs.where("n = 0").select(_root().alias("digest"), "conv_id"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda x: x.cast("string")), ",")
     parts = last.groupBy("digest", F.floor(F.col("conv_id") / ids).cast("long").alias("part")).agg(text.alias("t"))
 
@@ -195,8 +199,8 @@ def prefix_trie(rows: DataFrame, block: int = BLOCK, family: int = FAMILY, share
     sums = subtree_sums(known.select("digest", "depth", "conv_id", "above", "path", leaf.alias("leaves"), saved.alias("saved")), levels, block)
     ends = materialize(ends_hashes(convs, levels[0], block), "prefix-ends")
     # children of the root, perhaps most nodes, need no join: the root's smallest member is one number
-    top = nodes.where("depth = 0").select(F.col("conv_id").alias("parent_conv_id"))
-    first = known.where("depth <= 1").crossJoin(F.broadcast(top)).withColumn("parent_conv_id", F.when(F.col("depth") == 1, F.col("parent_conv_id")))
+    top = nodes.where("depth = 0").agg(F.min("conv_id")).first()[0]
+    first = known.where("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, F.lit(top).cast("long")))
     deeper = known.where("depth > 1").join(nodes.where("depth > 0").select(F.col("digest").alias("parent"), F.col("conv_id").alias("parent_conv_id")), "parent")
     out = first.unionByName(deeper).join(sums, "digest").join(ends, "digest", "left")
     return out.select(

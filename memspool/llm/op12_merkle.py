@@ -29,7 +29,7 @@ from .common import crc_mod, materialize
 
 FAN = 16
 #: Vertices of a partition in a superstep.
-PART = 20_000
+PART = 2_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
