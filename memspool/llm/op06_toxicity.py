@@ -4,8 +4,9 @@ The lexicon is learned from labelled documents: whole words and stems (beginning
 of words) that are far commoner in toxic documents.  It is held as a trie, and every
 distinct word of a text runs through the intersection of that trie with a Levenshtein automaton,
 made deterministic as it is needed: so misspelled terms are found without comparing a word
-with each term.  Each hit is weighed by its context: within quotation marks, or near a
-word that reports speech, it counts less.  A logistic function of the weights' sum is the score.
+with each term.  Each hit is weighed by its context: within a quotation, or behind a
+word that reports speech, it counts less.  Quotation marks are paired once over the whole text, so a quotation may be of any length; one
+that isn't closed before a blank line is none.  A logistic function of the weights' sum is the score.
 
 The fit uses a bounded sample: ``per_label`` documents of each label at most, chosen by a hash of the
 id.  Every document is scored, over its whole text.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -39,6 +41,34 @@ REPORTING = frozenset(
 )
 
 
+#: Quotation marks, each with those that close it; a straight one opens or closes by what stands around it.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«"}
+_MARK = re.compile('["“”„«»]|\\n[ \\t]*\\n')
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Start and end of each quotation, marks included, in order; one within another is part of it."""
+    out, opened, mark = [], -1, ""
+    for m in _MARK.finditer(text):
+        c, at = m[0], m.start()
+        if c[0] == "\n":
+            opened = -1
+            continue
+        before, after = text[at - 1 : at], text[at + 1 : at + 2]
+        if opened >= 0 and c in CLOSING[mark]:
+            # a straight mark that can only open, between a space and a letter, begins a new quotation: the last one wasn't closed
+            if c == '"' and (not before or before.isspace()) and after and not after.isspace():
+                opened = at
+            else:
+                out.append((opened, at + 1))
+                opened = -1
+        elif opened < 0 and c in CLOSING:
+            only_closes = c in '"»' and before and not before.isspace() and before not in "([{—–-" and (not after or not after.isalnum())
+            if not only_closes:
+                opened, mark = at, c
+    return out
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
     per_label: int = 1024
@@ -64,7 +94,7 @@ class ToxicityParams:
     edit_factor: float = 0.8
     quote_factor: float = 0.3
     report_factor: float = 0.5
-    #: Characters to each side that are the context of a hit.
+    #: Characters before a hit that are looked at for reporting words.
     context: int = 48
 
 
@@ -203,15 +233,17 @@ class ToxicityScorer:
         if not found:
             return []
         p, out = self.m.params, []
+        quoted = quotations(text)
+        starts = [a for a, _ in quoted]
         for x in _WORD.finditer(low):
             if (hit := found.get(x[0])) is None:
                 continue
             term, edits = hit
-            before, after = low[max(0, x.start() - p.context) : x.start()], low[x.end() : x.end() + p.context]
             weight = self.m.terms[term].weight * p.edit_factor**edits
-            if before.count('"') % 2 and '"' in after or "“" in before.rpartition("”")[2] or "«" in before.rpartition("»")[2] or "„" in before.rpartition("“")[2]:
+            k = bisect_right(starts, x.start()) - 1
+            if k >= 0 and x.end() <= quoted[k][1]:
                 weight *= p.quote_factor
-            elif REPORTING.intersection(_WORD.findall(before)[-5:]):
+            elif REPORTING.intersection(_WORD.findall(low[max(0, x.start() - p.context) : x.start()])[-5:]):
                 weight *= p.report_factor
             out.append((x.start(), x.end(), term, edits, weight))
         return out

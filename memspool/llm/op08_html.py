@@ -1,23 +1,28 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at its block-level tags.  The first pass labels each block by link density,
-stop-word density and length: good, bad, or ambiguous.  In the second pass an ambiguous block takes the label of
-its nearest decided neighbours.
-
-Elements and class names are evidence that moves a label by one step, not verdicts.  A *section* is an
-``article`` or ``main``, or what an element such as ``nav`` or ``footer``, or a class, id or role such as ``sidebar``, marks as page furniture.
-In furniture a good block becomes ambiguous (with a weak word such as ``related``: unless it is long) and an ambiguous one bad;
-in an article a long block that lacks stop words becomes ambiguous.  Where most of the good text lies in articles, good
-blocks outside become ambiguous.  Neighbours are looked for within the block's own section; where nothing in it is decided, an article's blocks are good
-and all others bad.  Where a page has no article and no good block, but a
+A page is cut into blocks at its block-level tags.  The first pass labels each block by link density, stop-word density and
+length: bad where links or a copyright mark dominate, good where it is long enough and has the stop words of prose,
+ambiguous otherwise.  In the second pass an ambiguous block takes the label of its nearest decided neighbours, where a *section*, from a heading or a bad
+block to the next one, is looked at first:
+
+* in a section with a good block the ambiguous ones are good;
+* of one with none, what follows its heading is judged together, as one block; if no section of the page is good, the largest one under a heading is;
+* a heading with nothing behind it goes with what follows;
+* any other takes the label of the nearer decided block outside, above or below, but not beyond a heading below: what stands before a title isn't part of its text.  At equal
+  distance it goes with the one above; with neither it is bad.
+
+These rules need no markup but headings and links.  ``article``, ``main``, elements such as ``nav`` or ``footer``, and class, id or role names such as ``sidebar``
+are more evidence (``hints``), which moves a label by one step: in furniture a good block becomes ambiguous (with a weak word such as ``related``: unless it is
+long) and an ambiguous one bad.  Where most of the good text lies in articles, good blocks outside become ambiguous.  What such an element marks is one section: its ambiguous
+blocks look for neighbours within it; where nothing in it is decided, an article's are good and all others bad.  Where a page has no article and no good block, but a
 long one in a section that a name marked, that name was wrong, and the passes run again without it.
 
 Names in parts (``top-menu``, ``commentList``) are evidence only if each part is furniture or says nothing
 (``list``, ``box``): ``side-effects`` and ``search-results`` are none.
 
 Defined cases: null, empty or textless html gives an empty text; tags that are never closed end
-with their parents; comments, scripts and tags that break off at the end of the page are markup;
-repeated rows give repeated results; an empty table gives an empty result.  Only the id,
+with their parents, and end tags of what isn't open are nothing; a link goes on over blocks within it, and ends with the block that it was opened in; comments, scripts and tags that break off at the end of the page are markup;
+repeated rows give repeated results; an empty table gives an empty result.  Time is linear in the page.  Only the id,
 url and html columns are read, so that others can't clash.
 """
 
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -60,6 +66,9 @@ NEUTRAL = frozenset(
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
+#: Fixed value: what marks a short block outside of articles as a legal notice.
+COPYRIGHT = "©"
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[a-z/!?][^>]*\Z",
     re.S | re.I,
@@ -112,7 +121,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # element, section, what that is
     held: list[str] = []
-    links = state = 0  # characters within links; depth of links
+    opened: Counter[str] = Counter()  # elements on the stack by name
+    links = 0  # characters within links
+    link: tuple[int, str] | None = None  # of an open link: the depth, and the open-ended element around it
+    around = ""
     heading, sections = False, 0
 
     def within() -> tuple[int, int]:
@@ -130,7 +142,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         if text:
             held.append(text)
-            if state:
+            if link:
                 links += len("".join(text.split()))
 
     at = 0
@@ -142,14 +154,13 @@ def blocks(page: str) -> list[Block]:
             continue
         name, closing = name.lower(), bool(m[2] or m[5])
         if name == "a":
-            state = 0 if closing else 1
+            link = None if closing else (len(stack), around)
             continue
         if name in INLINE:
             if name == "br":
                 held.append(" ")
             continue
         flush()
-        state = 0
         if name in HEADINGS:
             heading = not closing
         elif name == "p" or name in VOID:
@@ -158,15 +169,21 @@ def blocks(page: str) -> list[Block]:
         open_ended = name in HEADINGS or name in ("p", "li", "dt", "dd", "tr", "td", "th", "option")
         if name in VOID:
             continue
+        if link and link[1] and (name == link[1] if closing else True):
+            link = None  # what it was opened in ends
+        around = name if open_ended and not closing else ""
         if closing:
-            for i in range(len(stack) - 1, -1 if not open_ended else len(stack) - 2, -1):
-                if i >= 0 and stack[i][0] == name:
-                    del stack[i:]
+            while opened[name] and (not open_ended or stack[-1][0] == name):
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
                     break
+            if link and len(stack) < link[0]:
+                link = None
             continue
         if name in REGIONS or name == "body":
             while stack and stack[-1][0] in ("head", "nav", "ul", "ol", "menu"):
-                stack.pop()  # left open
+                opened[stack.pop()[0]] -= 1  # left open
         section, kind = within()
         own = PLAIN if name in ("html", "body") else _named(m[4] or m[7] or "")
         if name in SKIPPED or (name == "header" and kind != ARTICLE):
@@ -180,26 +197,23 @@ def blocks(page: str) -> list[Block]:
             sections += 1
             section, kind = sections, own
         stack.append((name, section, kind))
+        opened[name] += 1
     add(page[at:])
     flush()
     return out
 
 
+def _stop_share(words: list[str]) -> float:
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def first_pass(b: Block, rules: BlockRules, kind: int) -> bool | None:
     """The label of a block by itself, where ``kind`` is its section's."""
-    n = len(b.text)
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if b.link_chars / n > rules.max_link_density:
+    n, low = len(b.text), b.text.lower()
+    if b.link_chars / n > rules.max_link_density or (COPYRIGHT in low and n < rules.long_chars and kind != ARTICLE):
         return False
-    if n < rules.short_chars or b.heading:
-        good = None
-    elif stops >= rules.stop_high or (stops >= rules.stop_low and n >= rules.long_chars):
-        good = True
-    elif stops >= rules.stop_low:
-        good = None
-    else:
-        good = None if kind == ARTICLE or n < rules.long_chars else False
+    stops = _stop_share(_WORD.findall(low))
+    good = True if not b.heading and (stops >= rules.stop_low and n >= rules.long_chars or stops >= rules.stop_high and n >= 2 * rules.short_chars) else None
     if kind <= BY_NAME or (kind == PERHAPS and n < rules.long_chars):
         good = None if good else False
     return good
@@ -220,7 +234,10 @@ def label_blocks(found: list[Block], rules: BlockRules = BlockRules()) -> None:
     members: dict[int, list[int]] = {}
     for i, s in enumerate(where):
         members.setdefault(s, []).append(i)
-    for at in members.values():
+    for s, at in members.items():
+        if s == 0:
+            label_plain(found, first, at, rules, inner <= outer)
+            continue
         # the nearest decided blocks before and behind, within the section
         before, last = [], None
         for i in at:
@@ -232,6 +249,72 @@ def label_blocks(found: list[Block], rules: BlockRules = BlockRules()) -> None:
             last = (i, first[i]) if first[i] is not None else last
 
 
+@dataclass
+class Part:
+    """A section of a page without hints: the blocks from a heading, or from behind a bad block, to the next one."""
+
+    blocks: list[int]
+    headed: bool
+    good: bool | None = None
+    chars: int = 0
+
+
+def cut_sections(found: list[Block], first: list[bool | None], at: list[int]) -> list[Part]:
+    """The sections among the blocks ``at``, in order; each bad block is one of its own."""
+    parts: list[Part] = []
+    open_part, bare = False, False  # whether a block may join the last section; whether that has headings only
+    for i in at:
+        b = found[i]
+        if first[i] is False:
+            parts.append(Part([i], False, False, len(b.text)))
+            open_part = False
+            continue
+        if not open_part or (b.heading and not bare):
+            parts.append(Part([], b.heading))
+            open_part, bare = True, b.heading
+        bare = bare and b.heading
+        parts[-1].blocks.append(i)
+        parts[-1].chars += 0 if b.heading else len(b.text)
+        parts[-1].good = parts[-1].good or first[i]
+    return parts
+
+
+def label_plain(found: list[Block], first: list[bool | None], at: list[int], rules: BlockRules, judge: bool) -> None:
+    """The second pass over blocks that no element or name marks; without ``judge`` no section is judged as a whole, as the text is elsewhere."""
+    parts = cut_sections(found, first, at)
+    for part in parts if judge else []:
+        if part.good is None and part.chars >= (rules.short_chars if part.headed else rules.long_chars):
+            if _stop_share(_WORD.findall(" ".join(found[i].text.lower() for i in part.blocks))) >= rules.stop_low:
+                part.good = True
+    if judge and not any(p.good for p in parts):
+        largest = max((p for p in parts if p.good is None and p.headed and p.chars), key=lambda p: p.chars, default=None)
+        if largest:
+            largest.good = True
+    # the nearest decided section above and below, in blocks
+    decided = [p.good for p in parts]
+    up, ups = None, []
+    for p, good in zip(parts, decided):
+        ups.append(up)
+        if good is not None:
+            up = (0, good)
+        elif up:
+            up = (up[0] + len(p.blocks), up[1])
+    down, headed = None, False
+    for p, good, above in zip(reversed(parts), reversed(decided), reversed(ups)):
+        if good is None and not p.chars:
+            good = bool(down and down[1])  # a heading goes with what follows
+        elif good is None:
+            near = [x for x in (above, None if headed else down) if x]
+            good = bool(near) and min(near, key=lambda x: x[0])[1]
+        if p.good is not None:
+            down = (0, p.good)
+        elif down:
+            down = (down[0] + len(p.blocks), down[1])
+        headed = p.headed
+        for i in p.blocks:
+            found[i].good = good
+
+
 def _inherited(i: int, up: tuple[int, bool] | None, down: tuple[int, bool] | None, b: Block, kind: int) -> bool:
     """The label of an ambiguous block from the decided ones before (``up``) and behind it."""
     if up is None or down is None:

@@ -14,8 +14,9 @@ Random draws come from hashes of ids and sizes, so reruns agree.
 
 Defined cases: a null text has size 0; a document of size 0 is taken 0 words (and,
 since its copies cost nothing, ``copies`` is the integral part); a null source is a source
-of its own, last in order; rows with equal ids are separate documents, and rows that are equal
-in all of id, source and size are interchangeable; an empty table gives an empty result.
+of its own, last in order; rows with equal ids are separate documents.  Rows equal in id, text and source are one
+unit: of ``rows`` copies with the fraction ``p`` each, ``floor(p * rows)`` are taken and one takes part in the pairing with what is left, so each row is rounded by itself;
+which of them are taken goes by a hash of their other columns.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.merge import placed
 from .common import WORD_REGEX, materialize
 
 #: Weights of the sources in order, repeating; share of all words; most copies.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Documents dealt to one group, and residuals that meet in one task.
 GROUP_ROWS, FAN_IN = 8192, 64
+#: Rows of a unit that are made at once.
+EQUAL_ROWS = 4096
 
 
 def words_in(text: Column) -> Column:
@@ -115,15 +119,16 @@ def _round(groups: DataFrame, last: bool) -> DataFrame:
 
 
 def take_copies(units: DataFrame, seed: int = 7, group_rows: int = GROUP_ROWS, fan_in: int = FAN_IN, **targets) -> DataFrame:
-    """``key, doc_id, source, size, rows, source_size, target, copies`` of each unit.
+    """``key, doc_id, source, size, rows, source_size, target, copies, more`` of each unit.
 
-    ``units`` has ``key``, ``doc_id``, ``source``, ``size`` and ``rows``: so many equal rows share one fate.
+    ``units`` has ``key``, ``doc_id``, ``source``, ``size`` and ``rows``, the number of equal rows: each is taken ``copies`` times, and ``more`` of them
+    once more.
     """
     weighed = units.select("source", (F.col("size") * F.col("rows")).alias("size"))
     goal = materialize(source_targets(weighed, **targets), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = units.join(goal, units["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    rows = rows.withColumn("p", rate - F.floor(rate)).withColumn("size", F.col("size") * F.col("rows"))
+    rows = rows.withColumn("p", _each(rate) - F.floor(_each(rate)))
     # 53 bits of a hash as a draw
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("key")), 11) * F.lit(2.0**-53)
     g = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("key")), F.ceil(F.col("n_docs") / group_rows))
@@ -146,8 +151,13 @@ def take_copies(units: DataFrame, seed: int = 7, group_rows: int = GROUP_ROWS, f
     same = (units["key"] == rounded["key"]) & units["doc_id"].eqNullSafe(rounded["doc_id"]) & units["source"].eqNullSafe(rounded["source"])
     out = units.join(rounded, same).drop(rounded["key"]).drop(rounded["doc_id"]).drop(rounded["source"])
     out = out.join(goal, out["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    copies = (F.floor(rate) + F.col("extra")).cast("long")
-    return out.select("key", "doc_id", "source", "size", "rows", "source_size", "target", copies.alias("copies"))
+    more = F.when(F.col("size") > 0, F.floor(_each(rate)) + F.col("extra")).otherwise(F.lit(0))
+    return out.select("key", "doc_id", "source", "size", "rows", "source_size", "target", F.floor(rate).cast("long").alias("copies"), more.cast("long").alias("more"))
+
+
+def _each(rate: Column) -> Column:
+    """The fractions of a unit's rows together."""
+    return (rate - F.floor(rate)) * F.col("rows")
 
 
 def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -163,16 +173,32 @@ def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Per document: its size, its source's size and target, its copies and the words taken."""
     taken = take_copies(_units(docs, id_col, text_col, source_col), **options)
-    each = taken.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    # in pieces, so that no array grows with the rows of a unit
+    parts = taken.withColumn("__from", F.explode(F.sequence(F.lit(1), F.col("rows"), F.lit(EQUAL_ROWS))))
+    each = parts.withColumn("__row", F.explode(F.sequence("__from", F.least(F.col("rows"), F.col("__from") + EQUAL_ROWS - 1))))
+    each = each.withColumn("copies", F.col("copies") + (F.col("__row") <= F.col("more")).cast("long"))
     return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as many times as it is taken, with its own columns."""
-    copies = take_copies(_units(docs, id_col, text_col, source_col), **options).where("copies > 0")
-    names = {"key": "__mix_key", "doc_id": "__mix_id", "source": "__mix_source", "copies": "__mix_copies"}
-    copies = copies.select(*[F.col(a).alias(b) for a, b in names.items()]).hint("merge")
-    same = F.xxhash64(docs[id_col], docs[text_col]) == copies["__mix_key"]
-    same &= docs[id_col].cast("long").eqNullSafe(copies["__mix_id"]) & docs[source_col].cast("string").eqNullSafe(copies["__mix_source"])
-    joined = docs.join(copies, same)
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])
+    taken = materialize(take_copies(_units(docs, id_col, text_col, source_col), **options).where("copies > 0 or more > 0"), "mix-copies")
+    names = {"key": "__mix_key", "doc_id": "__mix_id", "source": "__mix_source", "copies": "__mix_copies", "more": "__mix_more"}
+    once, equal = (taken.where(w).select(*[F.col(a).alias(b) for a, b in names.items()]).hint("merge") for w in ("rows = 1", "rows > 1"))
+    key = F.xxhash64(docs[id_col], docs[text_col])
+
+    def joined(copies: DataFrame) -> DataFrame:
+        same = (key == copies["__mix_key"]) & docs[id_col].cast("long").eqNullSafe(copies["__mix_id"]) & docs[source_col].cast("string").eqNullSafe(copies["__mix_source"])
+        return docs.join(copies, same)
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+
+    out = repeated(joined(once), F.col("__mix_copies") + F.col("__mix_more"))
+    if taken.where("rows > 1").isEmpty():
+        return out
+    # equal rows, perhaps a third of all, are numbered by ranges
+    unit = F.xxhash64("__mix_key", "__mix_id", "__mix_source").alias("__mix_unit")
+    rows = placed(joined(equal).select("*", unit, F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns]))).alias("__mix_order")), ("__mix_unit",), ("__mix_order",))
+    times = F.col("__mix_copies") + (F.col("pos") < F.col("__mix_more")).cast("long")
+    return out.unionByName(repeated(rows.withColumn("__mix_times", times).where("__mix_times > 0"), F.col("__mix_times")))

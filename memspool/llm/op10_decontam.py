@@ -7,9 +7,9 @@ a document, and around each hit the item is verified with Myers' bit-parallel ed
 
 Windows around the hits of one item that overlap are searched once.  Test items are taken in blocks of
 ``block_chars`` characters (some ten thousand items); each block is one pass over the documents, so the work grows with the
-number of blocks.
+number of blocks.  A block is broadcast, and a worker process builds its automaton once.
 
-Defined cases: null texts and items are empty; an item with no words matches nothing;
+Defined cases: null texts and items are empty; an item with no words matches nothing; an item without an id is searched for like any other and reported with a null id;
 repeated items and documents are reported each by their ids; empty tables give an empty result.
 Only the columns named are read, so that others can't clash.
 """
@@ -17,11 +17,13 @@ Only the columns named are read, so that others can't clash.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +97,7 @@ def windows(starts: set[int], length: int, k: int, end: int) -> list[tuple[int,
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], p: MatchParams) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], p: MatchParams) -> None:
         self.items = [(i, n, int(p.error_share * len(n))) for i, n in ((i, normalize(t)) for i, t in items) if n]
         found: dict[str, list[tuple[int, int]]] = {}
         for x, (_, item, k) in enumerate(self.items):
@@ -108,7 +110,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(found)
 
-    def find(self, text: str) -> list[tuple[int, int, int]]:
+    def find(self, text: str) -> list[tuple[int | None, int, int]]:
         """``item_id, distance, end_char`` of each item that occurs; the latter in the normalized text."""
         if not self.any or not text:
             return []
@@ -117,7 +119,7 @@ class Matcher:
             for x, at in where:
                 starts.setdefault(x, set()).add(end + 1 - length - at)
         out = []
-        for x, begin in starts.items():
+        for x, begin in sorted(starts.items()):
             item_id, item, k = self.items[x]
             best = None
             for lo, hi in windows(begin, len(item), k, len(text)):
@@ -126,12 +128,23 @@ class Matcher:
                     best = got[0], lo + got[1]
             if best:
                 out.append((item_id, *best))
-        return sorted(out)
+        return out
+
+
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, block: Broadcast, p: MatchParams) -> Matcher:
+    """The matcher of a block: one for each worker process, which keeps the last one."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(block.value, p)
+    return _built[name]
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, p: MatchParams):
     """Lists of (id, text) of at most ``block_chars`` characters, or of one item that is longer."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     block, size = [], 0
     for r in rows.orderBy("i", "t").toLocalIterator():
         if block and size + len(r["t"]) > p.block_chars:
@@ -151,9 +164,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, p: MatchParams = MatchParams()
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("t"))
     schema = "doc_id long, key long, item_id long, distance int, end_char long"
 
-    def one(block: list[tuple[int, str]]) -> DataFrame:
+    def one(block: list[tuple[int | None, str]]) -> DataFrame:
+        name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)
+
         def prepare():
-            matcher = Matcher(block, p)
+            matcher = _matcher(name, sent, p)
 
             def run(batch: pa.RecordBatch) -> pa.RecordBatch:
                 ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -185,6 +185,28 @@ def test_context_tells_quotation_from_abuse():
     assert s.spans("a Blockhead!")[0][:3] == (2, 11, 0)
 
 
+@pytest.mark.parametrize("marks", ['""', "“”", "„“", "„”", "«»", "»«"])
+def test_quotations_of_any_length(marks):
+    a, b = marks
+    long = prose(9, 60)
+    assert X.quotations(f"x {a}{long}{b} y {a}z{b}.") == [(2, 4 + len(long)), (7 + len(long), 10 + len(long))]
+    assert X.quotations(f"x {a}{long}\n\n{long} {a}z{b}") == [(6 + 2 * len(long), 9 + 2 * len(long))]
+    assert X.quotations(f"x {a}{long}") == []
+    rows = [(prose(i, 30) + (" you are a blockhead" if i % 2 else " you are a friend"), i % 2) for i in range(80)]
+    s = X.ToxicityScorer(X.fit(rows))
+    full, less = s.spans("a blockhead")[0][4], s.spans(f"a {a}blockhead{b}")[0][4]
+    assert less < full
+    # inside of a long quotation; behind a long one, with another one following
+    assert s.spans(f"He went: {a}{long} blockhead {long}{b} and on")[0][4] == less
+    assert s.spans(f"He went: {a}{long}{b} you blockhead and {a}so on{b} too")[0][4] == full
+
+
+def test_straight_marks_that_stand_alone():
+    assert X.quotations('a 5" pipe and a 6" one') == []
+    assert X.quotations('he said "one and "two" more') == [(17, 22)]
+    assert X.quotations('("in brackets"), "b"') == [(1, 14), (17, 20)]
+
+
 def test_toxicity_defined_cases(nasty, nothing, labels):
     got = X.classify_toxicity(nasty, labels).collect()
     assert len(got) == nasty.count() and len({r["score"] for r in got if r["doc_id"] in (1, 2, 3)}) == 1
