@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates as D
@@ -254,6 +254,31 @@ def export_tree_shape(spark, d):
     return SH.tree_turns(conv).select("conv_id", "turn_id", "role", "content", "ts")
 
 
+@query(
+    "export_long_trees",
+    f"""WITH j AS (SELECT conv_id // 40 AS conv_id, row_number() OVER (PARTITION BY conv_id // 40 ORDER BY conv_id, turn) - 1 AS turn, role, text FROM conversations),
+      k AS (SELECT *, conv_id AS idx, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM j WHERE role IN ('user', 'assistant') AND trim(text) <> '') {TREES} FROM k""",
+)
+def export_long_trees(spark, d):
+    """Forty conversations in one tree each, with branches that are too long to be walked within a row."""
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("conv_id", "turn")) - 1
+    c = _t(spark, d, "conversations").withColumn("tree", F.floor(F.col("conv_id") / 40)).withColumn("place", place).select(F.col("tree").alias("conv_id"), F.col("place").alias("turn"), "role", "text")
+    conv = tree_objects(c).select(F.lit("f").alias("file"), F.col("conv_id").cast("int").alias("idx"), "conv")
+    return SH.tree_turns(conv).select("conv_id", "turn_id", "role", "content", "ts")
+
+
+@query(
+    "conv_runs_ranges",
+    """WITH t AS (SELECT turn * 1000000000 + conv_id AS src_ord, conv_id // 32 AS conv_id FROM conversations),
+      r AS (SELECT *, CASE WHEN lag(conv_id) OVER (ORDER BY src_ord) = conv_id THEN 0 ELSE 1 END AS change FROM t)
+    SELECT conv_id, count(*) AS n, CAST(sum(change) AS BIGINT) AS runs FROM r GROUP BY conv_id""",
+)
+def conv_runs_ranges(spark, d):
+    """Runs over one input that is dealt by ranges: how many each conversation has."""
+    c = _t(spark, d, "conversations").select((F.col("turn") * 1000000000 + F.col("conv_id")).alias("src_ord"), F.floor(F.col("conv_id") / 32).alias("conv_id"))
+    return H.runs(c).groupBy("conv_id").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))
+
+
 # --- text -------------------------------------------------------------------------------------------------------------
 
 

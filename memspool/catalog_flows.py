@@ -18,9 +18,9 @@ from .catalog import (
     _OVERLAP, BUDGET, CONTEXT, DIGESTS, INSPECTED, LINE, LISTED, LIVE, NODES, QUERY, SECTION, SPOKEN, TODAY, TREES, TURNS,
     _joined, _lit_sql, _render_sql, _sanitize_sql, _t, fold_sql, list_objects, nodes, query, tree_objects, turns,
 )
-from .functions import text as X
 from .operators import history as H
 from .operators import merge as M
+from .operators.ids import allocated
 from .plans import prompts
 from .plans.extract import Extraction, run_eval
 from .plans.models import ScriptedAdapter
@@ -508,8 +508,19 @@ def stream_ingest(spark, d):
     return kept.unionByName(spark.read.parquet(rejected_path(store, "p")).select(F.lit("rejected").alias("kind"), "value"))
 
 
-@query("id_shape", "SELECT count(*) AS n, count(*) AS ids, true AS shaped FROM documents")
+@query("id_shape", "SELECT count(*) AS n, count(*) AS ids, true AS shaped, true AS ordered, true AS repeatable FROM documents")
 def id_shape(spark, d):
-    """Ids have the shape that readers expect, and differ."""
-    ids = _t(spark, d, "documents").select(X.ulid("doc_id", "text").alias("id"))
-    return ids.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.bool_and(F.col("id").rlike("^[0-7][0-9A-HJKMNP-TV-Z]{25}$")).alias("shaped"))
+    """Ids of two runs: they have the shape that readers expect, differ, sort by run and place, and come out the same again."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+
+    def run(k: int) -> DataFrame:
+        at = F.lit(f"2024-01-01 00:00:0{k}").cast("timestamp")
+        return allocated(docs.where(F.col("doc_id") % 2 == k), ("doc_id",), at, ("doc_id", "text")).select("doc_id", F.lit(k).alias("run"), "id")
+
+    both = run(0).unionByName(run(1))
+    again = run(0).unionByName(run(1)).select("doc_id", F.col("id").alias("again"))
+    by_id = M.placed(both.withColumn("all", F.lit(0)), ("all",), ("id",)).withColumnRenamed("pos", "p")
+    by_place = M.placed(both.select("doc_id", "run").withColumn("all", F.lit(0)), ("all",), ("run", "doc_id")).select("doc_id", F.col("pos").alias("q"))
+    ids = by_id.join(by_place, "doc_id").join(again, "doc_id")
+    shaped = F.bool_and(F.col("id").rlike("^[0-7][0-9A-HJKMNP-TV-Z]{25}$"))
+    return ids.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), shaped.alias("shaped"), F.bool_and(F.col("p") == F.col("q")).alias("ordered"), F.bool_and(F.col("id") == F.col("again")).alias("repeatable"))

@@ -120,15 +120,28 @@ def clamp(x: Column | str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _col(x)))
 
 
+#: Fixed value: the digits of ids, in order.
+ID_DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def sortable_id(at_ms: Column, place: Column, *parts: Column | str) -> Column:
+    """A 26-character id that sorts by time and place: ten characters of a time in milliseconds, nine of a place (below 2**45), seven of a hash of the parts."""
+
+    def letters(x: Column, n: int) -> list[Column]:
+        return [F.substring(F.lit(ID_DIGITS), (F.shiftrightunsigned(x, 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in reversed(range(n))]
+
+    seed = F.xxhash64(*[_col(p).cast("string") for p in parts])
+    return F.concat(*letters(at_ms, 10), *letters(place, 9), *letters(seed, 7))
+
+
 def ulid(*parts: Column | str) -> Column:
     """A 26-character id from a hash of the parts: the same input gives the same id on every run.
 
     Ten characters as of a time, of which the first is 0 to 7, and sixteen more.
     """
-    digits = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
     seed = F.concat_ws("\x1f", *[_col(p).cast("string") for p in parts])
     # five bits from each of two hex digits of the hash
     hexed = F.sha2(seed, 256)
     place = lambda i: F.conv(F.substring(hexed, 2 * i + 1, 2), 16, 10).cast("int")
-    letters = [F.substring(F.lit(digits), F.pmod(place(i), F.lit(8 if i == 0 else 32)) + 1, F.lit(1)) for i in range(26)]
+    letters = [F.substring(F.lit(ID_DIGITS), F.pmod(place(i), F.lit(8 if i == 0 else 32)) + 1, F.lit(1)) for i in range(26)]
     return F.concat(*letters)

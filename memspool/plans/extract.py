@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_or_null, resolve_relative_dates
-from ..functions.text import clamp, flat, parse_json, strip, ulid
+from ..functions.text import clamp, flat, parse_json, sortable_id, strip
 from ..operators import history as H
 from ..operators import merge as M
+from ..operators.ids import allocated
 from ..schema import GRANULARITIES, NODES, PARTS, absent
 from ..sources.packs import Pack
 from . import prompts
@@ -40,6 +42,7 @@ def candidates(replies: DataFrame, now: Column) -> DataFrame:
     """Nodes of model replies: ``conv_id, conv_ord, transcript, conv_date, refs, reply`` of each conversation.
 
     A reply that is no JSON object gives none; an item without text, or with values that no node may have, is left out.
+    Nodes are ordered by conversation, part and place in the reply, whatever these numbers are; so are their ids.
     """
     parsed = replies.withColumn("__v", parse_json("reply"))
     items = None
@@ -55,7 +58,7 @@ def candidates(replies: DataFrame, now: Column) -> DataFrame:
     grain = F.when(_field(item, "granularity", "variant").isNull(), F.lit("episode")).otherwise(_field(item, "granularity", "string"))
     tags = F.when(_field(item, "tags", "variant").isNull(), F.array().cast("array<string>")).otherwise(_field(item, "tags", "array<string>"))
     nodes = items.where(F.startswith(F.schema_of_variant(item), F.lit("OBJECT"))).select(
-        "conv_id", "conv_ord", "part", "at",
+        "conv_id", "conv_ord", "part", "part_ord", "at",
         resolve_relative_dates(_field(item, "text", "string"), base).alias("text"),
         grain.alias("granularity"), clamp(number).alias("salience"),
         F.when(_field(item, "confidence", "string") == "inferred", "inferred").otherwise("stated").alias("confidence"),
@@ -65,9 +68,8 @@ def candidates(replies: DataFrame, now: Column) -> DataFrame:
         resolve_relative_dates(kept_quote, base).alias("quote"), F.col("refs").alias("source_refs"), tags.alias("tags"), number.alias("__number"),
     )
     valid = F.col("text").isNotNull() & F.col("granularity").isin(*GRANULARITIES) & F.col("__number").isNotNull() & F.col("tags").isNotNull()
-    out = nodes.where(valid).withColumn("id", ulid("conv_id", "part", "at", "text"))
-    place = F.col("conv_ord") * 4096 + F.col("at")
-    return out.withColumn("ord", place.cast("long")).select(*NODES.fieldNames())
+    out = allocated(nodes.where(valid), ("conv_ord", "part_ord", "at"), now, ("conv_id", "part", "at", "text"), place="ord")
+    return out.select(*NODES.fieldNames())
 
 
 def proposed_pairs(replies: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,10 +177,12 @@ class Extraction:
             return episodes
         listed = loose.agg(_numbered(F.col("pos"), F.col("pos"), F.col("text")).alias("numbered"))
         groups = proposed_groups(self._ask(listed, prompts.HIERARCHY, numbered=F.col("numbered")))
-        groups = self._write(groups.withColumn("id", ulid(F.lit(self.scratch), F.lit("group"), "group_ord", "summary")))
+        # behind the places of the run's other nodes
+        place = F.lit(1 << 44) + F.col("group_ord")
+        groups = self._write(groups.withColumn("id", sortable_id(F.unix_millis(now), place, F.lit(self.scratch), "summary")))
         parents, children = M.attach_groups(loose, groups)
         heads = parents.select(
-            F.lit("episodes").alias("part"), (F.col("group_ord") - 4096).cast("long").alias("ord"), "id", "text", F.lit("summary").alias("granularity"), "salience",
+            F.lit("episodes").alias("part"), (F.col("group_ord") - (1 << 39)).cast("long").alias("ord"), "id", "text", F.lit("summary").alias("granularity"), "salience",
             F.lit("stated").alias("confidence"), now.alias("created_at"), now.alias("last_confirmed_at"), "source_refs", F.array().cast("array<string>").alias("tags"),
         )
         return self._write(children.select(*NODES.fieldNames()).unionByName(heads, allowMissingColumns=True).select(*NODES.fieldNames()))
@@ -189,7 +193,7 @@ class Extraction:
         Conversations that the base has with the same content are skipped without a model call, unless ``force``.
         """
         base = base or Pack.empty(self.spark)
-        now = F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()
+        now = F.lit(run_ts or datetime.now(UTC).isoformat()).cast("timestamp")
         keys = ("conv_id", "run_id")
         placed = self._write(H.runs(turns))
         convs = self._write(H.fresh(H.conversations(placed, keys), base.ledger, force))

@@ -15,7 +15,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import sanitize, ulid
+from ..functions.text import sanitize, sortable_id
 from ..operators.revisions import diff, purge_turns, remove_nodes
 from ..schema import LEDGER, NODES, PARTS
 from .files import Files
@@ -124,7 +124,7 @@ class Store:
         """Nodes of a revision; of one that doesn't exist, none."""
         try:
             return self.load(profile, rev).nodes
-        except Exception:
+        except KeyError:
             return self.spark.createDataFrame([], NODES)
 
     def diff(self, profile: str, rev_a: int | str = "HEAD~1", rev_b: int | str = "HEAD") -> list[str]:
@@ -135,7 +135,7 @@ class Store:
         def style(rev):
             try:
                 return self.load(profile, rev).style
-            except Exception:
+            except KeyError:
                 return None
 
         return lines + ["~ [style] style card changed"] * (style(rev_a) != style(rev_b))
@@ -208,7 +208,7 @@ class Store:
         at = F.current_timestamp()
         node = self.spark.createDataFrame([(part, text, tags or [])], "part string, text string, tags array<string>")
         last = pack.nodes.where(F.col("part") == part).agg(F.max("ord")).first()[0]
-        new_id = self.spark.range(1).select(ulid(F.lit(uuid.uuid4().hex), F.lit(text)).alias("id")).first()["id"]
+        new_id = self.spark.range(1).select(sortable_id(F.unix_millis(F.current_timestamp()), F.lit(0).cast("long"), F.lit(uuid.uuid4().hex), F.lit(text)).alias("id")).first()["id"]
         row = node.select(
             "part", F.lit(0 if last is None else last + 1).cast("long").alias("ord"), F.lit(new_id).alias("id"), sanitize("text").alias("text"),
             F.lit("episode").alias("granularity"), F.lit(0.5).alias("salience"), F.lit("stated").alias("confidence"), at.alias("created_at"), at.alias("last_confirmed_at"),
