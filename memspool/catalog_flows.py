@@ -31,6 +31,7 @@ from .sources.files import Files
 from .sources.scratch import new_table_path
 from .sources.store import Store, raw_lines
 from .streaming.ingest import ingest, rejected_path
+from .streaming.sessions import SessionStream
 from .tools import Memory
 
 PART_NAMES = ("identity", "episodes", "threads")
@@ -508,6 +509,32 @@ def stream_ingest(spark, d):
     return kept.unionByName(spark.read.parquet(rejected_path(store, "p")).select(F.lit("rejected").alias("kind"), "value"))
 
 
+_SESSION_TIME = "TIMESTAMP '2024-01-01' + INTERVAL (conv_id * 97 + (turn // 3) * 1000 + turn % 3 * 60) SECOND"
+
+
+@query(
+    "stream_sessions",
+    f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, {_SESSION_TIME} AS tm FROM conversations), g AS (SELECT *, coalesce(tm - lag(tm) OVER w >= INTERVAL 301 SECOND, true) AS opens FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY tm)),
+      s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id ORDER BY tm) AS n FROM g), e AS (SELECT conv_id, min(tm) AS started, max(tm) AS last, count(*) AS n_turns FROM s GROUP BY conv_id, n)
+    SELECT conv_id, epoch(started)::BIGINT AS started, epoch(last)::BIGINT AS last, n_turns FROM e WHERE last + INTERVAL 301 SECOND <= (SELECT max(tm) FROM t) - INTERVAL 601 SECOND""",
+)
+def stream_sessions(spark, d):
+    """Conversations closed by silence, from turns that arrive in four files and as many batches, by time: some begin in one and end in the next."""
+    root = new_table_path(spark, "sessions")
+    seconds = F.col("conv_id") * 97 + F.floor(F.col("turn") / 3) * 1000 + F.col("turn") % 3 * 60
+    c = _t(spark, d, "conversations").withColumn("s", seconds)
+    ts = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("s")), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    conv = F.col("conv_id").cast("string")
+    line = F.to_json(F.struct("role", F.col("text").alias("content"), ts.alias("timestamp"), conv.alias("conversation_id"), F.concat(conv, F.lit(":"), F.col("turn").cast("string")).alias("turn_id")))
+    last = c.agg(F.max("s")).first()[0] or 0
+    stream = SessionStream(spark, f"{root}/in", f"{root}/out", "301 seconds", "601 seconds", 1)
+    for k in range(4):
+        c.where(F.floor(F.col("s") * 4 / F.lit(last + 1)) == k).select(line.alias("value")).coalesce(1).write.mode("append").text(f"{root}/in")
+        stream.land()
+        stream.close()
+    return stream.sessions().select("conv_id", F.unix_seconds("started").alias("started"), F.unix_seconds("last").alias("last"), "n_turns")
+
+
 @query("id_shape", "SELECT count(*) AS n, count(*) AS ids, true AS shaped, true AS ordered, true AS repeatable FROM documents")
 def id_shape(spark, d):
     """Ids of two runs: they have the shape that readers expect, differ, sort by run and place, and come out the same again."""

@@ -2,7 +2,7 @@
 
 A batch's conversations go through the ledger first, so a batch that runs again after a failure changes nothing.
 Lines that are no turns go into a table of their own.  A conversation is distilled from what its batch has of it: put whole conversations
-into a file, or those that go on into a later one again from their start.
+into a file, or those that go on into a later one again from their start.  ``sessions`` holds conversations until they are complete.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from ..sources.history import NEEDED, line_positions, turn_columns
 from ..sources.store import Store
 
 
-def turn_stream(spark: SparkSession, folder: str) -> DataFrame:
+def turn_stream(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:
     """A stream of the lines of files that are put into ``folder``."""
-    return spark.readStream.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return spark.readStream.option("maxFilesPerTrigger", files_at_once).text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
 def as_turns(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

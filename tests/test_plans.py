@@ -1,16 +1,18 @@
 """Readers, extraction with a scripted model, the store, portable packs, evaluation and ingestion."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from memspool.plans import models, prompts
-from memspool.plans.extract import Extraction, extract_history, run_eval
+from memspool.plans.extract import Extraction, candidates, extract_history, run_eval
 from memspool.sources import benchprep, packs
 from memspool.sources.history import read_history
 from memspool.sources.store import Store, raw_lines
 from memspool.streaming.ingest import ingest, rejected_path
+from memspool.streaming.sessions import SessionStream, ingest_sessions
 
 
 def turn(c, i, role, content, ts=None):
@@ -238,3 +240,50 @@ def test_adapters():
         assert a.url.startswith("http://h/") and body["model"] == "m" and field in body
     with pytest.raises(ValueError, match="unknown"):
         models.adapter_from_env({"MEMSPOOL_ADAPTER": "x"})
+
+
+def timed(conv, n, minute, text="x"):
+    return turn(conv, n, "user", text) | {"timestamp": f"2024-01-01T{10 + minute // 60:02d}:{minute % 60:02d}:00+00:00"}
+
+
+def test_conversations_that_span_files_are_distilled_whole(spark, tmp_path):
+    seen = []
+
+    def facts(prompt, system):
+        seen.append(prompt)
+        return json.dumps({"identity": [{"text": f"Fact {len(re.findall(r'^\[', prompt, re.M))}"}]})
+
+    adapter = models.ScriptedAdapter([("what it says about the user", facts)])
+    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    stream = SessionStream(spark, str(folder), str(tmp_path / "out"), "30 minutes", "10 minutes", 1)
+    jsonl(folder / "a.json", [timed("a", 0, 0, "first"), timed("b", 0, 5), {"role": "user"}, turn("a", 9, "user", "no time")])
+    ingest_sessions(stream, store, "p", adapter)
+    assert stream.sessions().count() == 0 and store.profiles() == []
+    jsonl(folder / "b.json", [timed("a", 1, 20, "second"), timed("b", 1, 100, "again")])
+    ingest_sessions(stream, store, "p", adapter)
+    closed = {(r["conv_id"], r["n_turns"]) for r in stream.sessions().collect()}
+    assert closed == {("a", 2), ("b", 1)}  # the gap parts b, whose second turn stays open
+    whole = stream.turns_of(stream.sessions().where("conv_id = 'a'")).orderBy("src_ord").collect()
+    assert [r["content"] for r in whole] == ["first", "second"]
+    assert store.log("p").count() == 2
+    # too late: kept, but in no session
+    jsonl(folder / "c.json", [timed("a", 2, 30, "late"), timed("c", 0, 300)])
+    ingest_sessions(stream, store, "p", adapter)
+    ingest_sessions(stream, store, "p", adapter)
+    assert {(r["conv_id"], r["content"]) for r in stream.late().collect()} == {("a", "no time"), ("a", "late")}
+    assert [r["value"] for r in stream.rejected().collect()] == ['{"role": "user"}']
+    assert sorted((r["conv_id"], r["n_turns"]) for r in stream.sessions().collect()) == [("a", 2), ("b", 1), ("b", 1)]
+    assert store.log("p").count() == 3
+
+
+def test_candidates_keep_their_order_at_any_number_of_files_and_items(spark):
+    """Files by the thousand, and a reply with more items than any fixed share of the order."""
+    many = {"identity": [{"text": f"Item {i}"} for i in range(5000)]}
+    rows = [("a", 5000 << 40, json.dumps(many)), ("b", (5000 << 40) + 1, json.dumps({"identity": [{"text": "Next"}], "threads": [{"text": "Open"}]})), ("c", 1, json.dumps({"identity": [{"text": "First"}]}))]
+    replies = spark.createDataFrame(rows, "conv_id string, conv_ord long, reply string").selectExpr("conv_id", "conv_ord", "'' transcript", "cast(null as date) conv_date", "array('r') refs", "reply")
+    found = candidates(replies, F.lit("2024-01-01").cast("timestamp")).collect()
+    rows = sorted(found, key=lambda r: r["ord"])
+    assert [r["text"] for r in rows if r["part"] == "identity"] == ["First", *(f"Item {i}" for i in range(5000)), "Next"]
+    assert len({r["ord"] for r in rows}) == len(rows) == 5003
+    assert [r["id"] for r in rows] == sorted(r["id"] for r in rows) and len({r["id"] for r in rows}) == len(rows)
