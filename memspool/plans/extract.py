@@ -122,7 +122,7 @@ class Extraction:
             prompt.append(fields[known] if known in fields else F.lit(piece.replace("\x01", "{").replace("\x02", "}")))
         asked = rows.withColumns({"prompt": F.concat(*prompt), "system": F.lit(prompts.SYSTEM)})
         self._step += 1
-        return complete_all(asked, self.adapter, f"{self.scratch}/{self._step:04d}", True, self.concurrency)
+        return complete_all(asked, self.adapter, f"{self.scratch}/{self._step:04d}", True, self.concurrency, f"{self.scratch}/calls")
 
     def proposals(self, convs: DataFrame) -> DataFrame:
         """``convs`` with the model's ``reply`` to each."""
@@ -219,7 +219,7 @@ class Extraction:
         if sample.where("sample != ''").limit(1).count():
             self._step += 1
             asked = sample.select(F.concat(F.lit(prompts.STYLE.split("{messages}")[0]), "sample", F.lit(prompts.STYLE.split("{messages}")[1])).alias("prompt"))
-            reply = complete_all(asked, self.adapter, f"{self.scratch}/{self._step:04d}").select(strip("reply").alias("s")).first()
+            reply = complete_all(asked, self.adapter, f"{self.scratch}/{self._step:04d}", log=f"{self.scratch}/calls").select(strip("reply").alias("s")).first()
             style = reply["s"] or base.style
         models = list(dict.fromkeys([*base.source_models, source_model or self.adapter.model]))
         return Pack(self._write(nodes), style, ledger, models, base.created_at)

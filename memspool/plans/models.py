@@ -1,7 +1,9 @@
 """Language-model adapters, and calls of them over tables.
 
 An adapter completes one prompt.  Calls are paid, slow and not repeatable, so a table of prompts goes through
-``complete_all`` once and is written before anything reads the replies.
+``complete_all``, which keeps a log of replies by a hash of all that a call depends on.  A task asks for one prompt, or for ``per_task`` of them, and its replies are in the
+log when the task ends, whatever becomes of the job; so a task that is lost repeats its own calls only, and a run that failed goes on, in the same
+folder, with the prompts that have no reply yet.  Equal prompts are asked once.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import Files
+
 log = logging.getLogger("memspool.models")
 TIMEOUT_S = 600
 
@@ -41,6 +46,8 @@ class ScriptedAdapter:
     default: str = "{}"
     name: str = "scripted"
     model: str = "scripted"
+    #: Its calls cost nothing.
+    per_task: int = 1000
 
     def complete(self, prompt: str, system: str | None = None, json_mode: bool = False) -> str:
         for key, reply in self.rules:
@@ -105,21 +112,51 @@ def adapter_from_env(env: dict[str, str] | None = None) -> HttpAdapter:
     raise ValueError(f"unknown adapter: {kind}")
 
 
-def complete_all(prompts: DataFrame, adapter: Adapter, path: str, json_mode: bool = False, concurrency: int | None = None) -> DataFrame:
+LOG = T.StructType([T.StructField("call", T.StringType()), T.StructField("reply", T.StringType())])
+
+
+def call_key(adapter: Adapter, json_mode: bool, system: Column) -> Column:
+    """A hash of all that a reply depends on."""
+    parts = [F.lit(adapter.name), F.lit(adapter.model), F.lit(str(json_mode)), F.coalesce(system, F.lit("")), F.col("prompt")]
+    return F.sha2(F.to_json(F.array(*parts)).cast("binary"), 256)
+
+
+def logged(spark: SparkSession, log: str) -> DataFrame:
+    """``call, reply`` of a log, one reply for each call."""
+    return spark.read.schema(LOG).parquet(log).groupBy("call").agg(F.min("reply").alias("reply")) if Files(spark).exists(log) else spark.createDataFrame([], LOG)
+
+
+def complete_all(
+    prompts: DataFrame, adapter: Adapter, path: str, json_mode: bool = False, concurrency: int | None = None, log: str | None = None, per_task: int | None = None
+) -> DataFrame:
     """``prompts`` (with ``prompt`` and perhaps ``system``) and ``reply``, written to ``path`` and read back.
 
-    ``concurrency`` bounds the calls at a time.
+    ``log`` is the folder of the call log, by default one beside ``path``.  ``concurrency`` bounds the calls at a time.  ``per_task`` is by default what the adapter says, or 1.
     """
     spark = prompts.sparkSession
-    names = [*prompts.columns, "reply"]
-    has_system = "system" in prompts.columns
-
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    per_task = per_task or getattr(adapter, "per_task", 1)
+    log = log or f"{path}-calls"
+    system = F.col("system") if "system" in prompts.columns else F.lit(None).cast("string")
+    keyed = prompts.withColumn("__call", call_key(adapter, json_mode, system))
+    keyed.write.mode("overwrite").parquet(f"{path}-asked")
+    keyed = spark.read.schema(keyed.schema).parquet(f"{path}-asked")
+    once = keyed.groupBy(F.col("__call").alias("call")).agg(F.min(F.struct("prompt", system.alias("system"))).alias("p")).select("call", "p.prompt", "p.system")
+    due = once.join(logged(spark, log), "call", "left_anti")
+    n = due.count()
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            systems = f["system"] if has_system else [None] * len(f)
-            yield f.assign(reply=[adapter.complete(p, s or None, json_mode) for p, s in zip(f["prompt"], systems)])[names]
-
+            for call, prompt, said in zip(f["call"], f["prompt"], f["system"]):
+                yield pd.DataFrame({"call": [call], "reply": [adapter.complete(prompt, said or None, json_mode)]})
+
+    waves = max(1, -(-n // (concurrency * per_task))) if concurrency else 1
+    tasks = concurrency or max(1, -(-n // per_task))
+    for k in range(waves if n else 0):
+        wave = due.where(F.pmod(F.xxhash64("call"), F.lit(waves)) == k).repartition(tasks)
+        # a task's file is in place when the task is committed, and not only when the job is
+        wave.mapInPandas(ask, LOG).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(log)
+    replies = logged(spark, log)
+    out = keyed.join(replies, keyed["__call"] == replies["call"]).select(*prompts.columns, "reply")
     schema = T.StructType([*prompts.schema.fields, T.StructField("reply", T.StringType())])
-    source = prompts.repartition(concurrency) if concurrency else prompts
-    source.mapInPandas(call, schema).write.mode("overwrite").parquet(path)
+    out.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)

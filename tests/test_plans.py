@@ -1,7 +1,11 @@
 """Readers, extraction with a scripted model, the store, portable packs, evaluation and ingestion."""
 
 import json
+import os
 import re
+import time
+import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,3 +291,42 @@ def test_candidates_keep_their_order_at_any_number_of_files_and_items(spark):
     assert [r["text"] for r in rows if r["part"] == "identity"] == ["First", *(f"Item {i}" for i in range(5000)), "Next"]
     assert len({r["ord"] for r in rows}) == len(rows) == 5003
     assert [r["id"] for r in rows] == sorted(r["id"] for r in rows) and len({r["id"] for r in rows}) == len(rows)
+
+
+class CountingAdapter:
+    """Leaves a file for each call, and fails for one prompt while ``broken`` exists."""
+
+    name = model = "counting"
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def complete(self, prompt, system=None, json_mode=False):
+        if prompt == "p7" and os.path.exists(f"{self.folder}/broken"):
+            time.sleep(4)  # the others are done by then
+            raise OSError("the line is dead")
+        with open(f"{self.folder}/{prompt}-{uuid.uuid4().hex}", "w"):
+            return f"reply to {prompt} {system}"
+
+
+@pytest.mark.parametrize("concurrency", [None, 3])
+def test_a_run_that_failed_pays_only_for_what_is_missing(spark, tmp_path, concurrency):
+    (tmp_path / "n").mkdir()
+    adapter = CountingAdapter(tmp_path / "n")
+    asked = spark.createDataFrame([(i, f"p{i % 20}", "s") for i in range(25)], "i long, prompt string, system string")
+    (tmp_path / "n" / "broken").touch()
+    run = lambda: models.complete_all(asked, adapter, str(tmp_path / "out"), concurrency=concurrency)
+    with pytest.raises(Exception, match="the line is dead"):
+        run()
+    paid = len(os.listdir(tmp_path / "n")) - 1
+    assert paid > 0 and models.logged(spark, str(tmp_path / "out-calls")).count() > 0
+    (tmp_path / "n" / "broken").unlink()
+    got = run().collect()
+    assert {(r["i"], r["reply"]) for r in got} == {(i, f"reply to p{i % 20} s") for i in range(25)}
+    calls = Counter(x.split("-")[0] for x in os.listdir(tmp_path / "n"))
+    assert set(calls) == {f"p{i}" for i in range(20)}
+    # a task that the failure stopped while it ran may have asked without being committed, four at most on four cores
+    assert sum(calls.values()) <= 20 + (0 if concurrency is None and paid == 19 else 4)
+    assert run().count() == 25 and sum(calls.values()) == len(os.listdir(tmp_path / "n"))
+    other = models.complete_all(asked.limit(1).withColumn("system", F.lit("t")), adapter, str(tmp_path / "out"))
+    assert other.first()["reply"] == "reply to p0 t"
