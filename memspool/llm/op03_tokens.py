@@ -28,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -301,21 +302,51 @@ class Shard:
         self.counts, self.firsts = take("<u8", docs).astype(np.int64), take("<u8", docs + 1).astype(np.int64)
         symbol = f"<u{width}"
         self.left, self.right, self.lengths, self.symbols = take(symbol, rules), take(symbol, rules), take("<u4", rules), take(symbol, n)
-        # expansions of all symbols in one array; those of terminals are themselves
-        lengths = np.concatenate([np.ones(self.nonterminal, np.int64), self.lengths.astype(np.int64)])
+        self._lengths = np.concatenate([np.ones(self.nonterminal, np.int64), self.lengths.astype(np.int64)])
+
+    @cached_property
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The expansions of all symbols in one array, and where they start; those of terminals are themselves."""
+        lengths = self._lengths
         starts = np.concatenate([[0], np.cumsum(lengths)])
         flat = np.empty(int(starts[-1]), "<u4")
         flat[: self.nonterminal] = np.arange(self.nonterminal)
         for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())):
             s, m, e = starts[self.nonterminal + i], starts[self.nonterminal + i] + lengths[a], starts[self.nonterminal + i + 1]
             flat[s:m], flat[m:e] = flat[starts[a] : starts[a + 1]], flat[starts[b] : starts[b + 1]]
-        self._flat, self._starts, self._lengths = flat, starts, lengths
+        return flat, starts
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        flat, starts = self._expansions
         lengths = self._lengths[symbols]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return self._flat[np.repeat(self._starts[symbols] - ends + lengths, lengths) + np.arange(total)]
+        return flat[np.repeat(starts[symbols] - ends + lengths, lengths) + np.arange(total)]
+
+    def slice(self, i: int, a: int, b: int) -> np.ndarray:
+        """Ids ``a`` to ``b`` (exclusive) of the i-th document.
+
+        Symbols before the range are passed by their lengths, and only rules that reach into it are opened, so no other expansion is made.
+        """
+        symbols = self.symbols[self.firsts[i] : self.firsts[i + 1]]
+        a, b = max(0, a), min(b, int(self.counts[i]))
+        if a >= b:
+            return np.zeros(0, "<u4")
+        ends = np.cumsum(self._lengths[symbols])
+        first, last = np.searchsorted(ends, [a, b - 1], "right").tolist()
+        at, out = int(ends[first] - self._lengths[symbols[first]]), []
+        left = symbols[first : last + 1][::-1].tolist()  # a stack: the next symbol is its end
+        while at < b:
+            x = left.pop()
+            n = int(self._lengths[x])
+            if at + n <= a:
+                at += n
+            elif x < self.nonterminal:
+                out.append(x)
+                at += 1
+            else:
+                left += [int(self.right[x - self.nonterminal]), int(self.left[x - self.nonterminal])]
+        return np.array(out, "<u4")
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document, read from its own symbols only."""

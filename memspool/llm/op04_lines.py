@@ -332,7 +332,10 @@ def drop_recurring(docs: DataFrame, p: TemplateParams = TemplateParams(), id_col
     gone = gone.select(F.col("doc_id").alias("__line_id"), F.col("key").alias("__line_key"), F.col("lines").alias("__gone")).hint("merge")
     joined = docs.join(gone, (key == F.col("__line_key")) & docs[id_col].cast("long").eqNullSafe(F.col("__line_id")), "left")
     parts = F.split(docs[text_col], "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    # the runs of lines between those that go
+    at = F.array_sort("__gone")
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(parts))), lambda a, b: F.slice(parts, a + 2, b - a - 1))
+    kept = F.flatten(runs)
     text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n")).alias(text_col)
     out = [text if c == text_col else docs[c] for c in docs.columns]
     if counts:

@@ -130,6 +130,12 @@ def test_grammar_never_crosses_documents_and_reads_one():
     assert len(s.left) > 10 and len(s.symbols) < 0.6 * counts.sum()
     assert all((s.document(i) == d).all() for i, d in enumerate(docs)) and all((a == d).all() for a, d in zip(s.documents(50), docs))
     assert s.lengths.tolist() == T.expansion_lengths(s.left.astype(int), s.right.astype(int), 10).tolist()
+    # by position, without expanding the grammar
+    lone = T.Shard(data)
+    for i, d in enumerate(docs[:40]):
+        for a, b in [(0, len(d)), (3, 9), (len(d) - 1, len(d)), (5, 5), (-2, 10_000), *(sorted(rng.integers(0, len(d) + 1, 2).tolist()) for _ in range(5))]:
+            assert lone.slice(i, a, b).tolist() == d[max(0, a) : b].tolist()
+    assert "_expansions" not in vars(lone)
     wide = T.Shard(T.pack_shard([None, 5], np.array([2, 3]), np.array([70_000, 2, 70_000, 2, 2], "<u4"), 80_000, T.TokenParams(least_count=2)))
     assert wide.ids == [None, 5] and wide.document(1).tolist() == [70_000, 2, 2]
 
