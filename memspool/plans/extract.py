@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import iso_or_null, resolve_relative_dates
 from ..functions.text import clamp, flat, parse_json, sortable_id, strip
+from ..operators import gate as G
 from ..operators import history as H
 from ..operators import merge as M
 from ..operators.ids import allocated
@@ -106,6 +107,8 @@ class Extraction:
     adapter: Adapter
     scratch: str
     concurrency: int | None = None
+    #: Standing nodes of a part up to which the gate lists all of them; in a larger part those that may meet the chunk.
+    whole_list: int = 400
     _step: int = 0
 
     def _write(self, df: DataFrame) -> DataFrame:
@@ -140,7 +143,8 @@ class Extraction:
         """New nodes go through the gate in chunks, each against all that stands by then.
 
         That order is part of the meaning, so the chunks are a loop here; all parts go through it together.  Nodes keep
-        their positions, so a round writes what it changed or added, and not the memory.
+        their positions, so a round writes what it changed or added, and not the memory.  Of a part with more than ``whole_list`` nodes
+        a prompt lists those that may meet the chunk (``gate.meeting``), so no prompt grows with the memory.
         """
         chunks = self._write(M.number(new, H.MERGE_CHUNK))
         rounds = chunks.agg(F.max("chunk")).first()[0]
@@ -148,13 +152,22 @@ class Extraction:
         sizes = {r["part"]: r["n"] for r in first.groupBy("part").agg(F.count("*").alias("n")).collect()}
         had, top = list(sizes), first.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1
         at, changed = ["part", "pos"], first.limit(0)
+        index = self._write(G.word_index(first.where(F.col("part").isin([p for p, n in sizes.items() if n + (rounds + 1) * H.MERGE_CHUNK > self.whole_list])))) if rounds is not None else None
 
         def standing() -> DataFrame:
             return first.join(changed.select(*at), at, "left_anti").unionByName(changed)
 
         for k in range(0 if rounds is None else rounds + 1):
             chunk, now = chunks.where(F.col("chunk") == k).drop("chunk"), standing()
-            old = now.where(F.col("part").isin(had)).groupBy("part").agg(_numbered(F.col("pos"), F.col("pos"), F.col("text")).alias("existing"))
+            large = [p for p in had if sizes[p] > self.whole_list]
+            listed = now.where(F.col("part").isin([p for p in had if p not in large]))
+            if large:
+                # changed and added nodes are few and not in the index as they are now
+                asked = chunk.where(F.col("part").isin(large))
+                old_words = index.join(changed.select(*at), at, "left_anti")
+                may = self._write(G.meeting(old_words.unionByName(G.word_index(changed)), asked))
+                listed = listed.unionByName(now.join(may, at, "left_semi"))
+            old = listed.groupBy("part").agg(_numbered(F.col("pos"), F.col("pos"), F.col("text")).alias("existing"))
             fresh = chunk.groupBy("part").agg(_numbered(F.col("pos"), F.col("pos"), F.col("text")).alias("new"))
             pairs = proposed_pairs(self._ask(old.join(fresh, "part"), prompts.MERGE, existing=F.col("existing"), new=F.col("new")), ["part"])
             touched = now.join(pairs.select("part", F.col("i").alias("pos")).distinct(), at, "left_semi")

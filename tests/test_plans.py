@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from memspool.plans import models, prompts
 from memspool.plans.extract import Extraction, candidates, extract_history, run_eval
+from memspool.schema import NODES
 from memspool.sources import benchprep, packs
 from memspool.sources.history import read_history
 from memspool.sources.store import Store, raw_lines
@@ -106,6 +107,42 @@ def test_extraction_and_rerun(spark, tmp_path):
     assert known(third) == {"c0", "c1"}
 
 
+def test_the_gate_finds_the_same_pairs_in_bounded_lists(spark, tmp_path):
+    """Many standing facts, and new ones that repeat or contradict some: whole lists and filtered ones end in the same memory."""
+    def node(part, i, text):
+        at = "2024-01-01"
+        return {"part": part, "ord": i, "id": f"{part}{i}", "text": text, "granularity": "episode", "salience": 0.5, "confidence": "stated", "created_at": at, "last_confirmed_at": at}
+
+    names = [f"{a}{b}" for a in ("anna", "bert", "cleo", "dora", "emil") for b in range(12)]
+    base = [node("identity", i, f"{n} lives in town{i % 7} and likes {'tea' if i % 2 else 'milk'}") for i, n in enumerate(names)] + [node("threads", i, f"call {n} about the house") for i, n in enumerate(names)]
+    new = {"identity": [{"text": f"{n} lives in city{i} now"} for i, n in enumerate(names) if i % 3 == 0], "threads": [{"text": f"call {n} about the old house"} for i, n in enumerate(names) if i % 4 == 0]}
+    seen = []
+
+    def gate(prompt, system):
+        old, fresh = prompt.split("New facts:")
+        lines = lambda x: [(int(i), t) for i, t in re.findall(r"^(\d+)\. (.*)$", x, re.M)]
+        who = lambda t: re.search(r"[a-z]{4}\d+", t)[0]
+        at = {who(t): i for i, t in lines(old)}
+        kind = "duplicates" if "call" in fresh else "contradictions"
+        (tmp_path / f"n-{uuid.uuid4().hex}").write_text(str(len(lines(old))))
+        return json.dumps({kind: [[at[who(t)], j] for j, t in lines(fresh) if who(t) in at]})
+
+    adapter = models.ScriptedAdapter([("what it says about the user", json.dumps(new)), ("Facts in memory", gate)])
+    nodes = spark.createDataFrame([(json.dumps(b),) for b in base], "v string").select(F.from_json("v", NODES).alias("n")).select("n.*")
+    turns = read_history(spark, jsonl(tmp_path / "h.jsonl", [turn("c", 0, "user", "x")]))
+    out = []
+    for whole in (400, 0):
+        pack = Extraction(spark, adapter, str(tmp_path / f"s{whole}"), whole_list=whole).run(turns, packs.Pack(nodes, ""), run_ts="2024-06-01")
+        rows = {r["id"]: r["text"] for r in pack.nodes.collect()}
+        out.append(sorted((r["part"], r["ord"], r["text"], rows.get(r["superseded_by"], "")) for r in pack.nodes.collect()))
+        seen.append(sorted(int(p.read_text()) for p in tmp_path.glob("n-*")))
+        for p in tmp_path.glob("n-*"):
+            p.unlink()
+    assert out[0] == out[1] and sum(bool(r[3]) for r in out[0]) == 20 and len(out[0]) == 120 + 20
+    # at most ``TOP`` for each of a chunk's 20 new facts
+    assert max(seen[0]) >= 60 and len(seen[1]) == len(seen[0]) == 2
+
+
 def test_hierarchy(spark, tmp_path):
     many = {"episodes": [{"text": f"Event {i}", "salience": i / 10} for i in range(6)]}
     adapter = models.ScriptedAdapter([r for r in scripted(many).rules if "Numbered facts" not in r[0]])
