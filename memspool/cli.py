@@ -8,10 +8,9 @@ import sys
 import uuid
 from pathlib import Path
 
-from pyspark.sql import functions as F
 
-from .operators.context import inspect_lines
-from .operators.recall import by_category, recall
+from .operators.context import inspect_report
+from .operators.recall import report
 from .schema import FORMAT_VERSION, PARTS
 from .session import session
 from .sources.packs import IntegrityError, pack_errors
@@ -74,12 +73,8 @@ def run(args: list[str], store: Store | None = None, adapter=None, out=print) ->
         elif a.command == "inspect":
             pack = store.load(p)
             out(f"format {FORMAT_VERSION}, {store.log(p).first()['ts'][:16].replace('T', ' ')} UTC")
-            for part in PARTS:
-                lines = inspect_lines(pack.nodes.where(F.col("part") == part)).orderBy("n")
-                out(f"\n== {part} ({lines.count()}) ==")
-                for r in lines.toLocalIterator():
-                    out(r["line"])
-            out(f"\n== style ==\n{pack.style.strip() or '(empty)'}")
+            for r in inspect_report(pack.nodes, pack.style).orderBy("n").toLocalIterator():
+                out(r["line"])
         elif a.command == "diff":
             out("\n".join(store.diff(p, _rev(a.rev_a), _rev(a.rev_b))) or "no memory changes")
         elif a.command == "log":
@@ -99,14 +94,8 @@ def run(args: list[str], store: Store | None = None, adapter=None, out=print) ->
             pack = store.load(p)
             card = spark.createDataFrame([(pack.style,)], "text string")
             results = run_eval(pack.nodes, card, read_questions(spark, a.questions), adapter or adapter_from_env(), f"{shared_dir(spark)}/eval-{uuid.uuid4().hex}", a.budget, a.scoped)
-            for r in results.orderBy("q_ord").toLocalIterator():
-                out(f"{'PASS' if r['passed'] else 'FAIL'}  {r['question']}")
-                if a.verbose or not r["passed"]:
-                    out(f"      -> {r['answer'][:200].strip()}")
-            n = recall(results).first()
-            out(f"\nrecall {n['passed']}/{n['total']} ({n['percent']}%) @ budget {a.budget}")
-            for r in by_category(results).orderBy("category").collect():
-                out(f"  {r['category']}: {r['passed']}/{r['total']}")
+            for r in report(results, a.budget, a.verbose).orderBy("n").toLocalIterator():
+                out(r["line"])
         elif a.command == "verify":
             if errors := pack_errors(spark, a.path):
                 for e in errors:

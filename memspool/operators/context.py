@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import overlap, render, sanitize, strip
 from ..functions.text import words as word_list
-from ..schema import absent, present
+from ..schema import PARTS, absent, present
 from ..sources.scratch import materialize, release
 from .merge import placed
 
@@ -172,6 +172,18 @@ def inspect_lines(nodes: DataFrame) -> DataFrame:
     return placed(rows, ("part",), ("__less", "ord")).select("part", (F.col("pos") + 1).alias("n"), "line")
 
 
+def inspect_report(nodes: DataFrame, style: str) -> DataFrame:
+    """``n, line``: the parts in order, each under a head with its number of nodes, and the style card."""
+    spark = nodes.sparkSession
+    lines = inspect_lines(nodes)
+    parts = spark.createDataFrame(list(enumerate(PARTS)), "p int, part string")
+    counts = parts.join(nodes.groupBy("part").agg(F.count("*").alias("k")), "part", "left")
+    head = F.format_string("\n== %s (%d) ==", "part", F.coalesce("k", F.lit(0)))
+    rows = counts.select("p", F.lit(0).cast("long").alias("n"), head.alias("line")).unionByName(lines.join(F.broadcast(parts), "part").select("p", "n", "line"))
+    rows = rows.unionByName(spark.createDataFrame([(len(PARTS), 0, f"\n== style ==\n{style.strip() or '(empty)'}")], "p int, n long, line string"))
+    return placed(rows.withColumn("__all", F.lit(0)), ("__all",), ("p", "n")).select(F.col("pos").alias("n"), "line")
+
+
 def newest(nodes: DataFrame) -> DataFrame:
     """``id, newest_id``: the end of each node's chain of supersession.
 

@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize, sortable_id
+from ..operators.merge import placed
 from ..operators.revisions import diff, purge_turns, remove_nodes
+from ..operators.trigrams import find, postings
 from ..schema import LEDGER, NODES, PARTS
 from .files import Files
 from .packs import ARCHIVE_SUFFIX, IntegrityError, Pack, export_archive, load_pack, pack_errors, sanitized, unpack_archive
 
 COMMITS = "version long, tree_version long, sha string, ts string, message string"
+GRAMS = "gram string, part string, block long"
 RAW = "file string, n long, line string, turn_id string"
 
 
@@ -120,6 +123,14 @@ class Store:
         path = f"{self._tree(profile, self._row(profile, rev)['tree_version'])}/raw"
         return self.spark.read.schema(RAW).parquet(path) if self.files.exists(path) else None
 
+    def find(self, profile: str, query: str, rev: int | str = "HEAD") -> DataFrame:
+        """Nodes that aren't superseded and have the query in text or tags, by the version's index of trigrams, which the first search makes."""
+        tree = self._tree(profile, self._row(profile, rev)["tree_version"])
+        nodes = self.load(profile, rev).nodes
+        if not self.files.exists(f"{tree}/grams/_SUCCESS"):
+            postings(nodes).write.mode("overwrite").parquet(f"{tree}/grams")
+        return find(nodes, self.spark.read.schema(GRAMS).parquet(f"{tree}/grams"), query)
+
     def nodes_at(self, profile: str, rev: int | str) -> DataFrame:
         """Nodes of a revision; of one that doesn't exist, none."""
         try:
@@ -129,8 +140,13 @@ class Store:
 
     def diff(self, profile: str, rev_a: int | str = "HEAD~1", rev_b: int | str = "HEAD") -> list[str]:
         """Lines of changes, by part and id; a changed style card is one line."""
+        return [r["line"] for r in self.diff_lines(profile, rev_a, rev_b).orderBy("n").toLocalIterator()]
+
+    def diff_lines(self, profile: str, rev_a: int | str = "HEAD~1", rev_b: int | str = "HEAD") -> DataFrame:
+        """``n, line``: the same as a table."""
         place = F.array_position(F.array(*map(F.lit, PARTS)), F.col("part"))
-        lines = [r["line"] for r in diff(self.nodes_at(profile, rev_a), self.nodes_at(profile, rev_b)).orderBy(place, "change", "id").toLocalIterator()]
+        changes = diff(self.nodes_at(profile, rev_a), self.nodes_at(profile, rev_b)).withColumns({"__all": F.lit(0), "__part": place})
+        lines = placed(changes, ("__all",), ("__part", "change", "id")).select(F.col("pos").alias("n"), "line")
 
         def style(rev):
             try:
@@ -138,7 +154,9 @@ class Store:
             except KeyError:
                 return None
 
-        return lines + ["~ [style] style card changed"] * (style(rev_a) != style(rev_b))
+        if style(rev_a) == style(rev_b):
+            return lines
+        return lines.unionByName(lines.agg(F.count("*").alias("n")).select("n", F.lit("~ [style] style card changed").alias("line")))
 
     def checkout(self, profile: str, rev: int | str) -> str:
         """Restore a revision as a new commit; it points to the old snapshot, and history stays."""
@@ -147,15 +165,18 @@ class Store:
 
     # --- erasure ----------------------------------------------------------------------------------------------------
 
-    def redact(self, profile: str, node_ids: str | list[str]) -> str:
+    def redact(self, profile: str, node_ids: str | list[str] | DataFrame) -> str:
         """Erase nodes, the turns they came from, and all history before: the result is the only version left.
 
-        Copies that were exported are out of reach.
+        Copies that were exported are out of reach.  Many ids come as a table (``id``).
         """
-        ids = [node_ids] if isinstance(node_ids, str) else list(node_ids)
         pack = self.load(profile)
-        gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        missing = gone.join(pack.nodes.select("id"), "id", "left_anti").collect()
+        if isinstance(node_ids, DataFrame):
+            gone, named = node_ids.select("id"), f"{node_ids.count()} nodes"
+        else:
+            ids = [node_ids] if isinstance(node_ids, str) else list(node_ids)
+            gone, named = self.spark.createDataFrame([(i,) for i in ids], "id string"), ", ".join(ids)
+        missing = gone.join(pack.nodes.select("id"), "id", "left_anti").limit(1).collect()
         if missing:
             raise KeyError(missing[0]["id"])
         raw = self.raw(profile)
@@ -164,7 +185,7 @@ class Store:
         clean = Pack(remove_nodes(pack.nodes, gone), pack.style, pack.ledger, pack.source_models, pack.created_at)
         self._write(clean, profile, version, kept)
         self.spark.catalog.clearCache()
-        sha = self._publish(profile, version, version, f"redact {', '.join(ids)}; history squashed")
+        sha = self._publish(profile, version, version, f"redact {named}; history squashed")
         for name in self.files.names(self._commits_path(profile)):
             if not name.startswith(f"{version:012d}"):
                 self.files.delete(f"{self._commits_path(profile)}/{name}")

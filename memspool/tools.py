@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import sanitize
-from .operators.context import build_context, search
+from .operators.context import build_context
+from .operators.merge import placed
 from .schema import PARTS
 from .sources.store import Store
 
@@ -27,9 +29,13 @@ class Memory:
 
     def search(self, query: str) -> list[str]:
         """Texts of facts that aren't superseded and have the query in text or tags, in the order of the parts."""
+        return [r["line"] for r in self.found(query).orderBy("n").toLocalIterator()]
+
+    def found(self, query: str) -> DataFrame:
+        """``n, line``: the same as a table."""
         place = F.array_position(F.array(*map(F.lit, PARTS)), F.col("part"))
-        found = search(self.store.load(self.profile).nodes, query).orderBy(place, "ord").select(sanitize("text").alias("text"))
-        return [r["text"] for r in found.toLocalIterator()]
+        rows = self.store.find(self.profile, query).select(F.lit(0).alias("__all"), place.alias("__part"), "ord", "id", sanitize("text").alias("line"))
+        return placed(rows, ("__all",), ("__part", "ord", "id")).select(F.col("pos").alias("n"), "line")
 
     def add_fact(self, text: str, part: str = "episodes", tags: list[str] | None = None) -> str:
         """Store one fact; returns its id."""

@@ -215,3 +215,34 @@ def test_recall(spark):
 def test_node_errors(spark):
     n = frame(spark, [node("identity", 0, "a", "x", 1.5), node("identity", 1, "b", None), node("identity", 2, "c", "x", confidence="sure"), node("identity", 3, "d", "x")])
     assert {tuple(r) for r in node_errors(n).collect()} == {("a", "salience is outside 0 to 1"), ("b", "text is missing"), ("c", "unknown confidence")}
+
+
+def test_search_by_trigrams_equals_a_full_scan(spark, tmp_path):
+    """Blocks of many nodes, letters of several bytes, tags, short queries, and more blocks than a scan is told of."""
+    import random
+
+    from memspool.operators import trigrams as T
+
+    rng = random.Random(4)
+    words = ["river", "Über", "straße", "naïve", "漢字かな", "tea", "a b", "🙂🙃", "%_"]
+    rows = [(("identity", "threads")[i % 2], i, str(i), " ".join(rng.choice(words) for _ in range(3)), None if i % 9 else "x", [rng.choice(words)] if i % 3 else []) for i in range(3000)]
+    rows += [("episodes", 10**6 * k, f"e{k}", "only here" if k == 77 else "often said", None, []) for k in range(300)] + [("identity", 9999, "none", None, None, None)]
+    nodes = spark.createDataFrame(rows, "part string, ord long, id string, text string, superseded_by string, tags array<string>")
+    T.postings(nodes).write.parquet(str(tmp_path / "grams"))
+    nodes.repartitionByRange(4, "part", "ord").write.partitionBy("part").parquet(str(tmp_path / "nodes"))
+    index, stored = spark.read.parquet(str(tmp_path / "grams")), spark.read.parquet(str(tmp_path / "nodes"))
+    for query in ("RIVER", "über straße", "字か", "字かな", "🙂🙃", "a b", "te", "", "%_", "only here", "often said", "never", "stra"):
+        assert {r["id"] for r in T.find(stored, index, query).collect()} == {r["id"] for r in C.search(nodes, query).collect()}, query
+    plan = T.find(stored, index, "only here")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "GreaterThanOrEqual(ord,76999936)" in plan and "part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_reports_are_tables(spark):
+    from memspool.operators.recall import report
+
+    rows = [(2, "c", "no", False, "x"), (0, "a", "yes", True, ""), (10, "b", " long\n", True, "w")]
+    results = spark.createDataFrame(rows, "q_ord int, question string, answer string, passed boolean, category string")
+    said = [r["line"] for r in report(results, 50).orderBy("n").collect()]
+    assert said == ["PASS  a", "FAIL  c", "      -> no", "PASS  b", "\nrecall 2/3 (66%) @ budget 50", "  w: 1/1", "  x: 0/1"]
+    assert [r["line"] for r in report(results.limit(0), 5).collect()] == ["\nrecall 0/0 (None%) @ budget 5"]
+    assert len(report(results, 50, True).collect()) == 9
