@@ -17,7 +17,7 @@ from ..functions.text import overlap, render, sanitize, strip
 from ..functions.text import words as word_list
 from ..schema import PARTS, absent, present
 from ..sources.scratch import materialize, release
-from .merge import placed
+from .merge import WHOLE, placed
 
 #: The text around a block, and the sections in their order.
 PREAMBLE = (
@@ -56,7 +56,7 @@ def ranked(nodes: DataFrame, today: str, query: str | None = None, keys: tuple[s
     """Live nodes with ``overlap`` and their ``rank`` within ``keys``; give only the columns that are needed."""
     r = rank_columns(query_words(query))
     marks = [f"__r{i}" for i in range(1, len(r) + 1)]
-    out = placed(live(nodes, today).withColumns(dict(zip(marks, r))), keys, tuple(marks))
+    out = placed(live(nodes, today).withColumns(dict(zip(marks, r))), keys, tuple(marks), WHOLE)
     return out.withColumn("overlap", -F.col("__r1")).withColumn("rank", (F.col("pos") + 1).cast("int")).drop(*marks, "pos")
 
 

@@ -63,18 +63,30 @@ def dedup_exact(nodes: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 def number(nodes: DataFrame, chunk: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Positions of nodes within their keys, by ``ord``: ``pos``, or ``chunk`` and ``pos`` within it."""
-    out = placed(nodes, keys, ("ord",))
+    out = placed(nodes, keys, ("ord",), WHOLE)
     if chunk is not None:
         out = out.withColumn("chunk", F.floor(F.col("pos") / chunk).cast("long")).withColumn("pos", F.pmod("pos", F.lit(chunk)).cast("long"))
     return out.select(*nodes.columns, *(["chunk"] if chunk is not None else []), "pos")
 
 
-def placed(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+#: Rows of a key that one task may number.
+WHOLE = 100_000
+
+
+def placed(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], whole: int = 0) -> DataFrame:
     """Rows with ``pos``, their position within ``keys`` in the order of the columns ``order``.
 
     Rows are dealt by ranges of keys and order and numbered in each range; then the counts of the ranges before, one row for
-    each key and range, are added.  So no task holds all rows of a key.  Keys aren't null.
+    each key and range, are added.  So no task holds all rows of a key.  Keys of at most ``whole`` rows are numbered by a window instead, which needs no table
+    between; both ways give the same positions.  Keys aren't null.
     """
+    if whole:
+        large = materialize(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > whole).select(*keys), "large-keys")
+        within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        if large.isEmpty():
+            return rows.withColumn("pos", within.cast("long"))
+        small = rows.join(large, list(keys), "left_anti").withColumn("pos", within.cast("long"))
+        return small.unionByName(placed(rows.join(large, list(keys), "left_semi"), keys, order)).select(*rows.columns, "pos")
     dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     numbered = materialize(dealt.withColumn("__at", F.monotonically_increasing_id()), "numbered")
     numbered = numbered.withColumn("__range", F.shiftright("__at", 33))

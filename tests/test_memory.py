@@ -246,3 +246,10 @@ def test_reports_are_tables(spark):
     assert said == ["PASS  a", "FAIL  c", "      -> no", "PASS  b", "\nrecall 2/3 (66%) @ budget 50", "  w: 1/1", "  x: 0/1"]
     assert [r["line"] for r in report(results.limit(0), 5).collect()] == ["\nrecall 0/0 (None%) @ budget 5"]
     assert len(report(results, 50, True).collect()) == 9
+
+
+def test_positions_by_windows_and_by_ranges_agree(spark):
+    rows = spark.range(2000).selectExpr("case when id % 10 < 7 then 'a' else cast(id % 50 as string) end k", "id * 7919 % 2003 o", "id")
+    want = sorted(map(tuple, M.placed(rows, ("k",), ("o",)).collect()))
+    for whole in (5, 100, 10_000):
+        assert sorted(map(tuple, M.placed(rows, ("k",), ("o",), whole).collect())) == want
