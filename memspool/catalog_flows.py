@@ -372,6 +372,33 @@ def extract_style(spark, d):
     return spark.createDataFrame([(pack.style, "|".join(pack.source_models))], "style string, models string")
 
 
+def _paired(prompt: str, system: str | None) -> str:
+    """Neighbours grouped in pairs."""
+    at = _numbers(prompt)
+    return json.dumps({"groups": [{"summary": f"S({a[1]})", "members": [a[0], b[0]]} for a, b in zip(at[::2], at[1::2])]})
+
+
+@query(
+    "extract_levels",
+    """WITH RECURSIVE e AS (SELECT 'E' || CAST(doc_id AS VARCHAR) AS t, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents),
+      l(k, n, below) AS (SELECT 0, count(*), 1000000000 FROM e UNION ALL SELECT k + 1, n // 2, n FROM l WHERE (k = 0 OR below > 200) AND n > 1),
+      v AS (SELECT k, n, (SELECT max(n) FROM l x WHERE x.k = l.k + 1) AS above, j, repeat('S(', k::INT) || t || repeat(')', k::INT) AS text FROM l, LATERAL (SELECT unnest(range(n)) AS j), e WHERE r = j * (1 << k))
+    SELECT v.text, CASE WHEN v.k = 0 THEN 'episode' ELSE 'summary' END AS granularity, p.text AS parent FROM v LEFT JOIN v p ON p.k = v.k + 1 AND p.j = v.j // 2""",
+)
+def extract_levels(spark, d):
+    """Episodes in groups, and groups of groups, where one prompt can't hold them."""
+    at, i = F.lit("2024-01-01").cast("timestamp"), F.col("doc_id")
+    rows = _t(spark, d, "documents").select(
+        F.lit("episodes").alias("part"), i.alias("ord"), i.cast("string").alias("id"), F.concat(F.lit("E"), i.cast("string")).alias("text"), F.lit("episode").alias("granularity"), F.lit(0.5).alias("salience"),
+        F.lit("stated").alias("confidence"), at.alias("created_at"), at.alias("last_confirmed_at"), *[F.lit(None).cast("string").alias(x) for x in ("superseded_by", "parent_id", "valid_from", "valid_until", "quote")],
+        F.array().cast("array<string>").alias("source_refs"), F.array().cast("array<string>").alias("tags"),
+    )
+    run = Extraction(spark, ScriptedAdapter([("Numbered episodes", _paired)]), new_table_path(spark, "levels"))
+    n = run.hierarchy(rows.select(*NODE_SCHEMA.fieldNames()), at)
+    up = n.select(F.col("id").alias("parent_id"), F.col("text").alias("parent"))
+    return n.join(up, "parent_id", "left").select("text", "granularity", "parent")
+
+
 # --- answers ----------------------------------------------------------------------------------------------------------
 
 

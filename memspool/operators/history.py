@@ -12,6 +12,8 @@ from ..sources.scratch import materialize
 ROLES = ("user", "assistant")
 #: Characters of a transcript in a prompt, of the style sample, and nodes in a chunk.
 TRANSCRIPT_CHARS, STYLE_CHARS, RESOLVE_CHUNK, MERGE_CHUNK = 12_000, 8_000, 40, 20
+#: Episodes that a model groups at once.
+GROUP_CHUNK = 200
 
 
 def spoken(turns: DataFrame) -> DataFrame:

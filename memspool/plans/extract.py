@@ -87,11 +87,11 @@ def proposed_pairs(replies: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def proposed_groups(replies: DataFrame) -> DataFrame:
-    """``group_ord, summary, members`` from a reply."""
-    listed = replies.select(F.posexplode(F.try_variant_get(parse_json("reply"), "$.groups", "array<variant>")).alias("group_ord", "g"))
+def proposed_groups(replies: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, group_ord, summary, members`` from replies."""
+    listed = replies.select(*keys, F.posexplode(F.try_variant_get(parse_json("reply"), "$.groups", "array<variant>")).alias("group_ord", "g"))
     members = F.filter(F.try_variant_get("g", "$.members", "array<bigint>"), lambda i: i >= 0)
-    return listed.select("group_ord", F.try_variant_get("g", "$.summary", "string").alias("summary"), members.alias("members"))
+    return listed.select(*keys, "group_ord", F.try_variant_get("g", "$.summary", "string").alias("summary"), members.alias("members"))
 
 
 def _numbered(order: Column, place: Column, text: Column) -> Column:
@@ -109,6 +109,7 @@ class Extraction:
     concurrency: int | None = None
     #: Standing nodes of a part up to which the gate lists all of them; in a larger part those that may meet the chunk.
     whole_list: int = 400
+    group_chunk: int = H.GROUP_CHUNK
     _step: int = 0
 
     def _write(self, df: DataFrame) -> DataFrame:
@@ -184,21 +185,34 @@ class Extraction:
         return self._write(standing().select(*NODES.fieldNames()))
 
     def hierarchy(self, episodes: DataFrame, now: Column) -> DataFrame:
-        """Groups of episodes get a summary above them; fewer than four stay as they are."""
-        loose = self._write(M.number(episodes))
-        if loose.limit(4).count() < 4:
+        """Groups of episodes get a summary above them; fewer than four stay as they are.
+
+        A model groups at most ``group_chunk`` at once, neighbours by ``ord``.  Where that took several chunks, their summaries are
+        grouped in the same way, and so on until one chunk holds a level: a prompt never grows with the memory.
+        """
+        if episodes.limit(4).count() < 4:
             return episodes
-        listed = loose.agg(_numbered(F.col("pos"), F.col("pos"), F.col("text")).alias("numbered"))
-        groups = proposed_groups(self._ask(listed, prompts.HIERARCHY, numbered=F.col("numbered")))
-        # behind the places of the run's other nodes
-        place = F.lit(1 << 44) + F.col("group_ord")
-        groups = self._write(groups.withColumn("id", sortable_id(F.unix_millis(now), place, F.lit(self.scratch), "summary")))
-        parents, children = M.attach_groups(loose, groups)
-        heads = parents.select(
-            F.lit("episodes").alias("part"), (F.col("group_ord") - (1 << 39)).cast("long").alias("ord"), "id", "text", F.lit("summary").alias("granularity"), "salience",
-            F.lit("stated").alias("confidence"), now.alias("created_at"), now.alias("last_confirmed_at"), "source_refs", F.array().cast("array<string>").alias("tags"),
-        )
-        return self._write(children.select(*NODES.fieldNames()).unionByName(heads, allowMissingColumns=True).select(*NODES.fieldNames()))
+        done, level = None, 0
+        while True:
+            loose = self._write(M.number(episodes, self.group_chunk))
+            listed = loose.groupBy("chunk").agg(_numbered(F.col("pos"), F.col("pos"), F.col("text")).alias("numbered"))
+            replies = self._ask(listed, prompts.HIERARCHY, numbered=F.col("numbered"))
+            groups = M.placed(proposed_groups(replies, ("chunk",)).withColumn("all", F.lit(level)), ("all",), ("chunk", "group_ord"), M.WHOLE).drop("all")
+            # behind the places of the run's other nodes
+            place = F.lit((1 << 44) + (level << 38)) + F.col("pos")
+            groups = self._write(groups.withColumn("id", sortable_id(F.unix_millis(now), place, F.lit(self.scratch), "summary")))
+            parents, children = M.attach_groups(loose, groups.drop("pos"), ("chunk",))
+            heads = parents.join(groups.select("chunk", "group_ord", "pos"), ["chunk", "group_ord"]).select(
+                F.lit("episodes").alias("part"), (F.col("pos") - (1 << 39) + (level << 32)).cast("long").alias("ord"), "id", "text", F.lit("summary").alias("granularity"), "salience",
+                F.lit("stated").alias("confidence"), now.alias("created_at"), now.alias("last_confirmed_at"), "source_refs", F.array().cast("array<string>").alias("tags"),
+            )
+            heads = self._write(loose.limit(0).select(*NODES.fieldNames()).unionByName(heads, allowMissingColumns=True))
+            children = self._write(children.select(*NODES.fieldNames()))
+            done = children if done is None else done.unionByName(children)
+            chunks = listed.count()
+            if chunks < 2 or heads.limit(2).count() < 2 or heads.count() >= loose.count():
+                return done.unionByName(heads)
+            episodes, level = heads, level + 1
 
     def run(self, turns: DataFrame, base: Pack | None = None, source_model: str | None = None, force: bool = False, run_ts: str | None = None) -> Pack:
         """Distil turns into memory, and merge it into ``base``.
