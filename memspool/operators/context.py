@@ -128,7 +128,8 @@ def build_scoped(nodes: DataFrame, styles: DataFrame, questions: DataFrame, budg
     common = materialize(_first_alike(facts, [], budget).drop("n"), "scoped-common")
     far = questions.select("q_ord").crossJoin(F.broadcast(common)).join(hits.select("q_ord", "__fact"), ["q_ord", "__fact"], "left_anti")
     lines = near.unionByName(far).drop("__fact")
-    card = styles.select("text").crossJoin(F.broadcast(questions.select("q_ord")))
+    # (one card: questions aren't broadcast, whatever their number)
+    card = questions.select("q_ord").crossJoin(F.broadcast(styles.select("text")))
     return _blocks(lines.unionByName(_cards(card, ["q_ord"])), questions.select("q_ord"), ["q_ord"], budget)
 
 

@@ -17,9 +17,13 @@ BLOCK, LISTED = 256, 200
 
 def trigrams(x: Column) -> Column:
     """The distinct runs of three letters of a text in lower case."""
-    c = F.split(F.lower(x), "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat(F.element_at(c, i), F.element_at(c, i + 1), F.element_at(c, i + 2)))
-    return F.when(F.size(c) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(c: Column) -> Column:
+        of_three = F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat(F.element_at(c, i), F.element_at(c, i + 1), F.element_at(c, i + 2)))
+        return F.when(F.size(c) >= 3, F.array_distinct(of_three)).otherwise(F.array().cast("array<string>"))
+
+    # (in a list of one, so that the letters are a variable and not split again for each run)
+    return F.flatten(F.transform(F.array(F.split(F.lower(x), "")), runs))
 
 
 def block_of(order: Column) -> Column:
