@@ -1,8 +1,9 @@
-"""A versioned store of memory: Parquet snapshots, published by a commit row.
+"""A versioned store of memory: Parquet tables whose versions share buckets, published by a commit row.
 
-``root/profile=P/v=N`` holds the tables of one snapshot: ``nodes`` (by part), ``ledger``, ``meta`` (style, models) and
-``raw`` where lines of raw turns are kept, such that can't be parsed too.  ``root/commits/profile=P`` holds one row for each commit; it is written last, so
-a snapshot that fails half-way is never seen.  One writer at a time for each profile.
+``root/profile=P/nodes`` and ``ledger`` are bucketed tables (see ``buckets``): a version writes only the buckets that changed.
+``root/profile=P/v=N/meta.json`` holds the manifests of version N, its style card and models, and the place of its raw lines (such that can't be parsed too),
+which versions share as well until new ones are given.  ``root/commits/profile=P`` holds one row for each commit; it is written last, so
+a version that fails half-way is never seen.  One writer at a time for each profile.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from ..operators.merge import placed
 from ..operators.revisions import diff, purge_turns, remove_nodes
 from ..operators.trigrams import find, postings
 from ..schema import LEDGER, NODES, PARTS
+from .buckets import ROWS, Buckets, changed, hashed
 from .files import Files
 from .packs import ARCHIVE_SUFFIX, IntegrityError, Pack, export_archive, load_pack, pack_errors, sanitized, unpack_archive
 
@@ -42,8 +44,8 @@ def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+    def __init__(self, spark: SparkSession, root: str, bucket_rows: int = ROWS) -> None:
+        self.spark, self.root, self.files, self.bucket_rows = spark, root.rstrip("/"), Files(spark), bucket_rows
 
     # --- versions ---------------------------------------------------------------------------------------------------
 
@@ -90,38 +92,52 @@ class Store:
     def _next(self, profile: str) -> int:
         return int(self.commits(profile).agg(F.max("version")).first()[0]) + 1
 
-    def _write(self, pack: Pack, profile: str, version: int, raw: DataFrame | None) -> None:
+    def _nodes(self, profile: str) -> Buckets:
+        return Buckets(self.spark, f"{self.root}/profile={profile}/nodes", NODES, F.col("ord"), F.col("part"), self.bucket_rows)
+
+    def _ledger(self, profile: str) -> Buckets:
+        return Buckets(self.spark, f"{self.root}/profile={profile}/ledger", LEDGER, hashed("conv_id"), F.lit("ledger"), self.bucket_rows)
+
+    def meta(self, profile: str, rev: int | str = "HEAD") -> dict:
+        """What a version's ``meta.json`` says."""
+        return json.loads(self.files.read(f"{self._tree(profile, self._row(profile, rev)['tree_version'])}/meta.json"))
+
+    def _write_meta(self, profile: str, version: int, meta: dict) -> None:
         tree = self._tree(profile, version)
         self.files.delete(tree)  # what a failed writer left
-        pack.nodes.select(*NODES.fieldNames()).write.partitionBy("part").parquet(f"{tree}/nodes")
-        pack.ledger.select(*LEDGER.fieldNames()).write.parquet(f"{tree}/ledger")
-        meta = {"style": pack.style, "source_models": pack.source_models, "created_at": pack.created_at}
         self.files.write(f"{tree}/meta.json", json.dumps(meta).encode())
+
+    def _write(self, pack: Pack, profile: str, version: int, raw: DataFrame | None, before: dict | None) -> None:
+        """Write a version that shares what it can with the one ``before``; without one it shares nothing."""
+        old = before or {"nodes": [], "ledger": [], "raw": None}
+        meta = {
+            "style": pack.style, "source_models": pack.source_models, "created_at": pack.created_at, "raw": old["raw"],
+            "nodes": self._nodes(profile).write(pack.nodes, old["nodes"]), "ledger": self._ledger(profile).write(pack.ledger, old["ledger"]),
+        }
         if raw is not None:
-            raw.select("file", "n", "line", "turn_id").write.parquet(f"{tree}/raw")
+            meta["raw"] = f"r={uuid.uuid4().hex}"
+            raw.select("file", "n", "line", "turn_id").write.parquet(f"{self.root}/profile={profile}/raw/{meta['raw']}")
+        self._write_meta(profile, version, meta)
 
     def init(self, profile: str) -> str:
         if self.files.exists(self._commits_path(profile)):
             raise FileExistsError(f"profile '{profile}' exists")
-        self._write(Pack.empty(self.spark), profile, 0, None)
+        self._write_meta(profile, 0, {"style": "", "source_models": [], "created_at": None, "nodes": [], "ledger": [], "raw": None})
         return self._publish(profile, 0, 0, "initialize empty memory")
 
     def commit(self, pack: Pack, profile: str, message: str, raw: DataFrame | None = None) -> str:
-        """Write a snapshot and publish it.  Raw lines of the version before are kept unless new ones are given."""
+        """Write the buckets that differ from the version before and publish.  Raw lines of that version are kept unless new ones are given."""
         version = self._next(profile)
-        self._write(pack, profile, version, raw if raw is not None else self.raw(profile))
+        self._write(pack, profile, version, raw, self.meta(profile))
         return self._publish(profile, version, version, message)
 
     def load(self, profile: str, rev: int | str = "HEAD") -> Pack:
-        tree = self._tree(profile, self._row(profile, rev)["tree_version"])
-        nodes = self.spark.read.schema(NODES).parquet(f"{tree}/nodes") if self.files.exists(f"{tree}/nodes") else self.spark.createDataFrame([], NODES)
-        m = json.loads(self.files.read(f"{tree}/meta.json"))
-        ledger = self.spark.read.schema(LEDGER).parquet(f"{tree}/ledger")
-        return Pack(nodes.select(*NODES.fieldNames()), m["style"], ledger, m["source_models"], m["created_at"])
+        m = self.meta(profile, rev)
+        return Pack(self._nodes(profile).read(m["nodes"]), m["style"], self._ledger(profile).read(m["ledger"]), m["source_models"], m["created_at"])
 
     def raw(self, profile: str, rev: int | str = "HEAD") -> DataFrame | None:
-        path = f"{self._tree(profile, self._row(profile, rev)['tree_version'])}/raw"
-        return self.spark.read.schema(RAW).parquet(path) if self.files.exists(path) else None
+        kept = self.meta(profile, rev)["raw"]
+        return self.spark.read.schema(RAW).parquet(f"{self.root}/profile={profile}/raw/{kept}") if kept else None
 
     def find(self, profile: str, query: str, rev: int | str = "HEAD") -> DataFrame:
         """Nodes that aren't superseded and have the query in text or tags, by the version's index of trigrams, which the first search makes."""
@@ -144,17 +160,19 @@ class Store:
 
     def diff_lines(self, profile: str, rev_a: int | str = "HEAD~1", rev_b: int | str = "HEAD") -> DataFrame:
         """``n, line``: the same as a table."""
-        place = F.array_position(F.array(*map(F.lit, PARTS)), F.col("part"))
-        changes = diff(self.nodes_at(profile, rev_a), self.nodes_at(profile, rev_b)).withColumns({"__all": F.lit(0), "__part": place})
-        lines = placed(changes, ("__all",), ("__part", "change", "id")).select(F.col("pos").alias("n"), "line")
-
-        def style(rev):
+        def at(rev):
             try:
-                return self.load(profile, rev).style
+                return self.meta(profile, rev)
             except KeyError:
-                return None
+                return {"nodes": [], "style": None}
 
-        if style(rev_a) == style(rev_b):
+        a, b, table = at(rev_a), at(rev_b), self._nodes(profile)
+        # (a node that moves changes the bucket it leaves and the one it comes to, so both are read)
+        was, now = changed(a["nodes"], b["nodes"])
+        place = F.array_position(F.array(*map(F.lit, PARTS)), F.col("part"))
+        changes = diff(table.read(was), table.read(now)).withColumns({"__all": F.lit(0), "__part": place})
+        lines = placed(changes, ("__all",), ("__part", "change", "id")).select(F.col("pos").alias("n"), "line")
+        if a["style"] == b["style"]:
             return lines
         return lines.unionByName(lines.agg(F.count("*").alias("n")).select("n", F.lit("~ [style] style card changed").alias("line")))
 
@@ -183,15 +201,18 @@ class Store:
         kept = purge_turns(raw, pack.nodes, gone) if raw is not None else None
         version = self._next(profile)
         clean = Pack(remove_nodes(pack.nodes, gone), pack.style, pack.ledger, pack.source_models, pack.created_at)
-        self._write(clean, profile, version, kept)
+        self._write(clean, profile, version, kept, None)
         self.spark.catalog.clearCache()
         sha = self._publish(profile, version, version, f"redact {named}; history squashed")
         for name in self.files.names(self._commits_path(profile)):
             if not name.startswith(f"{version:012d}"):
                 self.files.delete(f"{self._commits_path(profile)}/{name}")
-        for name in self.files.names(f"{self.root}/profile={profile}"):
-            if name != f"v={version}":
-                self.files.delete(f"{self.root}/profile={profile}/{name}")
+        home, now = f"{self.root}/profile={profile}", self.meta(profile)
+        used = {f"w={e['written']}" for e in now["nodes"] + now["ledger"]} | {now["raw"], f"v={version}", "nodes", "ledger", "raw"}
+        for folder in ("", "/nodes", "/ledger", "/raw"):
+            for name in self.files.names(home + folder):
+                if name not in used:
+                    self.files.delete(f"{home}{folder}/{name}")
         return sha
 
     # --- portable packs ---------------------------------------------------------------------------------------------
@@ -222,19 +243,21 @@ class Store:
             self.files.delete(scratch)
 
     def add_fact(self, profile: str, text: str, part: str = "episodes", tags: list[str] | None = None) -> str:
-        """Append one sanitized fact and commit; returns its id."""
+        """Append one sanitized fact and commit; returns its id.  One bucket is read and written."""
         if part not in PARTS:
             raise ValueError(f"part must be one of {', '.join(PARTS)}")
-        pack = self.load(profile)
-        at = F.current_timestamp()
+        m = self.meta(profile)
+        last = max((e["last"] for e in m["nodes"] if e["part"] == part), default=None)
+        at = F.lit(datetime.now(UTC))
         node = self.spark.createDataFrame([(part, text, tags or [])], "part string, text string, tags array<string>")
-        last = pack.nodes.where(F.col("part") == part).agg(F.max("ord")).first()[0]
-        new_id = self.spark.range(1).select(sortable_id(F.unix_millis(F.current_timestamp()), F.lit(0).cast("long"), F.lit(uuid.uuid4().hex), F.lit(text)).alias("id")).first()["id"]
+        new_id = self.spark.range(1).select(sortable_id(F.unix_millis(at), F.lit(0).cast("long"), F.lit(uuid.uuid4().hex), F.lit(text)).alias("id")).first()["id"]
         row = node.select(
             "part", F.lit(0 if last is None else last + 1).cast("long").alias("ord"), F.lit(new_id).alias("id"), sanitize("text").alias("text"),
             F.lit("episode").alias("granularity"), F.lit(0.5).alias("salience"), F.lit("stated").alias("confidence"), at.alias("created_at"), at.alias("last_confirmed_at"),
             F.array().cast("array<string>").alias("source_refs"), "tags",
         )
-        pack.nodes = pack.nodes.unionByName(row, allowMissingColumns=True)
-        self.commit(pack, profile, f"add fact ({part})")
+        row = self.spark.createDataFrame([], NODES).unionByName(row, allowMissingColumns=True)
+        version = self._next(profile)
+        self._write_meta(profile, version, {**m, "nodes": self._nodes(profile).extend(row, m["nodes"])})
+        self._publish(profile, version, version, f"add fact ({part})")
         return new_id

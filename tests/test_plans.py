@@ -6,6 +6,7 @@ import re
 import time
 import uuid
 from collections import Counter
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from memspool.plans import models, prompts
 from memspool.plans.extract import Extraction, candidates, extract_history, run_eval
 from memspool.schema import NODES
 from memspool.sources import benchprep, packs
+from memspool.sources.buckets import MOST, Buckets, changed
 from memspool.sources.history import read_history
 from memspool.sources.store import Store, raw_lines
 from memspool.streaming.ingest import ingest, rejected_path
@@ -367,3 +369,57 @@ def test_a_run_that_failed_pays_only_for_what_is_missing(spark, tmp_path, concur
     assert run().count() == 25 and sum(calls.values()) == len(os.listdir(tmp_path / "n"))
     other = models.complete_all(asked.limit(1).withColumn("system", F.lit("t")), adapter, str(tmp_path / "out"))
     assert other.first()["reply"] == "reply to p0 t"
+
+
+def test_versions_share_buckets(spark, tmp_path):
+    """A commit writes the buckets that changed, a difference reads only these, also where ranges got wider."""
+    store = Store(spark, str(tmp_path / "root"), bucket_rows=16)
+    store.init("p")
+    rows = [(p, i, f"{p}{i}", f"fact {i}", [], [], datetime(2024, 1, 1, microsecond=i)) for p, n in (("identity", 100), ("threads", 3)) for i in range(n)]
+    n = spark.createDataFrame(rows, "part string, ord long, id string, text string, tags array<string>, source_refs array<string>, created_at timestamp")
+    n = spark.createDataFrame([], NODES).unionByName(n, allowMissingColumns=True)
+    store.commit(packs.Pack(n), "p", "all")
+    first = store.meta("p")["nodes"]
+    assert [e["rows"] for e in first] == [16] * 6 + [4, 3] and len({e["written"] for e in first}) == 1
+
+    edited = n.withColumn("text", F.when(F.col("id") == "identity20", "other").otherwise(F.col("text")))
+    store.commit(packs.Pack(edited), "p", "one text")
+    second = store.meta("p")["nodes"]
+    assert [(e["part"], e["start"]) for e in second if e["written"] != first[0]["written"]] == [("identity", 16)]
+    assert store.diff("p") == ["~ [identity] 'fact 20' -> 'other'"]
+    was, now = changed(first, second)
+    assert [e["start"] for e in was] == [e["start"] for e in now] == [16]
+
+    # a microsecond counts, and what stands twice isn't what stands once
+    store.commit(packs.Pack(edited.withColumn("created_at", F.when(F.col("id") == "threads1", F.col("created_at") + F.expr("interval 1 microsecond")).otherwise(F.col("created_at")))), "p", "time")
+    assert [e["part"] for e in changed(second, store.meta("p")["nodes"])[1]] == ["threads"]
+    store.commit(packs.Pack(edited.unionByName(edited.where("id = 'threads2'"))), "p", "twice")
+    assert [e["rows"] for e in changed(second, store.meta("p")["nodes"])[1]] == [4]
+
+    store.checkout("p", 2)
+    added = store.add_fact("p", "Likes tea", "identity")
+    third = store.meta("p")["nodes"]
+    assert [(e["start"], e["rows"]) for e in changed(second, third)[1]] == [(96, 5)] and store.diff("p") == ["+ [identity] Likes tea"]
+    loaded = store.load("p").nodes
+    assert loaded.count() == 104 and loaded.where(F.col("id") == added).first()["ord"] == 100
+    # what was added by itself has the digest that the whole would have
+    assert [e["digest"] for e in store._nodes("p").write(loaded)] == [e["digest"] for e in third]
+    wide = Store(spark, store.root, bucket_rows=64)
+    wide.commit(packs.Pack(loaded), "p", "wider")
+    assert {e["width"] for e in wide.meta("p")["nodes"] if e["part"] == "identity"} == {64}
+    assert changed(third, wide.meta("p")["nodes"]) == ([], []) and wide.diff("p") == [] and wide.load("p").nodes.count() == 104
+    assert wide.diff("p", 1) == ["~ [identity] 'fact 20' -> 'other'", "+ [identity] Likes tea"][::-1]
+
+
+def test_buckets_of_odd_positions(spark, tmp_path):
+    """Positions far apart, negative, repeated or absent; a manifest stays bounded and loses no row."""
+    places = [None, -5, 0, 0, 7, 1 << 40, (1 << 40) + 3, 5 << 40] + [9] * 200
+    rows = spark.createDataFrame([("identity", p, f"i{k}") for k, p in enumerate(places)], "part string, ord long, id string")
+    rows = spark.createDataFrame([], NODES).unionByName(rows, allowMissingColumns=True)
+    table = Buckets(spark, str(tmp_path / "t"), NODES, F.col("ord"), F.col("part"), rows=4)
+    manifest = table.write(rows)
+    assert len(manifest) <= MOST + 1 and sum(e["rows"] for e in manifest) == len(places)
+    assert sorted(r["id"] for r in table.read(manifest).collect()) == sorted(f"i{k}" for k in range(len(places)))
+    assert table.write(rows, manifest) == manifest and table.write(rows.limit(0), manifest) == [] and table.read([]).count() == 0
+    more = table.extend(rows.where("ord = 7").withColumn("id", F.lit("new")), manifest)
+    assert table.read(more).count() == len(places) + 1 and table.extend(rows.limit(0), manifest) == manifest
