@@ -531,13 +531,20 @@ def _lit_sql(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-def fold_sql(budget: int) -> str:
-    """The fold over the lines of ``s`` (``key, sec, overlap, salience, confidence, ord, line``) as ``f`` (``key, r``)."""
+def fold_sql(budget: int, family: bool = False) -> str:
+    """The fold over the lines of ``s`` (``key, sec, overlap, salience, confidence, ord, line``) as ``f`` (``key, r``).
+
+    With families there are ``me, parent`` too, and lines whose parent was taken are left out.
+    """
     chunk = f"CASE WHEN s.last = x.sec THEN x.line ELSE chr(10) || '## ' || list_extract({list(C.SECTIONS)}, x.sec + 1) || chr(10) || x.line END"
-    return f"""a AS (SELECT key, list({{'used': 0, 'last': -1, 'out': '', 'sec': sec, 'line': line}} ORDER BY sec, overlap DESC, salience DESC, confidence <> 'stated', ord) AS items FROM s GROUP BY key),
-      f AS (SELECT key, list_reduce(items, lambda s, x: CASE WHEN s.used + length({chunk}) // 4 + 1 > {budget} THEN s
-        ELSE {{'used': CAST(s.used + length({chunk}) // 4 + 1 AS INTEGER), 'last': x.sec, 'out': s.out || {chunk}, 'sec': 0, 'line': ''}} END,
-        {{'used': {C.BASE_TOKENS}, 'last': -1, 'out': '', 'sec': 0, 'line': ''}}) AS r FROM a)"""
+    kin = ", 'shown': CAST([] AS VARCHAR[]), 'me': {0}, 'parent': {1}" if family else ""
+    item, begin = kin.format("me", "parent"), kin.format("CAST('' AS VARCHAR)", "CAST('' AS VARCHAR)")
+    then = ", 'shown': list_append(s.shown, x.me), 'me': '', 'parent': ''" if family else ""
+    out = " OR coalesce(list_contains(s.shown, x.parent), false)" if family else ""
+    return f"""a AS (SELECT key, list({{'used': 0, 'last': -1, 'out': '', 'sec': sec, 'line': line{item}}} ORDER BY sec, overlap DESC, salience DESC, confidence <> 'stated', ord) AS items FROM s GROUP BY key),
+      f AS (SELECT key, list_reduce(items, lambda s, x: CASE WHEN s.used + length({chunk}) // 4 + 1 > {budget}{out} THEN s
+        ELSE {{'used': CAST(s.used + length({chunk}) // 4 + 1 AS INTEGER), 'last': x.sec, 'out': s.out || {chunk}, 'sec': 0, 'line': ''{then}}} END,
+        {{'used': {C.BASE_TOKENS}, 'last': -1, 'out': '', 'sec': 0, 'line': ''{begin}}}) AS r FROM a)"""
 
 
 SECTION = "CASE part WHEN 'identity' THEN 0 WHEN 'threads' THEN 2 ELSE 3 END"
@@ -557,6 +564,20 @@ def context_budget(spark, d):
     return C.build_context(n, styles, BUDGET, QUERY, TODAY)
 
 
+@query(
+    "context_family",
+    f"""WITH {NODES}, k AS (SELECT *, CAST(min(ord) OVER (PARTITION BY profile, part, ord % 5) AS VARCHAR) AS head FROM nodes),
+      s AS (SELECT profile AS key, {SECTION} AS sec, CAST({_OVERLAP} AS INTEGER) AS overlap, salience, confidence, ord, {LINE} AS line, id AS me, head AS parent FROM k WHERE {LIVE}), {fold_sql(4 * BUDGET, True)}
+    SELECT DISTINCT n.profile, coalesce({CONTEXT}, {_lit_sql(C.PREAMBLE)} || '{C.CLOSING}') AS context, CAST(coalesce(r.used, {C.BASE_TOKENS}) AS INTEGER) AS used FROM nodes n LEFT JOIN f ON key IS NOT DISTINCT FROM n.profile""",
+)
+def context_family(spark, d):
+    """Blocks without the children of what they show: the parent of each node is the first one of its part with its remainder."""
+    n = nodes(spark, d).withColumn("fifth", F.col("ord") % 5)
+    heads = n.groupBy("profile", "part", "fifth").agg(F.min("ord").cast("string").alias("head"))
+    n = n.join(heads, ["profile", "part", "fifth"]).withColumn("parent_id", F.col("head"))
+    return C.build_context(n, None, 4 * BUDGET, QUERY, TODAY, children=False)
+
+
 @query("search_substring", f"WITH {NODES} SELECT id, part FROM nodes WHERE coalesce(superseded_by, '') = '' AND (contains(lower(text), 'src1') OR len(list_filter(tags, lambda t: contains(lower(t), 'src1'))) > 0)")
 def search_substring(spark, d):
     return C.search(nodes(spark, d), "SRC1").select("id", "part")

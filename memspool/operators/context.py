@@ -6,6 +6,12 @@ an ordered ``aggregate`` over one array for each pack.  The array is bounded: on
 length is rejected, no later line of that length and section can be accepted (what is used only
 grows, and a section's header only goes away together with room for more than the header), so
 of each length only as many lines as the budget holds are gathered.
+
+With ``children=False`` a line whose parent is already in the block is left out and takes no room, so that argument holds
+only for lines that aren't left out.  Children of one parent that come behind it share its fate: all are left out or none, so of each
+parent's lines of a length those that the budget holds are enough.  A block has at most ``room`` lines, so at most as many
+parents' lines go, and behind ``room + 1`` times what the budget holds there are always enough that stay.  Children
+that come before their parent stay.
 """
 
 from __future__ import annotations
@@ -60,15 +66,16 @@ def ranked(nodes: DataFrame, today: str, query: str | None = None, keys: tuple[s
     return out.withColumn("overlap", -F.col("__r1")).withColumn("rank", (F.col("pos") + 1).cast("int")).drop(*marks, "pos")
 
 
-def _lines(nodes: DataFrame, styles: DataFrame | None, keys: list[str], today: str, words: list[str] | Column) -> DataFrame:
-    """``keys, sec, rank columns, line`` of all that may go into blocks."""
+def _lines(nodes: DataFrame, styles: DataFrame | None, keys: list[str], today: str, words: list[str] | Column, family: bool = False) -> DataFrame:
+    """``keys, sec, rank columns, line`` of all that may go into blocks; ``me, parent`` too where families matter."""
     section = F.when(F.col("part") == "identity", 0).when(F.col("part") == "threads", 2).otherwise(3)
     r = rank_columns(words)
+    kin = [F.col("id").alias("me"), present(F.col("parent_id")).alias("parent")] if family else []
     line = F.concat(F.lit("- "), sanitize(render()), F.lit("\n"))
     # a generator is a barrier: else each use of a column further on would sanitize and rank the text again
-    once = F.explode(F.array(F.struct(section.alias("sec"), *r, line.alias("line"))))
+    once = F.explode(F.array(F.struct(section.alias("sec"), *r, line.alias("line"), *kin)))
     out = live(nodes, today).select(*keys, once.alias("__once")).select(*keys, "__once.*")
-    return out if styles is None else out.unionByName(_cards(styles, keys))
+    return out if styles is None else out.unionByName(_cards(styles, keys), allowMissingColumns=True)
 
 
 def _cards(styles: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,10 +88,12 @@ def _cards(styles: DataFrame, keys: list[str]) -> DataFrame:
 
 def build_context(
     nodes: DataFrame, styles: DataFrame | None = None, budget: int = 2000, query: str | None = None, today: str | None = None,
-    keys: tuple[str, ...] = ("profile",), words: str | None = None,
+    keys: tuple[str, ...] = ("profile",), words: str | None = None, children: bool = True,
 ) -> DataFrame:
     """``keys, context, used``: the block of each pack that fits the budget.
 
+    Without ``children``, nodes whose parent stands before them in the block are left out; what that frees goes to later lines.
+
     ``words`` names an array column of query words where each key has a query of its own.  A pack needs a row
     in ``nodes`` or ``styles`` to have a block.
     """
@@ -95,16 +104,21 @@ def build_context(
     packs = nodes.select(*k).distinct()
     if styles is not None:
         packs = packs.unionByName(styles.select(*k)).distinct()
-    return _blocks(_lines(nodes, styles, k, day, F.col(words) if words else query_words(query)), packs, k, budget)
+    return _blocks(_lines(nodes, styles, k, day, F.col(words) if words else query_words(query), not children), packs, k, budget)
 
 
 def _first_alike(lines: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """Of the lines of equal length in a section those that could all fit, the first ones by rank."""
+    """Of the lines of equal length in a section those that could all fit, the first ones by rank; with parents, the same for each and overall."""
     room = max(budget - BASE_TOKENS, 0)
     lines = lines.withColumn("n", F.length("line")).where(F.floor(F.col("n") / 4) + 1 <= room)
-    alike = Window.partitionBy(*keys, "sec", "n").orderBy("r1", "r2", "r3", "r4")
-    lines = lines.withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= room)
-    return lines.where(F.col("__n") <= F.floor(F.lit(room) / (F.floor(F.col("n") / 4) + 1))).drop("__n")
+    held = F.floor(F.lit(room) / (F.floor(F.col("n") / 4) + 1))
+
+    def first(rows: DataFrame, group: list[str], most: int) -> DataFrame:
+        alike = Window.partitionBy(*keys, "sec", "n", *group).orderBy("r1", "r2", "r3", "r4")
+        rows = rows.withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= room * most)
+        return rows.where(F.col("__n") <= held * most).drop("__n")
+
+    return first(first(lines, ["parent"], 1), [], room + 1) if "parent" in lines.columns else first(lines, [], 1)
 
 
 def build_scoped(nodes: DataFrame, styles: DataFrame, questions: DataFrame, budget: int = 2000, today: str | None = None) -> DataFrame:
@@ -135,18 +149,26 @@ def build_scoped(nodes: DataFrame, styles: DataFrame, questions: DataFrame, budg
 
 def _blocks(lines: DataFrame, packs: DataFrame, k: list[str], budget: int) -> DataFrame:
     """``keys, context, used`` from lines with their sections and rank columns."""
+    family = "parent" in lines.columns
     lines = _first_alike(lines, k, budget)
-    items = lines.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("sec", "r1", "r2", "r3", "r4", "line"))).alias("items"))
+    kin = ["me", "parent"] if family else []
+    items = lines.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("sec", "r1", "r2", "r3", "r4", "line", *kin))).alias("items"))
     heads = F.array(*[F.lit(f"\n## {s}\n") for s in SECTIONS])
 
     def step(s: Column, x: Column) -> Column:
         chunk = F.when(s["last"] == x["sec"], x["line"]).otherwise(F.concat(F.element_at(heads, x["sec"] + 1), x["line"]))
         cost = (F.floor(F.length(chunk) / 4) + 1).cast("int")
-        taken = F.struct((s["used"] + cost).alias("used"), x["sec"].alias("last"), F.concat(s["out"], F.array(chunk)).alias("out"))
-        return F.when(s["used"] + cost > budget, s).otherwise(taken)
-
-    start = F.struct(F.lit(BASE_TOKENS).alias("used"), F.lit(-1).alias("last"), F.array().cast("array<string>").alias("out"))
-    items_or_none = F.coalesce("items", F.array().cast("array<struct<sec:int,r1:int,r2:double,r3:boolean,r4:bigint,line:string>>"))
+        taken = [(s["used"] + cost).alias("used"), x["sec"].alias("last"), F.concat(s["out"], F.array(chunk)).alias("out")]
+        skip = s["used"] + cost > budget
+        if family:
+            taken.append(F.concat(s["shown"], F.array(x["me"])).alias("shown"))
+            skip = skip | F.coalesce(F.array_contains(s["shown"], x["parent"]), F.lit(False))
+        return F.when(skip, s).otherwise(F.struct(*taken))
+
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(BASE_TOKENS).alias("used"), F.lit(-1).alias("last"), none.alias("out"), *([none.alias("shown")] if family else []))
+    kinds = "sec:int,r1:int,r2:double,r3:boolean,r4:bigint,line:string" + (",me:string,parent:string" if family else "")
+    items_or_none = F.coalesce("items", F.array().cast(f"array<struct<{kinds}>>"))
     joined = packs.join(items, k, "left") if k else items  # without keys there is one row in any case
     out = joined.withColumn("__s", F.aggregate(items_or_none, start, step))
     text = F.concat(F.lit(PREAMBLE), F.array_join("__s.out", ""), F.lit(CLOSING))

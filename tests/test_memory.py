@@ -123,6 +123,33 @@ def test_block_equals_the_plain_fold(spark, budget):
     assert all(u <= max(budget, C.BASE_TOKENS) for _, u in got.values())
 
 
+@pytest.mark.parametrize("budget", [120, 200, 500, 2000])
+def test_block_without_children_equals_the_plain_fold(spark, budget):
+    """Many lines of one length and many children of one parent, chains, parents in other sections, that come later, or that aren't there."""
+    rng = random.Random(budget)
+    rows, want = [], {}
+    for k in range(8):
+        items, n = [], rng.choice([5, 40, 300])
+        for i in range(n):
+            part = rng.choice(["identity", "episodes", "threads"])
+            text = "x" * rng.choice([1, 1, 1, 2, 30, 200])
+            s = rng.choice([0.1, 0.5, 0.9])
+            parent = rng.choice([None, "", f"p{k}-{rng.randrange(3)}", f"p{k}-{rng.randrange(n)}", "nobody"])
+            rows.append((*node(part, i, f"p{k}-{i}", text, s, parent_id=parent), f"p{k}"))
+            items.append(({"identity": 0, "threads": 2, "episodes": 3}[part], -s, i, f"- {text}\n", f"p{k}-{i}", parent))
+        used, last, out, shown = C.BASE_TOKENS, -1, C.PREAMBLE, set()
+        for sec, _, _, line, me, parent in sorted(items, key=lambda x: x[:3]):
+            chunk = line if sec == last else f"\n## {C.SECTIONS[sec]}\n{line}"
+            if parent in shown or used + len(chunk) // 4 + 1 > budget:
+                continue
+            used, last, out = used + len(chunk) // 4 + 1, sec, out + chunk
+            shown.add(me)
+        want[f"p{k}"] = (out + C.CLOSING, used)
+    nodes = spark.createDataFrame(rows, T.StructType([*NODES.fields, T.StructField("profile", T.StringType())]))
+    got = {r["profile"]: (r["context"], r["used"]) for r in C.build_context(nodes, None, budget, today="2024-01-15", children=False).collect()}
+    assert got == want
+
+
 def test_block_ranks_filters_and_escapes(spark):
     nodes = frame(spark, [
         node("identity", 0, "a", "Prefers espresso", 0.1), node("identity", 1, "b", "Lives in Turin", 0.9), node("identity", 2, "c", "Old fact", superseded_by="b"),
