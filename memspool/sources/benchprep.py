@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import session_time
 from ..functions.text import strip
+from .arrays import array_members
 
 #: Sessions that are read, questions of a category, and the categories that a substring can judge.
 MAX_SESSIONS, PER_CATEGORY = 12, 15
@@ -18,8 +19,7 @@ _QA = "array<struct<question:string,answer:string,category:int,evidence:array<st
 
 def read_samples(spark: SparkSession, path: str, sessions: int = MAX_SESSIONS) -> DataFrame:
     """``idx, speaker_a, speaker_b, sessions (n, ts, turns), qa`` of each sample; sessions count while they are present."""
-    files = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<map<string,string>>").alias("s"))
-    rows = files.select(F.posexplode("s").alias("idx", "m"))
+    rows = array_members(spark, path).select(F.col("idx").cast("int").alias("idx"), F.from_json("item", "map<string,string>").alias("m"))
     fields = ", ".join(f"session_{n}:string, session_{n}_date_time:string" for n in range(1, sessions + 1))
     c = F.from_json(F.col("m")["conversation"], f"struct<speaker_a:string, speaker_b:string, {fields}>")
     rows = rows.select("idx", c.alias("c"), F.from_json(F.col("m")["qa"], _QA).alias("qa"))
@@ -76,5 +76,5 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """``q_ord, question, expected, category`` of a JSON array."""
     from ..schema import QUESTIONS
 
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", f"array<{QUESTIONS.simpleString()}>", {"mode": "FAILFAST"})).alias("q_ord", "q")).select("q_ord", "q.*")
+    asked = array_members(spark, path)
+    return asked.select(F.col("idx").cast("int").alias("q_ord"), F.from_json("item", QUESTIONS, {"mode": "FAILFAST"}).alias("q")).select("q_ord", "q.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 
@@ -32,26 +34,43 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
-    def write(self, path: str, data: bytes) -> None:
+    @contextmanager
+    def opened(self, path: str):
+        """A stream of the JVM that writes a file."""
         fs, p = self._at(path)
         fs.setWriteChecksum(False)  # no hidden files beside those that people see
         try:
             out = fs.create(p, True)
             try:
-                out.write(bytearray(data))
+                yield out
             finally:
                 out.close()
         finally:
             fs.setWriteChecksum(True)
 
-    def read(self, path: str) -> bytes:
+    def write(self, path: str, data: bytes) -> None:
+        with self.opened(path) as out:
+            out.write(bytearray(data))
+
+    def copy(self, path: str, out, count: int) -> None:
+        """Append the first bytes of a file to a stream, a buffer at a time."""
+        with self.reading(path) as stream:
+            self.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, count)
+
+    @contextmanager
+    def reading(self, path: str):
+        """A stream of the JVM that reads a file."""
         fs, p = self._at(path)
         stream = fs.open(p)
         try:
-            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            yield stream
         finally:
             stream.close()
 
+    def read(self, path: str) -> bytes:
+        with self.reading(path) as stream:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+
     def move(self, source: str, dest: str) -> None:
         fs, p = self._at(source)
         _, q = self._at(dest)

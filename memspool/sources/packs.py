@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
-import zipfile
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.text import sanitize
 from ..operators.revisions import REQUIRED, verify
 from ..schema import FORMAT_VERSION, LEDGER, NODE_FIELDS, NODE_JSON, NODES, PARTS, with_node_defaults
+from .arrays import array_members
 from .files import Files
+from .scratch import new_table_path
 
 #: Names in the portable format.
 MANIFEST, STYLE, ARCHIVE_SUFFIX = "mempack.json", "style.md", ".mempack"
@@ -48,31 +51,63 @@ def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
 
 
-def part_json(nodes: DataFrame, part: str) -> bytes:
-    """One part as a JSON array.  This is the portable format's edge: an export has the size of a pack, which people read."""
-    stamped = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c) if c.endswith("_at") else F.col(c) for c in NODE_FIELDS]
-    line = F.to_json(F.struct(*stamped), {"ignoreNullFields": "false"})
-    rows = nodes.where(F.col("part") == part).select("ord", line.alias("j")).orderBy("ord").toLocalIterator()
-    return json.dumps([json.loads(r["j"]) for r in rows], indent=2, ensure_ascii=False).encode()
+def _pieces(files: Files, folder: str, less: int = 0) -> list[tuple[str, int]]:
+    """The files of a folder that Spark wrote, in order, and their bytes; ``less`` bytes of the last one are left out."""
+    found = [(f"{folder}/{n}", files.size(f"{folder}/{n}")) for n in files.names(folder) if n.startswith("part-")]
+    found = [(p, n) for p, n in found if n > 0]
+    return [*found[:-1], (found[-1][0], found[-1][1] - less)] if found else []
 
 
-def pack_files(pack: Pack, raw: dict[str, bytes] | None = None) -> dict[str, bytes]:
-    """All files of a pack, its manifest last."""
-    files = {f"{p}.json": part_json(pack.nodes, p) for p in PARTS}
-    files[STYLE] = pack.style.encode()
-    files |= {f"raw/{k}": v for k, v in sorted((raw or {}).items())}
-    manifest = {
-        "format_version": FORMAT_VERSION, "created_at": pack.created_at or now(), "updated_at": now(), "source_models": pack.source_models,
-        "generator": "memspool", "content_hashes": {k: hashlib.sha256(v).hexdigest() for k, v in files.items()},
-        "extracted": {r["conv_id"]: r["digest"] for r in pack.ledger.orderBy("conv_id").toLocalIterator()},
-    }
-    return {**files, MANIFEST: json.dumps(manifest, indent=2).encode()}
+def _contents(pack: Pack, raw: dict[str, bytes] | DataFrame | None, scratch: str) -> dict[str, list]:
+    """Each file of a pack but the manifest as bytes and pieces of files, which tasks write under ``scratch``."""
+    files, between = Files(pack.nodes.sparkSession), ",\n"
+    stamped = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c) if c.endswith("_at") else F.col(c) for c in NODE_FIELDS]
+    lines = pack.nodes.select("part", "ord", F.to_json(F.struct(*stamped), {"ignoreNullFields": "false"}).alias("value"))
+    out: dict[str, list] = {}
+    for p in PARTS:
+        lines.where(F.col("part") == p).orderBy("ord").select("value").write.option("lineSep", between).text(f"{scratch}/{p}")
+        out[f"{p}.json"] = [b"[\n", *_pieces(files, f"{scratch}/{p}", len(between)), b"\n]"]
+    out[STYLE] = [pack.style.encode()]
+    if isinstance(raw, DataFrame):
+        raw.orderBy("file", "n").select("file", F.col("line").alias("value")).write.partitionBy("file").text(f"{scratch}/raw")
+        # (names of folders are escaped)
+        raw = {unquote(n.removeprefix("file=")): _pieces(files, f"{scratch}/raw/{n}") for n in files.names(f"{scratch}/raw") if n.startswith("file=")}
+    return out | {f"raw/{k}": v if isinstance(v, list) else [v] for k, v in sorted((raw or {}).items())}
 
 
-def save_pack(pack: Pack, path: str, raw: dict[str, bytes] | None = None) -> None:
-    files = Files(pack.nodes.sparkSession)
-    for name, data in pack_files(pack, raw).items():
-        files.write(f"{path}/{name}", data)
+def _write(pack: Pack, raw: dict[str, bytes] | DataFrame | None, scratch: str, entry: Callable) -> None:
+    """Write a pack's files one after another, the manifest last; ``entry`` opens the stream of a name.
+
+    The format has one file for each part, whose hash is one pass.  Tasks make the text; here its bytes are only copied and hashed, a buffer at a time.
+    """
+    spark = pack.nodes.sparkSession
+    files, jvm, hashes = Files(spark), spark.sparkContext._jvm, {}
+    try:
+        for name, content in _contents(pack, raw, scratch).items():
+            with entry(name) as out:
+                digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+                hashing = jvm.java.security.DigestOutputStream(out, digest)
+                for piece in content:
+                    if isinstance(piece, bytes):
+                        hashing.write(bytearray(piece))
+                    else:
+                        files.copy(piece[0], hashing, piece[1])
+                hashing.flush()
+                hashes[name] = bytes(digest.digest()).hex()
+        manifest = {
+            "format_version": FORMAT_VERSION, "created_at": pack.created_at or now(), "updated_at": now(), "source_models": pack.source_models,
+            "generator": "memspool", "content_hashes": hashes, "extracted": {r["conv_id"]: r["digest"] for r in pack.ledger.orderBy("conv_id").toLocalIterator()},
+        }
+        with entry(MANIFEST) as out:
+            out.write(bytearray(json.dumps(manifest, indent=2).encode()))
+    finally:
+        files.delete(scratch)
+
+
+def save_pack(pack: Pack, path: str, raw: dict[str, bytes] | DataFrame | None = None) -> None:
+    """Write a pack as a directory; raw files come as bytes, or as a table of lines (``file, n, line``)."""
+    spark = pack.nodes.sparkSession
+    _write(pack, raw, new_table_path(spark, "pack-pieces"), lambda name: Files(spark).opened(f"{path}/{name}"))
 
 
 def _manifest(spark: SparkSession, path: str) -> dict:
@@ -108,12 +143,9 @@ def load_pack(spark: SparkSession, path: str, check: bool = True) -> Pack:
     m = _manifest(spark, path)
     if str(m.get("format_version", FORMAT_VERSION)).split(".")[0] != FORMAT_VERSION.split(".")[0]:
         raise IntegrityError(f"unknown format version {m['format_version']}")
-    parts = None
-    for p in PARTS:
-        text = spark.read.text(f"{path}/{p}.json", wholetext=True)
-        rows = text.select(F.posexplode(F.from_json("value", f"array<{NODE_JSON.simpleString()}>", {"mode": "FAILFAST"})).alias("ord", "n"))
-        rows = rows.select(F.lit(p).alias("part"), F.col("ord").cast("long"), "n.*")
-        parts = rows if parts is None else parts.unionByName(rows)
+    members = array_members(spark, [f"{path}/{p}.json" for p in PARTS])
+    part = F.regexp_extract("file", r"([^/]*)\.json$", 1)
+    parts = members.select(part.alias("part"), F.col("idx").cast("long").alias("ord"), F.from_json("item", NODE_JSON, {"mode": "FAILFAST"}).alias("n")).select("part", "ord", "n.*")
     style = Files(spark).read(f"{path}/{STYLE}").decode()
     ledger = spark.createDataFrame(list((m.get("extracted") or {}).items()), LEDGER)
     return Pack(with_node_defaults(parts, F.current_timestamp()), style, ledger, m.get("source_models") or [], m.get("created_at"))
@@ -127,27 +159,40 @@ def sanitized(pack: Pack) -> Pack:
     return Pack(nodes, style, pack.ledger, pack.source_models, pack.created_at)
 
 
-def export_archive(pack: Pack, dest: str, raw: dict[str, bytes] | None = None) -> str:
+def export_archive(pack: Pack, dest: str, raw: dict[str, bytes] | DataFrame | None = None) -> str:
     """Zip a pack; the suffix is made the format's."""
     if not dest.endswith(ARCHIVE_SUFFIX):
         head, _, tail = dest.rpartition("/")
         dest = (head + "/" if head else "") + tail.rsplit(".", 1)[0] + ARCHIVE_SUFFIX
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in sorted(pack_files(pack, raw).items()):
-            z.writestr(name, data)
-    Files(pack.nodes.sparkSession).write(dest, buffer.getvalue())
+    spark = pack.nodes.sparkSession
+    zipped = spark.sparkContext._jvm.java.util.zip
+    with Files(spark).opened(dest) as out:
+        archive = zipped.ZipOutputStream(out)
+
+        @contextmanager
+        def entry(name):
+            archive.putNextEntry(zipped.ZipEntry(name))
+            yield archive
+            archive.closeEntry()
+
+        _write(pack, raw, new_table_path(spark, "pack-pieces"), entry)
+        archive.finish()
     return dest
 
 
 def unpack_archive(spark: SparkSession, source: str, into: str) -> str:
     """Write an archive's files under ``into``; names that leave it are refused."""
-    files = Files(spark)
-    with zipfile.ZipFile(io.BytesIO(files.read(source))) as z:
-        for name in z.namelist():
-            if name.endswith("/"):
+    files, jvm = Files(spark), spark.sparkContext._jvm
+    with files.reading(source) as stream:
+        archive, found = jvm.java.util.zip.ZipInputStream(stream), False
+        while (entry := archive.getNextEntry()) is not None:
+            name, found = entry.getName(), True
+            if entry.isDirectory():
                 continue
             if name.startswith("/") or ".." in name.split("/"):
                 raise IntegrityError(f"{name}: outside the pack")
-            files.write(f"{into}/{name}", z.read(name))
+            with files.opened(f"{into}/{name}") as out:
+                jvm.org.apache.commons.io.IOUtils.copyLarge(archive, out)
+    if not found:
+        raise IntegrityError(f"{source}: no archive")
     return into

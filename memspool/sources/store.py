@@ -218,12 +218,7 @@ class Store:
     # --- portable packs ---------------------------------------------------------------------------------------------
 
     def export(self, profile: str, dest: str) -> str:
-        files: dict[str, list[str]] = {}
-        lines = self.raw(profile)
-        if lines is not None:
-            for r in lines.orderBy("file", "n").toLocalIterator():
-                files.setdefault(r["file"], []).append(r["line"] + "\n")
-        return export_archive(self.load(profile), dest, {name: "".join(x).encode() for name, x in files.items()})
+        return export_archive(self.load(profile), dest, self.raw(profile))
 
     def import_(self, source: str, profile: str, force: bool = False) -> str:
         """Take over a pack from a directory or archive: verified unless forced, sanitized, replacing the profile's."""
