@@ -52,10 +52,12 @@ class Files:
         with self.opened(path) as out:
             out.write(bytearray(data))
 
-    def copy(self, path: str, out, count: int) -> None:
-        """Append the first bytes of a file to a stream, a buffer at a time."""
+    def copy(self, piece: tuple[str, int, int], out) -> None:
+        """Append a range of a file (path, place, number of bytes) to a stream, a buffer at a time."""
+        path, start, size = piece
         with self.reading(path) as stream:
-            self.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, count)
+            stream.seek(start)
+            self.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, size)
 
     @contextmanager
     def reading(self, path: str):

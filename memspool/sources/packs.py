@@ -8,9 +8,8 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize
@@ -51,11 +50,20 @@ def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
 
 
-def _pieces(files: Files, folder: str, less: int = 0) -> list[tuple[str, int]]:
-    """The files of a folder that Spark wrote, in order, and their bytes; ``less`` bytes of the last one are left out."""
-    found = [(f"{folder}/{n}", files.size(f"{folder}/{n}")) for n in files.names(folder) if n.startswith("part-")]
-    found = [(p, n) for p, n in found if n > 0]
-    return [*found[:-1], (found[-1][0], found[-1][1] - less)] if found else []
+def _pieces(files: Files, folder: str, start: int, size: int) -> list[tuple[str, int, int]]:
+    """Where bytes of the text lie that Spark wrote into a folder: files in order, each with a place and a number of bytes."""
+    out, at = [], 0
+    for path in (f"{folder}/{n}" for n in files.names(folder) if n.startswith("part-")):
+        length = files.size(path)
+        a, z = max(start, at), min(start + size, at + length)
+        if a < z:
+            out.append((path, a - at, z - a))
+        at += length
+    return out
+
+
+def _bytes(line: Column, separator: str) -> Column:
+    return F.coalesce(F.sum(F.octet_length(line) + len(separator)), F.lit(0))
 
 
 def _contents(pack: Pack, raw: dict[str, bytes] | DataFrame | None, scratch: str) -> dict[str, list]:
@@ -63,16 +71,22 @@ def _contents(pack: Pack, raw: dict[str, bytes] | DataFrame | None, scratch: str
     files, between = Files(pack.nodes.sparkSession), ",\n"
     stamped = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c) if c.endswith("_at") else F.col(c) for c in NODE_FIELDS]
     lines = pack.nodes.select("part", "ord", F.to_json(F.struct(*stamped), {"ignoreNullFields": "false"}).alias("value"))
+    sizes = {r["part"]: r["n"] for r in lines.groupBy("part").agg(_bytes(F.col("value"), between).alias("n")).collect()}
     out: dict[str, list] = {}
     for p in PARTS:
         lines.where(F.col("part") == p).orderBy("ord").select("value").write.option("lineSep", between).text(f"{scratch}/{p}")
-        out[f"{p}.json"] = [b"[\n", *_pieces(files, f"{scratch}/{p}", len(between)), b"\n]"]
+        out[f"{p}.json"] = [b"[\n", *_pieces(files, f"{scratch}/{p}", 0, sizes.get(p, 0) - len(between)), b"\n]"]
     out[STYLE] = [pack.style.encode()]
-    if isinstance(raw, DataFrame):
-        raw.orderBy("file", "n").select("file", F.col("line").alias("value")).write.partitionBy("file").text(f"{scratch}/raw")
-        # (names of folders are escaped)
-        raw = {unquote(n.removeprefix("file=")): _pieces(files, f"{scratch}/raw/{n}") for n in files.names(f"{scratch}/raw") if n.startswith("file=")}
-    return out | {f"raw/{k}": v if isinstance(v, list) else [v] for k, v in sorted((raw or {}).items())}
+    if not isinstance(raw, DataFrame):
+        return out | {f"raw/{k}": [v] for k, v in sorted((raw or {}).items())}
+    # all files in one text, in order, so each is a range of its bytes
+    kept = raw.select("file", "n", F.coalesce("line", F.lit("")).alias("value"))
+    kept.orderBy("file", "n").select("value").write.text(f"{scratch}/raw")
+    start = 0
+    for r in kept.groupBy("file").agg(_bytes(F.col("value"), "\n").alias("n")).orderBy("file").collect():
+        out[f"raw/{r['file']}"] = _pieces(files, f"{scratch}/raw", start, r["n"])
+        start += r["n"]
+    return out
 
 
 def _write(pack: Pack, raw: dict[str, bytes] | DataFrame | None, scratch: str, entry: Callable) -> None:
@@ -91,7 +105,7 @@ def _write(pack: Pack, raw: dict[str, bytes] | DataFrame | None, scratch: str, e
                     if isinstance(piece, bytes):
                         hashing.write(bytearray(piece))
                     else:
-                        files.copy(piece[0], hashing, piece[1])
+                        files.copy(piece, hashing)
                 hashing.flush()
                 hashes[name] = bytes(digest.digest()).hex()
         manifest = {

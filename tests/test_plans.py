@@ -423,3 +423,26 @@ def test_buckets_of_odd_positions(spark, tmp_path):
     assert table.write(rows, manifest) == manifest and table.write(rows.limit(0), manifest) == [] and table.read([]).count() == 0
     more = table.extend(rows.where("ord = 7").withColumn("id", F.lit("new")), manifest)
     assert table.read(more).count() == len(places) + 1 and table.extend(rows.limit(0), manifest) == manifest
+
+
+def test_packs_are_put_together_from_pieces(spark, tmp_path):
+    """Many pieces, raw files that share them, names and texts that need escapes, an empty part."""
+    n = 3000
+    nodes = spark.range(n).select(F.when(F.col("id") % 3 == 0, "identity").otherwise("episodes").alias("part"), F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), F.concat(F.lit('é "x"\n},'), "id").alias("text"))
+    nodes = spark.createDataFrame([], NODES).unionByName(nodes, allowMissingColumns=True)
+    names = ["a.jsonl", "b c=%.jsonl", "é.jsonl"]
+    raw = spark.range(n).select(F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 3 + 1).cast("int")).alias("file"), (-F.col("id")).alias("n"), F.concat(F.lit("zeile é "), "id").alias("line")).repartition(7)
+    path = str(tmp_path / "pack")
+    packs.save_pack(packs.Pack(nodes.repartition(5), "Brief."), path, raw)
+    for k, name in enumerate(names):
+        assert (tmp_path / "pack" / "raw" / name).read_text().splitlines() == [f"zeile é {i}" for i in reversed(range(n)) if i % 3 == k]
+    assert json.loads((tmp_path / "pack" / "threads.json").read_text()) == []
+    assert [x["id"] for x in json.loads((tmp_path / "pack" / "identity.json").read_text())] == [str(i) for i in range(0, n, 3)]
+    got = packs.load_pack(spark, path).nodes
+    assert got.where("part = 'episodes'").count() == 2000 and got.where("text = concat('é \"x\"\n},', id)").count() == n
+    archive = packs.export_archive(packs.Pack(nodes, "Brief."), str(tmp_path / "x"), raw)
+    into = packs.unpack_archive(spark, archive, str(tmp_path / "out"))
+    assert packs.pack_errors(spark, into) == [] and (tmp_path / "out" / "raw" / names[1]).read_bytes() == (tmp_path / "pack" / "raw" / names[1]).read_bytes()
+    (tmp_path / "no.zip").write_bytes(b"no archive")
+    with pytest.raises(packs.IntegrityError):
+        packs.unpack_archive(spark, str(tmp_path / "no.zip"), str(tmp_path / "no"))
