@@ -107,10 +107,20 @@ def build_context(
     return _blocks(_lines(nodes, styles, k, day, F.col(words) if words else query_words(query), not children), packs, k, budget)
 
 
+def _head(section: str) -> str:
+    return f"\n## {section}\n"
+
+
+def _that_fit(lines: DataFrame, budget: int) -> DataFrame:
+    """Lines with their length ``n``, without those that no block of this budget holds."""
+    return lines.withColumn("n", F.length("line")).where(F.floor(F.col("n") / 4) + 1 <= max(budget - BASE_TOKENS, 0))
+
+
 def _first_alike(lines: DataFrame, keys: list[str], budget: int) -> DataFrame:
     """Of the lines of equal length in a section those that could all fit, the first ones by rank; with parents, the same for each and overall."""
     room = max(budget - BASE_TOKENS, 0)
-    lines = lines.withColumn("n", F.length("line")).where(F.floor(F.col("n") / 4) + 1 <= room)
+    if "n" not in lines.columns:
+        lines = _that_fit(lines, budget)
     held = F.floor(F.lit(room) / (F.floor(F.col("n") / 4) + 1))
 
     def first(rows: DataFrame, group: list[str], most: int) -> DataFrame:
@@ -132,19 +142,40 @@ def build_scoped(nodes: DataFrame, styles: DataFrame, questions: DataFrame, budg
 
     day = today or datetime.now(UTC).date().isoformat()
     held = F.array_distinct(F.concat(word_list("text"), F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)))
-    facts = _lines(nodes.withColumn("__held", held), None, ["__held"], day, [])
-    facts = materialize(facts.withColumn("__fact", F.monotonically_increasing_id()), "scoped-facts")
+    facts = _lines(nodes.withColumn("__held", held), None, ["__held"], day, []).unionByName(_cards(styles, []), allowMissingColumns=True)
+    facts = materialize(_that_fit(facts, budget).withColumn("__fact", F.monotonically_increasing_id()), "scoped-facts")
     asked = questions.select("q_ord", F.explode(F.array_distinct(word_list("question"))).alias("w"))
     hits = facts.select("__fact", F.explode("__held").alias("w")).join(asked, "w").groupBy("q_ord", "__fact").agg(F.count("*").cast("int").alias("__common"))
     hits = materialize(hits, "scoped-hits")
-    facts = facts.drop("__held")
-    near = facts.join(hits, "__fact").withColumn("r1", -F.col("__common")).drop("__common")
-    common = materialize(_first_alike(facts, [], budget).drop("n"), "scoped-common")
+    # questions meet facts without their lines: which of them are in a block follows from ranks and lengths
+    places = facts.drop("__held", "line")
+    near = places.join(hits, "__fact").withColumn("r1", -F.col("__common")).drop("__common")
+    common = materialize(_first_alike(places, [], budget), "scoped-common")
     far = questions.select("q_ord").crossJoin(F.broadcast(common)).join(hits.select("q_ord", "__fact"), ["q_ord", "__fact"], "left_anti")
-    lines = near.unionByName(far).drop("__fact")
-    # (one card: questions aren't broadcast, whatever their number)
-    card = questions.select("q_ord").crossJoin(F.broadcast(styles.select("text")))
-    return _blocks(lines.unionByName(_cards(card, ["q_ord"])), questions.select("q_ord"), ["q_ord"], budget)
+    return _blocks_by_length(near.unionByName(far), facts.select("__fact", "line"), questions.select("q_ord"), ["q_ord"], budget)
+
+
+def _blocks_by_length(places: DataFrame, lines: DataFrame, packs: DataFrame, k: list[str], budget: int) -> DataFrame:
+    """As ``_blocks``, from the places of lines (``keys, sec, rank columns, n, __fact``); only the accepted ones are read (``__fact, line``)."""
+    order = ["sec", "r1", "r2", "r3", "r4", "n", "__fact"]
+    items = _first_alike(places, k, budget).groupBy(*k).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("items"))
+    heads = F.array(*[F.lit(len(_head(s))) for s in SECTIONS])
+
+    def step(s: Column, x: Column) -> Column:
+        opens = s["last"] != x["sec"]
+        size = x["n"] + F.when(opens, F.element_at(heads, x["sec"] + 1)).otherwise(0)
+        used = s["used"] + (F.floor(size / 4) + 1).cast("int")
+        taken = F.concat(s["out"], F.array(F.struct(x["sec"].alias("sec"), opens.alias("opens"), x["__fact"].alias("__fact"))))
+        return F.when(used > budget, s).otherwise(F.struct(used.alias("used"), x["sec"].alias("last"), taken.alias("out")))
+
+    start = F.struct(F.lit(BASE_TOKENS).alias("used"), F.lit(-1).alias("last"), F.array().cast("array<struct<sec:int,opens:boolean,__fact:bigint>>").alias("out"))
+    folded = materialize(items.select(*k, F.aggregate("items", start, step).alias("s")).select(*k, "s.used", "s.out"), "scoped-folded")
+    shown = folded.select(*k, F.posexplode("out").alias("at", "x")).select(*k, "at", "x.*").join(lines, "__fact")
+    texts = F.array(*[F.lit(_head(s)) for s in SECTIONS])
+    chunk = F.concat(F.when(F.col("opens"), F.element_at(texts, F.col("sec") + 1)).otherwise(""), "line")
+    body = shown.groupBy(*k).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", chunk.alias("c")))), lambda x: x["c"]), "").alias("body"))
+    text = F.concat(F.lit(PREAMBLE), F.coalesce("body", F.lit("")), F.lit(CLOSING))
+    return packs.join(folded.select(*k, "used"), k, "left").join(body, k, "left").select(*k, text.alias("context"), F.coalesce("used", F.lit(BASE_TOKENS)).alias("used"))
 
 
 def _blocks(lines: DataFrame, packs: DataFrame, k: list[str], budget: int) -> DataFrame:
@@ -153,7 +184,7 @@ def _blocks(lines: DataFrame, packs: DataFrame, k: list[str], budget: int) -> Da
     lines = _first_alike(lines, k, budget)
     kin = ["me", "parent"] if family else []
     items = lines.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("sec", "r1", "r2", "r3", "r4", "line", *kin))).alias("items"))
-    heads = F.array(*[F.lit(f"\n## {s}\n") for s in SECTIONS])
+    heads = F.array(*[F.lit(_head(s)) for s in SECTIONS])
 
     def step(s: Column, x: Column) -> Column:
         chunk = F.when(s["last"] == x["sec"], x["line"]).otherwise(F.concat(F.element_at(heads, x["sec"] + 1), x["line"]))

@@ -280,3 +280,16 @@ def test_positions_by_windows_and_by_ranges_agree(spark):
     want = sorted(map(tuple, M.placed(rows, ("k",), ("o",)).collect()))
     for whole in (5, 100, 10_000):
         assert sorted(map(tuple, M.placed(rows, ("k",), ("o",), whole).collect())) == want
+
+
+def test_blocks_of_questions_are_folded_without_their_lines(spark):
+    """Lines are read when it is settled which of them a block holds; the blocks are those of each question by itself."""
+    rows = [(p, i, f"{p}{i}", f"fact {i % 7} of word{i} " + "x" * (i * 37 % 300), 0.1 * (i % 5), "stated", ["tag"]) for p in ("identity", "episodes", "threads") for i in range(60)]
+    nodes = spark.createDataFrame(rows, "part string, ord long, id string, text string, salience double, confidence string, tags array<string>")
+    nodes = spark.createDataFrame([], NODES).unionByName(nodes, allowMissingColumns=True)
+    styles = spark.createDataFrame([("Brief.",)], "text string")
+    asked = [(0, "what of word3 and word44"), (1, "nothing known"), (2, "tag 5")]
+    scoped = C.build_scoped(nodes, styles, spark.createDataFrame(asked, "q_ord long, question string"), 500, "2024-01-01")
+    assert "collect_list(struct(sec" not in scoped._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["q_ord"]: r["context"] for r in scoped.collect()}
+    assert got == {k: C.build_context(nodes, styles, 500, q, "2024-01-01", keys=()).first()["context"] for k, q in asked}
