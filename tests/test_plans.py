@@ -446,3 +446,47 @@ def test_packs_are_put_together_from_pieces(spark, tmp_path):
     (tmp_path / "no.zip").write_bytes(b"no archive")
     with pytest.raises(packs.IntegrityError):
         packs.unpack_archive(spark, str(tmp_path / "no.zip"), str(tmp_path / "no"))
+
+
+@pytest.mark.parametrize(("whole", "per_task"), [(0, 1000), (30, 2)])
+def test_chunks_asked_at_once_end_like_one_after_the_other(spark, tmp_path, whole, per_task):
+    """Later chunks fold into, rewrite and contradict what earlier ones added; few rounds, whatever the number of chunks."""
+    def row(i, text):
+        return {"part": "identity", "ord": i, "id": f"{text}#{i}", "text": text, "granularity": "episode", "salience": 0.5, "confidence": "stated", "created_at": "2024-01-01", "last_confirmed_at": "2024-01-01"}
+
+    base = [f"k{i} base" for i in range(35)]
+    new = [f"k{(i * 7) % 61} {'dup' if i % 3 else 'other'} n{i} {'long' * (i % 5)}" for i in range(60)]
+
+    def gate(prompt, system):
+        old, fresh = prompt.split("New facts:")
+        lines = lambda x: [(int(i), t) for i, t in re.findall(r"^(\d+)\. (.*)$", x, re.M)]
+        at, out = {}, {"duplicates": [], "contradictions": [[10**6, 0]]}
+        for i, t in lines(old):
+            at.setdefault(t.split()[0], i)
+        for j, t in lines(fresh):
+            if (i := at.get(t.split()[0])) is not None:
+                out["duplicates" if " dup" in t else "contradictions"].append([i, j])
+        return json.dumps(out)
+
+    want = [[t, None] for t in base]
+    for k in range(0, len(new), 20):
+        chunk = new[k : k + 20]
+        reply = json.loads(gate("\n".join(f"{i}. {t}" for i, (t, _) in enumerate(want)) + "\nNew facts:\n" + "\n".join(f"{j}. {t}" for j, t in enumerate(chunk)), None))
+        folded = dict(reversed([(j, i) for i, j in reply["duplicates"]]))
+        for j, i in sorted(folded.items()):
+            want[i][0] = max(want[i][0], chunk[j], key=len)
+        for i, j in reply["contradictions"]:
+            if i < len(want) and want[i][1] is None:
+                want[i][1] = f"{chunk[j]}#{1000 + k + j}"
+        want += [[t, None] for j, t in enumerate(chunk) if j not in folded]
+    table = lambda texts, o: spark.createDataFrame([(json.dumps(row(o + i, t)),) for i, t in enumerate(texts)], "v string").select(F.from_json("v", NODES).alias("n")).select("n.*")
+    run = Extraction(spark, models.ScriptedAdapter([("Facts in memory", gate)], per_task=per_task), str(tmp_path / "s"), whole_list=whole)
+    got = run.merge(table(base, 0), table(new, 1000)).orderBy("ord").collect()
+    assert [(r["text"], r["superseded_by"]) for r in got] == [tuple(x) for x in want]
+
+
+def test_new_facts_of_an_empty_memory_are_no_rounds(spark, tmp_path):
+    rows = spark.range(500).select(F.lit("identity").alias("part"), F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), F.concat(F.lit("fact "), "id").alias("text"))
+    rows = spark.createDataFrame([], NODES).unionByName(rows, allowMissingColumns=True)
+    run = Extraction(spark, models.ScriptedAdapter([]), str(tmp_path / "s"))
+    assert [r["text"] for r in run.merge(rows.limit(0), rows).orderBy("ord").collect()] == [f"fact {i}" for i in range(500)] and run._step < 10
