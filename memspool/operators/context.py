@@ -219,23 +219,29 @@ def search(nodes: DataFrame, query: str) -> DataFrame:
 
 def inspect_lines(nodes: DataFrame) -> DataFrame:
     """``part, n, line`` of each node, by salience: what a reader of the memory sees."""
+    return placed(_inspected(nodes), ("part",), ("__less", "ord")).select("part", (F.col("pos") + 1).alias("n"), "line")
+
+
+def _inspected(nodes: DataFrame) -> DataFrame:
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("  #"), F.array_join("tags", " #"))).otherwise("")
     mark = F.when(absent(F.col("superseded_by")), "").otherwise(" [superseded]")
     line = F.concat(F.format_string("  (%.2f) ", "salience"), "text", tags, mark)
-    rows = nodes.select("part", (-F.col("salience")).alias("__less"), "ord", line.alias("line"))
-    return placed(rows, ("part",), ("__less", "ord")).select("part", (F.col("pos") + 1).alias("n"), "line")
+    return nodes.select("part", (-F.col("salience")).alias("__less"), "ord", line.alias("line"))
 
 
 def inspect_report(nodes: DataFrame, style: str) -> DataFrame:
     """``n, line``: the parts in order, each under a head with its number of nodes, and the style card."""
     spark = nodes.sparkSession
-    lines = inspect_lines(nodes)
     parts = spark.createDataFrame(list(enumerate(PARTS)), "p int, part string")
     counts = parts.join(nodes.groupBy("part").agg(F.count("*").alias("k")), "part", "left")
     head = F.format_string("\n== %s (%d) ==", "part", F.coalesce("k", F.lit(0)))
-    rows = counts.select("p", F.lit(0).cast("long").alias("n"), head.alias("line")).unionByName(lines.join(F.broadcast(parts), "part").select("p", "n", "line"))
-    rows = rows.unionByName(spark.createDataFrame([(len(PARTS), 0, f"\n== style ==\n{style.strip() or '(empty)'}")], "p int, n long, line string"))
-    return placed(rows.withColumn("__all", F.lit(0)), ("__all",), ("p", "n")).select(F.col("pos").alias("n"), "line")
+    # heads and lines are numbered in one pass, so a line is dealt and written once
+    at = [F.lit(0).alias("kind"), F.lit(0.0).alias("__less"), F.lit(0).cast("long").alias("ord")]
+    rows = counts.select("p", *at, head.alias("line"))
+    rows = rows.unionByName(_inspected(nodes).join(F.broadcast(parts), "part").select("p", F.lit(1).alias("kind"), "__less", "ord", "line"))
+    card = spark.createDataFrame([(len(PARTS), f"\n== style ==\n{style.strip() or '(empty)'}")], "p int, line string")
+    rows = rows.unionByName(card.select("p", *at, "line"))
+    return placed(rows.withColumn("__all", F.lit(0)), ("__all",), ("p", "kind", "__less", "ord")).select(F.col("pos").alias("n"), "line")
 
 
 def newest(nodes: DataFrame) -> DataFrame:

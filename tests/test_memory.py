@@ -293,3 +293,13 @@ def test_blocks_of_questions_are_folded_without_their_lines(spark):
     assert "collect_list(struct(sec" not in scoped._jdf.queryExecution().optimizedPlan().toString()
     got = {r["q_ord"]: r["context"] for r in scoped.collect()}
     assert got == {k: C.build_context(nodes, styles, 500, q, "2024-01-01", keys=()).first()["context"] for k, q in asked}
+
+
+def test_a_report_is_dealt_once(spark, monkeypatch):
+    """Lines of the memory are numbered in one pass, with the heads among them."""
+    calls, real = [], C.placed
+    monkeypatch.setattr(C, "placed", lambda rows, *a: calls.append(rows) or real(rows, *a))
+    nodes = spark.createDataFrame([node("threads", 1, "a", "low", 0.2), node("threads", 2, "b", "high", 0.9), node("identity", 0, "c", "me", 0.5, tags=["x"])], NODES)
+    got = [r["line"] for r in C.inspect_report(nodes, " ").orderBy("n").collect()]
+    assert got == ["\n== identity (1) ==", "  (0.50) me  #x", "\n== episodes (0) ==", "\n== threads (2) ==", "  (0.90) high", "  (0.20) low", "\n== style ==\n(empty)"]
+    assert len(calls) == 1
