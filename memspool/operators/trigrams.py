@@ -6,6 +6,10 @@ found from the postings of its trigrams alone, and then only their nodes are rea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +34,39 @@ def block_of(order: Column) -> Column:
     return F.floor(order / BLOCK).cast("long")
 
 
+def _codes(text: str) -> np.ndarray:
+    """The runs of three letters of a text as numbers."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:])
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``gram, part, block`` of ``part, block, texts``: once for neighbours of one block, as the store keeps nodes in order."""
+
+    def listed(key: tuple, found: list[np.ndarray]) -> pa.RecordBatch:
+        codes = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        letters = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        columns = [pa.array([letters[i : i + 3] for i in range(0, len(letters), 3)], pa.string()), pa.array([key[0]] * len(codes), pa.string()), pa.array([key[1]] * len(codes), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["gram", "part", "block"])
+
+    key, found = None, []
+    for batch in batches:
+        for part, block, texts in zip(*(c.to_pylist() for c in batch.columns)):
+            if (part, block) != key:
+                if key is not None:
+                    yield listed(key, found)
+                key, found = (part, block), []
+            found += [_codes(x) for x in texts if x is not None and len(x) > 2]
+            if len(found) > 64:
+                found = [np.unique(np.concatenate(found))]
+    if key is not None:
+        yield listed(key, found)
+
+
 def postings(nodes: DataFrame) -> DataFrame:
     """``gram, part, block`` of nodes, dealt and sorted by gram."""
-    grams = F.flatten(F.concat(F.array(trigrams(F.col("text"))), F.transform(F.coalesce("tags", F.array().cast("array<string>")), trigrams)))
-    rows = nodes.select("part", block_of(F.col("ord")).alias("block"), F.explode(F.array_distinct(grams)).alias("gram")).distinct()
+    texts = F.concat(F.array("text"), F.coalesce("tags", F.array().cast("array<string>")))
+    rows = nodes.select("part", block_of(F.col("ord")).alias("block"), F.transform(texts, F.lower).alias("texts")).mapInArrow(_grams, "gram string, part string, block long").distinct()
     return rows.select("gram", "part", "block").repartitionByRange("gram", "part", "block").sortWithinPartitions("gram", "part", "block")
 
 

@@ -34,8 +34,8 @@ class Memory:
     def found(self, query: str) -> DataFrame:
         """``n, line``: the same as a table."""
         place = F.array_position(F.array(*map(F.lit, PARTS)), F.col("part"))
-        rows = self.store.find(self.profile, query).select(F.lit(0).alias("__all"), place.alias("__part"), "ord", "id", sanitize("text").alias("line"))
-        return placed(rows, ("__all",), ("__part", "ord", "id")).select(F.col("pos").alias("n"), "line")
+        rows = self.store.find(self.profile, query).select(F.lit(0).alias("__all"), place.alias("__part"), "ord", "id", "text")
+        return placed(rows, ("__all",), ("__part", "ord", "id")).select(F.col("pos").alias("n"), sanitize("text").alias("line"))
 
     def add_fact(self, text: str, part: str = "episodes", tags: list[str] | None = None) -> str:
         """Store one fact; returns its id."""

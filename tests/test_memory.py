@@ -303,3 +303,16 @@ def test_a_report_is_dealt_once(spark, monkeypatch):
     got = [r["line"] for r in C.inspect_report(nodes, " ").orderBy("n").collect()]
     assert got == ["\n== identity (1) ==", "  (0.50) me  #x", "\n== episodes (0) ==", "\n== threads (2) ==", "  (0.90) high", "  (0.20) low", "\n== style ==\n(empty)"]
     assert len(calls) == 1
+
+
+def test_postings_have_each_gram_of_a_block_once(spark):
+    """Letters beyond the basic plane and odd cases too; rows of a block are one before they are dealt."""
+    from memspool.operators import trigrams as T
+
+    rows = [node("threads", i, str(i), t, tags=["Tag\U0001f600é"]) for i, t in enumerate(["ABCab", "\U0001f600xÉ\x00", "ab", "", "İstanbul"] * 60)]
+    nodes = spark.createDataFrame(rows, NODES).coalesce(1)
+    want = nodes.select(T.block_of(F.col("ord")).alias("b"), F.explode(F.concat(T.trigrams(F.col("text")), T.trigrams(F.element_at("tags", 1)))).alias("g")).distinct()
+    got = [(r["block"], r["gram"]) for r in T.postings(nodes).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(r["b"], r["g"]) for r in want.collect()}
+    texts = F.array(F.lower("text"), F.lower(F.element_at("tags", 1)))
+    assert nodes.select("part", T.block_of(F.col("ord")).alias("b"), texts.alias("t")).mapInArrow(T._grams, "gram string, part string, block long").count() == len(got)
