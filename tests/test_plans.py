@@ -490,3 +490,10 @@ def test_new_facts_of_an_empty_memory_are_no_rounds(spark, tmp_path):
     rows = spark.createDataFrame([], NODES).unionByName(rows, allowMissingColumns=True)
     run = Extraction(spark, models.ScriptedAdapter([]), str(tmp_path / "s"))
     assert [r["text"] for r in run.merge(rows.limit(0), rows).orderBy("ord").collect()] == [f"fact {i}" for i in range(500)] and run._step < 10
+
+
+def test_large_files_are_hashed_by_no_task(spark, tmp_path):
+    n = spark.createDataFrame([], NODES)
+    packs.save_pack(packs.Pack(n, "Brief. " * 100), str(tmp_path / "p"), {"a.jsonl": b"x" * 5000})
+    hashes = lambda whole: {tuple(r) for r in packs.file_hashes(spark, str(tmp_path / "p"), whole).collect()}
+    assert hashes(100) == hashes(1 << 26) and len(hashes(100)) == 6
