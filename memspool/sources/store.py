@@ -24,6 +24,7 @@ from ..schema import LEDGER, NODES, PARTS
 from .buckets import ROWS, Buckets, changed, hashed
 from .files import Files
 from .packs import ARCHIVE_SUFFIX, IntegrityError, Pack, export_archive, load_pack, pack_errors, sanitized, unpack_archive
+from .scratch import materialize
 
 COMMITS = "version long, tree_version long, sha string, ts string, message string"
 GRAMS = "gram string, part string, block long"
@@ -229,6 +230,8 @@ class Store:
             if errors and not force:
                 raise IntegrityError(f"the pack does not verify: {errors}")
             pack = sanitized(load_pack(self.spark, path, check=False))
+            # a commit reads nodes three times: they are parsed and sanitized once
+            pack.nodes = materialize(pack.nodes, "imported")
             names = [n for n in self.files.names(f"{path}/raw") if n.endswith(".jsonl")]
             raw = read_raw(self.spark, [f"{path}/raw/{n}" for n in names]) if names else None
             if profile not in self.profiles():

@@ -497,3 +497,14 @@ def test_large_files_are_hashed_by_no_task(spark, tmp_path):
     packs.save_pack(packs.Pack(n, "Brief. " * 100), str(tmp_path / "p"), {"a.jsonl": b"x" * 5000})
     hashes = lambda whole: {tuple(r) for r in packs.file_hashes(spark, str(tmp_path / "p"), whole).collect()}
     assert hashes(100) == hashes(1 << 26) and len(hashes(100)) == 6
+
+
+def test_an_import_parses_its_nodes_once(spark, tmp_path, monkeypatch):
+    store, seen = Store(spark, str(tmp_path / "root")), []
+    store.init("p")
+    store.add_fact("p", "Likes tea")
+    out, real = store.export("p", str(tmp_path / "x")), Buckets.write
+    monkeypatch.setattr(Buckets, "write", lambda self, df, *a: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(self, df, *a))
+    store.import_(out, "q")
+    assert [r["text"] for r in store.load("q").nodes.collect()] == ["Likes tea"]
+    assert seen and not any("regexp_replace" in x or "from_json" in x for x in seen)
