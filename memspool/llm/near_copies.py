@@ -1,15 +1,20 @@
 """Near copies by Jaccard similarity of five-word shingles.
 
-Near copies at 0.8 are some ten bits of a 64-bit SimHash apart, where neither its popcount grid nor any other division of so few bits separates them from
-the rest.  So candidates come from MinHash: a document has ``BANDS`` keys of ``ROWS`` minima each, and documents that share a
-key are compared.  Of pairs at similarity 0.8, 3 in 100,000 share no key; of more similar ones fewer.  Each link is verified on the whole sets of shingle hashes.
+Candidates come from operator 7's method: a set has ``PRINTS`` SimHash fingerprints of 64 bits, each with a grid of its own, on whose cells of segment
+popcounts the range-join runs.  Sets are compared where a fingerprint differs in ``REACH`` bits or fewer and a half of it lies within Manhattan distance 1, so all
+are that differ in 3 bits or fewer of any fingerprint.  In dense cells of the grid, sets that are in different components by then are compared, whatever their bits.
+
+Near copies at 0.8 are some ten bits of 64 apart, where the grid finds a part of them (21 of 48 links at sf0.1).  So that none is lost, MinHash adds
+candidates: a document has ``BANDS`` keys of ``ROWS`` minima each, and documents that share a key are compared.  Of pairs at similarity 0.8, 3 in 100,000 share
+no key; of more similar ones fewer.  Each link, of either kind, is verified on the whole sets of shingle hashes.
 
 Minima of a small set are those of ``BANDS * ROWS`` hash functions.  Large sets are hashed once and dealt to as many bins, each of which
 gives its minimum (one-permutation hashing; an empty bin takes that of the next one).  Sets near the border have both kinds of keys, so that similar sets always share a kind.
 
-Documents with equal sets are one node throughout.  A key's members are compared with its smallest one first, and components are formed.  Where a key has
-several, its members outside of the largest component are compared with those of others: in listed pairs, or, where these
-would be many, in pairs of blocks of bounded bytes.  So all candidates are compared or connected already.
+Documents with equal sets are one node throughout.  The members of a key and, of sets with keys in common with others, those that lie in a cell of the grid are
+compared with its smallest one first, as are all pairs of the grid of which one has no such key; components are formed.  Then all other pairs of the grid's
+cells that these leave apart are compared.  Where a key or a dense cell has several components, its members outside of the largest one are compared with those of
+others: in listed pairs, or, where these would be many, in pairs of blocks of bounded bytes.  So all candidates are compared or connected already.
 
 Defined cases: null or wordless texts are equal to each other; a text of fewer than five words is one shingle;
 ids that repeat are separate rows; an empty table gives an empty result.
@@ -17,6 +22,8 @@ ids that repeat are separate rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, release, text_bytes
-from .op07_simhash import connected_components, deal, keep_first, name_groups, outside_top, shingles
+from .op07_simhash import MOST, connected_components, deal, keep_first, majority_bits, name_groups, outside_top, shared_cells, shingles
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
+#: Fingerprints of a set, and differing bits up to which the grid's pairs are compared.
+PRINTS, REACH = 4, 12
 #: Pairs of a key that are listed, and shingles of a block where there are more.
 FEW, BLOCK = 1024, 1 << 18
 #: Sets up to ``SMALL`` have keys of all hash functions, those from four fifths of it on have keys of bins.
@@ -62,27 +71,39 @@ def band_keys(hashes: np.ndarray, small: int = SMALL) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def prints(hashes: np.ndarray) -> list[int]:
+    """The SimHash fingerprints of a set of shingle hashes: one of the hashes themselves, the others of hashes of these."""
+    out = [majority_bits(hashes)]
+    for i in range(1, PRINTS):
+        mixed = hashes + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(majority_bits(mixed ^ mixed >> np.uint64(31)))
+    return out
+
+
 def _set_of(raw: bytes | None, words: int) -> np.ndarray:
     return np.unique(shingles(raw or b"", words))
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``doc_id, key, fp, size, bands`` of every row; ``fp`` is a hash of the set of shingles, ``size`` their number."""
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, minhash: bool) -> DataFrame:
+    """``doc_id, key, fp, size, prints, bands`` of every row; ``fp`` is a hash of the set of shingles, ``size`` their number."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp, size, bands = [], [], []
+        fp, size, codes, bands = [], [], [], []
         for raw in text_bytes(batch.column(2)):
             distinct = _set_of(raw, words)
             fp.append(xxhash.xxh3_64_intdigest(distinct.tobytes()))
             size.append(len(distinct))
-            bands.append(band_keys(distinct) if len(distinct) else [])
+            codes.append(prints(distinct) if len(distinct) else [])
+            bands.append(band_keys(distinct) if minhash and len(distinct) else [])
         fp = np.array(fp, np.uint64).view(np.int64)
-        columns = [batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "size", "bands"])
+        columns = [batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (codes, bands))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "size", "prints", "bands"])
 
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("t"))
-    return map_batches(keyed, run, "doc_id long, key long, fp long, size long, bands array<long>")
+    return map_batches(keyed, run, "doc_id long, key long, fp long, size long, prints array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -176,29 +197,75 @@ def _block_links(many: DataFrame, sets: DataFrame, similarity: float, block: int
     return dealt.groupBy("cell", "kind", "i", "j").applyInPandas(join_blocks, "a long, b long").distinct()
 
 
+def grid_rows(fps: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame | None]:
+    """``cell, own, code, fp``: the sets of ``fps`` (``fp, prints``) in cells of their popcount grids that hold others; and ``cell, fp`` of dense cells, if any."""
+    coded = fps.select(F.col("fp").alias("node"), F.posexplode("prints").alias("grid", "fp"))
+    few, many = shared_cells(coded.select("node", "fp", "grid"), most, F.col("grid"))
+    rows = reduce(DataFrame.unionByName, (x.select("cell", "own", F.col("fp").alias("code"), F.col("node").alias("fp")) for x in few))
+    return rows, None if many is None else many.select("cell", F.col("node").alias("fp"))
+
+
+def _within_reach() -> Column:
+    return F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= REACH
+
+
+def grid_heads(rows: DataFrame) -> DataFrame:
+    """``a, b``: the smallest set that lies in a cell with the others that do."""
+    own = rows.where("own")
+    heads = materialize(own.groupBy("cell").agg(F.min(F.struct("fp", "code")).alias("head"), F.count("*").alias("n")).where("n > 1"), "near-heads")
+    heads = heads.select("cell", F.col("head.fp").alias("a"), F.col("head.code").alias("x"))
+    return own.select("cell", F.col("fp").alias("b"), F.col("code").alias("y")).join(heads, "cell").where(F.col("a") < F.col("b")).where(_within_reach()).select("a", "b")
+
+
+def grid_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of a set that lies in a cell and another one there, in different components (``groups``) and within reach."""
+    named = rows.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return _met(materialize(named, "near-grid"), F.col("p") != F.col("q"), "component")
+
+
+def _met(rows: DataFrame, which: Column, mark: str) -> DataFrame:
+    """``a, b``: pairs within reach in a cell of the grid of ``which`` it is true; ``p`` and ``q`` are the ``mark`` of both."""
+    x = rows.where("own").select("cell", F.col("fp").alias("a"), F.col("code").alias("x"), F.col(mark).alias("p"))
+    y = rows.select("cell", F.col("fp").alias("b"), F.col("code").alias("y"), F.col(mark).alias("q"), F.col("own").alias("both"))
+    met = x.join(y, "cell").where(which & (F.col("a") != F.col("b")) & (~F.col("both") | (F.col("a") < F.col("b"))) & _within_reach())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, few: int = FEW, block: int = BLOCK
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, few: int = FEW, block: int = BLOCK,
+    most: int = MOST, minhash: bool = True,
+) -> DataFrame:
     """``doc_id, key, fp, group, component_id`` of every row, as of ``op07_simhash.near_duplicates``.
 
-    ``similarity`` of 0.8 or more: lower ones would need other keys.
+    ``similarity`` of 0.8 or more: lower ones would need other keys.  Without ``minhash``, by the grid alone, which shows what it finds.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"the keys hold for similarities of {SIMILARITY} or more")
-    rows = materialize(_sketches(docs, id_col, text_col, words), "near-docs")
-    fps = rows.groupBy("fp", "size").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "doc_id")).alias("one"))
-    fps = materialize(fps.select("fp", "size", "least_id", "one.key", F.col("one.doc_id").alias("one_id")), "near-fps")
+    rows = materialize(_sketches(docs, id_col, text_col, words, minhash), "near-docs")
+    fps = rows.groupBy("fp", "size").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "doc_id", "prints")).alias("one"))
+    fps = materialize(fps.select("fp", "size", "least_id", "one.key", F.col("one.doc_id").alias("one_id"), "one.prints"), "near-fps")
+    grid, dense = grid_rows(fps, most)
     cells = materialize(rows.select(F.explode("bands").alias("cell"), "fp", "size").distinct(), "near-cells")
     heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("fp", "size")).alias("head")).where("n > 1")
     # (tables on both sides of a join let Spark split a hot key's rows)
     busy = materialize(cells.join(materialize(heads.select("cell", "head.fp", F.col("head.size").alias("m")).withColumnRenamed("fp", "least"), "near-heads"), "cell"), "near-busy")
-    stars = materialize(busy.where((F.col("least") < F.col("fp")) & _fits("m", "size", similarity)).select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), "near-pairs")
-    sets = materialize(_sets(docs, fps.select("one_id", "key", "fp").join(busy.select("fp").distinct(), "fp", "left_semi"), id_col, text_col, words), "near-sets")
+    stars = busy.where((F.col("least") < F.col("fp")) & _fits("m", "size", similarity)).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    # large groups share keys: what the grid pairs without any is compared at once, the rest as it is in keys
+    keyed = busy.select("fp").distinct().withColumn("keyed", F.lit(True))
+    grid = materialize(grid.join(keyed, "fp", "left").withColumn("keyed", F.coalesce("keyed", F.lit(False))), "near-grid")
+    lone = materialize(_met(grid, ~(F.col("p") & F.col("q")), "keyed"), "near-lone")
+    grid = grid.where("keyed")
+    stars = materialize(stars.unionByName(grid_heads(grid)).unionByName(lone).distinct(), "near-pairs")
+    met = [busy.select("fp"), lone.select(F.explode(F.array("a", "b")).alias("fp")), *([] if dense is None else [dense.select("fp")])]
+    met = reduce(DataFrame.unionByName, met).distinct()
+    sets = materialize(_sets(docs, fps.select("one_id", "key", "fp").join(met, "fp", "left_semi"), id_col, text_col, words), "near-sets")
     groups = connected_components(materialize(verified(stars, sets, similarity), "near-links"))
     # what the heads left apart
-    rest = outside_top(busy.select("cell", "fp"), groups, busy.select("fp", "size").distinct())
+    keys = busy.select("cell", "fp") if dense is None else busy.select("cell", "fp").unionByName(dense)
+    rest = outside_top(keys, groups, fps.select("fp", "size"))
     pairs = F.col("k_own") * F.col("k_all")
-    listed = materialize(_listed(rest.where(pairs <= few), similarity), "near-pairs")
+    listed = _listed(rest.where(pairs <= few), similarity).unionByName(grid_pairs(grid, groups)).distinct()
+    listed = materialize(listed.join(stars, ["a", "b"], "left_anti"), "near-pairs")
     more = verified(listed, sets, similarity)
     many = rest.where(pairs > few)
     if not many.isEmpty():

@@ -92,15 +92,19 @@ def _halves(fp: Column) -> list[Column]:
     return [counts(fp.bitwiseAND(low)), counts(F.shiftrightunsigned(fp, 32)).bitwiseOR(F.lit(1 << 32))]
 
 
-def grid_cells(fps: DataFrame) -> DataFrame:
-    """``cell, own, fp``: the cell that a fingerprint lies in (own) and those one step up."""
+def grid_cells(fps: DataFrame, grid: Column | None = None) -> DataFrame:
+    """``cell, own`` and the columns of ``fps``: the cell that a fingerprint lies in (own) and those one step up.
+
+    Where there are several grids, ``grid`` is the number of the row's one.
+    """
     cells = []
     for half in _halves(F.col("fp")):
+        half = half if grid is None else half + F.shiftleft(grid.cast("long"), 33)
         cells.append(F.struct(half.alias("cell"), F.lit(True).alias("own")))
         for i in range(0, 32, 2):
             up = F.when(F.shiftrightunsigned(half, i).bitwiseAND(F.lit(3)) < 2, half + F.lit(1 << i))
             cells.append(F.struct(up.alias("cell"), F.lit(False).alias("own")))
-    return fps.select(F.explode(F.array(*cells)).alias("c"), "fp").where("c.cell is not null").select("c.cell", "c.own", "fp")
+    return fps.select(F.explode(F.array(*cells)).alias("c"), *fps.columns).where("c.cell is not null").select("c.cell", "c.own", *fps.columns)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, bits: int, group: dict[int, int] | None = None) -> list[tuple[int, int]]:
@@ -150,12 +154,12 @@ def deal(many: DataFrame, block: int) -> DataFrame:
 def _quarters(fp: Column, cell: Column) -> Column:
     """Cells within a half's cell, by the four quarters of the other half."""
     low, high = _halves(fp)
-    other = F.when(cell >= F.lit(1 << 32), low).otherwise(high)
+    other = F.when(cell.bitwiseAND(F.lit(1 << 32)) != 0, low).otherwise(high)
     return F.array(*[F.xxhash64(cell, F.lit(i), F.shiftrightunsigned(other, 8 * i).bitwiseAND(F.lit(255))) for i in range(4)])
 
 
 def _busy(cells: DataFrame) -> DataFrame:
-    """``cell, own, fp, n_own, n_up``: the rows of cells that hold own rows and any others."""
+    """The rows of ``cells`` that hold own rows and any others, with ``n_own, n_up``."""
     counts = cells.groupBy("cell").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_up"))
     counts = materialize(counts.where((F.col("n_own") > 0) & (F.col("n_own") + F.col("n_up") > 1)), "simhash-counts")
     # (tables on both sides of a join let Spark split a hot cell's rows)
@@ -201,22 +205,34 @@ def links(fps: DataFrame, bits: int = BITS, most: int = MOST, block: int = BLOCK
     """
     if bits > 3:
         raise ValueError("the halves of the grid hold for up to 3 differing bits")
-    cells = grid_cells(fps)
+    few, many = shared_cells(fps, most)
+    found = [_joined(x, bits) for x in few]
+    if many is not None:
+        found.append(_stars(many, bits))
+        linked = materialize(reduce(DataFrame.unionByName, found).distinct(), "simhash-links")
+        return linked.unionByName(_dense_links(many.select("cell", "fp"), connected_components(linked), bits, block))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def shared_cells(fps: DataFrame, most: int = MOST, grid: Column | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """Rows (``cell, own`` and those of ``fps``) of the grid's cells of few rows that hold others too, and of dense ones, if any.
+
+    A pair within 3 bits shares a cell.  So does one further apart of which a half lies within distance 1 and, where that half's cell is dense, a quarter of
+    the other one is equal.
+    """
+    cells = grid_cells(fps, grid)
+    rest = [c for c in cells.columns if c != "cell"]
     # nearly all cells one step up hold nobody: they go first
     used = cells.where("own").select(F.col("cell").alias("used")).distinct()
     busy = _busy(materialize(cells.join(used, F.col("cell") == F.col("used"), "left_semi"), "simhash-cells"))
     dense = F.col("n_own") * (F.col("n_own") + F.col("n_up")) > most
-    found = [_joined(busy.where(~dense), bits)]
-    many = busy.where(dense)
-    if not many.isEmpty():
-        inner = _busy(materialize(many.select(F.explode(_quarters(F.col("fp"), F.col("cell"))).alias("cell"), "own", "fp"), "simhash-cells"))
-        found.append(_joined(inner.where(~dense), bits))
-        many = materialize(inner.where(dense).select("cell", "own", "fp"), "simhash-dense")
-        if not many.isEmpty():
-            found.append(_stars(many, bits))
-            linked = materialize(reduce(DataFrame.unionByName, found).distinct(), "simhash-links")
-            return linked.unionByName(_dense_links(many.select("cell", "fp"), connected_components(linked), bits, block))
-    return reduce(DataFrame.unionByName, found).distinct()
+    few, many = [busy.where(~dense)], busy.where(dense)
+    if many.isEmpty():
+        return few, None
+    inner = _busy(materialize(many.select(F.explode(_quarters(F.col("fp"), F.col("cell"))).alias("cell"), *rest), "simhash-cells"))
+    few.append(inner.where(~dense))
+    many = materialize(inner.where(dense).select("cell", *rest), "simhash-dense")
+    return few, None if many.isEmpty() else many
 
 
 def _stars(many: DataFrame, bits: int) -> DataFrame:

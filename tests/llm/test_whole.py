@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from memspool.llm import near_copies
 from memspool.llm import op04_lines as N
+from memspool.llm.op07_simhash import majority_bits, shingles
 
 from .conftest import DOCS, doc_rows, prose
 from .test_exact import plain_lines, texts
@@ -97,6 +98,61 @@ def test_near_copies_equal_brute_force(request, tables, spark, source, few, bloc
     assert got == Counter((i, least.get(group[t])) for i, t in rows)
 
 
+@pytest.mark.parametrize(("most", "few"), [(4096, 1024), (8, 1024), (8, 2)])
+def test_near_copies_come_from_the_popcount_grid(spark, most, few):
+    """Without MinHash, sets are linked that the grid pairs: a half of a fingerprint within distance 1, up to 12 bits; in dense cells at least those within 3 bits."""
+    rows = near_rows()
+    sets = [np.unique(shingles(t.encode(), 5)) for _, t, _, _ in rows]
+    codes = np.array([near_copies.prints(s) for s in sets], np.int64).view(np.uint64)
+    assert codes.shape == (len(rows), 4) and (codes[:, 0].view(np.int64) == [majority_bits(s) for s in sets]).all() and all(len({*c}) == 4 for c in codes.tolist())
+    counts = np.unpackbits(codes.view(np.uint8).reshape(len(rows), 4, 8), axis=2, bitorder="little").reshape(len(rows), 4, 2, 16, 2).sum(4).astype(int)
+    wide, close, links = set(), set(), set()
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows[:i]):
+            bits = np.bitwise_count(codes[i] ^ codes[j])
+            half = np.abs(counts[i] - counts[j]).sum(2).min(1)
+            assert not ((bits <= 3) & (half > 1)).any()
+            if ((half <= 1) & (bits <= 12)).any():
+                wide.add((j, i))
+            if (bits <= 3).any():
+                close.add((j, i))
+            if jaccard(x[1], y[1]) >= 0.8:
+                links.add((j, i))
+
+    def groups(pairs):
+        at = list(range(len(rows)))
+        for i, j in pairs:
+            if at[i] != at[j]:
+                at = [min(at[i], at[j]) if x in (at[i], at[j]) else x for x in at]
+        return {x[0]: min(rows[k][0] for k in range(len(rows)) if at[k] == at[i]) for i, x in enumerate(rows)}
+
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(doc_rows(rows), DOCS), few=few, most=most, minhash=False).collect()}
+    assert len(close & links) > 3 and len(set(groups(wide & links).values())) < len(set(groups(close & links).values())) < len(rows)
+    if most > 1000:
+        assert got == groups(wide & links)
+    # what is close in any fingerprint hangs together, and nothing does without a link
+    of = {i: got[r[0]] for i, r in enumerate(rows)}
+    assert all(of[i] == of[j] for i, j in close & links)
+    whole = groups(links)
+    assert all(whole[i] == whole[g] for i, g in got.items())
+
+
+def test_grid_of_near_copies_has_dense_cells(spark):
+    """Each pair within 3 bits is listed or shares a dense cell."""
+    sets = [np.unique(shingles(t.encode(), 5)) for _, t, _, _ in near_rows()]
+    codes = [near_copies.prints(s) for s in sets]
+    fps = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "fp long, prints array<long>")
+    rows, dense = near_copies.grid_rows(fps, 8)
+    pairs = near_copies.grid_pairs(rows, spark.createDataFrame([], "node long, component long"))
+    cells = {}
+    for r in dense.collect():
+        cells.setdefault(r["fp"], set()).add(r["cell"])
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    close = {(j, i) for i in range(len(codes)) for j in range(i) if any(((x ^ y) & (1 << 64) - 1).bit_count() <= 3 for x, y in zip(codes[i], codes[j]))}
+    assert all((a, b) in found or cells[a] & cells[b] for a, b in close)
+    assert any((a, b) not in found for a, b in close) and found
+
+
 def plain_lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
