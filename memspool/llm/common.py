@@ -6,14 +6,15 @@ Nothing in the rest of the library depends on this subpackage.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import drop_table, materialize, new_table_path, release, shared_dir
 
-__all__ = ["crc_mod", "drop_table", "map_batches", "materialize", "new_table_path", "release", "shared_dir", "text_bytes", "training_sample"]
+__all__ = ["batches_of", "crc_mod", "drop_table", "map_batches", "materialize", "new_table_path", "release", "shared_dir", "text_bytes", "training_sample"]
 
 #: The six white-space bytes that separate words everywhere in this subpackage;
 #: ``bytes.split()`` separates on exactly these.
@@ -44,6 +45,18 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """What is run within hands batches of about ``size`` bytes to Python, besides Spark's own limit of rows; the setting is put back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, release, text_bytes
+from .common import batches_of, map_batches, materialize, release, text_bytes
 from .op07_simhash import MOST, connected_components, deal, keep_first, majority_bits, name_groups, outside_top, shared_cells, shingles
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
@@ -39,6 +39,8 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 PRINTS, REACH = 4, 12
 #: Pairs of a key that are listed, and shingles of a block where there are more.
 FEW, BLOCK = 1024, 1 << 18
+#: Bytes of texts that a task hands to Python at once, or one text that has more.
+BATCH = 4 << 20
 #: Sets up to ``SMALL`` have keys of all hash functions, those from four fifths of it on have keys of bins.
 SMALL = 640
 _RANDOM = np.random.default_rng(5).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
@@ -118,33 +120,24 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
     # the same join at every size
     nodes = nodes.hint("merge")
     found = texts.join(nodes, (texts["own"] == nodes["key"]) & texts["doc_id"].eqNullSafe(nodes["one_id"])).select("fp", "t")
-    return map_batches(found, run, "fp long, items array<long>").dropDuplicates(["fp"])
+    return map_batches(found.dropDuplicates(["fp"]), run, "fp long, items array<long>")
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    at = column.offsets.to_numpy()
-    values = column.values.to_numpy()
-    return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-
-
-def _similar(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, similarity: float) -> np.ndarray | bool:
+def _similar(common: np.ndarray, n: np.ndarray, m: int, similarity: float) -> np.ndarray:
     return common >= similarity * (n + m - common)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``a, b`` of ``pairs`` that are similar."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3))):
-            fits = min(len(x), len(y)) >= similarity * max(len(x), len(y))
-            keep.append(bool(fits and _similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """The ``a, b`` of ``pairs`` that are similar.
 
+    Compared by Spark, a pair at a time: a batch of pairs for Python would hold both sets of each, and the set of a large group's head in every row.
+    """
     x = sets.select(F.col("fp").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("fp").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return map_batches(both, run, "a long, b long")
+    both = pairs.join(x, "a").join(y, "b").where(_fits(F.size("x"), F.size("y"), similarity))
+    # (exploded, so that the sets are intersected once)
+    met = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.explode(F.array(F.size(F.array_intersect("x", "y")))).alias("common"))
+    return met.where(F.col("common") >= (F.col("n") - F.col("common")) * similarity).select("a", "b")
 
 
 def forest(nodes: np.ndarray, items: list[np.ndarray], group: np.ndarray, first: np.ndarray, second: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -169,7 +162,7 @@ def forest(nodes: np.ndarray, items: list[np.ndarray], group: np.ndarray, first:
     return out
 
 
-def _fits(a: str, b: str, similarity: float) -> Column:
+def _fits(a: str | Column, b: str | Column, similarity: float) -> Column:
     """Whether sets of these sizes can be similar."""
     return F.least(a, b) >= F.greatest(a, b) * similarity
 
@@ -241,7 +234,8 @@ def near_copies(
     """
     if similarity < SIMILARITY:
         raise ValueError(f"the keys hold for similarities of {SIMILARITY} or more")
-    rows = materialize(_sketches(docs, id_col, text_col, words, minhash), "near-docs")
+    with batches_of(docs.sparkSession, BATCH):
+        rows = materialize(_sketches(docs, id_col, text_col, words, minhash), "near-docs")
     fps = rows.groupBy("fp", "size").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "doc_id", "prints")).alias("one"))
     fps = materialize(fps.select("fp", "size", "least_id", "one.key", F.col("one.doc_id").alias("one_id"), "one.prints"), "near-fps")
     grid, dense = grid_rows(fps, most)
@@ -258,7 +252,8 @@ def near_copies(
     stars = materialize(stars.unionByName(grid_heads(grid)).unionByName(lone).distinct(), "near-pairs")
     met = [busy.select("fp"), lone.select(F.explode(F.array("a", "b")).alias("fp")), *([] if dense is None else [dense.select("fp")])]
     met = reduce(DataFrame.unionByName, met).distinct()
-    sets = materialize(_sets(docs, fps.select("one_id", "key", "fp").join(met, "fp", "left_semi"), id_col, text_col, words), "near-sets")
+    with batches_of(docs.sparkSession, BATCH):
+        sets = materialize(_sets(docs, fps.select("one_id", "key", "fp").join(met, "fp", "left_semi"), id_col, text_col, words), "near-sets")
     groups = connected_components(materialize(verified(stars, sets, similarity), "near-links"))
     # what the heads left apart
     keys = busy.select("cell", "fp") if dense is None else busy.select("cell", "fp").unionByName(dense)

@@ -5,12 +5,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memspool.llm import near_copies
 from memspool.llm import op04_lines as N
+from memspool.llm.common import batches_of, map_batches
 from memspool.llm.op07_simhash import majority_bits, shingles
 
 from .conftest import DOCS, doc_rows, prose
@@ -177,6 +179,42 @@ def test_keys_of_similar_sets_meet():
     assert missed <= 1
 
 
+def test_pairs_are_verified_without_batches_of_sets(spark):
+    """A task holds one pair at a time, none of them in Python; at exactly 0.8 a pair is linked, just below it isn't."""
+    rng = np.random.default_rng(7)
+    hashes = rng.integers(-(1 << 63), 1 << 63, 60_000, np.int64)
+    sets = {1: hashes[:9], 2: hashes[1:10], 3: hashes[2:11], 4: hashes[:20_000], 5: hashes[2_222:22_222], 6: hashes[2_223:22_223], 7: hashes[40_000:], 8: hashes[:1]}
+    table = spark.createDataFrame([(k, np.sort(v).tolist()) for k, v in sets.items()], "fp long, items array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    got = near_copies.verified(spark.createDataFrame(pairs, "a long, b long"), table, 0.8)
+    want = {(a, b) for a, b in pairs if (n := len(set(sets[a]) & set(sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    assert want == {(1, 2), (2, 3), (4, 5), (5, 6)}
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted(want)
+    assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_texts_of_near_copies_come_in_small_batches(spark, nasty, monkeypatch):
+    """By bytes, not by rows alone; the session's own setting is there again after."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before = spark.conf.get(name)
+
+    def noted(df, table, f=near_copies.materialize):
+        seen[table] = spark.conf.get(name)
+        return f(df, table)
+
+    monkeypatch.setattr(near_copies, "materialize", noted)
+    near_copies.near_copies(nasty)
+    assert {seen["near-docs"], seen["near-sets"]} == {str(near_copies.BATCH)} and spark.conf.get(name) == before
+    rows = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('word ', 200) AS t")
+
+    def sizes(size):
+        with batches_of(spark, size):
+            sized = map_batches(rows, lambda b: pa.RecordBatch.from_arrays([pa.array([b.nbytes] * b.num_rows)], ["n"]), "n long")
+            return [r["n"] for r in sized.collect()]
+
+    assert len(sizes(64_000)) == len(sizes(1 << 30)) == 3000 and max(sizes(64_000)) < 130_000 < max(sizes(1 << 30))
+
+
 def test_near_copies_of_nothing(nothing):
     assert near_copies.deduplicate(nothing).count() == 0
 
