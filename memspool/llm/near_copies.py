@@ -11,10 +11,13 @@ no key; of more similar ones fewer.  Each link, of either kind, is verified on t
 Minima of a small set are those of ``BANDS * ROWS`` hash functions.  Large sets are hashed once and dealt to as many bins, each of which
 gives its minimum (one-permutation hashing; an empty bin takes that of the next one).  Sets near the border have both kinds of keys, so that similar sets always share a kind.
 
-Documents with equal sets are one node throughout.  The members of a key and, of sets with keys in common with others, those that lie in a cell of the grid are
-compared with its smallest one first, as are all pairs of the grid of which one has no such key; components are formed.  Then all other pairs of the grid's
-cells that these leave apart are compared.  Where a key or a dense cell has several components, its members outside of the largest one are compared with those of
-others: in listed pairs, or, where these would be many, in pairs of blocks of bounded bytes.  So all candidates are compared or connected already.
+Documents with equal sets are one node throughout.  The members of a key are compared with its smallest one first, and so are the pairs of the grid, but for those
+that share one of their ``KNOWN`` keys of most members; components are formed.  Where a key or a dense cell has several components, its members outside of the largest one
+are compared with those of others: in listed pairs, or, where these would be many, in pairs of blocks of bounded bytes.  So all candidates are compared or connected
+already, those of the grid that share a key by way of that key.
+
+Cells of the grid hold strangers too, the more the more sets there are.  What is to be known of a set is therefore joined to the sets, one row for each, before they go
+into cells, and only pairs within reach come out of these.
 
 Defined cases: null or wordless texts are equal to each other; a text of fewer than five words is one shingle;
 ids that repeat are separate rows; an empty table gives an empty result.
@@ -37,6 +40,8 @@ from .op07_simhash import MOST, connected_components, deal, keep_first, majority
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Fingerprints of a set, and differing bits up to which the grid's pairs are compared.
 PRINTS, REACH = 4, 12
+#: Keys of a set, those of most members, by which the grid leaves a pair to the keys.
+KNOWN = 4
 #: Pairs of a key that are listed, and shingles of a block where there are more.
 FEW, BLOCK = 1024, 1 << 18
 #: Bytes of texts that a task hands to Python at once, or one text that has more.
@@ -190,38 +195,34 @@ def _block_links(many: DataFrame, sets: DataFrame, similarity: float, block: int
     return dealt.groupBy("cell", "kind", "i", "j").applyInPandas(join_blocks, "a long, b long").distinct()
 
 
-def grid_rows(fps: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame | None]:
-    """``cell, own, code, fp``: the sets of ``fps`` (``fp, prints``) in cells of their popcount grids that hold others; and ``cell, fp`` of dense cells, if any."""
-    coded = fps.select(F.col("fp").alias("node"), F.posexplode("prints").alias("grid", "fp"))
-    few, many = shared_cells(coded.select("node", "fp", "grid"), most, F.col("grid"))
-    rows = reduce(DataFrame.unionByName, (x.select("cell", "own", F.col("fp").alias("code"), F.col("node").alias("fp")) for x in few))
-    return rows, None if many is None else many.select("cell", F.col("node").alias("fp"))
-
-
-def _within_reach() -> Column:
-    return F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= REACH
+def known_keys(busy: DataFrame) -> DataFrame:
+    """``fp, known``: the keys of most members (``n``) of each set in ``busy`` (``cell, fp, n``)."""
+    most = F.slice(F.sort_array(F.collect_list(F.struct("n", "cell")), asc=False), 1, KNOWN)
+    return busy.groupBy("fp").agg(most["cell"].alias("known"))
 
 
-def grid_heads(rows: DataFrame) -> DataFrame:
-    """``a, b``: the smallest set that lies in a cell with the others that do."""
-    own = rows.where("own")
-    heads = materialize(own.groupBy("cell").agg(F.min(F.struct("fp", "code")).alias("head"), F.count("*").alias("n")).where("n > 1"), "near-heads")
-    heads = heads.select("cell", F.col("head.fp").alias("a"), F.col("head.code").alias("x"))
-    return own.select("cell", F.col("fp").alias("b"), F.col("code").alias("y")).join(heads, "cell").where(F.col("a") < F.col("b")).where(_within_reach()).select("a", "b")
-
-
-def grid_pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of a set that lies in a cell and another one there, in different components (``groups``) and within reach."""
-    named = rows.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    return _met(materialize(named, "near-grid"), F.col("p") != F.col("q"), "component")
+def grid_rows(fps: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame | None]:
+    """``cell, own, code, fp, known``: the sets of ``fps`` (``fp, prints`` and ``known``, if there is) in cells of their popcount grids that hold others too; and ``cell, fp`` of dense cells, if any."""
+    known = F.col("known") if "known" in fps.columns else F.lit(None).cast("array<long>").alias("known")
+    coded = fps.select(F.col("fp").alias("node"), known, F.posexplode("prints").alias("grid", "fp"))
+    few, many = shared_cells(coded.select("node", "known", "fp", "grid"), most, F.col("grid"))
+    rows = reduce(DataFrame.unionByName, (x.select("cell", "own", F.col("fp").alias("code"), F.col("node").alias("fp"), "known") for x in few))
+    return rows, None if many is None else many.select("cell", F.col("node").alias("fp"))
 
 
-def _met(rows: DataFrame, which: Column, mark: str) -> DataFrame:
-    """``a, b``: pairs within reach in a cell of the grid of ``which`` it is true; ``p`` and ``q`` are the ``mark`` of both."""
-    x = rows.where("own").select("cell", F.col("fp").alias("a"), F.col("code").alias("x"), F.col(mark).alias("p"))
-    y = rows.select("cell", F.col("fp").alias("b"), F.col("code").alias("y"), F.col(mark).alias("q"), F.col("own").alias("both"))
-    met = x.join(y, "cell").where(which & (F.col("a") != F.col("b")) & (~F.col("both") | (F.col("a") < F.col("b"))) & _within_reach())
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def grid_pairs(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``a, b``: all pairs of a set that lies in a cell and another one there, within reach and without a known key in common; of different components, if there are ``groups``."""
+    x = rows.where("own").select("cell", F.col("fp").alias("a"), F.col("code").alias("x"), F.col("known").alias("p"))
+    y = rows.select("cell", F.col("fp").alias("b"), F.col("code").alias("y"), F.col("known").alias("q"), F.col("own").alias("both"))
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= REACH
+    apart = ~F.coalesce(F.arrays_overlap("p", "q"), F.lit(False))
+    met = x.join(y, "cell").where((F.col("a") != F.col("b")) & (~F.col("both") | (F.col("a") < F.col("b"))) & near & apart)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if groups is None:
+        return pairs
+    p, q = (groups.select(F.col("node").alias(end), F.col("component").alias(name)) for end, name in (("a", "p"), ("b", "q")))
+    named = pairs.join(p, "a", "left").join(q, "b", "left")
+    return named.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
 
 
 def near_copies(
@@ -238,18 +239,16 @@ def near_copies(
         rows = materialize(_sketches(docs, id_col, text_col, words, minhash), "near-docs")
     fps = rows.groupBy("fp", "size").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("key", "doc_id", "prints")).alias("one"))
     fps = materialize(fps.select("fp", "size", "least_id", "one.key", F.col("one.doc_id").alias("one_id"), "one.prints"), "near-fps")
-    grid, dense = grid_rows(fps, most)
     cells = materialize(rows.select(F.explode("bands").alias("cell"), "fp", "size").distinct(), "near-cells")
     heads = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("fp", "size")).alias("head")).where("n > 1")
     # (tables on both sides of a join let Spark split a hot key's rows)
-    busy = materialize(cells.join(materialize(heads.select("cell", "head.fp", F.col("head.size").alias("m")).withColumnRenamed("fp", "least"), "near-heads"), "cell"), "near-busy")
+    busy = materialize(cells.join(materialize(heads.select("cell", "n", "head.fp", F.col("head.size").alias("m")).withColumnRenamed("fp", "least"), "near-heads"), "cell"), "near-busy")
     stars = busy.where((F.col("least") < F.col("fp")) & _fits("m", "size", similarity)).select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    # large groups share keys: what the grid pairs without any is compared at once, the rest as it is in keys
-    keyed = busy.select("fp").distinct().withColumn("keyed", F.lit(True))
-    grid = materialize(grid.join(keyed, "fp", "left").withColumn("keyed", F.coalesce("keyed", F.lit(False))), "near-grid")
-    lone = materialize(_met(grid, ~(F.col("p") & F.col("q")), "keyed"), "near-lone")
-    grid = grid.where("keyed")
-    stars = materialize(stars.unionByName(grid_heads(grid)).unionByName(lone).distinct(), "near-pairs")
+    # (one row for each set: its cells are many, and the more so the more sets share them)
+    coded = materialize(fps.select("fp", "prints").join(materialize(known_keys(busy), "near-known"), "fp", "left"), "near-coded")
+    grid, dense = grid_rows(coded, most)
+    lone = materialize(grid_pairs(grid), "near-lone")
+    stars = materialize(stars.unionByName(lone).distinct(), "near-pairs")
     met = [busy.select("fp"), lone.select(F.explode(F.array("a", "b")).alias("fp")), *([] if dense is None else [dense.select("fp")])]
     met = reduce(DataFrame.unionByName, met).distinct()
     with batches_of(docs.sparkSession, BATCH):
@@ -259,8 +258,7 @@ def near_copies(
     keys = busy.select("cell", "fp") if dense is None else busy.select("cell", "fp").unionByName(dense)
     rest = outside_top(keys, groups, fps.select("fp", "size"))
     pairs = F.col("k_own") * F.col("k_all")
-    listed = _listed(rest.where(pairs <= few), similarity).unionByName(grid_pairs(grid, groups)).distinct()
-    listed = materialize(listed.join(stars, ["a", "b"], "left_anti"), "near-pairs")
+    listed = materialize(_listed(rest.where(pairs <= few), similarity).join(stars, ["a", "b"], "left_anti"), "near-pairs")
     more = verified(listed, sets, similarity)
     many = rest.where(pairs > few)
     if not many.isEmpty():

@@ -155,6 +155,45 @@ def test_grid_of_near_copies_has_dense_cells(spark):
     assert any((a, b) not in found for a, b in close) and found
 
 
+def test_strangers_in_cells_are_not_joined_to_what_is_known_of_sets(spark, monkeypatch):
+    """Some forty sets in each cell: a table that is joined to facts of sets has a row for each set, not for each of its cells."""
+
+    def strangers(hashes):
+        h = int(hashes.min())
+        low = (0, 0x55555555, 0xFFFFFFFF)[h % 3]
+        return np.array([(h * (2 * i + 3) >> 16 & 0xFFFFFFFF) << 32 | low for i in range(4)], np.uint64).view(np.int64).tolist()
+
+    seen = {}
+
+    def noted(df, table, f=near_copies.materialize):
+        out = f(df, table)
+        if "Join LeftOuter" in df._jdf.queryExecution().optimizedPlan().toString():
+            seen[table] = max(seen.get(table, 0), out.count())
+        return out
+
+    rows = [(i, prose(1000 + i, 60), "en", "s") for i in range(120)]
+    rows += [(500 + i, rows[i][1] + " added", "en", "s") for i in range(10)]
+    codes = [(i, strangers(np.unique(shingles(t.encode(), 5)))) for i, t, _, _ in rows]
+    shared, dense = near_copies.grid_rows(spark.createDataFrame(codes, "fp long, prints array<long>"))
+    assert dense is None and shared.count() >= 4 * len(rows)
+    monkeypatch.setattr(near_copies, "prints", strangers)
+    monkeypatch.setattr(near_copies, "materialize", noted)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(doc_rows(rows), DOCS)).collect()}
+    assert got == {i: i - 500 if i >= 500 else i for i, _, _, _ in rows}
+    assert seen and max(seen.values()) <= len(rows)
+
+
+def test_grid_leaves_pairs_that_share_a_known_key_to_the_keys(spark):
+    fps = [(1, [5, 6], [70, 80]), (2, [5, 6], [80]), (3, [5, 6], None), (4, [5, 6], [90])]
+    rows, dense = near_copies.grid_rows(spark.createDataFrame(fps, "fp long, prints array<long>, known array<long>"))
+    pairs = near_copies.grid_pairs(rows)
+    assert dense is None and sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+    groups = spark.createDataFrame([(3, 1), (1, 1)], "node long, component long")
+    assert sorted((r["a"], r["b"]) for r in near_copies.grid_pairs(rows, groups).collect()) == [(1, 4), (2, 3), (2, 4), (3, 4)]
+    busy = spark.createDataFrame([(c, 1, c) for c in range(10, 16)] + [(10, 2, 10)], "cell long, fp long, n long")
+    assert {r["fp"]: list(r["known"]) for r in near_copies.known_keys(busy).collect()} == {1: [15, 14, 13, 12], 2: [10]}
+
+
 def plain_lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
