@@ -508,3 +508,31 @@ def test_an_import_parses_its_nodes_once(spark, tmp_path, monkeypatch):
     store.import_(out, "q")
     assert [r["text"] for r in store.load("q").nodes.collect()] == ["Likes tea"]
     assert seen and not any("regexp_replace" in x or "from_json" in x for x in seen)
+
+
+def test_long_conversations_are_read_to_their_end(spark, tmp_path):
+    """Pieces fit in a prompt and have every turn between them; a conversation that fits is asked as it is."""
+    words = lambda k, n: " ".join(f"mark{k}x{i} {'é😀' * 3}" for i in range(n))
+    said = [words(0, 3), words(1, 900), *(words(k, 9) for k in range(2, 60)), "z" * 20_000 + " mark60x0", ""]
+    long = [turn("long", k, "user" if k % 2 == 0 else "assistant", x, "2026-01-05T09:12:00Z") for k, x in enumerate(said)]
+    prompts = tmp_path / "prompts"
+    prompts.mkdir()
+
+    def facts(prompt, system):
+        (prompts / uuid.uuid4().hex).write_text(prompt)
+        return json.dumps({"identity": [{"text": f"Knows {m}", "quote": m} for m in re.findall(r"mark\d+x\d+", prompt)], "threads": [{"text": "Same in all"}]})
+
+    path = jsonl(tmp_path / "h.jsonl", [*long, turn("short", 0, "user", "mark99x0\nit is"), turn("short", 1, "assistant", "fine")])
+    pack = extract_history(spark, path, models.ScriptedAdapter([("what it says about the user", facts)]), str(tmp_path / "s"))
+    rows = {r["text"]: r for r in pack.nodes.collect()}
+    marks = [m for x in said for m in re.findall(r"mark\d+x\d+", x)] + ["mark99x0"]
+    assert {f"Knows {m}" for m in marks} | {"Same in all"} == set(rows)
+    assert all(r["quote"] == r["text"][6:] for r in rows.values() if r["part"] == "identity")
+    assert rows["Knows mark1x899"]["source_refs"] != rows["Knows mark1x0"]["source_refs"]
+    assert all(f"long:{m[4:].split('x')[0]}" in rows[f"Knows {m}"]["source_refs"] for m in marks[:-1])
+    assert rows["Same in all"]["source_refs"] == [*(f"long:{k}" for k in range(len(said))), "short:0", "short:1"]
+    order = [r["text"] for r in sorted(rows.values(), key=lambda r: r["ord"]) if r["part"] == "identity"]
+    assert order == [f"Knows {m}" for m in marks]
+    asked = [p.read_text().split("its turn.\n\n", 1)[1].split("\n\nList what", 1)[0] for p in prompts.iterdir()]
+    assert max(map(len, asked)) <= 12_000 and "[short:0] user: mark99x0\nit is\n[short:1] assistant: fine" in asked
+    assert sum(map(len, asked)) < 1.05 * sum(map(len, said)) and known(pack) == {"long", "short"}
