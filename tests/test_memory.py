@@ -218,6 +218,20 @@ def test_runs_over_ranges_equal_a_plain_scan(spark, partitions):
     assert max(r["run_id"] for r in scoped if not r["file"]) == want[149]
 
 
+def test_style_samples_hold_all_that_users_wrote(spark):
+    rows = [(0, "x", "x:0", "user", "hi", None), (1, "x", "x:1", "assistant", "yo", None), (2, "y", "y:0", "user", "a" * 9000, None), (3, "x", "x:2", "user", "", None), (4, "z", "z:0", "user", "b c " * 300, None)]
+    t = H.runs(spark.createDataFrame(rows, "src_ord long, conv_id string, turn_id string, role string, content string, ts string"))
+    keys = ("conv_id", "run_id")
+    convs = H.conversations(t, keys)
+    samples = lambda cap: [r["sample"] for r in H.style_samples(t, convs, cap, keys).orderBy("pos").collect()]
+    whole = "\n---\n".join(("hi", "a" * 9000, "", "b c " * 300))
+    assert samples(len(whole)) == [whole] == [H.style_sample(t, convs, 20_000, keys).first()["sample"]]
+    for cap in (len(whole) - 1, 8000, 1000):
+        parts = samples(cap)
+        assert len(parts) > 1 and max(map(len, parts)) <= cap and "".join(parts).replace("\n---\n", "") == whole.replace("\n---\n", "")
+    assert H.style_samples(t.limit(0), convs, keys=keys).count() == 0
+
+
 def test_removal_leaves_no_references(spark):
     n = frame(spark, [node("identity", 0, "a", "x", refs=["t1"]), node("identity", 1, "b", "y", superseded_by="a", parent_id="c"), node("identity", 2, "c", "z", parent_id="a")])
     gone = spark.createDataFrame([("a",)], "id string")

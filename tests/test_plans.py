@@ -536,3 +536,30 @@ def test_long_conversations_are_read_to_their_end(spark, tmp_path):
     asked = [p.read_text().split("its turn.\n\n", 1)[1].split("\n\nList what", 1)[0] for p in prompts.iterdir()]
     assert max(map(len, asked)) <= 12_000 and "[short:0] user: mark99x0\nit is\n[short:1] assistant: fine" in asked
     assert sum(map(len, asked)) < 1.05 * sum(map(len, said)) and known(pack) == {"long", "short"}
+
+
+def test_a_stream_reads_texts_to_their_end(spark, tmp_path):
+    """Facts and style come from all that was said, each once, in prompts of bounded length."""
+    folder, prompts = tmp_path / "in", tmp_path / "prompts"
+    folder.mkdir(), prompts.mkdir()
+    marked = lambda p: sorted(set(re.findall(r"mark\d+x\d+", p)))
+
+    def noted(prompt, system):
+        (prompts / uuid.uuid4().hex).write_text(prompt)
+        return " " + " ".join(marked(prompt))
+
+    adapter = models.ScriptedAdapter([("what it says about the user", lambda p, s: json.dumps({"identity": [{"text": m} for m in marked(p)]})), ("Messages that a user wrote", noted), ("Notes on how a user", noted)])
+    said = [" ".join(f"mark{k}x{i} {'word ' * 40}" for i in range(n)) for k, n in enumerate((1, 200, 2, 3, 1, 240))]
+    jsonl(folder / "a.json", [turn("a", k, "user", x) for k, x in enumerate(said[:4])] + [turn("a", 9, "assistant", "mark9x9")])
+    jsonl(folder / "b.json", [turn("b", k, "user", x) for k, x in enumerate(said[4:])])
+    store = Store(spark, str(tmp_path / "root"))
+    ingest(spark, str(folder), store, "p", adapter, str(tmp_path / "cp"), str(tmp_path / "s"))
+    marks = {m for x in said for m in marked(x)}
+    got = store.load("p")
+    assert {r["text"] for r in got.nodes.collect()} == marks | {"mark9x9"}
+    assert set(got.style.split()) == marks and got.style == got.style.strip()
+    asked = [p.read_text().split(":\n\n", 1) for p in prompts.iterdir()]
+    samples = [x.split("\n\nDescribe in", 1)[0] for head, x in asked if head.startswith("Messages")]
+    assert len(samples) > 10 and max(map(len, samples)) <= 8000 and sum(map(len, samples)) <= sum(map(len, said)) + 5 * len(said)
+    assert sorted("".join(samples).replace("\n---\n", "")) == sorted("".join(said))
+    assert len(asked) - len(samples) == 1 - (-len(samples) // 10)  # notes are summed up ten at a time, and then at once
